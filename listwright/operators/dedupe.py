@@ -64,10 +64,11 @@ def duplicates_to_drop(files: DataFrame, keep: str = "newest") -> DataFrame:
     """Every copy but one per group: the newest, or the first by path, is kept."""
     if keep == "newest":
         # Equal times fall back to the smallest path.
-        newest = files.groupBy("length", "content_md5").agg(F.max("mtime").alias("mtime"))
+        age_then_path = F.struct((-F.unix_micros(F.col("mtime").cast("timestamp"))).alias("age"), "path")
         kept = (
-            files.groupBy("length", "content_md5", "mtime").agg(F.min("path").alias("path"))
-            .join(newest, ["length", "content_md5", "mtime"], "left_semi")
+            files.groupBy("length", "content_md5")
+            .agg(F.min(age_then_path).alias("_first"))
+            .select(F.col("_first.path").alias("path"))
         )
     elif keep == "first":
         kept = files.groupBy("length", "content_md5").agg(F.min("path").alias("path"))
