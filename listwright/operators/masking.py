@@ -97,7 +97,7 @@ def mask_sweep(df: DataFrame, legacy_names: bool = False, legacy_email: bool = F
         if "phone" not in roles:
             digits = F.length(F.regexp_replace(cell, "[^0-9]", ""))
             number = (F.length(cell) >= 7) & (digits >= 6)
-            out = (out or F).when(number, mask_phone(cell))
+            out = (F if out is None else out).when(number, mask_phone(cell))
         return cell if out is None else out.otherwise(cell).alias(name)
 
     return df.select(*[by_role(c) for c in df.columns]).select(*[swept(c) for c in df.columns])
