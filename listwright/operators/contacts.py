@@ -27,7 +27,12 @@ def has_website(df: DataFrame, website: str = "website") -> DataFrame:
 
 
 def extract_contacts(
-    pages: DataFrame, url: str = "url", html: str = "html", trim_dot: bool = False, strict_host: bool = False
+    pages: DataFrame,
+    url: str = "url",
+    html: str = "html",
+    trim_dot: bool = False,
+    strict_host: bool = False,
+    carry: list[str] = (),
 ) -> DataFrame:
     """Per page its addresses and social links, from one scan of the text."""
     page = F.col(html)
@@ -43,6 +48,7 @@ def extract_contacts(
             F.col(url).alias("website"),
             "email",
             *[F.col("_social")[n].alias(n) for n in SOCIAL_NETWORKS],
+            *carry,
         )
     )
 

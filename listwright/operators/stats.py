@@ -17,7 +17,12 @@ def _flag(condition: Column) -> Column:
 
 
 def contact_stats(df: DataFrame) -> DataFrame:
-    """Statistics after exclusion, one row, in one pass over the table.
+    """Statistics after exclusion, one row."""
+    return contact_stats_by(df)
+
+
+def contact_stats_by(df: DataFrame, *groups: str) -> DataFrame:
+    """Statistics after exclusion, one row per group, in one pass over the table.
 
     Rows are widened to one per address; whatever counts once per listing is
     taken from its first address, so no second scan has to be joined in.
@@ -31,6 +36,7 @@ def contact_stats(df: DataFrame) -> DataFrame:
         else F.lit(0)
     )
     wide = df.select(
+        *groups,
         _flag(phone).alias("_phone"),
         website.alias("_website"),
         url_host(website).alias("_host"),
@@ -42,7 +48,7 @@ def contact_stats(df: DataFrame) -> DataFrame:
     def per_listing(value: Column) -> Column:
         return F.coalesce(F.sum(F.when(first, value)), F.lit(0))
 
-    return wide.agg(
+    return wide.groupBy(*groups).agg(
         F.count_if(first).alias("companies"),
         F.count_distinct("_address").alias("unique_emails"),
         per_listing(F.col("_phone")).alias("phones"),

@@ -17,9 +17,7 @@ from listwright.operators.schema import canonicalize_columns, normalize_headers,
 CSV_GLOB = "*.[cC][sS][vV]"
 # Bytes read from the front of a file to learn its header.
 HEADER_BYTES = 65_536
-_OVERFLOW = "_overflow"
-# Marks an absent field; it cannot occur in a text file.
-_ABSENT = "\u0000"
+_IRREGULAR = "_irregular"
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
@@ -31,26 +29,32 @@ def _csv_options(multi_line: bool) -> dict[str, str]:
         "mode": "PERMISSIVE",
         "quote": '"',
         "escape": '"',
-        "nullValue": _ABSENT,
         "multiLine": str(multi_line).lower(),
+        "columnNameOfCorruptRecord": _IRREGULAR,
+        # With pruning a line is only cut into the columns asked for, and too
+        # long lines would come back as soon as one column is left out.
+        "columnPruning": "false",
     }
 
 
 def _listing_schema(columns: list[str]) -> T.StructType:
-    """Text columns plus one that only fills up on lines with too many fields."""
-    return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _OVERFLOW]])
-
-
-def _drop_long_lines(df: DataFrame, na_values: list[str]) -> DataFrame:
-    good = df.where(F.col(_OVERFLOW).isNull())
-    # Only the fields of the file; positions and file names stay as they are.
-    fields = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    fields = [c for c in fields if c not in (_OVERFLOW, "source_file")]
+    """Text columns plus the line itself where its number of fields is off."""
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _IRREGULAR]])
+
+
+def _drop_long_lines(df: DataFrame, columns: list[str], na_values: list[str]) -> DataFrame:
+    line = F.col(_IRREGULAR)
+    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    commas = F.length(bare) - F.length(F.replace(bare, F.lit(",")))
+    # The reader refuses plans that touch nothing but the irregular line, so a
+    # count needs a first column as well.
+    read = F.length(F.coalesce(quoted(columns[0]), F.lit(""))) >= 0
+    good = df.where(line.isNull() | (read & (commas < len(columns))))
     return good.select(
         *[
-            F.when(~quoted(c).isin(na_values), quoted(c)).alias(c) if c in fields else quoted(c)
+            F.when(~quoted(c).isin(na_values), quoted(c)).alias(c) if c in columns else quoted(c)
             for c in df.columns
-            if c != _OVERFLOW
+            if c != _IRREGULAR
         ]
     )
 
@@ -71,7 +75,7 @@ def read_listings(
     raw = spark.read.schema(_listing_schema(columns)).options(**_csv_options(multi_line)).csv(paths)
     if ordinal:
         raw = raw.select("*", *_position())
-    return _drop_long_lines(raw, na_values)
+    return _drop_long_lines(raw, columns, na_values)
 
 
 def _position() -> list[Column]:

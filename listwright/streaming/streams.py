@@ -41,7 +41,7 @@ def listing_stream(
         .option("maxFilesPerTrigger", str(files_per_batch))
         .csv(folder)
     )
-    return _drop_long_lines(raw, na_values)
+    return _drop_long_lines(raw, columns, na_values)
 
 
 def progress_log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
