@@ -64,13 +64,9 @@ def classify_social(links: Column, strict_host: bool = False) -> Column:
     tagged = F.transform(
         links, lambda u: F.struct(social_class(u, strict_host).alias("network"), u.alias("link"))
     )
-    return F.struct(
-        *[
-            distinct_values(
-                F.transform(
-                    F.filter(tagged, lambda t, n=network: t["network"] == n), lambda t: t["link"]
-                )
-            ).alias(network)
-            for network in SOCIAL_NETWORKS
-        ]
-    )
+
+    def links_of(network: str) -> Column:
+        matching = F.filter(tagged, lambda t: t["network"] == network)
+        return distinct_values(F.transform(matching, lambda t: t["link"])).alias(network)
+
+    return F.struct(*[links_of(n) for n in SOCIAL_NETWORKS])

@@ -41,9 +41,11 @@ def _text_columns(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
 
 
-def mask_table(df: DataFrame, legacy_names: bool = False, legacy_email: bool = False) -> DataFrame:
-    """Mask every contact column; the first role that fits decides."""
-    text = _text_columns(df)
+def mask_table(
+    df: DataFrame, legacy_names: bool = False, legacy_email: bool = False, keep: list[str] = ()
+) -> DataFrame:
+    """Mask every contact column but those in ``keep``; the first role that fits decides."""
+    text = _text_columns(df) - set(keep)
     masks = {
         "email": lambda c: mask_email(c, legacy_email),
         "address": mask_vowels,
@@ -61,13 +63,16 @@ def mask_table(df: DataFrame, legacy_names: bool = False, legacy_email: bool = F
     return df.select(*[masked(c) for c in df.columns])
 
 
-def mask_sweep(df: DataFrame, legacy_names: bool = False, legacy_email: bool = False) -> DataFrame:
+def mask_sweep(
+    df: DataFrame, legacy_names: bool = False, legacy_email: bool = False, keep: list[str] = ()
+) -> DataFrame:
     """Mask contact columns where the cell looks the part, then sweep all other text.
 
     The sweep masks what looks like an address or a phone number in any column
-    that is not of that kind, whatever its name.
+    that is not of that kind, whatever its name. ``keep`` names columns such as
+    row keys that stay as they are.
     """
-    text = _text_columns(df)
+    text = _text_columns(df) - set(keep)
     first_address = next((c for c in df.columns if c.lower() == "address"), None)
 
     def by_role(name: str) -> Column:
@@ -103,7 +108,7 @@ def mask_sweep(df: DataFrame, legacy_names: bool = False, legacy_email: bool = F
     return df.select(*[by_role(c) for c in df.columns]).select(*[swept(c) for c in df.columns])
 
 
-def mask_report(report: dict[str, DataFrame], **options: bool) -> dict[str, DataFrame]:
+def mask_report(report: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
     """Mask the data sheet, pass the others on. Without a data sheet nothing comes out."""
     if DATA_SHEET not in report:
         raise ValueError(f"report has no sheet '{DATA_SHEET}'")

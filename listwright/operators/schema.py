@@ -80,14 +80,14 @@ def clean_frame(
     return df, {"dropped": dropped, "renamed": renamed, "reordered": reordered}
 
 
-def sample_head(df: DataFrame, order: list[Column], rows: int = SAMPLE_ROWS) -> DataFrame:
+def sample_head(df: DataFrame, order: list[str], rows: int = SAMPLE_ROWS) -> DataFrame:
     """First rows in source order."""
     return df.orderBy(*order).limit(rows)
 
 
 def preview(
     df: DataFrame,
-    order: list[Column],
+    order: list[str],
     columns: list[str] | None = None,
     null_text: str = "nan",
     rows: int = PREVIEW_ROWS,

@@ -92,7 +92,7 @@ def extract_job(
 
 
 def exclusion_job(
-    report: Report, tokens: Iterable[str] | DataFrame, ordinal: list[str], row_key: str | None = None
+    report: Report, tokens: Iterable[str] | DataFrame, row_key: str | None = None
 ) -> Report:
     """Drop unwanted addresses; the statistics are computed anew, other sheets kept.
 
@@ -125,7 +125,7 @@ def report_views(report: Report, ordinal: list[str], sectors: int = 20) -> Repor
     return views
 
 
-def mask_job(report: Report, **options: bool) -> Report:
+def mask_job(report: Report, **options) -> Report:
     return mask_report(report, **options)
 
 
@@ -151,9 +151,9 @@ def full_flow(
 
     sheets = _store(extract_job(listings, pages, row_key, domains, **columns), f"{out}/extracted")
     extracted = read_report(spark, f"{out}/extracted", sheets)
-    sheets = _store(exclusion_job(extracted, tokens, [row_key]), f"{out}/excluded")
+    sheets = _store(exclusion_job(extracted, tokens), f"{out}/excluded")
     excluded = read_report(spark, f"{out}/excluded", sheets)
-    sheets = _store(mask_job(excluded), f"{out}/demo")
+    sheets = _store(mask_job(excluded, keep=[row_key, "source_file"]), f"{out}/demo")
     return read_report(spark, f"{out}/demo", sheets)
 
 
@@ -166,14 +166,6 @@ def auto_flow(data: DataFrame, tokens: Iterable[str], source: str = "source_file
     """Exclude and mask every file of a folder at once; statistics come per file."""
     excluded = exclude_emails(data, tokens).select(*data.columns)
     return {
-        DATA_SHEET: mask_sweep_keeping(excluded, [source], **options),
+        DATA_SHEET: mask_sweep(excluded, keep=[source], **options),
         STATS_SHEET: contact_stats_by(excluded, source),
     }
-
-
-def mask_sweep_keeping(df: DataFrame, keep: list[str], **options: bool) -> DataFrame:
-    """Mask a table but for columns that only identify the row's origin."""
-    held = df.select(*[F.struct(c).alias(c) if c in keep else F.col(c) for c in df.columns])
-    return mask_sweep(held, **options).select(
-        *[F.col(c)[c].alias(c) if c in keep else F.col(c) for c in df.columns]
-    )

@@ -22,9 +22,9 @@ _IRREGULAR = "_irregular"
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def _csv_options(multi_line: bool) -> dict[str, str]:
+def _csv_options(multi_line: bool, header: bool = True) -> dict[str, str]:
     return {
-        "header": "true",
+        "header": str(header).lower(),
         "encoding": "UTF-8",
         "mode": "PERMISSIVE",
         "quote": '"',
@@ -66,13 +66,20 @@ def read_listings(
     na_values: list[str] = NA_VALUES,
     multi_line: bool = False,
     ordinal: bool = False,
+    header: bool = True,
 ) -> DataFrame:
     """CSV files that share the header ``columns``, every field as text.
 
     Lines with too many fields are skipped, short lines are filled with NULL.
     ``ordinal`` adds ``source_file`` and a sortable position within it.
     """
-    raw = spark.read.schema(_listing_schema(columns)).options(**_csv_options(multi_line)).csv(paths)
+    raw = (
+        spark.read.schema(_listing_schema(columns))
+        .options(**_csv_options(multi_line, header))
+        # Folder names stay part of the file name; they are no columns.
+        .option("recursiveFileLookup", "true")
+        .csv(paths)
+    )
     if ordinal:
         raw = raw.select("*", *_position())
     return _drop_long_lines(raw, columns, na_values)

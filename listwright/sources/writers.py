@@ -19,7 +19,10 @@ def write_listings(df: DataFrame, path: str, mode: str = "error", by: str | None
     """
     if by:
         df = df.hint("rebalance", by)
-    writer = df.write.mode(mode).option("header", "true").option("escape", '"').option("emptyValue", "")
+    writer = df.write.mode(mode).options(
+        header="true", escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false",
+    )
     (writer.partitionBy(by) if by else writer).csv(path)
 
 
@@ -87,9 +90,15 @@ def output_name(path: str, suffix: str = "_demo", formats: tuple[str, ...] = (".
     return path if stem.endswith(suffix) else stem + suffix + extension
 
 
+def text_lines(df: DataFrame, text: str) -> DataFrame:
+    """One row per line of a text column, numbered from 0."""
+    rest = [c for c in df.columns if c != text]
+    return df.select(*rest, F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line"))
+
+
 def notice_table(spark: SparkSession, text: str) -> DataFrame:
-    """One row per line of a notice."""
-    return spark.range(1).select(F.posexplode(F.split(F.lit(text), "\n")).alias("line_no", "line"))
+    """The lines of a notice as a sheet."""
+    return text_lines(spark.range(1).select(F.lit(text).alias("text")), "text")
 
 
 def append_progress(
