@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from listwright.config import SOCIAL_NETWORKS, SOCIAL_URL_LIMIT
-from listwright.functions.text import distinct_values, url_host
+from listwright.functions.text import distinct_values, let, url_host
 
 # Per network the hosts, the words that rule a link out and the
 # paths of which one is needed. The first network that fits takes the link.
@@ -65,8 +65,11 @@ def classify_social(links: Column, strict_host: bool = False) -> Column:
         links, lambda u: F.struct(social_class(u, strict_host).alias("network"), u.alias("link"))
     )
 
-    def links_of(network: str) -> Column:
-        matching = F.filter(tagged, lambda t: t["network"] == network)
-        return distinct_values(F.transform(matching, lambda t: t["link"])).alias(network)
+    def per_network(pairs: Column) -> Column:
+        def links_of(network: str) -> Column:
+            matching = F.filter(pairs, lambda t: t["network"] == network)
+            return distinct_values(F.transform(matching, lambda t: t["link"])).alias(network)
 
-    return F.struct(*[links_of(n) for n in SOCIAL_NETWORKS])
+        return F.struct(*[links_of(n) for n in SOCIAL_NETWORKS])
+
+    return let(F.filter(tagged, lambda t: t["network"].isNotNull()), per_network)

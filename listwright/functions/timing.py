@@ -30,11 +30,10 @@ def one_decimal(value: Column) -> Column:
 
 
 def format_duration(seconds: Column) -> Column:
-    return (
-        F.when(seconds < 60, F.concat(one_decimal(seconds), F.lit("s")))
-        .when(seconds < 3600, F.concat(one_decimal(seconds / 60), F.lit("m")))
-        .otherwise(F.concat(one_decimal(seconds / 3600), F.lit("h")))
-    )
+    def by_size(second: object, minute: object, hour: object) -> Column:
+        return F.when(seconds < 60, second).when(seconds < 3600, minute).otherwise(hour)
+
+    return F.concat(one_decimal(seconds / by_size(1.0, 60.0, 3600.0)), by_size("s", "m", "h"))
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -34,14 +34,14 @@ def exclude_emails(
 ) -> DataFrame:
     """Replace the cell by its remaining addresses and note how many there were."""
     tokens = list(tokens)
-    given = split_emails(F.col(email))
-    kept = F.filter(given, lambda e: ~is_excluded(e, tokens, whole_word))
+    kept = F.filter("_given", lambda e: ~is_excluded(e, tokens, whole_word))
     return (
-        df.withColumn("_kept", kept)
-        .withColumn("given_count", F.size(given))
+        df.withColumn("_given", split_emails(F.col(email)))
+        .withColumn("_kept", kept)
+        .withColumn("given_count", F.size("_given"))
         .withColumn("kept_count", F.size("_kept"))
         .withColumn(email, rejoin_emails(F.col("_kept")))
-        .drop("_kept")
+        .drop("_given", "_kept")
     )
 
 
