@@ -9,7 +9,6 @@ from listwright.config import CONTACT_COLUMNS, SOCIAL_NETWORKS
 from listwright.functions.social import classify_social, may_hold_social
 from listwright.functions.text import (
     blank_to_null,
-    distinct_values,
     extract_emails,
     extract_links,
     is_filled,
@@ -54,17 +53,22 @@ def extract_contacts(
 
 
 def verified_contacts(contacts: DataFrame, domains: DataFrame, mode: str = "advanced") -> DataFrame:
-    """Keep only addresses whose status is valid, in one list per website."""
-    addresses = contacts.select("website", F.explode("email").alias("email"))
-    checked = verify_emails(addresses.distinct(), domains, mode, spread=["website", "email"])
-    # Distinct per page; a page bounds the list.
-    valid = (
-        checked.where(F.col("status") == "valid")
-        .groupBy("website")
-        .agg(distinct_values(F.collect_list("email")).alias("email"))
+    """Keep only addresses whose status is valid, in one list per website.
+
+    ``contacts`` is read twice, so it should be a stored table when the
+    extraction stands behind it.
+    """
+    others = [c for c in contacts.columns if c not in ("website", "email")]
+    addresses = contacts.select("website", *others, F.explode_outer("email").alias("email"))
+    checked = verify_emails(addresses, domains, mode, spread=["website", "email"])
+    # A group is one page, so its list is no longer than the page's own.
+    valid = F.collect_set(F.when(F.col("status") == "valid", F.col("email")))
+    return (
+        checked.groupBy("website")
+        .agg(F.first(F.struct(*others)).alias("_others"), F.array_sort(valid).alias("email"))
+        .select("website", "email", *[F.col("_others")[c].alias(c) for c in others])
+        .select(*contacts.columns)
     )
-    rest = contacts.drop("email")
-    return rest.join(valid, "website", "left").select(*contacts.columns)
 
 
 def contact_cells(contacts: DataFrame) -> DataFrame:

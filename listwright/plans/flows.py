@@ -20,7 +20,7 @@ from listwright.operators.contacts import attach_contacts, extract_contacts, has
 from listwright.operators.dedupe import keep_first, latest_per_key
 from listwright.operators.exclusion import exclude_emails, exclude_emails_by_table
 from listwright.operators.masking import mask_report, mask_sweep
-from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns, preview
+from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns
 from listwright.operators.stats import (
     contact_stats,
     contact_stats_by,
@@ -30,6 +30,7 @@ from listwright.operators.stats import (
     stats_long,
     top_sectors,
 )
+from listwright.session import materialize
 from listwright.sources.readers import read_listing_folder
 from listwright.sources.writers import copy_other_sheets, notice_table, read_report, write_report
 
@@ -55,7 +56,7 @@ def clean_job(
     return clean_listings(read_listing_folder(spark, folder, na_values, skip=skip), **columns)
 
 
-def extract_job(
+def extract_data(
     listings: DataFrame,
     pages: DataFrame,
     row_key: str,
@@ -63,11 +64,11 @@ def extract_job(
     mode: str = "advanced",
     attempts: DataFrame | None = None,
     page_order: Column | None = None,
-    notice: str | None = None,
     **columns,
-) -> Report:
-    """Listings with the contacts of their pages, as a report.
+) -> DataFrame:
+    """Listings with the contacts of their pages.
 
+    The texts are scanned once: what was found is stored before it is joined.
     With ``attempts`` only rows without a success are worked on. With
     ``domains`` only addresses that pass verification are kept. ``page_order``
     chooses among several fetches of one URL; without it URLs must be unique.
@@ -75,39 +76,50 @@ def extract_job(
     if attempts is not None:
         listings = pending_rows(listings, attempts)
     if page_order is not None:
-        pages = pages.withColumn("_order", page_order)
-        contacts = extract_contacts(pages, carry=["_order"])
+        contacts = extract_contacts(pages.withColumn("_order", page_order), carry=["_order"])
         contacts = latest_per_key(contacts, ["website"], F.col("_order")).drop("_order")
     else:
         contacts = extract_contacts(pages)
+    contacts = materialize(contacts, "contacts")
     if domains is not None:
         contacts = verified_contacts(contacts, domains, mode)
-    data, _ = clean_frame(attach_contacts(listings, contacts, row_key), **columns)
+    return clean_frame(attach_contacts(listings, contacts, row_key), **columns)[0]
+
+
+def extraction_report(data: DataFrame, notice: str | None = None) -> Report:
     report = {DATA_SHEET: data, STATS_SHEET: extraction_stats(data)}
     if "main_category" in data.columns:
         report[SECTORS_SHEET] = sector_counts(data)
     if notice:
-        report[NOTICE_SHEET] = notice_table(listings.sparkSession, notice)
+        report[NOTICE_SHEET] = notice_table(data.sparkSession, notice)
     return report
 
 
-def exclusion_job(
-    report: Report, tokens: Iterable[str] | DataFrame, row_key: str | None = None
+def extract_job(
+    listings: DataFrame, pages: DataFrame, row_key: str, notice: str | None = None, **options
 ) -> Report:
-    """Drop unwanted addresses; the statistics are computed anew, other sheets kept.
+    """Extraction as a report; see :func:`extract_data` for the options."""
+    return extraction_report(extract_data(listings, pages, row_key, **options), notice)
 
-    ``tokens`` is a list of words, or a table of them together with ``row_key``.
-    """
-    if DATA_SHEET not in report:
-        raise ValueError(f"report has no sheet '{DATA_SHEET}'")
-    data = report[DATA_SHEET]
+
+def exclude_data(data: DataFrame, tokens: Iterable[str] | DataFrame, row_key: str | None = None) -> DataFrame:
+    """Data without unwanted addresses; a table of words needs a ``row_key``."""
     if isinstance(tokens, DataFrame):
         excluded = exclude_emails_by_table(data, tokens, row_key)
     else:
         excluded = exclude_emails(data, tokens)
-    result = {DATA_SHEET: excluded.select(*data.columns)}
-    result[STATS_SHEET] = contact_stats(result[DATA_SHEET])
-    return copy_other_sheets(result, report)
+    return excluded.select(*data.columns)
+
+
+def exclusion_report(data: DataFrame, original: Report) -> Report:
+    """New data and statistics, the other sheets as they were."""
+    return copy_other_sheets({DATA_SHEET: data, STATS_SHEET: contact_stats(data)}, original)
+
+
+def exclusion_job(report: Report, tokens: Iterable[str] | DataFrame, row_key: str | None = None) -> Report:
+    if DATA_SHEET not in report:
+        raise ValueError(f"report has no sheet '{DATA_SHEET}'")
+    return exclusion_report(exclude_data(report[DATA_SHEET], tokens, row_key), report)
 
 
 def report_views(report: Report, ordinal: list[str], sectors: int = 20) -> Report:
@@ -146,20 +158,27 @@ def full_flow(
     row_key = "listing_id"
     cleaned = clean_job(spark, folder, **columns)
     identity = F.sha2(F.concat_ws("\n", "source_file", "website"), 256)
-    cleaned.withColumn(row_key, identity).write.parquet(f"{out}/clean")
-    listings = spark.read.parquet(f"{out}/clean")
+    listings = _stored(cleaned.withColumn(row_key, identity), f"{out}/clean")
+
+    data = _stored(extract_data(listings, pages, row_key, domains, **columns), f"{out}/extracted/{DATA_SHEET}")
+    extracted = _with_sheets(extraction_report(data), f"{out}/extracted")
+    data = _stored(exclude_data(data, tokens), f"{out}/excluded/{DATA_SHEET}")
+    excluded = _with_sheets(exclusion_report(data, extracted), f"{out}/excluded")
+    demo = mask_job(excluded, keep=[row_key, "source_file"])
+    _stored(demo[DATA_SHEET], f"{out}/demo/{DATA_SHEET}")
+    return _with_sheets(demo, f"{out}/demo")
+
 
-    sheets = _store(extract_job(listings, pages, row_key, domains, **columns), f"{out}/extracted")
-    extracted = read_report(spark, f"{out}/extracted", sheets)
-    sheets = _store(exclusion_job(extracted, tokens), f"{out}/excluded")
-    excluded = read_report(spark, f"{out}/excluded", sheets)
-    sheets = _store(mask_job(excluded, keep=[row_key, "source_file"]), f"{out}/demo")
-    return read_report(spark, f"{out}/demo", sheets)
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def _store(report: Report, path: str) -> list[str]:
-    write_report(report, path)
-    return list(report)
+def _with_sheets(report: Report, path: str) -> Report:
+    """Write the sheets that are computed from stored data; the report as it lies there."""
+    write_report({name: sheet for name, sheet in report.items() if name != DATA_SHEET}, path)
+    first = next(iter(report.values()))
+    return read_report(first.sparkSession, path, list(report))
 
 
 def auto_flow(data: DataFrame, tokens: Iterable[str], source: str = "source_file", **options: bool) -> Report:

@@ -289,7 +289,7 @@ extracted AS (SELECT s.row_id, s.name, s.main_category, s.phone, s.website, c.em
 
 
 def extracted(t: Tables) -> dict[str, DataFrame]:
-    return flows.extract_job(t.view("sites"), t.view("linked_pages"), "row_id", t.view("domains"))
+    return flows.extract_job(t.view("sites"), t.view("linked_pages"), "row_id", domains=t.view("domains"))
 
 
 @query(f"WITH {EXTRACTED} SELECT * FROM extracted", "sites linked_pages domains")
