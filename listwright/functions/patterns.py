@@ -68,8 +68,11 @@ def glob_regex(pattern: str) -> str:
         elif char == "?":
             parts.append("[^/]")
         elif close > 0:
-            body = pattern[i + 1:close].replace("\\", "\\\\")
-            parts.append("[" + ("^" + body[1:] if body.startswith("!") else body) + "]")
+            body = pattern[i + 1:close]
+            negated = body.startswith("!")
+            # Brackets and '&&' have a meaning of their own in Java classes.
+            members = re.sub(r"([^\w-])", r"\\\1", body[negated:])
+            parts.append("[" + "^" * negated + members + "]")
             i = close
         else:
             parts.append(re.escape(char))

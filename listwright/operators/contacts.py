@@ -93,8 +93,11 @@ def attach_contacts(listings: DataFrame, contacts: DataFrame, row_key: str) -> D
     very many listings is spread over several tasks.
     """
     cells = contact_cells(contacts)
-    found = cells.where(F.coalesce(*[F.col(c) for c in CONTACT_COLUMNS]).isNotNull())
-    found = found.withColumnRenamed("website", "_site")
+    # Written as a filter, this test would be moved below the extraction and
+    # scan every text a second time.
+    any_found = F.coalesce(*[F.col(c) for c in CONTACT_COLUMNS]).isNotNull()
+    row = F.struct(F.col("website").alias("_site"), *CONTACT_COLUMNS)
+    found = cells.select(F.inline(F.array_compact(F.array(F.when(any_found, row)))))
     base = listings.drop(*CONTACT_COLUMNS).withColumn(
         "_site", F.when(is_http_url(F.col("website")), strip(F.col("website")))
     )
