@@ -50,10 +50,13 @@ def trie_regex(tokens: Iterable[str]) -> str | None:
 
 
 def _emit(node: dict) -> str:
-    branches = []
-    for char, child in node.items():
-        branches.append(re.escape(char) + (_emit(child) if child else ""))
-    return branches[0] if len(branches) == 1 else "(?:" + "|".join(branches) + ")"
+    text = []
+    while len(node) == 1:
+        ((char, node),) = node.items()
+        text.append(re.escape(char))
+    if node:
+        text.append("(?:" + "|".join(re.escape(char) + _emit(child) for char, child in node.items()) + ")")
+    return "".join(text)
 
 
 def glob_regex(pattern: str) -> str:

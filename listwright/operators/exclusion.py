@@ -14,9 +14,8 @@ from listwright.operators.skew import skew_join
 # Up to here the words travel as one pattern inside the plan; larger word tables
 # are joined. It also bounds what the driver ever collects.
 MAX_PATTERN_TOKENS = 10_000
-# Longest address the mail standards allow; longer words cannot occur in one.
-MAX_ADDRESS_CHARS = 320
-TOKEN_SPLITS = 16
+# Copies of a word table over which a common substring is spread.
+TOKEN_SPLITS = 64
 
 
 def is_excluded(email: Column, tokens: Iterable[str], whole_word: bool = False) -> Column:
@@ -81,11 +80,8 @@ def addresses_with_token(addresses: DataFrame, column: str, tokens: DataFrame) -
     tokens. A substring meets at most one token, so no candidate pairs arise.
     Common substrings are spread over ``TOKEN_SPLITS`` copies of the tokens.
     """
-    words = (
-        tokens.select(F.col("token").alias("_part"))
-        .where(F.length("token").between(1, MAX_ADDRESS_CHARS))
-        .distinct()
-    )
+    words = tokens.select(F.col("token").alias("_part")).where(F.length("token") > 0).distinct()
+    # As many numbers as there are different word lengths.
     lengths = [r[0] for r in words.select(F.length("_part")).distinct().collect()]
     low = F.lower(F.col(column))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A third of the rows on one key is then spread over this many tasks.
-SPLITS = 64
+# Tasks over which the rows of one hot key are spread. Only hot keys are copied
+# on the other side, at most TOP_KEYS * SPLITS rows.
+SPLITS = 1024
 # At most this many keys are treated as hot. The next key in the ranking holds at
 # most one in TOP_KEYS of the rows, which a plain hash partition carries; so
 # the broadcast list is bounded whatever the size of the data.

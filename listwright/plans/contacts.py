@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.functions import masks, text
-from listwright.functions.verification import email_format_valid
+from listwright.functions import masks, text, verification
 from listwright.operators import contacts as contact_ops
 from listwright.operators import dedupe, exclusion, masking, schema, stats
 from listwright.operators.verify import verify_emails
@@ -441,11 +440,11 @@ def email_domain(t: Tables) -> DataFrame:
  regexp_matches(name, '^[^@]+@[^@]+\.[^@]+') AS name_ok FROM contacts""",
     "contacts",
 )
-def email_format(t: Tables) -> DataFrame:
+def email_format_valid(t: Tables) -> DataFrame:
     return t.contacts.select(
         "row_id",
-        email_format_valid(F.col("email")).alias("email_ok"),
-        email_format_valid(F.col("name")).alias("name_ok"),
+        verification.email_format_valid(F.col("email")).alias("email_ok"),
+        verification.email_format_valid(F.col("name")).alias("name_ok"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.config import (
+    CONTACT_COLUMNS,
     DATA_SHEET,
     NA_VALUES,
     NOTICE_SHEET,
@@ -71,15 +72,15 @@ def extract_data(
     The texts are scanned once: what was found is stored before it is joined.
     With ``attempts`` only rows without a success are worked on. With
     ``domains`` only addresses that pass verification are kept. ``page_order``
-    chooses among several fetches of one URL; without it URLs must be unique.
+    chooses the last among several fetches of one URL.
     """
     if attempts is not None:
         listings = pending_rows(listings, attempts)
-    if page_order is not None:
-        contacts = extract_contacts(pages.withColumn("_order", page_order), carry=["_order"])
-        contacts = latest_per_key(contacts, ["website"], F.col("_order")).drop("_order")
-    else:
-        contacts = extract_contacts(pages)
+    order = F.lit(0) if page_order is None else page_order
+    contacts = extract_contacts(pages.withColumn("_order", order), carry=["_order"])
+    # One fetch per URL counts; equal ones are told apart by what was found.
+    latest = F.struct("_order", *CONTACT_COLUMNS)
+    contacts = latest_per_key(contacts, ["website"], latest).drop("_order")
     contacts = materialize(contacts, "contacts")
     if domains is not None:
         contacts = verified_contacts(contacts, domains, mode)

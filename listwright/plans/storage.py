@@ -43,7 +43,7 @@ def read_listings(t: Tables) -> DataFrame:
              WHEN 1 THEN c_name
              ELSE concat('"', c_name, '",', c_mktsegment, ',', if(c_custkey % 7 = 0, 'N/A', string(c_custkey))) END AS line"""
     ).write.option("compression", "none").text(folder)
-    return readers.read_listings(t.spark, folder, ["name", "segment", "code"], header=False)
+    return readers.read_listings(t.spark, folder, ["name", "segment", "code"], header=False, glob="*.txt")
 
 
 def raw_folder(t: Tables) -> str:

@@ -67,6 +67,7 @@ def read_listings(
     multi_line: bool = False,
     ordinal: bool = False,
     header: bool = True,
+    glob: str = CSV_GLOB,
 ) -> DataFrame:
     """CSV files that share the header ``columns``, every field as text.
 
@@ -76,6 +77,7 @@ def read_listings(
     raw = (
         spark.read.schema(_listing_schema(columns))
         .options(**_csv_options(multi_line, header))
+        .option("pathGlobFilter", glob)
         # Folder names stay part of the file name; they are no columns.
         .option("recursiveFileLookup", "true")
         .csv(paths)
@@ -149,24 +151,27 @@ def read_listing_folder(
 ) -> DataFrame:
     """All CSV files of a folder with canonical columns, ``source_file`` and ``ordinal``.
 
-    Files may have different headers: those that share one are read together.
-    Headers and file names are the only things that reach the driver. ``skip``
+    Files that share a header are read together. Only the different headers
+    reach the driver, and the file names where there is more than one. ``skip``
     names files that were processed before.
     """
     inventory = file_inventory(spark, folder, glob=CSV_GLOB).where(F.col("length") > 0)
+    heads = file_headers(spark, inventory)
     if skip:
-        inventory = inventory.where(~F.col("path").isin(skip))
-    by_header: dict[str, list[str]] = {}
-    for row in file_headers(spark, inventory).collect():
-        by_header.setdefault(row["header"], []).append(row["path"])
+        heads = heads.where(~F.col("path").isin(skip))
+    if skip or heads.select("header").distinct().limit(2).count() > 1:
+        by_header: dict[str, list[str]] = {}
+        for row in heads.collect():
+            by_header.setdefault(row["header"], []).append(row["path"])
+    else:
+        by_header = {row["header"]: [folder] for row in heads.select("header").limit(1).collect()}
     batches = []
     for header, paths in sorted(by_header.items()):
         raw_names = next(csv.reader([header]), [])
         names = [f"_h{i}" for i in range(len(raw_names))]
         batch = read_listings(spark, sorted(paths), names, na_values, multi_line, ordinal=True)
         fields = normalize_headers(batch.select(*names).toDF(*raw_names))
-        renamed = batch.toDF(*fields.columns, "source_file", "ordinal")
-        batches.append(canonicalize_columns(renamed))
+        batches.append(canonicalize_columns(batch.toDF(*fields.columns, "source_file", "ordinal")))
     if not batches:
         return spark.createDataFrame([], "website string, source_file string, ordinal struct<block:bigint,line:bigint>")
     merged = batches[0]
