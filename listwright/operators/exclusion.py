@@ -15,7 +15,7 @@ from listwright.operators.skew import skew_join
 # are joined. It also bounds what the driver ever collects.
 MAX_PATTERN_TOKENS = 10_000
 # Copies of a word table over which a common substring is spread.
-TOKEN_SPLITS = 64
+TOKEN_SPLITS = 16
 
 
 def is_excluded(email: Column, tokens: Iterable[str], whole_word: bool = False) -> Column:
@@ -83,21 +83,18 @@ def addresses_with_token(addresses: DataFrame, column: str, tokens: DataFrame) -
     words = tokens.select(F.col("token").alias("_part")).where(F.length("token") > 0).distinct()
     # As many numbers as there are different word lengths.
     lengths = [r[0] for r in words.select(F.length("_part")).distinct().collect()]
-    low = F.lower(F.col(column))
-
-    def parts(n: Column) -> Column:
-        return F.when(
-            F.length(low) >= n,
-            F.transform(
-                F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substr(low, i, n)
-            ),
-        ).otherwise(F.array().cast("array<string>"))
-
     wanted = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    pieces = addresses.select(
-        column,
-        F.explode(F.array_distinct(F.flatten(F.transform(wanted, parts)))).alias("_part"),
-        F.pmod(F.xxhash64(column), F.lit(TOKEN_SPLITS)).cast("int").alias("_salt"),
+    pieces = (
+        addresses.select(
+            column,
+            F.lower(column).alias("_low"),
+            F.pmod(F.xxhash64(column), F.lit(TOKEN_SPLITS)).cast("int").alias("_salt"),
+            F.explode(wanted).alias("_length"),
+        )
+        .withColumn("_last", F.length("_low") - F.col("_length") + 1)
+        .where("_last > 0")
+        .select(column, "_low", "_salt", "_length", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("_start"))
+        .select(column, "_salt", F.substr("_low", F.col("_start"), F.col("_length")).alias("_part"))
     )
     copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1))))
     return pieces.join(copies, ["_part", "_salt"], "left_semi").select(column).distinct()

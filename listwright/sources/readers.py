@@ -159,12 +159,13 @@ def read_listing_folder(
     heads = file_headers(spark, inventory)
     if skip:
         heads = heads.where(~F.col("path").isin(skip))
-    if skip or heads.select("header").distinct().limit(2).count() > 1:
-        by_header: dict[str, list[str]] = {}
+    found = [] if skip else heads.select("header").distinct().limit(2).collect()
+    by_header: dict[str, list[str]] = {}
+    if len(found) == 1:
+        by_header[found[0]["header"]] = [folder]
+    else:
         for row in heads.collect():
             by_header.setdefault(row["header"], []).append(row["path"])
-    else:
-        by_header = {row["header"]: [folder] for row in heads.select("header").limit(1).collect()}
     batches = []
     for header, paths in sorted(by_header.items()):
         raw_names = next(csv.reader([header]), [])
