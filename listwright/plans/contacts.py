@@ -12,6 +12,7 @@ from listwright.operators.verify import verify_emails
 from listwright.plans import sqltext as q
 from listwright.plans.fixtures import Tables
 from listwright.plans.registry import query
+from listwright.sources.readers import config_lines, parse_rename_map
 
 ROW = ["row_id"]
 SPLIT = q.split_emails("email")
@@ -21,7 +22,7 @@ def excluded(t: Tables) -> DataFrame:
     return exclusion.exclude_emails(t.contacts, q.TOKENS)
 
 
-@query(f"SELECT row_id, len({SPLIT}) AS n, array_to_string({SPLIT}, '|') AS emails FROM contacts", "contacts")
+@query(f"SELECT row_id, CAST(len({SPLIT}) AS INTEGER) AS n, array_to_string({SPLIT}, '|') AS emails FROM contacts", "contacts")
 def split_emails(t: Tables) -> DataFrame:
     emails = text.split_emails(F.col("email"))
     return t.contacts.select("row_id", F.size(emails).alias("n"), F.array_join(emails, "|").alias("emails"))
@@ -60,7 +61,7 @@ def exclude_emails(t: Tables) -> DataFrame:
     f"""WITH addresses AS (SELECT row_id, unnest({SPLIT}) AS address, generate_subscripts({SPLIT}, 1) AS pos FROM contacts),
 kept AS (SELECT row_id, list(address ORDER BY pos) AS kept FROM addresses
  WHERE NOT EXISTS (SELECT 1 FROM word_table WHERE contains(lower(address), token)) GROUP BY row_id)
-SELECT c.row_id, array_to_string(kept, ', ') AS email, len({q.split_emails('c.email')}) AS given_count, coalesce(len(kept), 0) AS kept_count
+SELECT c.row_id, array_to_string(kept, ', ') AS email, CAST(len({q.split_emails('c.email')}) AS INTEGER) AS given_count, CAST(coalesce(len(kept), 0) AS INTEGER) AS kept_count
 FROM contacts c LEFT JOIN kept k ON c.row_id = k.row_id""",
     "contacts word_table",
 )
@@ -317,6 +318,20 @@ def clean_frame(t: Tables) -> DataFrame:
     return schema.clean_frame(_canonical(t))[0]
 
 
+@query(
+    """SELECT row_id, main_category AS sector, name AS company, website AS site FROM contacts""",
+    "contacts",
+)
+def configured_columns(t: Tables) -> DataFrame:
+    """Cleaning with lists as they stand in configuration files."""
+    return schema.clean_frame(
+        t.contacts.select("name", "main_category", "website", "email", "row_id"),
+        drop=config_lines("email\n\n phone \n"),
+        rename=parse_rename_map("name:company\nno pair\nmain_category : sector\nwebsite:site\n"),
+        order=config_lines("row_id\nsector\n"),
+    )[0]
+
+
 @query("SELECT country AS sector, count(*) AS number_of_companies FROM contacts GROUP BY 1", "contacts")
 def pick_sector_columns(t: Tables) -> DataFrame:
     counts = t.contacts.groupBy(F.col("country").alias("Main Sector")).agg(

@@ -34,7 +34,7 @@ SELECT 'shop' || CAST(c_custkey AS STRING) || '.net' AS domain, c_custkey % 3 <>
 UNION ALL SELECT 'mail.net', TRUE, TRUE""",
     "word_table": """
 SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '@shop' || CAST(c_custkey AS STRING) || '.' ELSE 'ana.' || CAST(c_custkey AS STRING) END AS token
-FROM {customer} WHERE c_custkey % 5 <> 0""",
+FROM {customer}""",
     "attempts": """
 SELECT CASE WHEN event_id % 2 = 0 THEN 'jobA' ELSE 'jobB' END AS job_name,
  CAST(floor(event_id / 6.0) AS BIGINT) AS row_id, event_id AS seq, ts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from listwright.operators.attempts import pending_rows
 from listwright.operators.contacts import attach_contacts, extract_contacts, has_website, verified_contacts
 from listwright.operators.dedupe import keep_first, latest_per_key
 from listwright.operators.exclusion import exclude_emails, exclude_emails_by_table
-from listwright.operators.masking import mask_report, mask_sweep
+from listwright.operators.masking import mask_report, mask_sweep, mask_table
 from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns
 from listwright.operators.stats import (
     contact_stats,
@@ -32,8 +33,21 @@ from listwright.operators.stats import (
     top_sectors,
 )
 from listwright.session import materialize
-from listwright.sources.readers import read_listing_folder
-from listwright.sources.writers import copy_other_sheets, notice_table, read_report, write_report
+from listwright.sources.readers import (
+    CSV_GLOB,
+    file_headers,
+    file_inventory,
+    read_listing_folder,
+    read_listings,
+)
+from listwright.sources.writers import (
+    copy_other_sheets,
+    notice_table,
+    output_name,
+    read_report,
+    write_listings,
+    write_report,
+)
 
 Report = dict[str, DataFrame]
 
@@ -142,6 +156,23 @@ def mask_job(report: Report, **options) -> Report:
     return mask_report(report, **options)
 
 
+def mask_file(spark: SparkSession, path: str, out: str | None = None, **options) -> str:
+    """Masked copy of a CSV or parquet dataset beside it, under a ``_demo`` name.
+
+    CSV is masked by column, parquet (the data sheet of a report) is swept too.
+    Nothing is written when masking fails.
+    """
+    out = out or output_name(path)
+    if path.lower().endswith(".csv"):
+        inventory = file_inventory(spark, path, glob=CSV_GLOB).where(F.col("length") > 0)
+        header = file_headers(spark, inventory).select("header").first()["header"]
+        rows = read_listings(spark, path, next(csv.reader([header])))
+        write_listings(mask_table(rows, **options), out)
+    else:
+        mask_sweep(spark.read.parquet(path), **options).write.parquet(out)
+    return out
+
+
 def full_flow(
     spark: SparkSession,
     folder: str,

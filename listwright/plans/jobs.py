@@ -53,11 +53,11 @@ def completed_rows(t: Tables) -> DataFrame:
 
 @query(
     """SELECT DISTINCT job_name, row_id, url FROM attempts a
-WHERE EXISTS (SELECT 1 FROM attempts b WHERE b.seq % 3 = 0 AND b.job_name = a.job_name AND b.url = a.url)""",
+WHERE EXISTS (SELECT 1 FROM attempts b WHERE NOT b.success AND b.job_name = a.job_name AND b.url = a.url)""",
     "attempts",
 )
 def processed_rows(t: Tables) -> DataFrame:
-    return attempt_ops.processed_rows(job_rows(t), t.attempts.where("seq % 3 = 0"))
+    return attempt_ops.processed_rows(job_rows(t), t.attempts.where("NOT success"))
 
 
 @query(

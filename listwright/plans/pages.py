@@ -12,6 +12,7 @@ from listwright.operators import dedupe, files
 from listwright.plans import sqltext as q
 from listwright.plans.fixtures import Tables
 from listwright.plans.registry import query
+from listwright.session import materialize
 from listwright.sources import readers, writers
 
 AT = "2024-02-01 00:00:00"
@@ -100,7 +101,7 @@ def extract_contacts(t: Tables) -> DataFrame:
 
 @query(f"WITH {q.VALID_CONTACTS} SELECT website, {CELLS} FROM valid_contacts", "linked_pages domains")
 def verified_contacts(t: Tables) -> DataFrame:
-    contacts = contact_ops.extract_contacts(t.view("linked_pages"))
+    contacts = materialize(contact_ops.extract_contacts(t.view("linked_pages")), "contacts")
     return contact_ops.contact_cells(contact_ops.verified_contacts(contacts, t.view("domains")))
 
 
@@ -265,7 +266,7 @@ def file_inventory(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CAST(unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS BIGINT) AS line_no,
+    """SELECT doc_id, CAST(unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS INTEGER) AS line_no,
  unnest(string_split(text, chr(10))) AS line FROM documents"""
 )
 def notice_table(t: Tables) -> DataFrame:

@@ -57,7 +57,7 @@ def url_host(u: str) -> str:
 
 
 EXCLUDED = f"""excluded AS (
-SELECT * EXCLUDE (email, given, kept), len(given) AS given_count, len(kept) AS kept_count, {join_list('kept')} AS email
+SELECT * EXCLUDE (email, given, kept), CAST(len(given) AS INTEGER) AS given_count, CAST(len(kept) AS INTEGER) AS kept_count, {join_list('kept')} AS email
 FROM (SELECT *, list_filter(given, lambda e: NOT {unwanted('e')}) AS kept
  FROM (SELECT *, {split_emails('email')} AS given FROM contacts)))"""
 

@@ -159,10 +159,10 @@ def write_once(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder)
 
 
-@query("SELECT row_id, country AS source_file FROM contacts WHERE country NOT IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 0)", "contacts")
+@query("SELECT row_id, country AS source_file FROM contacts WHERE country NOT IN (SELECT n_name FROM nation WHERE n_regionkey = 0)", "contacts")
 def unprocessed(t: Tables) -> DataFrame:
     rows = t.contacts.select("row_id", F.col("country").alias("source_file"))
-    done = t.table("nation").where("n_nationkey % 3 = 0").select(F.col("n_name").alias("source_file"))
+    done = t.table("nation").where("n_regionkey = 0").select(F.col("n_name").alias("source_file"))
     return writers.unprocessed(rows, done)
 
 
@@ -316,13 +316,33 @@ def exclusion_job_statistics(t: Tables) -> DataFrame:
     return flows.exclusion_job(contact_report(t), q.TOKENS)["statistics"]
 
 
-@query(
-    f"WITH {contact_queries.SWEPT_SOURCE.replace('{source}', 'contacts')} SELECT {contact_queries.SWEPT_COLUMNS} FROM by_role", "contacts"
-)
+MASKED_STORED = f"WITH {contact_queries.SWEPT_SOURCE.replace('{source}', 'contacts')} SELECT {contact_queries.SWEPT_COLUMNS} FROM by_role"
+
+
+@query(MASKED_STORED, "contacts")
 def mask_job(t: Tables) -> DataFrame:
     return flows.mask_job(contact_report(t))["data"]
 
 
+@query(
+    f"""SELECT name, website, {q.mask_email(BLANK)} AS email, {q.mask_phone('phone')} AS phone, {q.mask_social('facebook')} AS facebook,
+ {q.mask_vowels('address')} AS address FROM contacts""",
+    "contacts",
+)
+def mask_file(t: Tables) -> DataFrame:
+    columns = ["name", "website", "email", "phone", "facebook", "address"]
+    folder = shared_dir(t.spark, "listing") + ".csv"
+    writers.write_listings(t.contacts.select(columns), folder)
+    return readers.read_listings(t.spark, flows.mask_file(t.spark, folder), columns)
+
+
+@query(MASKED_STORED, "contacts")
+def mask_file_report(t: Tables) -> DataFrame:
+    folder = shared_dir(t.spark, "data") + ".parquet"
+    t.contacts.write.parquet(folder)
+    return t.spark.read.parquet(flows.mask_file(t.spark, folder))
+
+
 @query(
     f"""WITH {q.EXCLUDED}, masked AS (SELECT * FROM excluded), {contact_queries.SWEPT_SOURCE.replace('{source}', 'masked')}
 SELECT {contact_queries.SWEPT_COLUMNS.replace(contact_queries.swept('country') + ' AS country', 'country')} FROM by_role""",

@@ -117,6 +117,13 @@ def file_inventory(
     return files.select(*columns)
 
 
+def _arrow_uri(path: str) -> str:
+    """A path as Spark lists it, in the spelling Arrow file systems take."""
+    scheme, rest = path.split(":", 1)
+    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
+    return f"{scheme}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
     """First line of every file of an inventory, read on the executors."""
 
@@ -126,8 +133,7 @@ def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
         for batch in batches:
             heads = []
             for path in batch["path"]:
-                uri = path if "://" in path else path.replace("file:", "file://", 1)
-                filesystem, local = fs.FileSystem.from_uri(uri)
+                filesystem, local = fs.FileSystem.from_uri(_arrow_uri(path))
                 with filesystem.open_input_stream(local) as stream:
                     head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
                 heads.append(head.splitlines()[0] if head else "")

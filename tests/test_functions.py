@@ -140,7 +140,7 @@ def test_resolve_links(spark):
         assert df.select(text.resolve_links(F.col("l"), F.col("p"))).first()[0] == want
 
 
-def reference_class(u):
+def plain_class(u):
     """The cascade, written out."""
     short = len(u) < 100
     if "facebook.com/" in u and "share" not in u and short:
@@ -158,7 +158,7 @@ def test_social_class(spark):
     hosts = ["facebook.com/", "instagram.com/", "linkedin.com/", "x.com/", "twitter.com/", "other.org/"]
     paths = ["p", "share", "sharer", "stories/x", "in/a", "company/b", "intent/t", "sharing", "a" * 90]
     given = [f"https://{a}{p}{s}" for a in hosts for p in paths for s in ("", "/in/", "?u=x.com/y")]
-    assert apply(spark, given, social.social_class) == [reference_class(u) for u in given]
+    assert apply(spark, given, social.social_class) == [plain_class(u) for u in given]
 
 
 def test_classify_social_puts_a_link_in_one_class(spark):

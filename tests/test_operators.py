@@ -265,6 +265,52 @@ def test_mask_sweep_finds_contacts_in_any_column(spark):
     )
 
 
+def plain_mask(role, v):
+    if role == "email":
+        name, at, domain = v.partition("@")
+        return v if not at or not name else name[0] + "*" * (len(name) - 1) + "@" + domain
+    if role == "phone":
+        return v[:-2] + "**" if len(v) > 2 else "**"
+    if role == "social":
+        return v.split("/")[-1][:2] + "****"
+    return "".join("*" if c in "aeiouAEIOU" else c for c in v)
+
+
+def plain_sweep(row, names):
+    """The sweep written out for one row, with roles by substring."""
+    has = lambda n, *marks: any(m in n for m in marks)
+    emails = [has(n, "email") for n in names]
+    phones = [has(n, "phone", "tel") for n in names]
+    socials = [has(n, "facebook", "instagram", "linkedin", "x", "twitter") for n in names]
+    row = list(row)
+    for i, name in enumerate(names):
+        if row[i] is None:
+            continue
+        if name == "address":
+            row[i] = plain_mask("address", row[i])
+        if emails[i] and "@" in row[i]:
+            row[i] = plain_mask("email", row[i])
+        if phones[i] and any(c.isdigit() for c in row[i]):
+            row[i] = plain_mask("phone", row[i])
+        if socials[i] and "/" in row[i]:
+            row[i] = plain_mask("social", row[i])
+        if "@" in row[i] and "." in row[i] and not emails[i]:
+            row[i] = plain_mask("email", row[i])
+        elif len(row[i]) >= 7 and sum(c.isdigit() for c in row[i]) >= 6 and not phones[i]:
+            row[i] = plain_mask("phone", row[i])
+    return tuple(row)
+
+
+def test_mask_sweep_against_a_row_loop(spark):
+    rng = random.Random(8)
+    names = ["id", "address", "email", "hotel", "phone", "tax", "website", "email_x", "note"]
+    cell = lambda: rng.choice([None, "".join(rng.choice("aB1234567@./ ") for _ in range(rng.randint(0, 14)))])
+    data = [tuple([f"{i:05d}"] + [cell() for _ in names[1:]]) for i in range(1500)]
+    df = spark.createDataFrame(data, ", ".join(f"{n} string" for n in names))
+    got = masking.mask_sweep(df, legacy_names=True, legacy_email=True)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((plain_sweep(r, names) for r in data), key=str)
+
+
 def test_mask_report_fails_closed(spark):
     with pytest.raises(ValueError):
         masking.mask_report({"statistics": spark.range(1)})
