@@ -6,7 +6,6 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from listwright.functions.text import base_name
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions.timing import percent, seconds_between
+from listwright.operators.dedupe import latest_per_key
 
 ROW = ["job_name", "row_id"]
 
@@ -64,6 +65,12 @@ def failed_rows(attempts: DataFrame) -> DataFrame:
     return attempt_state(attempts).where("failed").select(*ROW, "failure.url", "failure.error", "failure.failed_at")
 
 
+def stored_results(attempts: DataFrame, columns: list[str]) -> DataFrame:
+    """What the last success of every row stored."""
+    good = attempts.where("success").select(*ROW, "seq", *columns)
+    return latest_per_key(good, ROW, F.col("seq")).drop("seq")
+
+
 def resume_merge(
     rows: DataFrame,
     attempts: DataFrame,

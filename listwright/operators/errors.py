@@ -9,6 +9,19 @@ from listwright.config import RECENT_ERRORS
 from listwright.functions.errors import error_category, error_line, error_severity, is_retriable
 
 
+LOG_SCHEMA = "id bigint, type string, message string, context map<string,string>, timestamp double"
+
+
+def errors_from_log(log: DataFrame) -> DataFrame:
+    """Error events as they are logged, with URL and operation taken from the context."""
+    return log.select(
+        "id", "type", "message",
+        F.col("context")["url"].alias("url"),
+        F.col("context")["operation"].alias("operation"),
+        F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")).alias("ts"),
+    )
+
+
 def classify_errors(errors: DataFrame) -> DataFrame:
     operation = F.col("operation") if "operation" in errors.columns else F.lit(None).cast("string")
     return (

@@ -9,6 +9,21 @@ from listwright.config import CPU_LIMIT, DISK_LIMIT, MEMORY_LIMIT
 from listwright.functions.timing import one_decimal
 
 
+# Shape of one logged host sample, as far as it is used here.
+SAMPLE_SCHEMA = (
+    "sample_id bigint, timestamp double, memory struct<percent:double>, cpu struct<percent:double>, disk struct<percent:double>"
+)
+
+
+def samples_from_log(log: DataFrame) -> DataFrame:
+    """Host samples as they are logged (nested, epoch seconds) in flat columns."""
+    return log.select(
+        "sample_id",
+        F.timestamp_micros((F.col("timestamp") * 1_000_000).cast("bigint")).alias("ts"),
+        *[F.col(f"{kind}.percent").alias(f"{kind}_pct") for kind in ("memory", "cpu", "disk")],
+    )
+
+
 def metric_alerts(
     samples: DataFrame, memory: float = MEMORY_LIMIT, cpu: float = CPU_LIMIT, disk: float = DISK_LIMIT
 ) -> DataFrame:

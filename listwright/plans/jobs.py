@@ -73,9 +73,9 @@ RESULTS = """results AS (SELECT job_name, row_id, url, result FROM attempts WHER
  QUALIFY row_number() OVER (PARTITION BY job_name, row_id ORDER BY seq DESC) = 1)"""
 
 
+@query(f"WITH {RESULTS} SELECT job_name, row_id, url, result FROM results", "attempts")
 def stored_results(t: Tables) -> DataFrame:
-    rows = t.attempts.where("success").select("job_name", "row_id", "url", "result", "seq")
-    return dedupe.latest_per_key(rows, ["job_name", "row_id"], F.col("seq")).drop("seq")
+    return attempt_ops.stored_results(t.attempts, ["url", "result"])
 
 
 @query(

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from listwright.config import NA_VALUES
 from listwright.functions.masks import mask_email
-from listwright.operators import progress, stats
+from listwright.operators import errors, metrics, progress, stats
 from listwright.operators.attempts import job_progress
-from listwright.operators.errors import error_counts
 from listwright.plans import contacts as contact_queries
 from listwright.plans import flows, jobs
 from listwright.plans import pages as page_queries
@@ -219,8 +218,8 @@ def listing_stream(t: Tables) -> DataFrame:
 
 @query(f"WITH {q.PAGE_CONTACTS} SELECT website, {page_queries.CELLS} FROM page_contacts", "linked_pages")
 def extract_stream(t: Tables) -> DataFrame:
-    pages, out, checkpoint = stream_of(t, t.view("linked_pages"), "extract-stream")
-    streams.extract_stream(pages, out, checkpoint).awaitTermination()
+    folder, out, checkpoint = staged(t, t.view("linked_pages"), "extract-stream")
+    streams.extract_stream(streams.page_stream(t.spark, folder), out, checkpoint).awaitTermination()
     return t.spark.read.parquet(out)
 
 
@@ -399,9 +398,30 @@ def full_flow(t: Tables) -> DataFrame:
     return report["data"].drop("listing_id", "source_file", "ordinal")
 
 
-@query("SELECT error_type AS type, count(*) AS errors FROM attempts WHERE NOT success GROUP BY 1", "attempts")
-def errors_of_run(t: Tables) -> DataFrame:
-    """Errors of a run, written as a log and summed up from it."""
+@query(
+    f"""SELECT seq AS id, category, '[' || category || '] ' || error_type || ': ' || error_msg || ' | URL: ' || url || ' | Operation: N/A' AS line,
+ {jobs.RETRIABLE} AS retriable FROM (SELECT *, {jobs.CATEGORY} AS category FROM attempts WHERE NOT success)""",
+    "attempts",
+)
+def error_log(t: Tables) -> DataFrame:
+    """Errors of a run, written as log lines and classified from them."""
     folder = shared_dir(t.spark, "errors")
-    jobs.error_log(t).write.json(folder)
-    return error_counts(readers.read_progress_log(t.spark, folder, "id bigint, type string, ts timestamp"))
+    jobs.error_log(t).select(
+        "id", "type", "message", F.create_map(F.lit("url"), "url").alias("context"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
+    ).write.json(folder)
+    log = readers.read_progress_log(t.spark, folder, errors.LOG_SCHEMA)
+    return errors.classify_errors(errors.errors_from_log(log)).select("id", "category", "line", "retriable")
+
+
+@query(f"{jobs.ALERTS}", "metrics")
+def host_samples(t: Tables) -> DataFrame:
+    """Host samples, written as log lines and checked from them."""
+    folder = shared_dir(t.spark, "host")
+    kinds = ("memory", "cpu", "disk")
+    t.view("metrics").select(
+        "sample_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
+        *[F.struct(F.col(f"{k}_pct").cast("double").alias("percent")).alias(k) for k in kinds],
+    ).write.json(folder)
+    log = readers.read_progress_log(t.spark, folder, metrics.SAMPLE_SCHEMA)
+    return metrics.metric_alerts(metrics.samples_from_log(log)).drop("ts")

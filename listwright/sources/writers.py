@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from listwright.config import DATA_SHEET, STATS_SHEET
-from listwright.functions.text import base_name
 
 
 def write_listings(df: DataFrame, path: str, mode: str = "error", by: str | None = None) -> None:
@@ -119,8 +118,3 @@ def append_progress(
             nested = extra.select(key, F.struct(*[c for c in extra.columns if c != key]).alias(name))
             out = out.join(nested, key, "left")
     out.write.mode("append").json(path)
-
-
-def with_source_name(df: DataFrame) -> DataFrame:
-    """Short file name next to the full path."""
-    return df.withColumn("source_name", base_name(F.col("source_file")))

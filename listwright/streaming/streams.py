@@ -29,6 +29,11 @@ def parquet_stream(spark: SparkSession, path: str, schema: str, files_per_batch:
     return reader.parquet(path)
 
 
+def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Pages as they arrive in a folder."""
+    return parquet_stream(spark, path, PAGE_SCHEMA, files_per_batch)
+
+
 def listing_stream(
     spark: SparkSession, folder: str, columns: list[str], na_values: list[str], files_per_batch: int = 1000
 ) -> DataFrame:
