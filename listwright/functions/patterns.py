@@ -23,15 +23,17 @@ PRESERVED_NAMES = [
 def minimal_tokens(tokens: Iterable[str]) -> list[str]:
     """Tokens that contain no other token; for substring tests they decide alone."""
     wanted = {t.strip().lower() for t in tokens} - {""}
-    return sorted(
-        t for t in wanted
-        if not any(
-            t[i:j] in wanted
-            for i in range(len(t))
-            for j in range(i + 1, len(t) + 1)
-            if j - i < len(t)
+    lengths = sorted({len(t) for t in wanted})
+
+    def holds_another(token: str) -> bool:
+        return any(
+            token[i:i + n] in wanted
+            for n in lengths
+            if n < len(token)
+            for i in range(len(token) - n + 1)
         )
-    )
+
+    return sorted(t for t in wanted if not holds_another(t))
 
 
 def trie_regex(tokens: Iterable[str]) -> str | None:

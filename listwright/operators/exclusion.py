@@ -13,9 +13,14 @@ from listwright.operators.skew import skew_join
 
 # Up to here the words travel as one pattern inside the plan; larger word tables
 # are joined. It also bounds what the driver ever collects.
-MAX_PATTERN_TOKENS = 10_000
+MAX_PATTERN_TOKENS = 50_000
+MAX_PATTERN_CHARS = 2_000_000
 # Copies of a word table over which a common substring is spread.
 TOKEN_SPLITS = 16
+# Words are looked for where their first characters occur, as long as there are
+# no more different beginnings than this.
+HEAD_CHARS = 4
+MAX_HEADS = 200_000
 
 
 def is_excluded(email: Column, tokens: Iterable[str], whole_word: bool = False) -> Column:
@@ -52,48 +57,64 @@ def exclude_emails_by_table(
     max_pattern_tokens: int = MAX_PATTERN_TOKENS,
 ) -> DataFrame:
     """As :func:`exclude_emails` for a table ``tokens(token)`` of any size."""
-    words = [r["token"] for r in tokens.limit(max_pattern_tokens + 1).collect()]
-    if len(words) <= max_pattern_tokens:
-        return exclude_emails(df, words, email)
+    few = tokens.limit(max_pattern_tokens + 1).agg(
+        F.count("*").alias("words"), F.sum(F.length("token")).alias("chars")
+    ).first()
+    if few["words"] <= max_pattern_tokens and (few["chars"] or 0) <= MAX_PATTERN_CHARS:
+        return exclude_emails(df, [r["token"] for r in tokens.collect()], email)
     addresses = df.select(row_key, F.posexplode(split_emails(F.col(email))).alias("_pos", "_address"))
     hit = addresses_with_token(addresses.select("_address").distinct(), "_address", tokens)
     # One address may fill a third of the list, so the way back is salted.
-    kept = skew_join(addresses, hit, "_address", spread=[row_key, "_pos"], how="left_anti")
+    unwanted = skew_join(addresses, hit, "_address", spread=[row_key, "_pos"], how="left_semi")
     # A group is one cell, so what is listed here is bounded by the cell.
-    cells = kept.groupBy(row_key).agg(
-        F.array_sort(F.collect_list(F.struct("_pos", "_address"))).alias("_kept")
-    )
-    given = F.size(split_emails(F.col(email)))
+    cells = unwanted.groupBy(row_key).agg(F.collect_set("_pos").alias("_out"))
+    no_positions = F.array().cast("array<int>")
     return (
         df.join(cells, row_key, "left")
-        .withColumn("given_count", given)
-        .withColumn("kept_count", F.coalesce(F.size("_kept"), F.lit(0)))
-        .withColumn(email, rejoin_emails(F.col("_kept._address")))
-        .drop("_kept")
+        .withColumn("_given", split_emails(F.col(email)))
+        .withColumn("_out", F.coalesce("_out", no_positions))
+        .withColumn("_kept", F.filter("_given", lambda e, i: ~F.array_contains(F.col("_out"), i)))
+        .withColumn("given_count", F.size("_given"))
+        .withColumn("kept_count", F.size("_kept"))
+        .withColumn(email, rejoin_emails(F.col("_kept")))
+        .select(*df.columns, "given_count", "kept_count")
     )
 
 
-def addresses_with_token(addresses: DataFrame, column: str, tokens: DataFrame) -> DataFrame:
+def addresses_with_token(
+    addresses: DataFrame, column: str, tokens: DataFrame, max_heads: int = MAX_HEADS
+) -> DataFrame:
     """Distinct addresses that contain a token, by equality on substrings.
 
-    Every address yields its substrings of the lengths that occur among the
-    tokens. A substring meets at most one token, so no candidate pairs arise.
-    Common substrings are spread over ``TOKEN_SPLITS`` copies of the tokens.
+    Where an address contains the beginning of a token, its substrings of the
+    lengths of such tokens are compared. A substring meets at most one token, so
+    no candidate pairs arise. Common substrings are spread over ``TOKEN_SPLITS``
+    copies of the tokens.
     """
     words = tokens.select(F.col("token").alias("_part")).where(F.length("token") > 0).distinct()
     # As many numbers as there are different word lengths.
     lengths = [r[0] for r in words.select(F.length("_part")).distinct().collect()]
-    wanted = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
-    pieces = (
+    head = min([HEAD_CHARS, *lengths])
+    heads = words.groupBy(F.left("_part", F.lit(head)).alias("_head")).agg(
+        F.collect_set(F.length("_part")).alias("_lengths")
+    )
+    spots = (
         addresses.select(
             column,
             F.lower(column).alias("_low"),
             F.pmod(F.xxhash64(column), F.lit(TOKEN_SPLITS)).cast("int").alias("_salt"),
-            F.explode(wanted).alias("_length"),
         )
-        .withColumn("_last", F.length("_low") - F.col("_length") + 1)
-        .where("_last > 0")
-        .select(column, "_low", "_salt", "_length", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("_start"))
+        .where(F.length("_low") >= head)
+        .select("*", F.explode(F.sequence(F.lit(1), F.length("_low") - (head - 1))).alias("_start"))
+    )
+    if heads.limit(max_heads + 1).count() <= max_heads:
+        spots = spots.withColumn("_head", F.substr("_low", F.col("_start"), F.lit(head)))
+        spots = spots.join(F.broadcast(heads), "_head")
+    else:
+        spots = spots.withColumn("_lengths", F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
+    pieces = (
+        spots.select(column, "_low", "_salt", "_start", F.explode("_lengths").alias("_length"))
+        .where(F.col("_start") + F.col("_length") - 1 <= F.length("_low"))
         .select(column, "_salt", F.substr("_low", F.col("_start"), F.col("_length")).alias("_part"))
     )
     copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1))))

@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from listwright.functions.patterns import minimal_tokens, trie_regex
+from listwright.functions.text import split_emails
 from listwright.operators import cache, dedupe, exclusion, files, masking, schema, stats
 from listwright.operators.attempts import attempt_state, completed_rows, pending_rows
 from listwright.operators.contacts import attach_contacts
@@ -64,6 +65,11 @@ def test_exclusion_forms_agree(spark):
     for limit in (0, 100):
         out = exclusion.exclude_emails_by_table(cells, words, "row_id", max_pattern_tokens=limit)
         assert rows(out.select(columns)) == want
+    distinct = cells.select(F.explode(split_emails(F.col("email"))).alias("a")).distinct()
+    hits = [r["a"] for r in distinct.collect() if any(t in r["a"].lower() for t in TOKENS)]
+    for max_heads in (0, 100):
+        got = exclusion.addresses_with_token(distinct, "a", words, max_heads)
+        assert sorted(r["a"] for r in got.collect()) == sorted(hits)
 
 
 def test_exclusion_is_idempotent_and_monotone(spark):
