@@ -37,6 +37,15 @@ def column_roles(name: str, legacy_names: bool = False) -> set[str]:
     return roles
 
 
+def _as_text(df: DataFrame, legacy_names: bool) -> DataFrame:
+    """Phone numbers that were read as numbers become text, or they would stay readable."""
+    numbers = [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, (T.IntegralType, T.DecimalType)) and "phone" in column_roles(f.name, legacy_names)
+    ]
+    return df.select(*[quoted(c).cast("string").alias(c) if c in numbers else quoted(c) for c in df.columns])
+
+
 def _text_columns(df: DataFrame) -> set[str]:
     return {f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)}
 
@@ -45,6 +54,7 @@ def mask_table(
     df: DataFrame, legacy_names: bool = False, legacy_email: bool = False, keep: list[str] = ()
 ) -> DataFrame:
     """Mask every contact column but those in ``keep``; the first role that fits decides."""
+    df = _as_text(df, legacy_names)
     text = _text_columns(df) - set(keep)
     masks = {
         "email": lambda c: mask_email(c, legacy_email),
@@ -72,6 +82,7 @@ def mask_sweep(
     that is not of that kind, whatever its name. ``keep`` names columns such as
     row keys that stay as they are.
     """
+    df = _as_text(df, legacy_names)
     text = _text_columns(df) - set(keep)
     first_address = next((c for c in df.columns if c.lower() == "address"), None)
 

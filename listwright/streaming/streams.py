@@ -6,11 +6,16 @@ given, and continues from its checkpoint on the next start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from listwright.operators.attempts import ROW, _state_columns, with_marks
 from listwright.operators.contacts import contact_cells, extract_contacts
@@ -128,3 +133,48 @@ def ttl_dedupe(events: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
     """
     return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
+
+def ttl_misses(
+    events: DataFrame, key: str, ident: str, ts: str, ttl_seconds: int, delay: str = "1 hour"
+) -> DataFrame:
+    """Events that find no live result and so start a new lifetime, exactly.
+
+    Unlike :func:`ttl_dedupe` a key lives for ``ttl_seconds`` and not longer. Per
+    key only the end of its current lifetime is kept, until the watermark has
+    passed it. The events of a key within one micro-batch are put in order in one
+    task, so the stream needs a limit per batch (``files_per_batch``); that limit
+    bounds what a task holds.
+    """
+    ttl = ttl_seconds * 1_000_000
+
+    def misses(
+        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches)).sort_values([ts, ident], kind="stable")
+        times = rows[ts].to_numpy("datetime64[us]").astype("int64")
+        alive_until = state.get[0] if state.exists else times[0]
+        chosen = []
+        at = np.searchsorted(times, alive_until)
+        while at < len(times):
+            chosen.append(at)
+            alive_until = times[at] + ttl
+            at = np.searchsorted(times, alive_until)
+        if alive_until // 1000 > state.getCurrentWatermarkMs():
+            state.update((int(alive_until),))
+            state.setTimeoutTimestamp(int(alive_until // 1000))
+        elif state.exists:
+            state.remove()
+        yield rows.iloc[chosen][[key, ident, ts]]
+
+    schema = T.StructType([events.schema[c] for c in (key, ident, ts)])
+    return (
+        events.select(key, ident, ts)
+        .withWatermark(ts, delay)
+        .groupBy(key)
+        .applyInPandasWithState(
+            misses, schema, "alive_until bigint", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )

@@ -317,6 +317,12 @@ def test_mask_sweep_against_a_row_loop(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted((plain_sweep(r, names) for r in data), key=str)
 
 
+def test_numeric_phones_are_masked(spark):
+    df = spark.sql("SELECT 600123456L AS phone, 12 AS reviews")
+    for masked in (masking.mask_table(df), masking.mask_sweep(df)):
+        assert tuple(masked.first()) == ("6001234**", 12)
+
+
 def test_mask_report_fails_closed(spark):
     with pytest.raises(ValueError):
         masking.mask_report({"statistics": spark.range(1)})

@@ -188,6 +188,27 @@ def test_ttl_dedupe_drops_repeats(spark, tmp_path):
     assert rows(spark.read.parquet(f"{base}/out").select("key")) == [("k0",), ("k1",), ("k2",)]
 
 
+def test_ttl_misses_follow_the_lifetimes(spark, tmp_path):
+    base = str(tmp_path)
+    rng = random.Random(9)
+    events = sorted((rng.randint(0, 50_000), rng.choice(["hot", "hot", "a", "b"]), i) for i in range(300))
+    live, want = {}, []
+    for t, k, i in events:
+        if not live.get(k, -1) > t:
+            live[k] = t + 1000
+            want.append((k, i))
+    # Files arrive in time order, one per micro-batch, with a restart in between.
+    df = spark.createDataFrame(events, "t long, key string, id int").select("key", "id", F.timestamp_seconds("t").alias("ts"))
+    for part in range(4):
+        lo, hi = part * 12_500, (part + 1) * 12_500 + (part == 3)
+        chunk = df.where((F.unix_seconds("ts") >= lo) & (F.unix_seconds("ts") < hi))
+        chunk.coalesce(1).write.mode("append").parquet(f"{base}/in")
+        log = streams.parquet_stream(spark, f"{base}/in", "key string, id int, ts timestamp", files_per_batch=1)
+        found = streams.ttl_misses(log, "key", "id", "ts", 1000, "10 seconds")
+        streams.write_stream(found, f"{base}/out", f"{base}/cp").awaitTermination()
+    assert rows(spark.read.parquet(f"{base}/out").select("key", "id")) == sorted(want, key=str)
+
+
 def test_extract_job_resumes_and_prefers_the_last_fetch(spark):
     pages = spark.createDataFrame(
         [(1, "https://a.b", "old@a.b"), (2, "https://a.b", "new@a.b"), (1, "https://c.d", "c@c.d")], "n int, url string, html string"
