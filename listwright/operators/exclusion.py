@@ -57,13 +57,17 @@ def exclude_emails_by_table(
     max_pattern_tokens: int = MAX_PATTERN_TOKENS,
 ) -> DataFrame:
     """As :func:`exclude_emails` for a table ``tokens(token)`` of any size."""
-    few = tokens.limit(max_pattern_tokens + 1).agg(
-        F.count("*").alias("words"), F.sum(F.length("token")).alias("chars")
+    size = tokens.agg(
+        F.count("*").alias("words"),
+        F.sum(F.length("token")).alias("chars"),
+        # As many numbers as there are different word lengths.
+        F.collect_set(F.length("token")).alias("lengths"),
     ).first()
-    if few["words"] <= max_pattern_tokens and (few["chars"] or 0) <= MAX_PATTERN_CHARS:
+    if size["words"] <= max_pattern_tokens and (size["chars"] or 0) <= MAX_PATTERN_CHARS:
         return exclude_emails(df, [r["token"] for r in tokens.collect()], email)
     addresses = df.select(row_key, F.posexplode(split_emails(F.col(email))).alias("_pos", "_address"))
-    hit = addresses_with_token(addresses.select("_address").distinct(), "_address", tokens)
+    distinct = addresses.select("_address").distinct()
+    hit = addresses_with_token(distinct, "_address", tokens, size["lengths"])
     # One address may fill a third of the list, so the way back is salted.
     unwanted = skew_join(addresses, hit, "_address", spread=[row_key, "_pos"], how="left_semi")
     # A group is one cell, so what is listed here is bounded by the cell.
@@ -82,18 +86,18 @@ def exclude_emails_by_table(
 
 
 def addresses_with_token(
-    addresses: DataFrame, column: str, tokens: DataFrame, max_heads: int = MAX_HEADS
+    addresses: DataFrame, column: str, tokens: DataFrame, lengths: list[int], max_heads: int = MAX_HEADS
 ) -> DataFrame:
     """Distinct addresses that contain a token, by equality on substrings.
 
+    ``lengths`` are the different lengths of the tokens.
     Where an address contains the beginning of a token, its substrings of the
     lengths of such tokens are compared. A substring meets at most one token, so
     no candidate pairs arise. Common substrings are spread over ``TOKEN_SPLITS``
     copies of the tokens.
     """
     words = tokens.select(F.col("token").alias("_part")).where(F.length("token") > 0).distinct()
-    # As many numbers as there are different word lengths.
-    lengths = [r[0] for r in words.select(F.length("_part")).distinct().collect()]
+    lengths = [n for n in lengths if n > 0]
     head = min([HEAD_CHARS, *lengths])
     heads = words.groupBy(F.left("_part", F.lit(head)).alias("_head")).agg(
         F.collect_set(F.length("_part")).alias("_lengths")
