@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import wraps
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,23 +13,34 @@ from listwright.session import materialize, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+ROOT = str(Path(__file__).resolve().parents[2])
 
 
-def query(fn):
-    """Register a query under the function's name."""
-    QUERIES[fn.__name__] = fn
-    return fn
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers find this package where it is not installed but lies in the same place (local sessions).
 
+    On a cluster, install the package or pass it with ``--py-files``.
+    """
+    known = spark.sparkContext.environment
+    paths = [x for x in known.get("PYTHONPATH", "").split(os.pathsep) if x]
+    if ROOT not in paths:
+        known["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Register a query under the function's name."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        on_workers(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = run
+    return run
 
-def held_out(doc_id: int | None) -> bool:
-    """Whether a row belongs to the fifth that no model learns from."""
-    from zlib import crc32
 
-    return crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-__all__ = ["QUERIES", "SQL", "held_out", "materialize", "query", "shared_dir", "table"]
+__all__ = ["QUERIES", "SQL", "materialize", "on_workers", "query", "shared_dir", "table"]

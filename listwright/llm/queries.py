@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from listwright.llm import packed, packing  # noqa: F401  (register queries)
+from listwright.llm import packed, packing, quality, toxicity  # noqa: F401  (register queries)
 from listwright.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
