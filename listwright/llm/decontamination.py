@@ -15,8 +15,8 @@ are scored in full. Both bounds are safe: nothing above the threshold is lost.
 
 A retrieved item counts only if the text there holds enough of its question and
 of its answer, measured by shares of their runs of ``GRAM`` words. The answer is the
-last sentence of an item, or its last third if it has but one, and at least its
-last ``GRAM`` words.
+last sentence of an item, or its last third if it has but one; neither takes
+less than a quarter.
 
 The index is broadcast while its texts have at most ``INDEX_CHARS`` characters;
 longer benchmarks are split into several indexes, each applied to all texts.
@@ -71,7 +71,8 @@ def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     sentences = [x for x in (words_of(y) for y in re.split(r"(?<=[.!?])\s+", text)) if x]
     words = [w for x in sentences for w in x]
     cut = len(words) - len(sentences[-1]) if len(sentences) > 1 else 2 * len(words) // 3
-    cut = min(cut, len(words) - GRAM)
+    least = max(GRAM, len(words) // 4)
+    cut = min(max(cut, least), len(words) - least)
     return words[:cut], words[cut:]
 
 
