@@ -1,6 +1,6 @@
 """All registered queries of this subpackage."""
 
-from listwright.llm import decontamination, neighbours, packed, packing, pii, quality, secrets, toxicity  # noqa: F401  (register queries)
+from listwright.llm import decontamination, lines, neighbours, packed, packing, pii, quality, secrets, toxicity  # noqa: F401  (register queries)
 from listwright.llm.common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
