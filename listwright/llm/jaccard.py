@@ -313,7 +313,10 @@ def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, n: i
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """``doc_id, h, n_shingles, component_id`` of each document (``h``: xxhash64 of its text); sets link from ``percent`` on."""
+    """``doc_id, h, n_shingles, component_id, component`` of each document; sets link from ``percent`` on.
+
+    ``h`` is xxhash64 of the text, ``component`` a number of the component's own (null for an empty set).
+    """
     read = materialize(signed(docs, n), "signed")
     rows = read.where("slice < 0").select("known", "d", "h", "n", "a", "b")
     sketch = frequencies(read.where("slice >= 0").select("slice", "counters"))
@@ -327,11 +330,11 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
     joined = components(links, "components").select(F.col("node").alias("class"), "component")
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min(F.when(F.col("known"), F.col("d"))).alias("component_id"))
-    named = named.join(smallest, "component").select("a", "b", F.col("n").alias("size"), "component_id")
+    named = named.join(smallest, "component").select("a", "b", "component", "component_id")
     own = F.when(F.col("known"), F.col("d"))
     return rows.join(named, ["a", "b"], "left").select(
         own.alias("doc_id"), "h", F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(own).alias("component_id"), "component",
     )
 
 
