@@ -4,11 +4,12 @@ A document is the set of its word n-grams, as 64-bit hashes. Documents with the
 same set are one class, so exact copies cost nothing further. The join runs on
 classes:
 
-1. Document frequencies of all n-grams are added up in a sketch of ``SKETCH``
-   counters (an estimate is never too low; its size does not grow). Frequency
-   and hash order the n-grams; sets that reach the similarity share one among
-   the first ``n - ceil(t n) + 1`` of either.
-2. Classes are joined on these prefix n-grams. Members of one n-gram are linked in
+1. All n-grams are dealt by their hash and counted, so every document learns
+   which of its n-grams occur elsewhere, and how often. Frequency and hash order
+   the n-grams; sets that reach the similarity share one among the first
+   ``n - ceil(t n) + 1`` of either. N-grams that nobody else has come first and
+   join with nothing, so most documents have no prefix left to join on.
+2. Classes are joined on the prefix n-grams. Members of one n-gram are linked in
    a chain, not in pairs, and a task links its own before the shuffle. The parts
    that hang together are the candidate groups; no pair outside one can link.
 3. The text of one document of each class goes to its candidate group once. There
@@ -29,7 +30,6 @@ empty table gives an empty one.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -42,8 +42,9 @@ from listwright.llm.common import materialize, query, table
 from listwright.llm.components import components
 
 N, PERCENT = 5, 80
-SKETCH = 1 << 20
-SLICES = 64
+BUCKET_NGRAMS = 250_000  # n-grams that are counted together
+BATCH_NGRAMS = 2_000_000  # n-grams that a task deals out at a time
+BATCH_DOCS = 60_000
 PART_NGRAMS = 400_000  # n-grams of the classes that one task compares
 PIECE_CHARS = 1_000_000
 WORDS_KEPT = 500_000
@@ -117,77 +118,125 @@ def source(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame, n: int) -> DataFrame:
-    """``known, d, h, n, a, b`` of each document, and rows with ``slice`` and counters of the sketch."""
+    """``known, d, h, n, a, b`` of each document."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketch = np.zeros(SKETCH, np.uint32)
         for batch in batches:
-            rows = []
-            for ngrams in ngram_sets(batch["text"].tolist(), n):
-                np.add.at(sketch, (ngrams & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-                rows.append((len(ngrams), *sign(ngrams)))
+            rows = [(len(ngrams), *sign(ngrams)) for ngrams in ngram_sets(batch["text"].tolist(), n)]
             out = batch[["known", "d", "h"]].copy()
             out[["n", "a", "b"]] = np.array(rows, np.int64).reshape(-1, 3)
-            yield out.assign(slice=-1, counters=b"")
-        parts = sketch.reshape(SLICES, -1)
-        some = [k for k in range(SLICES) if parts[k].any()]
-        if some:
-            yield pd.DataFrame({
-                "known": False, "d": 0, "h": 0, "n": 0, "a": 0, "b": 0, "slice": some,
-                "counters": [zlib.compress(parts[k].astype("<u4").tobytes(), 1) for k in some],
-            })
+            yield out
 
-    return source(docs).mapInPandas(read, "known boolean, d long, h long, n long, a long, b long, slice int, counters binary")
+    return source(docs).mapInPandas(read, "known boolean, d long, h long, n long, a long, b long")
 
 
-def frequencies(counters: DataFrame) -> np.ndarray:
-    """The whole sketch: slices are added up by themselves, and ``SKETCH`` numbers come to the driver."""
+DEALT = "bucket long, batch long, payload binary"
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(SKETCH // SLICES, np.uint64)
-        for data in group["counters"]:
-            total += np.frombuffer(zlib.decompress(data), "<u4")
-        top = np.minimum(total, 2**32 - 1).astype("<u4")
-        return pd.DataFrame({"slice": [group["slice"].iloc[0]], "counters": [zlib.compress(top.tobytes(), 1)]})
 
-    out = np.zeros((SLICES, SKETCH // SLICES), np.uint32)
-    for r in counters.groupBy("slice").applyInPandas(add, "slice int, counters binary").collect():
-        out[r["slice"]] = np.frombuffer(zlib.decompress(r["counters"]), "<u4")
-    return out.ravel()
+def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
+    """The n-grams by bucket (their first ``bits`` bits): the next 32 bits of each, and the document's number in its batch.
 
+    Of equal sets in a batch one is enough. A row with a negative bucket tells
+    the batch's classes and the sizes of their sets.
+    """
 
-def candidate_links(docs: DataFrame, sketch: np.ndarray, n: int, percent: int) -> DataFrame:
-    """``a, b``: classes (the first number of their sign) that follow one another at a prefix n-gram."""
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        batch_id = TaskContext.get().partitionId() << 32
+        some: dict[int, np.ndarray] = {}
+        held = 0
+
+        def close() -> pd.DataFrame:
+            sizes = np.array([len(x) for x in some.values()], np.int64)
+            grams = np.concatenate(list(some.values()))
+            owner = np.repeat(np.arange(len(sizes)), sizes).astype("<u2")
+            order = np.argsort(grams, kind="stable")
+            grams, owner = grams[order], owner[order]
+            bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
+            rest = ((grams >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            last = np.append(first[1:], len(bucket))
+            rows = [(int(bucket[x]), batch_id, rest[x:y].tobytes() + owner[x:y].tobytes()) for x, y in zip(first, last, strict=True)]
+            own = np.fromiter(some, np.int64, len(some)).tobytes() + sizes.tobytes()
+            return pd.DataFrame([*rows, (-1 - batch_id % 1009, batch_id, own)], columns=["bucket", "batch", "payload"])
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            grams, owner = [], []
             for ngrams in ngram_sets(batch["text"].tolist(), n):
-                if len(ngrams):
-                    keep = len(ngrams) - needed(len(ngrams), percent) + 1
-                    order = np.lexsort((ngrams, sketch[(ngrams & np.uint64(SKETCH - 1)).astype(np.int64)]))[:keep]
-                    grams.append(ngrams[order].view(np.int64))
-                    owner.append(np.full(keep, sign(ngrams)[0]))
-            if not grams:
-                continue
-            gram, node = np.concatenate(grams), np.concatenate(owner)
-            order = np.lexsort((node, gram))
-            gram, node = gram[order], node[order]
-            follows = np.zeros(len(gram), bool)
-            follows[1:] = gram[1:] == gram[:-1]
-            link = follows.copy()
-            link[1:] &= node[1:] != node[:-1]
-            at = np.flatnonzero(link)
-            pairs = np.unique(np.stack([node[at - 1], node[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-            # The first of each n-gram stands for all in this batch; the links themselves are spread by their own value.
-            yield pd.DataFrame({
-                "gram": np.concatenate([gram[~follows], pairs[:, 0] ^ pairs[:, 1]]),
-                "node": np.concatenate([node[~follows], pairs[:, 0]]),
-                "other": pd.array(np.concatenate([np.zeros((~follows).sum(), np.int64), pairs[:, 1]]), "Int64"),
-                "link": np.concatenate([np.zeros((~follows).sum(), bool), np.ones(len(pairs), bool)]),
-            })
-
-    rows = source(docs).select("text").mapInPandas(prefixes, "gram long, node long, other long, link boolean")
+                if not len(ngrams) or (name := sign(ngrams)[0]) in some:
+                    continue
+                some[name] = ngrams
+                held += len(ngrams)
+                if held >= BATCH_NGRAMS or len(some) >= BATCH_DOCS:
+                    yield close()
+                    batch_id, held = batch_id + 1, 0
+                    some.clear()
+        if some:
+            yield close()
+
+    return source(docs).select("text").mapInPandas(deal, DEALT)
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """Of the dealt n-grams those that occur more than once, with their frequency, by batch."""
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        if group["bucket"].iloc[0] < 0:
+            return group
+        sizes = [len(x) // 6 for x in group["payload"]]
+        rest = np.concatenate([np.frombuffer(x, "<u4", k) for x, k in zip(group["payload"], sizes, strict=True)])
+        owner = np.concatenate([np.frombuffer(x, "<u2", k, 4 * k) for x, k in zip(group["payload"], sizes, strict=True)])
+        _, place, counts = np.unique(rest, return_inverse=True, return_counts=True)
+        often = np.minimum(counts[place], 65535).astype("<u2")
+        out, at = [], 0
+        for batch, k in zip(group["batch"], sizes, strict=True):
+            some = np.flatnonzero(often[at : at + k] > 1) + at
+            if len(some):
+                out.append((group["bucket"].iloc[0], batch, rest[some].tobytes() + owner[some].tobytes() + often[some].tobytes()))
+            at += k
+        return pd.DataFrame(out, columns=["bucket", "batch", "payload"])
+
+    return rows.groupBy("bucket").applyInPandas(count, DEALT)
+
+
+def candidate_links(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
+    """``a, b``: classes (the first number of their sign) that follow one another at a prefix n-gram."""
+    bits = min(16, max(0, int(total // BUCKET_NGRAMS).bit_length()))
+
+    def prefixes(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["payload"][group["bucket"] < 0].iloc[0]
+        nodes, sizes = np.frombuffer(own, np.int64).reshape(2, -1)
+        some = group[group["bucket"] >= 0]
+        counts = [len(x) // 8 for x in some["payload"]]
+        parts = list(zip(some["payload"], counts, strict=True))
+        empty = [np.zeros(0, np.int64)]
+        gram = np.concatenate([*empty, *(np.frombuffer(x, "<u4", k).astype(np.int64) + (b << 32) for (x, k), b in zip(parts, some["bucket"], strict=True))])
+        owner = np.concatenate([*empty, *(np.frombuffer(x, "<u2", k, 4 * k).astype(np.int64) for x, k in parts)])
+        often = np.concatenate([*empty, *(np.frombuffer(x, "<u2", k, 6 * k).astype(np.int64) for x, k in parts)])
+        # A set's own n-grams fill its prefix first; what is left of it goes to the rarest of the others.
+        order = np.lexsort((gram, often, owner))
+        gram, owner = gram[order], owner[order]
+        has = np.bincount(owner, minlength=len(nodes))
+        room = sizes - needed(sizes, percent) + 1 - (sizes - has)
+        keep = np.arange(len(owner)) - np.repeat(np.cumsum(has) - has, has) < room[owner]
+        gram, node = gram[keep], nodes[owner[keep]]
+        order = np.lexsort((node, gram))
+        gram, node = gram[order], node[order]
+        follows = np.zeros(len(gram), bool)
+        follows[1:] = gram[1:] == gram[:-1]
+        at = np.flatnonzero(follows)
+        at = at[node[at] != node[at - 1]]
+        pairs = np.unique(np.stack([node[at - 1], node[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
+        # The first of each n-gram stands for all in this batch; the links themselves are spread by their own value.
+        alone = int((~follows).sum())
+        return pd.DataFrame({
+            "gram": np.concatenate([gram[~follows], pairs[:, 0] ^ pairs[:, 1]]),
+            "node": np.concatenate([node[~follows], pairs[:, 0]]),
+            "other": np.concatenate([np.zeros(alone, np.int64), pairs[:, 1]]),
+            "link": np.concatenate([np.zeros(alone, bool), np.ones(len(pairs), bool)]),
+        })
+
+    rows = shared(dealt(docs, n, bits)).groupBy("batch").applyInPandas(prefixes, "gram long, node long, other long, link boolean")
     before = F.lag("node").over(Window.partitionBy("gram", "link").orderBy("node"))
     chained = rows.select("node", "link", "other", before.alias("before"))
     return chained.select(F.col("node").alias("a"), F.when(F.col("link"), F.col("other")).otherwise(F.col("before")).alias("b")).where("b IS NOT NULL AND a != b")
@@ -317,15 +366,14 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
     ``h`` is xxhash64 of the text, ``component`` a number of the component's own (null for an empty set).
     """
-    read = materialize(signed(docs, n), "signed")
-    rows = read.where("slice < 0").select("known", "d", "h", "n", "a", "b")
-    sketch = frequencies(read.where("slice >= 0").select("slice", "counters"))
+    rows = materialize(signed(docs, n), "signed")
+    total = rows.agg(F.sum("n")).first()[0] or 0
     first = F.min(F.struct((~F.col("known")).alias("unknown"), "d", "h")).alias("first")
     classes = rows.where("n > 0").groupBy("a", "b", "n").agg(first).select(
         "a", "b", "n", (~F.col("first.unknown")).alias("known"), F.col("first.d").alias("d"), F.col("first.h").alias("h"),
     )
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    candidates = components(candidate_links(docs, sketch, n, percent), "candidates")
+    candidates = components(candidate_links(docs, total, n, percent), "candidates")
     links = class_links(docs, classes, candidates, n, percent)
     joined = components(links, "components").select(F.col("node").alias("class"), "component")
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
