@@ -20,9 +20,9 @@ PRESERVED_NAMES = [
 ]
 
 
-def minimal_tokens(tokens: Iterable[str]) -> list[str]:
+def minimal_tokens(tokens: Iterable[str | None]) -> list[str]:
     """Tokens that contain no other token; for substring tests they decide alone."""
-    wanted = {t.strip().lower() for t in tokens} - {""}
+    wanted = {t.strip().lower() for t in tokens if t is not None} - {""}
     lengths = sorted({len(t) for t in wanted})
 
     def holds_another(token: str) -> bool:

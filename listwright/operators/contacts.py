@@ -60,12 +60,12 @@ def verified_contacts(contacts: DataFrame, domains: DataFrame, mode: str = "adva
     """
     others = [c for c in contacts.columns if c not in ("website", "email")]
     addresses = contacts.select("website", *others, F.explode_outer("email").alias("email"))
-    checked = verify_emails(addresses, domains, mode, spread=["website", "email"])
-    # A group is one page, so its list is no longer than the page's own.
+    checked = verify_emails(addresses, domains, mode)
+    # A group is one website; its contacts are one row of a page, so its list is no longer than the page's own.
     valid = F.collect_set(F.when(F.col("status") == "valid", F.col("email")))
     return (
         checked.groupBy("website")
-        .agg(F.first(F.struct(*others)).alias("_others"), F.array_sort(valid).alias("email"))
+        .agg(F.max(F.struct(*others)).alias("_others"), F.array_sort(valid).alias("email"))
         .select("website", "email", *[F.col("_others")[c].alias(c) for c in others])
         .select(*contacts.columns)
     )
@@ -89,7 +89,7 @@ def default_contacts(df: DataFrame, website: str = "website") -> DataFrame:
 def attach_contacts(listings: DataFrame, contacts: DataFrame, row_key: str) -> DataFrame:
     """All listings with the contacts of their website; found contacts replace old ones.
 
-    Sites without any find are left out before the shuffle, and a site shared by
+    A website that was fetched more than once counts once, with its greatest row. Sites without any find are left out before the shuffle, and a site shared by
     very many listings is spread over several tasks.
     """
     cells = contact_cells(contacts)
@@ -98,7 +98,8 @@ def attach_contacts(listings: DataFrame, contacts: DataFrame, row_key: str) -> D
     any_found = F.coalesce(*[F.col(c) for c in CONTACT_COLUMNS]).isNotNull()
     row = F.struct(F.col("website").alias("_site"), *CONTACT_COLUMNS)
     found = cells.select(F.inline(F.array_compact(F.array(F.when(any_found, row)))))
+    found = found.groupBy("_site").agg(F.max(F.struct(*CONTACT_COLUMNS)).alias("_row")).select("_site", "_row.*")
     base = listings.drop(*CONTACT_COLUMNS).withColumn(
         "_site", F.when(is_http_url(F.col("website")), strip(F.col("website")))
     )
-    return skew_join(base, found, "_site", spread=[row_key]).drop("_site")
+    return skew_join(base, found, "_site").drop("_site")

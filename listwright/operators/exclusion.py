@@ -8,19 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.functions.patterns import trie_regex
-from listwright.functions.text import rejoin_emails, split_emails
+from listwright.functions.text import rejoin_emails, split_emails, strip
 from listwright.operators.skew import skew_join
+from listwright.session import materialize
 
-# Up to here the words travel as one pattern inside the plan; larger word tables
-# are joined. It also bounds what the driver ever collects.
-MAX_PATTERN_TOKENS = 50_000
-MAX_PATTERN_CHARS = 2_000_000
-# Copies of a word table over which a common substring is spread.
-TOKEN_SPLITS = 16
-# Words are looked for where their first characters occur, as long as there are
-# no more different beginnings than this.
+# Words are looked for where their first characters occur.
 HEAD_CHARS = 4
-MAX_HEADS = 200_000
 
 
 def is_excluded(email: Column, tokens: Iterable[str], whole_word: bool = False) -> Column:
@@ -49,27 +42,23 @@ def exclude_emails(
     )
 
 
-def exclude_emails_by_table(
-    df: DataFrame,
-    tokens: DataFrame,
-    row_key: str,
-    email: str = "email",
-    max_pattern_tokens: int = MAX_PATTERN_TOKENS,
-) -> DataFrame:
-    """As :func:`exclude_emails` for a table ``tokens(token)`` of any size."""
-    size = tokens.agg(
-        F.count("*").alias("words"),
-        F.sum(F.length("token")).alias("chars"),
-        # As many numbers as there are different word lengths.
-        F.collect_set(F.length("token")).alias("lengths"),
-    ).first()
-    if size["words"] <= max_pattern_tokens and (size["chars"] or 0) <= MAX_PATTERN_CHARS:
-        return exclude_emails(df, [r["token"] for r in tokens.collect()], email)
+def usable_words(tokens: DataFrame, token: str = "token") -> DataFrame:
+    """Distinct words as they are compared: trimmed, lower case, no blank and no NULL ones."""
+    words = tokens.select(F.lower(strip(F.col(token).cast("string"))).alias("token"))
+    return words.where(F.col("token").isNotNull() & (F.col("token") != "")).distinct()
+
+
+def exclude_emails_by_table(df: DataFrame, tokens: DataFrame, row_key: str, email: str = "email") -> DataFrame:
+    """As :func:`exclude_emails` for a table ``tokens(token)``, in one form for every size.
+
+    No word reaches the driver. The addresses are stored once, so ``df`` is read
+    twice: for them and for the result.
+    """
+    words = materialize(usable_words(tokens), "words")
     addresses = df.select(row_key, F.posexplode(split_emails(F.col(email))).alias("_pos", "_address"))
-    distinct = addresses.select("_address").distinct()
-    hit = addresses_with_token(distinct, "_address", tokens, size["lengths"])
-    # One address may fill a third of the list, so the way back is salted.
-    unwanted = skew_join(addresses, hit, "_address", spread=[row_key, "_pos"], how="left_semi")
+    addresses = materialize(addresses, "addresses")
+    hit = addresses_with_token(addresses.select("_address").distinct(), "_address", words)
+    unwanted = skew_join(addresses, hit, "_address", how="left_semi")
     # A group is one cell, so what is listed here is bounded by the cell.
     cells = unwanted.groupBy(row_key).agg(F.collect_set("_pos").alias("_out"))
     no_positions = F.array().cast("array<int>")
@@ -85,44 +74,34 @@ def exclude_emails_by_table(
     )
 
 
-def addresses_with_token(
-    addresses: DataFrame, column: str, tokens: DataFrame, lengths: list[int], max_heads: int = MAX_HEADS
-) -> DataFrame:
-    """Distinct addresses that contain a token, by equality on substrings.
+def addresses_with_token(addresses: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """Distinct addresses that contain a word of ``words(token)``, by equality on substrings.
 
-    ``lengths`` are the different lengths of the tokens.
-    Where an address contains the beginning of a token, its substrings of the
-    lengths of such tokens are compared. A substring meets at most one token, so
-    no candidate pairs arise. Common substrings are spread over ``TOKEN_SPLITS``
-    copies of the tokens.
+    Where an address contains the beginning of a word, its substrings of the
+    lengths of such words are compared. A substring meets at most one word, so
+    no candidate pairs arise. Common beginnings and substrings are large
+    partitions on the left of a join, which Spark splits.
     """
-    words = tokens.select(F.col("token").alias("_part")).where(F.length("token") > 0).distinct()
-    lengths = [n for n in lengths if n > 0]
-    head = min([HEAD_CHARS, *lengths])
-    heads = words.groupBy(F.left("_part", F.lit(head)).alias("_head")).agg(
+    # One number: words shorter than a beginning shorten all beginnings.
+    shortest = words.agg(F.min(F.length("token"))).first()[0]
+    head = min(HEAD_CHARS, shortest or HEAD_CHARS)
+    parts = words.select(F.col("token").alias("_part"))
+    heads = parts.groupBy(F.left("_part", F.lit(head)).alias("_head")).agg(
         F.collect_set(F.length("_part")).alias("_lengths")
     )
     spots = (
-        addresses.select(
-            column,
-            F.lower(column).alias("_low"),
-            F.pmod(F.xxhash64(column), F.lit(TOKEN_SPLITS)).cast("int").alias("_salt"),
-        )
+        addresses.select(column, F.lower(column).alias("_low"))
         .where(F.length("_low") >= head)
         .select("*", F.explode(F.sequence(F.lit(1), F.length("_low") - (head - 1))).alias("_start"))
+        .withColumn("_head", F.substr("_low", F.col("_start"), F.lit(head)))
     )
-    if heads.limit(max_heads + 1).count() <= max_heads:
-        spots = spots.withColumn("_head", F.substr("_low", F.col("_start"), F.lit(head)))
-        spots = spots.join(F.broadcast(heads), "_head")
-    else:
-        spots = spots.withColumn("_lengths", F.array(*[F.lit(n) for n in lengths]).cast("array<int>"))
     pieces = (
-        spots.select(column, "_low", "_salt", "_start", F.explode("_lengths").alias("_length"))
+        spots.join(heads, "_head")
+        .select(column, "_low", "_start", F.explode("_lengths").alias("_length"))
         .where(F.col("_start") + F.col("_length") - 1 <= F.length("_low"))
-        .select(column, "_salt", F.substr("_low", F.col("_start"), F.col("_length")).alias("_part"))
+        .select(column, F.substr("_low", F.col("_start"), F.col("_length")).alias("_part"))
     )
-    copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SPLITS - 1))))
-    return pieces.join(copies, ["_part", "_salt"], "left_semi").select(column).distinct()
+    return pieces.join(parts, "_part", "left_semi").select(column).distinct()
 
 
 def exclusion_counts(df: DataFrame, email: str = "email") -> DataFrame:

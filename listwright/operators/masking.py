@@ -119,6 +119,22 @@ def mask_sweep(
     return df.select(*[by_role(c) for c in df.columns]).select(*[swept(c) for c in df.columns])
 
 
+def sweep_addresses(
+    df: DataFrame, legacy_names: bool = False, legacy_email: bool = False, keep: list[str] = ()
+) -> DataFrame:
+    """Mask what looks like an address in text columns whose name tells nothing."""
+    text = {c for c in _text_columns(df) - set(keep) if not column_roles(c, legacy_names)}
+
+    def swept(name: str) -> Column:
+        cell = quoted(name)
+        if name not in text:
+            return cell
+        address = F.contains(cell, F.lit("@")) & F.contains(cell, F.lit("."))
+        return F.when(address, mask_email(cell, legacy_email)).otherwise(cell).alias(name)
+
+    return df.select(*[swept(c) for c in df.columns])
+
+
 def mask_report(report: dict[str, DataFrame], **options) -> dict[str, DataFrame]:
     """Mask the data sheet, pass the others on. Without a data sheet nothing comes out."""
     if DATA_SHEET not in report:

@@ -10,13 +10,11 @@ from listwright.functions.verification import verification_record, verification_
 from listwright.operators.skew import skew_join
 
 
-def verify_emails(
-    emails: DataFrame, domains: DataFrame, mode: str = "advanced", spread: list[str] | None = None
-) -> DataFrame:
+def verify_emails(emails: DataFrame, domains: DataFrame, mode: str = "advanced") -> DataFrame:
     """Add the verification record and its status to rows with an ``email``.
 
-    ``domains(domain, domain_exists, mx_exists)`` has one row per domain. Mail
-    providers make some domains very frequent, so the join is salted.
+    ``domains(domain, domain_exists, mx_exists)`` has one row per domain. Mode
+    ``basic`` looks at the address alone and joins nothing.
     """
     keyed = emails.withColumn("_domain", email_domain(F.col("email")))
     facts = domains.select(
@@ -24,7 +22,11 @@ def verify_emails(
         F.col("domain_exists").alias("_exists"),
         F.col("mx_exists").alias("_mx"),
     )
-    joined = skew_join(keyed, facts, "_domain", spread=spread or emails.columns)
+    if mode == "basic":
+        nothing = F.lit(None).cast("boolean")
+        joined = keyed.withColumn("_exists", nothing).withColumn("_mx", nothing)
+    else:
+        joined = skew_join(keyed, facts, "_domain")
     record = verification_record(F.col("email"), F.col("_exists"), F.col("_mx"), mode)
     return (
         joined.withColumn("_record", record)

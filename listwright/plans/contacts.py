@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from listwright.functions import masks, text, verification
@@ -57,20 +57,35 @@ def exclude_emails(t: Tables) -> DataFrame:
     return excluded(t).select("row_id", "email", "given_count", "kept_count")
 
 
-@query(
-    f"""WITH addresses AS (SELECT row_id, unnest({SPLIT}) AS address, generate_subscripts({SPLIT}, 1) AS pos FROM contacts),
+def _excluded_by(words: str) -> str:
+    return f"""WITH addresses AS (SELECT row_id, unnest({SPLIT}) AS address, generate_subscripts({SPLIT}, 1) AS pos FROM contacts),
+words AS (SELECT DISTINCT lower(trim(token)) AS token FROM {words} WHERE trim(token) <> ''),
 kept AS (SELECT row_id, list(address ORDER BY pos) AS kept FROM addresses
- WHERE NOT EXISTS (SELECT 1 FROM word_table WHERE contains(lower(address), token)) GROUP BY row_id)
+ WHERE NOT EXISTS (SELECT 1 FROM words WHERE contains(lower(address), token)) GROUP BY row_id)
 SELECT c.row_id, array_to_string(kept, ', ') AS email, CAST(len({q.split_emails('c.email')}) AS INTEGER) AS given_count, CAST(coalesce(len(kept), 0) AS INTEGER) AS kept_count
-FROM contacts c LEFT JOIN kept k ON c.row_id = k.row_id""",
-    "contacts word_table",
-)
+FROM contacts c LEFT JOIN kept k ON c.row_id = k.row_id"""
+
+
+@query(_excluded_by("word_table"), "contacts word_table")
 def exclude_emails_by_table(t: Tables) -> DataFrame:
-    # No pattern at all, so the form for word tables of any size is the one that runs.
-    out = exclusion.exclude_emails_by_table(t.contacts, t.view("word_table"), "row_id", max_pattern_tokens=0)
+    """Words in capitals, with blanks around them, blank ones and NULL among them."""
+    out = exclusion.exclude_emails_by_table(t.contacts, t.view("word_table"), "row_id")
     return out.select("row_id", "email", "given_count", "kept_count")
 
 
+@query(_excluded_by("few_words"), "contacts few_words")
+def exclude_emails_by_small_table(t: Tables) -> DataFrame:
+    out = exclusion.exclude_emails_by_table(t.contacts, t.view("few_words"), "row_id")
+    return out.select("row_id", "email", "given_count", "kept_count")
+
+
+@query(_excluded_by("few_words"), "contacts few_words")
+def exclude_emails_by_list(t: Tables) -> DataFrame:
+    """The words of a small table given as a list: one meaning in either form."""
+    words = [r["token"] for r in t.view("few_words").collect()]
+    return exclusion.exclude_emails(t.contacts, words).select("row_id", "email", "given_count", "kept_count")
+
+
 @query(
     f"""WITH {q.EXCLUDED}
 SELECT CAST(sum(given_count - kept_count) AS BIGINT) AS removed, CAST(sum(kept_count) AS BIGINT) AS remaining,
@@ -123,9 +138,13 @@ def extraction_stats_nulls_present(t: Tables) -> DataFrame:
     return stats.extraction_stats(t.contacts, nulls_as_present=True)
 
 
-@query("SELECT main_category AS sector, count(*) AS number_of_companies FROM contacts WHERE main_category IS NOT NULL GROUP BY 1", "contacts")
+@query(
+    """SELECT *, CAST(row_number() OVER (ORDER BY number_of_companies DESC, sector) AS INTEGER) AS place FROM
+(SELECT main_category AS sector, count(*) AS number_of_companies FROM contacts WHERE main_category IS NOT NULL GROUP BY 1)""",
+    "contacts",
+)
 def sector_counts(t: Tables) -> DataFrame:
-    return stats.sector_counts(t.contacts)
+    return placed(stats.sector_counts(t.contacts))
 
 
 @query(
@@ -153,10 +172,19 @@ def rows_per_file(t: Tables) -> DataFrame:
     return stats.rows_per_file(t.contacts.withColumnRenamed("country", "source_file"))
 
 
-@query("SELECT row_id, name, reviews, try_cast(reviews AS DOUBLE) AS reviews_number FROM contacts", "contacts")
+def placed(df: DataFrame) -> DataFrame:
+    """Rows with the place at which they come, counted from 1."""
+    return df.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
+@query(
+    """SELECT row_id, name, reviews, try_cast(reviews AS DOUBLE) AS reviews_number,
+ CAST(row_number() OVER (ORDER BY try_cast(reviews AS DOUBLE) DESC NULLS LAST, row_id) AS INTEGER) AS place FROM contacts""",
+    "contacts",
+)
 def sort_by_reviews(t: Tables) -> DataFrame:
     ordered = stats.sort_by_reviews(t.contacts, ["row_id"])
-    return ordered.select("row_id", "name", "reviews", text.to_numeric(F.col("reviews")).alias("reviews_number"))
+    return placed(ordered.select("row_id", "name", "reviews", text.to_numeric(F.col("reviews")).alias("reviews_number")))
 
 
 @query(

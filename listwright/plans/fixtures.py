@@ -33,8 +33,13 @@ FROM {customer} LEFT JOIN {nation} ON c_nationkey = n_nationkey""",
 SELECT 'shop' || CAST(c_custkey AS STRING) || '.net' AS domain, c_custkey % 3 <> 0 AS domain_exists, c_custkey % 4 <> 0 AS mx_exists FROM {customer}
 UNION ALL SELECT 'mail.net', TRUE, TRUE""",
     "word_table": """
-SELECT DISTINCT CASE WHEN c_custkey % 2 = 0 THEN '@shop' || CAST(c_custkey AS STRING) || '.' ELSE 'ana.' || CAST(c_custkey AS STRING) END AS token
+SELECT DISTINCT CASE c_custkey % 5 WHEN 0 THEN '@shop' || CAST(c_custkey AS STRING) || '.' WHEN 1 THEN ' ANA.' || CAST(c_custkey AS STRING) || ' '
+ WHEN 2 THEN '  ' WHEN 3 THEN NULL ELSE 'ana.' || CAST(c_custkey AS STRING) END AS token
 FROM {customer}""",
+    "few_words": """
+SELECT DISTINCT CASE WHEN n_nationkey % 4 = 0 THEN ' Info ' WHEN n_nationkey % 4 = 1 THEN 'LEGAL' WHEN n_nationkey % 4 = 2 THEN NULL
+ ELSE ' Ana.' || CAST(n_nationkey AS STRING) END AS token
+FROM {nation}""",
     "attempts": """
 SELECT CASE WHEN event_id % 2 = 0 THEN 'jobA' ELSE 'jobB' END AS job_name,
  CAST(floor(event_id / 6.0) AS BIGINT) AS row_id, event_id AS seq, ts,

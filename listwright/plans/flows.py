@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +16,12 @@ from listwright.config import (
     SECTORS_SHEET,
     STATS_SHEET,
 )
-from listwright.functions.text import normalize_url
+from listwright.functions.text import normalize_url, strip
 from listwright.operators.attempts import pending_rows
 from listwright.operators.contacts import attach_contacts, extract_contacts, has_website, verified_contacts
 from listwright.operators.dedupe import keep_first, latest_per_key
 from listwright.operators.exclusion import exclude_emails, exclude_emails_by_table
-from listwright.operators.masking import mask_report, mask_sweep, mask_table
+from listwright.operators.masking import mask_report, mask_sweep, mask_table, sweep_addresses
 from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns
 from listwright.operators.stats import (
     contact_stats,
@@ -33,13 +33,7 @@ from listwright.operators.stats import (
     top_sectors,
 )
 from listwright.session import materialize
-from listwright.sources.readers import (
-    CSV_GLOB,
-    file_headers,
-    file_inventory,
-    read_listing_folder,
-    read_listings,
-)
+from listwright.sources.readers import read_as_written, read_listing_folder
 from listwright.sources.writers import (
     copy_other_sheets,
     notice_table,
@@ -65,9 +59,10 @@ def clean_listings(df: DataFrame, **columns) -> DataFrame:
 
 
 def clean_job(
-    spark: SparkSession, folder: str, na_values: list[str] = NA_VALUES, skip: list[str] | None = None, **columns
+    spark: SparkSession, folder: str, na_values: list[str] = NA_VALUES, skip: DataFrame | list[str] | None = None,
+    **columns,
 ) -> DataFrame:
-    """Folder of CSV files to one clean listing table."""
+    """Folder of CSV files to one clean listing table; ``skip`` are files of earlier runs."""
     return clean_listings(read_listing_folder(spark, folder, na_values, skip=skip), **columns)
 
 
@@ -79,26 +74,46 @@ def extract_data(
     mode: str = "advanced",
     attempts: DataFrame | None = None,
     page_order: Column | None = None,
+    stored: DataFrame | None = None,
     **columns,
 ) -> DataFrame:
     """Listings with the contacts of their pages.
 
-    The texts are scanned once: what was found is stored before it is joined.
-    With ``attempts`` only rows without a success are worked on. With
-    ``domains`` only addresses that pass verification are kept. ``page_order``
-    chooses the last among several fetches of one URL.
+    Pages of sites that nobody asks for are left out before the scan, and the
+    texts are scanned once: what was found is stored before it is joined.
+    With ``attempts`` only rows without a success are worked on; the others are
+    in the result as well, with what ``stored`` has for them (columns
+    ``row_key`` and contacts) from the runs before. With ``domains`` only
+    addresses that pass verification are kept. ``page_order`` chooses the last
+    among several fetches of one URL.
     """
+    everything = listings
     if attempts is not None:
         listings = pending_rows(listings, attempts)
     order = F.lit(0) if page_order is None else page_order
-    contacts = extract_contacts(pages.withColumn("_order", order), carry=["_order"])
+    sites = listings.select(strip(F.col("website")).alias("_site")).where("_site IS NOT NULL").distinct()
+    wanted = pages.withColumn("_order", order).join(sites, F.col("url") == F.col("_site"), "left_semi")
+    contacts = extract_contacts(wanted, carry=["_order"])
     # One fetch per URL counts; equal ones are told apart by what was found.
     latest = F.struct("_order", *CONTACT_COLUMNS)
     contacts = latest_per_key(contacts, ["website"], latest).drop("_order")
     contacts = materialize(contacts, "contacts")
     if domains is not None:
         contacts = verified_contacts(contacts, domains, mode)
-    return clean_frame(attach_contacts(listings, contacts, row_key), **columns)[0]
+    fresh = attach_contacts(listings, contacts, row_key)
+    if attempts is not None:
+        fresh = _with_completed(everything, fresh, stored, row_key)
+    return clean_frame(fresh, **columns)[0]
+
+
+def _with_completed(listings: DataFrame, fresh: DataFrame, stored: DataFrame | None, row_key: str) -> DataFrame:
+    """Fresh rows and those completed before; contacts of the latter are the stored ones."""
+    done = listings.join(fresh.select(row_key), row_key, "left_anti")
+    if stored is not None:
+        kept = [c for c in CONTACT_COLUMNS if c in stored.columns]
+        found = latest_per_key(stored.select(row_key, *kept), [row_key], F.struct(*kept))
+        done = done.drop(*kept).join(found, row_key, "left")
+    return fresh.unionByName(done, allowMissingColumns=True)
 
 
 def extraction_report(data: DataFrame, notice: str | None = None) -> Report:
@@ -120,6 +135,8 @@ def extract_job(
 def exclude_data(data: DataFrame, tokens: Iterable[str] | DataFrame, row_key: str | None = None) -> DataFrame:
     """Data without unwanted addresses; a table of words needs a ``row_key``."""
     if isinstance(tokens, DataFrame):
+        if row_key is None:
+            raise ValueError("a table of words needs a row_key")
         excluded = exclude_emails_by_table(data, tokens, row_key)
     else:
         excluded = exclude_emails(data, tokens)
@@ -159,15 +176,16 @@ def mask_job(report: Report, **options) -> Report:
 def mask_file(spark: SparkSession, path: str, out: str | None = None, **options) -> str:
     """Masked copy of a CSV or parquet dataset beside it, under a ``_demo`` name.
 
-    CSV is masked by column, parquet (the data sheet of a report) is swept too.
-    Nothing is written when masking fails.
+    CSV is masked by column, and whatever looks like an address in any other
+    column as well; parquet (the data sheet of a report) is swept.
+    Files with other headers are masked under their own names. A line that does
+    not fit its header ends the job, so no row is lost and none stays readable;
+    nothing is written when masking fails.
     """
     out = out or output_name(path)
     if path.lower().endswith(".csv"):
-        inventory = file_inventory(spark, path, glob=CSV_GLOB).where(F.col("length") > 0)
-        header = file_headers(spark, inventory).select("header").first()["header"]
-        rows = read_listings(spark, path, next(csv.reader([header])))
-        write_listings(mask_table(rows, **options), out)
+        masked = mask_table(sweep_addresses(read_as_written(spark, path), **options), **options)
+        write_listings(masked, out)
     else:
         mask_sweep(spark.read.parquet(path), **options).write.parquet(out)
     return out
@@ -177,7 +195,7 @@ def full_flow(
     spark: SparkSession,
     folder: str,
     pages: DataFrame,
-    tokens: Iterable[str],
+    tokens: Iterable[str] | DataFrame,
     out: str,
     domains: DataFrame | None = None,
     **columns,
@@ -185,7 +203,8 @@ def full_flow(
     """Clean, extract, exclude and mask. Every stage is written before the next starts.
 
     The written tables cut the lineage, so a lost executor costs one stage at
-    most; an error in a stage ends the flow.
+    most; an error in a stage ends the flow. A flow that is started again with
+    the same ``out`` goes on after the last stage that was written to its end.
     """
     row_key = "listing_id"
     cleaned = clean_job(spark, folder, **columns)
@@ -194,7 +213,7 @@ def full_flow(
 
     data = _stored(extract_data(listings, pages, row_key, domains, **columns), f"{out}/extracted/{DATA_SHEET}")
     extracted = _with_sheets(extraction_report(data), f"{out}/extracted")
-    data = _stored(exclude_data(data, tokens), f"{out}/excluded/{DATA_SHEET}")
+    data = _stored(exclude_data(data, tokens, row_key), f"{out}/excluded/{DATA_SHEET}")
     excluded = _with_sheets(exclusion_report(data, extracted), f"{out}/excluded")
     demo = mask_job(excluded, keep=[row_key, "source_file"])
     _stored(demo[DATA_SHEET], f"{out}/demo/{DATA_SHEET}")
@@ -202,20 +221,32 @@ def full_flow(
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """A stage as a table. One that was written to its end is only read; what is left of another is written anew."""
+    spark = df.sparkSession
+    mark = f"{path.rstrip('/')}.done"
+    try:
+        spark.read.parquet(mark).count()
+    except AnalysisException:
+        df.write.mode("overwrite").parquet(path)
+        spark.range(1).write.mode("overwrite").parquet(mark)
+    return spark.read.parquet(path)
 
 
 def _with_sheets(report: Report, path: str) -> Report:
     """Write the sheets that are computed from stored data; the report as it lies there."""
-    write_report({name: sheet for name, sheet in report.items() if name != DATA_SHEET}, path)
+    write_report({name: sheet for name, sheet in report.items() if name != DATA_SHEET}, path, mode="overwrite")
     first = next(iter(report.values()))
     return read_report(first.sparkSession, path, list(report))
 
 
-def auto_flow(data: DataFrame, tokens: Iterable[str], source: str = "source_file", **options: bool) -> Report:
-    """Exclude and mask every file of a folder at once; statistics come per file."""
-    excluded = exclude_emails(data, tokens).select(*data.columns)
+def auto_flow(
+    data: DataFrame, tokens: Iterable[str] | DataFrame, source: str = "source_file", row_key: str | None = None, **options: bool
+) -> Report:
+    """Exclude and mask every file of a folder at once; statistics come per file.
+
+    A table of words needs a ``row_key``.
+    """
+    excluded = exclude_data(data, tokens, row_key)
     return {
         DATA_SHEET: mask_sweep(excluded, keep=[source], **options),
         STATS_SHEET: contact_stats_by(excluded, source),

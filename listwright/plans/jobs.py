@@ -52,12 +52,16 @@ def completed_rows(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT DISTINCT job_name, row_id, url FROM attempts a
-WHERE EXISTS (SELECT 1 FROM attempts b WHERE NOT b.success AND b.job_name = a.job_name AND b.url = a.url)""",
+    """WITH planned AS (SELECT 'jobA' AS job_name, o_orderkey AS row_id, 'https://shop' || CAST(o_orderkey AS VARCHAR) || '.net' AS url FROM orders)
+SELECT * FROM planned p WHERE EXISTS (SELECT 1 FROM attempts b WHERE b.job_name = p.job_name AND b.url = p.url)""",
     "attempts",
 )
 def processed_rows(t: Tables) -> DataFrame:
-    return attempt_ops.processed_rows(job_rows(t), t.attempts.where("NOT success"))
+    """Planned rows whose address was visited, whatever came of it."""
+    planned = t.table("orders").select(
+        F.lit("jobA").alias("job_name"), F.col("o_orderkey").alias("row_id"), F.format_string("https://shop%s.net", F.col("o_orderkey").cast("string")).alias("url"),
+    )
+    return attempt_ops.processed_rows(planned, t.attempts)
 
 
 @query(

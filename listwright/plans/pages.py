@@ -12,7 +12,7 @@ from listwright.operators import dedupe, files
 from listwright.plans import sqltext as q
 from listwright.plans.fixtures import Tables
 from listwright.plans.registry import query
-from listwright.session import materialize
+from listwright.session import materialize, shared_dir
 from listwright.sources import readers, writers
 
 AT = "2024-02-01 00:00:00"
@@ -220,12 +220,12 @@ def retention_candidates_one_folder(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""SELECT path FROM files WHERE regexp_matches(path, '(^|/)([^/]*\\.tmp|9[^/]*)$')
+    f"""SELECT path FROM files WHERE regexp_matches(path, '(^|/)([^/]*\\.(tmp|temp|bak|old|pyc|swp|swo|cache)|[^/]*\\.log\\.[^/]*|__pycache__|~[^/]*)$')
  AND (epoch_us(TIMESTAMP '{AT}') - epoch_us(mtime)) / 86400e6 >= 1""",
     "files",
 )
 def temp_files(t: Tables) -> DataFrame:
-    return files.temp_files(t.files, at(), ["*.tmp", "9*"], max_age_days=1).select("path")
+    return files.temp_files(t.files, at(), max_age_days=1).select("path")
 
 
 @query("SELECT path, regexp_matches(path, '(^|/)([^/]*\\.tmp|[^/]*\\.log|src1/[0-4][^/]*)$') AS matches FROM files", "files")
@@ -246,9 +246,14 @@ def age_days(t: Tables) -> DataFrame:
     return t.files.select("path", F.round(age_in_days(F.col("mtime"), at()), 6).alias("age_days"))
 
 
-@query("SELECT path FROM files WHERE split_part(path, '/', -1) NOT IN ('4.log', '7.csv', '20.log')", "files")
+NAMED = "CASE WHEN doc_id % 3 = 0 THEN source || '/README.md' WHEN doc_id % 3 = 1 THEN source || '/config.json' ELSE source || '/' || CAST(doc_id AS VARCHAR) || '.json' END"
+
+
+@query(f"SELECT doc_id, {NAMED} AS path FROM documents WHERE doc_id % 3 = 2")
 def not_preserved(t: Tables) -> DataFrame:
-    return t.files.where(patterns.not_preserved(F.col("path"), ["4.log", "7.csv", "20.log"])).select("path")
+    """The names that are always kept, by the default list."""
+    named = t.table("documents").selectExpr("doc_id", f"{NAMED.replace('VARCHAR', 'STRING')} AS path")
+    return named.where(patterns.not_preserved(F.col("path")))
 
 
 # -- sources that are read as they are --------------------------------------
@@ -259,10 +264,18 @@ def pages(t: Tables) -> DataFrame:
     return readers.read_pages(t.spark, f"{t.sf_dir}/pages.parquet")
 
 
-@query()
+@query(
+    """SELECT c_nationkey AS folder, CAST(sum(length(c_name) + 1) AS BIGINT) AS length,
+ md5(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS content_md5 FROM customer GROUP BY 1"""
+)
 def file_inventory(t: Tables) -> DataFrame:
-    found = readers.file_inventory(t.spark, t.sf_dir, [".parquet"], hashed=True)
-    return found.select(text.base_name(F.col("path")).alias("file"), "length", "content_md5")
+    """One file for each nation with the names of its customers, found again by size and hash."""
+    folder = shared_dir(t.spark, "inventory")
+    names = t.table("customer").select(F.col("c_nationkey").cast("bigint").alias("folder"), "c_custkey", F.col("c_name").alias("value"))
+    ordered = names.repartition("folder").sortWithinPartitions("folder", "c_custkey")
+    ordered.select("folder", "value").write.partitionBy("folder").text(folder)
+    found = readers.file_inventory(t.spark, folder, [".txt"], hashed=True)
+    return found.select(F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "length", "content_md5")
 
 
 @query(

@@ -45,6 +45,45 @@ def read_listings(t: Tables) -> DataFrame:
     return readers.read_listings(t.spark, folder, ["name", "segment", "code"], header=False, glob="*.txt")
 
 
+@query(
+    """SELECT c_name || ',"a,b",' || CAST(c_custkey AS VARCHAR) || ',extra,more' AS line FROM customer WHERE c_custkey % 5 = 0
+UNION ALL SELECT c_name || ',' || c_mktsegment || ',' || CAST(c_custkey AS VARCHAR) || ',' FROM customer WHERE c_custkey % 5 = 2"""
+)
+def rejected_lines(t: Tables) -> DataFrame:
+    """What the skipping reader leaves out."""
+    folder = shared_dir(t.spark, "rejected")
+    t.table("customer").selectExpr(
+        """CASE c_custkey % 5 WHEN 0 THEN concat(c_name, ',"a,b",', c_custkey, ',extra,more')
+             WHEN 2 THEN concat(c_name, ',', c_mktsegment, ',', c_custkey, ',')
+             WHEN 1 THEN c_name ELSE concat(c_name, ',x,y') END AS line"""
+    ).write.option("compression", "none").text(folder)
+    found = readers.rejected_lines(t.spark, folder, ["name", "segment", "code"], header=False, glob="*.txt")
+    return found.select("line")
+
+
+WIDE = 6000
+
+
+@query("SELECT c_custkey AS id, 'https://shop' || CAST(c_custkey AS VARCHAR) || '.net' AS website, c_name AS last_column, 6002 AS columns FROM customer")
+def wide_header(t: Tables) -> DataFrame:
+    """A header of more than 64 KiB that holds a quoted line break and a quoted comma."""
+    folder = shared_dir(t.spark, "wide")
+    blank = F.lit(None).cast("string")
+    names = [f"a_very_wide_column_{k}" for k in range(WIDE)]
+    rows = t.table("customer").repartition(3, "c_custkey").select(
+        F.concat(F.lit("shop"), F.col("c_custkey").cast("string"), F.lit(".net")).alias("website"),
+        *[blank.alias(n) for n in names], F.col("c_name").alias("the last,\ncolumn"),
+    )
+    writers.write_listings(rows, folder)
+    read = readers.read_listing_folder(t.spark, folder)
+    wide = len([c for c in read.columns if c not in ("source_file", "ordinal")])
+    last = next(c for c in read.columns if c.startswith("the last"))
+    return read.select(
+        F.regexp_extract("website", "shop([0-9]+)", 1).cast("bigint").alias("id"),
+        F.concat(F.lit("https://"), F.col("website")).alias("website"), F.col(f"`{last}`").alias("last_column"), F.lit(wide).alias("columns"),
+    )
+
+
 def raw_folder(t: Tables) -> str:
     """Contacts as CSV files with Spanish headers, one sub-folder per country, in row order."""
     folder = shared_dir(t.spark, "listings")
@@ -168,9 +207,10 @@ def unprocessed(t: Tables) -> DataFrame:
 @query(f"SELECT row_id, {q.mask_email('email')} AS email FROM contacts", "contacts")
 def replace_in_place(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "in-place")
-    t.contacts.select("row_id", "email").write.parquet(folder)
-    writers.replace_in_place(t.spark.read.parquet(folder).withColumn("email", mask_email(F.col("email"))), folder)
-    return t.spark.read.parquet(folder)
+    writers.replace_in_place(t.contacts.select("row_id", "email"), folder)
+    now = writers.read_current(t.spark, folder)
+    writers.replace_in_place(now.withColumn("email", mask_email(F.col("email"))), folder)
+    return writers.read_current(t.spark, folder)
 
 
 @query(
@@ -200,9 +240,10 @@ def ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def stream_of(t: Tables, df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
-    folder, out, checkpoint = staged(t, df, name)
-    return streams.parquet_stream(t.spark, folder, ddl(df)), out, checkpoint
+def stream_of(t: Tables, df: DataFrame, name: str, files: int | None = None) -> tuple[DataFrame, str, str]:
+    """A stream of the table; ``files`` cuts it into twice as many files, two for each micro-batch."""
+    folder, out, checkpoint = staged(t, df.repartition(2 * files) if files else df, name)
+    return streams.parquet_stream(t.spark, folder, ddl(df), 2 if files else None), out, checkpoint
 
 
 @query(f"WITH {READ} SELECT name, website, email, country FROM listings", "contacts")
@@ -225,7 +266,7 @@ def extract_stream(t: Tables) -> DataFrame:
 
 @query(f"WITH {jobs.STATE} SELECT job_name, row_id, completed, failed FROM state", "attempts")
 def attempt_state_stream(t: Tables) -> DataFrame:
-    log, out, checkpoint = stream_of(t, t.attempts, "attempt-stream")
+    log, out, checkpoint = stream_of(t, t.attempts, "attempt-stream", 3)
     streams.attempt_state_stream(log, out, checkpoint).awaitTermination()
     return streams.read_attempt_state(t.spark, out).select("job_name", "row_id", "completed", "failed")
 
@@ -236,7 +277,7 @@ def attempt_state_stream(t: Tables) -> DataFrame:
     "attempts",
 )
 def progress_stream(t: Tables) -> DataFrame:
-    log, out, checkpoint = stream_of(t, t.attempts, "progress-stream")
+    log, out, checkpoint = stream_of(t, t.attempts, "progress-stream", 3)
     streams.progress_stream(log, out, checkpoint).awaitTermination()
     return streams.read_progress(t.spark, out).select(
         "job_name", *progress.COUNTERS, F.round("items_per_second", 9).alias("items_per_second")
@@ -245,12 +286,38 @@ def progress_stream(t: Tables) -> DataFrame:
 
 @query("SELECT DISTINCT 'k' || CAST(user_id AS VARCHAR) AS key FROM events WHERE event_type IN ('purchase', 'signup')")
 def ttl_dedupe(t: Tables) -> DataFrame:
-    """Keys that were computed at least once; how often depends on the batches."""
+    """All events arrive in one batch, within which the watermark stands still: every key comes out exactly once."""
     entries = t.view("cache").select("key", F.col("created_at").cast("timestamp").alias("created_at"))
     events, out, checkpoint = stream_of(t, entries, "ttl-stream")
     first = streams.ttl_dedupe(events, "key", "created_at", "24 hours")
     streams.write_stream(first, out, checkpoint).awaitTermination()
-    return t.spark.read.parquet(out).select("key").distinct()
+    return t.spark.read.parquet(out).select("key")
+
+
+@query(
+    f"""WITH RECURSIVE entries AS (SELECT 'k' || CAST(user_id AS VARCHAR) AS key, event_id AS value, ts AS created_at
+ FROM events WHERE event_type IN ('purchase', 'signup')),
+misses AS (
+ SELECT key, min(created_at) AS created_at FROM entries GROUP BY key
+ UNION ALL SELECT m.key, min(e.created_at) FROM misses m JOIN entries e ON e.key = m.key AND e.created_at >= m.created_at + INTERVAL 24 HOUR
+ GROUP BY m.key, m.created_at)
+SELECT m.key, min(value) AS value, {q.time_text('m.created_at')} AS created_at
+FROM misses m JOIN entries e ON e.key = m.key AND e.created_at = m.created_at GROUP BY m.key, m.created_at"""
+)
+def ttl_misses(t: Tables) -> DataFrame:
+    """Entries that start a new lifetime, from files that arrive one per micro-batch in the order of time."""
+    entries = t.view("cache").select("key", "value", F.col("created_at").cast("timestamp").alias("created_at"))
+    base = shared_dir(t.spark, "ttl-misses")
+    at = F.unix_micros("created_at")
+    cuts = entries.select(at.alias("at")).approxQuantile("at", [0.3, 0.6], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = entries if low is None else entries.where(at >= low)
+        part = part if high is None else part.where(at < high)
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    log = streams.parquet_stream(t.spark, f"{base}/in", ddl(entries), files_per_batch=1)
+    found = streams.ttl_misses(log, "key", "value", "created_at", 24 * 3600)
+    streams.write_stream(found, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/out").select("key", "value", jobs.time_text("created_at"))
 
 
 @query(jobs.ALERTS, "metrics")
@@ -305,6 +372,38 @@ def extract_job_statistics(t: Tables) -> DataFrame:
     return extracted(t)["statistics"]
 
 
+RESUMED = f"""{EXTRACTED},
+resumed AS (SELECT row_id, name, main_category, phone, website,
+ CASE WHEN row_id % 3 = 0 THEN 'stored' || CAST(row_id AS VARCHAR) || '@x.net' ELSE email END AS email,
+ CASE WHEN row_id % 3 <> 0 THEN facebook END AS facebook, CASE WHEN row_id % 3 <> 0 THEN instagram END AS instagram,
+ CASE WHEN row_id % 3 <> 0 THEN linkedin END AS linkedin, CASE WHEN row_id % 3 <> 0 THEN x END AS x FROM extracted)"""
+
+
+def resumed(t: Tables) -> dict[str, DataFrame]:
+    """Every third row was completed by an earlier run, which stored an address for it."""
+    listings = t.view("sites").withColumn("job_name", F.lit("job"))
+    done = listings.where("row_id % 3 = 0")
+    attempts = done.select("job_name", "row_id", F.lit(True).alias("success"))
+    stored = done.select("row_id", F.concat(F.lit("stored"), "row_id", F.lit("@x.net")).alias("email"))
+    for name in ("facebook", "instagram", "linkedin", "x"):
+        stored = stored.withColumn(name, F.lit(None).cast("string"))
+    return flows.extract_job(listings, t.view("linked_pages"), "row_id", domains=t.view("domains"), attempts=attempts, stored=stored)
+
+
+@query(f"WITH {RESUMED} SELECT * FROM resumed", "sites linked_pages domains")
+def extract_job_resumed(t: Tables) -> DataFrame:
+    return resumed(t)["data"].select("row_id", "name", "main_category", "phone", "website", "email", "facebook", "instagram", "linkedin", "x")
+
+
+@query(
+    f"""WITH {RESUMED} SELECT count(*) AS companies, count(website) AS domains, count(email) AS valid_emails, count(phone) AS phones,
+ count(facebook) + count(instagram) + count(linkedin) + count(x) AS social_networks FROM resumed""",
+    "sites linked_pages domains",
+)
+def extract_job_resumed_statistics(t: Tables) -> DataFrame:
+    return resumed(t)["statistics"]
+
+
 @query(f"WITH {q.EXCLUDED} SELECT row_id, name, email, website FROM excluded", "contacts")
 def exclusion_job(t: Tables) -> DataFrame:
     return flows.exclusion_job(contact_report(t), q.TOKENS)["data"].select("row_id", "name", "email", "website")
@@ -335,6 +434,22 @@ def mask_file(t: Tables) -> DataFrame:
     return readers.read_listings(t.spark, flows.mask_file(t.spark, folder), columns)
 
 
+@query(
+    f"""SELECT c_custkey AS id, 'u' || repeat('*', length(CAST(c_custkey AS VARCHAR))) || '@y.org' AS email, c_mktsegment AS name,
+ 'b' || repeat('*', 2 + length(CAST(c_custkey AS VARCHAR))) || '@z.org' AS remark FROM customer"""
+)
+def mask_file_mixed(t: Tables) -> DataFrame:
+    """Two files with the same columns in other places, and addresses in a column whose name says nothing."""
+    folder = shared_dir(t.spark, "mixed") + ".csv"
+    rows = t.table("customer").selectExpr(
+        "c_custkey AS id", "concat('u', c_custkey, '@y.org') AS email", "c_mktsegment AS name", "concat('bob', c_custkey, '@z.org') AS remark"
+    )
+    writers.write_listings(rows.where("id % 2 = 0").select("email", "name", "id", "remark"), f"{folder}/one")
+    writers.write_listings(rows.where("id % 2 = 1").select("name", "remark", "email", "id"), f"{folder}/two")
+    masked = readers.read_as_written(t.spark, flows.mask_file(t.spark, folder))
+    return masked.select(F.col("id").cast("bigint").alias("id"), "email", "name", "remark")
+
+
 @query(MASKED_STORED, "contacts")
 def mask_file_report(t: Tables) -> DataFrame:
     folder = shared_dir(t.spark, "data") + ".parquet"

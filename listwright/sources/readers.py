@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,14 +16,16 @@ from listwright.functions.text import file_extension, strip
 from listwright.operators.schema import canonicalize_columns, normalize_headers, quoted
 
 CSV_GLOB = "*.[cC][sS][vV]"
-# Bytes read from the front of a file to learn its header.
-HEADER_BYTES = 65_536
+# Bytes read at a time while looking for the end of a header, and where a file
+# is given up as one whose quotes never close.
+HEADER_STEP = 65_536
+HEADER_LIMIT = 1 << 26
 _IRREGULAR = "_irregular"
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
-def _csv_options(multi_line: bool, header: bool = True) -> dict[str, str]:
+def _csv_options(multi_line: bool, header: bool = True, same_header: bool = False) -> dict[str, str]:
     return {
         "header": str(header).lower(),
         "encoding": "UTF-8",
@@ -34,6 +37,8 @@ def _csv_options(multi_line: bool, header: bool = True) -> dict[str, str]:
         # With pruning a line is only cut into the columns asked for, and too
         # long lines would come back as soon as one column is left out.
         "columnPruning": "false",
+        # Names are given by place, unless every file must have just these.
+        "enforceSchema": str(not same_header).lower(),
     }
 
 
@@ -42,15 +47,29 @@ def _listing_schema(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in [*columns, _IRREGULAR]])
 
 
-def _drop_long_lines(df: DataFrame, columns: list[str], na_values: list[str]) -> DataFrame:
+def _fits(columns: list[str]) -> Column:
+    """Whether a line is no longer than the header; short lines are."""
     line = F.col(_IRREGULAR)
-    bare = F.regexp_replace(line, r'"(?:[^"]|"")*"', "")
+    # A doubled quote reads as the end of one quoted run and the start of the
+    # next; without going back, no line is too long for the matcher.
+    bare = F.regexp_replace(line, r'"[^"]*+"', "")
     commas = F.length(bare) - F.length(F.replace(bare, F.lit(",")))
     # The reader refuses plans that touch nothing but the irregular line, so a
     # count needs a first column as well.
     read = F.length(F.coalesce(quoted(columns[0]), F.lit(""))) >= 0
-    good = df.where(line.isNull() | (read & (commas < len(columns))))
-    return good.select(
+    return line.isNull() | (read & (commas < len(columns)))
+
+
+def _drop_long_lines(
+    df: DataFrame, columns: list[str], na_values: list[str], on_bad_lines: str = "skip"
+) -> DataFrame:
+    if on_bad_lines not in ("skip", "error"):
+        raise ValueError("on_bad_lines must be 'skip' or 'error'")
+    good = _fits(columns)
+    if on_bad_lines == "error":
+        told = F.concat(F.lit(f"more than {len(columns)} fields: "), F.left(F.col(_IRREGULAR), F.lit(200)))
+        good = F.when(good, F.lit(True)).otherwise(F.raise_error(told).cast("boolean"))
+    return df.where(good).select(
         *[
             F.when(~quoted(c).isin(na_values), quoted(c)).alias(c) if c in columns else quoted(c)
             for c in df.columns
@@ -59,6 +78,32 @@ def _drop_long_lines(df: DataFrame, columns: list[str], na_values: list[str]) ->
     )
 
 
+def _raw_listings(
+    spark: SparkSession, paths: str | list[str], columns: list[str], multi_line: bool, header: bool, glob: str,
+    same_header: bool = False,
+) -> DataFrame:
+    return (
+        spark.read.schema(_listing_schema(columns))
+        .options(**_csv_options(multi_line, header, same_header))
+        .option("maxColumns", str(max(20_480, 2 * len(columns))))
+        .option("pathGlobFilter", glob)
+        # Folder names stay part of the file name; they are no columns.
+        .option("recursiveFileLookup", "true")
+        .csv(paths)
+    )
+
+
+def rejected_lines(
+    spark: SparkSession, paths: str | list[str], columns: list[str], multi_line: bool = False, header: bool = True,
+    glob: str = CSV_GLOB,
+) -> DataFrame:
+    """``source_file, line``: what :func:`read_listings` skips."""
+    raw = _raw_listings(spark, paths, columns, multi_line, header, glob)
+    return raw.where(~_fits(columns)).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col(_IRREGULAR).alias("line"),
+    )
+
+
 def read_listings(
     spark: SparkSession,
     paths: str | list[str],
@@ -68,23 +113,19 @@ def read_listings(
     ordinal: bool = False,
     header: bool = True,
     glob: str = CSV_GLOB,
+    on_bad_lines: str = "skip",
+    same_header: bool = False,
 ) -> DataFrame:
-    """CSV files that share the header ``columns``, every field as text.
+    """CSV files that share a header, every field as text; ``columns`` names the fields by place.
 
-    Lines with too many fields are skipped, short lines are filled with NULL.
-    ``ordinal`` adds ``source_file`` and a sortable position within it.
+    Lines with too many fields are skipped (``on_bad_lines="error"``: they end
+    the job), short lines are filled with NULL. With ``same_header`` a file whose
+    header is not ``columns`` ends the job. ``ordinal`` adds ``source_file`` and a sortable position within it.
     """
-    raw = (
-        spark.read.schema(_listing_schema(columns))
-        .options(**_csv_options(multi_line, header))
-        .option("pathGlobFilter", glob)
-        # Folder names stay part of the file name; they are no columns.
-        .option("recursiveFileLookup", "true")
-        .csv(paths)
-    )
+    raw = _raw_listings(spark, paths, columns, multi_line, header, glob, same_header)
     if ordinal:
         raw = raw.select("*", *_position())
-    return _drop_long_lines(raw, columns, na_values)
+    return _drop_long_lines(raw, columns, na_values, on_bad_lines)
 
 
 def _position() -> list[Column]:
@@ -124,10 +165,31 @@ def _arrow_uri(path: str) -> str:
     return f"{scheme}:{rest if rest.startswith('//') else '//' + rest}"
 
 
+def _first_record(read, step: int = HEADER_STEP) -> bytes:
+    """A file up to the first line break outside quotes; ``read(n)`` gives its next bytes."""
+    data, at, quoted_now = b"", 0, False
+    while True:
+        more = read(step)
+        data += more
+        for m in _ENDS.finditer(data, at):
+            if m.group() == b'"':
+                quoted_now = not quoted_now
+            elif not quoted_now:
+                return data[: m.start()]
+        at = len(data)
+        if not more:
+            return data
+        if at > HEADER_LIMIT:
+            raise ValueError(f"no end of the header within {HEADER_LIMIT} bytes")
+
+
+_ENDS = re.compile(rb'["\r\n]')
+
+
 def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """First line of every file of an inventory, read on the executors."""
+    """First record of every file of an inventory, read on the executors."""
 
-    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         for batch in batches:
@@ -135,56 +197,118 @@ def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
             for path in batch["path"]:
                 filesystem, local = fs.FileSystem.from_uri(_arrow_uri(path))
                 with filesystem.open_input_stream(local) as stream:
-                    head = stream.read(HEADER_BYTES).decode("utf-8-sig", errors="replace")
-                heads.append(head.splitlines()[0] if head else "")
+                    heads.append(_first_record(stream.read).decode("utf-8-sig", errors="replace"))
             yield pd.DataFrame({"path": batch["path"], "header": heads})
 
-    return files.select("path").mapInPandas(first_lines, "path string, header string")
+    return files.select("path").mapInPandas(first_records, "path string, header string")
+
+
+def header_names(header: str) -> list[str]:
+    """Column names of a header record, by the rules of CSV."""
+    csv.field_size_limit(HEADER_LIMIT)
+    return next(csv.reader(header.splitlines(keepends=True)), [])
 
 
 def validate_source(files: DataFrame, required: str = "website") -> DataFrame:
     """Files of a header table that can be processed: not empty, with the column."""
-    named = F.transform(F.split("header", ","), lambda h: F.lower(strip(F.replace(h, F.lit('"')))))
+    # Quoted names may hold commas, so a comma cuts only where the quotes before it are closed.
+    cut = r',(?=(?:[^"]*"[^"]*")*+[^"]*$)'
+    named = F.transform(
+        F.split("header", cut),
+        lambda h: F.lower(strip(F.replace(F.regexp_replace(strip(h), '^"|"$', ""), F.lit('""'), F.lit('"')))),
+    )
     return files.where((F.col("header") != "") & F.array_contains(named, required))
 
 
+def header_groups(spark: SparkSession, folder: str, processed: DataFrame | list[str] | None = None) -> dict[str, list[str]]:
+    """Paths by header: the folder itself where all files share one, else the files.
+
+    Spark lists every file it reads on the driver anyway; only where headers
+    differ, their names are needed here as well. ``processed`` (``source_file``)
+    are files of earlier runs, left out by a join.
+    """
+    inventory = file_inventory(spark, folder, glob=CSV_GLOB).where(F.col("length") > 0)
+    if processed is not None:
+        done = processed if isinstance(processed, DataFrame) else spark.createDataFrame([(x,) for x in processed], "source_file string")
+        done = done.select(F.col("source_file").alias("path")).distinct()
+        inventory = inventory.join(done, "path", "left_anti")
+    heads = file_headers(spark, inventory)
+    if processed is None:
+        found = heads.select("header").distinct().limit(2).collect()
+        if len(found) == 1:
+            return {found[0]["header"]: [folder]}
+    groups: dict[str, list[str]] = {}
+    for row in heads.collect():
+        groups.setdefault(row["header"], []).append(row["path"])
+    return groups
+
+
+def _of_one_header(
+    spark: SparkSession, header: str, paths: list[str], na_values: list[str], multi_line: bool, on_bad_lines: str
+) -> tuple[DataFrame, list[str]]:
+    """Rows of files with one header, columns ``_h0`` and on, and the names they have there."""
+    raw_names = header_names(header)
+    names = [f"_h{i}" for i in range(len(raw_names))]
+    # A header over several lines, like any record over several lines, can't be read line by line.
+    over_lines = multi_line or "\n" in header or "\r" in header
+    raw = (
+        spark.read.schema(_listing_schema(names))
+        .options(**_csv_options(over_lines))
+        .option("maxColumns", str(max(20_480, 2 * len(names))))
+        .option("pathGlobFilter", CSV_GLOB)
+        .option("recursiveFileLookup", "true")
+        .csv(sorted(paths))
+    )
+    return _drop_long_lines(raw.select("*", *_position()), names, na_values, on_bad_lines), raw_names
+
+
+def _union(batches: list[DataFrame]) -> DataFrame:
+    merged = batches[0]
+    for batch in batches[1:]:
+        merged = merged.unionByName(batch, allowMissingColumns=True)
+    return merged
+
+
 def read_listing_folder(
     spark: SparkSession,
     folder: str,
     na_values: list[str] = NA_VALUES,
     multi_line: bool = False,
-    skip: list[str] | None = None,
+    skip: DataFrame | list[str] | None = None,
+    on_bad_lines: str = "skip",
 ) -> DataFrame:
     """All CSV files of a folder with canonical columns, ``source_file`` and ``ordinal``.
 
-    Files that share a header are read together. Only the different headers
-    reach the driver, and the file names where there is more than one. ``skip``
-    names files that were processed before.
+    Files that share a header are read together. ``skip`` names files that were
+    processed before, best as a table (``source_file``).
     """
-    inventory = file_inventory(spark, folder, glob=CSV_GLOB).where(F.col("length") > 0)
-    heads = file_headers(spark, inventory)
-    if skip:
-        heads = heads.where(~F.col("path").isin(skip))
-    found = [] if skip else heads.select("header").distinct().limit(2).collect()
-    by_header: dict[str, list[str]] = {}
-    if len(found) == 1:
-        by_header[found[0]["header"]] = [folder]
-    else:
-        for row in heads.collect():
-            by_header.setdefault(row["header"], []).append(row["path"])
     batches = []
-    for header, paths in sorted(by_header.items()):
-        raw_names = next(csv.reader([header]), [])
-        names = [f"_h{i}" for i in range(len(raw_names))]
-        batch = read_listings(spark, sorted(paths), names, na_values, multi_line, ordinal=True)
+    for header, paths in sorted(header_groups(spark, folder, skip).items()):
+        batch, raw_names = _of_one_header(spark, header, paths, na_values, multi_line, on_bad_lines)
+        names = [c for c in batch.columns if c not in ("source_file", "ordinal")]
         fields = normalize_headers(batch.select(*names).toDF(*raw_names))
         batches.append(canonicalize_columns(batch.toDF(*fields.columns, "source_file", "ordinal")))
     if not batches:
         return spark.createDataFrame([], "website string, source_file string, ordinal struct<block:bigint,line:bigint>")
-    merged = batches[0]
-    for batch in batches[1:]:
-        merged = merged.unionByName(batch, allowMissingColumns=True)
-    return merged
+    return _union(batches)
+
+
+def read_as_written(spark: SparkSession, path: str, on_bad_lines: str = "error") -> DataFrame:
+    """CSV files under their own column names; files with other headers are joined by name.
+
+    A name that a header has more than once gets a number, so no column is lost.
+    """
+    batches = []
+    for header, paths in sorted(header_groups(spark, path).items()):
+        batch, raw_names = _of_one_header(spark, header, paths, NA_VALUES, False, on_bad_lines)
+        names: list[str] = []
+        for name in raw_names:
+            again = sum(1 for x in raw_names[: len(names)] if x == name)
+            names.append(f"{name}.{again}" if again else name)
+        batches.append(batch.drop("source_file", "ordinal").toDF(*names))
+    if not batches:
+        raise ValueError(f"no listing file in {path}")
+    return _union(batches)
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

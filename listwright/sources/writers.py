@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,23 +36,32 @@ def unprocessed(df: DataFrame, manifest: DataFrame, source: str = "source_file")
     return df.join(manifest.select(source).distinct(), source, "left_anti")
 
 
+def _version(spark: SparkSession, path: str) -> int:
+    try:
+        return spark.read.parquet(f"{path.rstrip('/')}/log").agg(F.max("version")).first()[0] or 0
+    except AnalysisException:
+        return 0
+
+
 def replace_in_place(df: DataFrame, path: str) -> None:
-    """Write a dataset over the folder it was read from.
+    """Make ``df`` the current version of a dataset; it may have been read from there.
 
-    The new version is complete beside the old one before the folders change
-    places, so nothing is read and overwritten at the same time.
+    A version is a folder of its own, and one row in ``log`` makes it current
+    once it is complete. A run that breaks off leaves the version before as it
+    was, and its folder is written anew by the next. Nothing is renamed, so
+    this holds on object stores as well; old versions stay until they are
+    cleared away.
     """
-    spark = df.sparkSession
-    staged, previous = path.rstrip("/") + ".staged", path.rstrip("/") + ".previous"
-    df.write.mode("overwrite").parquet(staged)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path
-    fs = hadoop_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for source, target in ((path, previous), (staged, path)):
-        if not fs.rename(hadoop_path(source), hadoop_path(target)):
-            raise OSError(f"could not rename {source} to {target}")
-    fs.delete(hadoop_path(previous), True)
-    spark.catalog.refreshByPath(path)
+    spark, path = df.sparkSession, path.rstrip("/")
+    version = _version(spark, path) + 1
+    df.write.mode("overwrite").parquet(f"{path}/v{version}")
+    row = spark.range(1).select(F.lit(version).cast("bigint").alias("version"))
+    row.write.mode("append").parquet(f"{path}/log")
+
+
+def read_current(spark: SparkSession, path: str) -> DataFrame:
+    """The current version of a dataset that :func:`replace_in_place` writes."""
+    return spark.read.parquet(f"{path.rstrip('/')}/v{_version(spark, path)}")
 
 
 def sheet_order(names: list[str]) -> list[str]:

@@ -42,10 +42,10 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 def listing_stream(
     spark: SparkSession, folder: str, columns: list[str], na_values: list[str], files_per_batch: int = 1000
 ) -> DataFrame:
-    """New CSV files of a folder, each read once."""
+    """New CSV files of a folder, each read once. A file with another header ends the stream."""
     raw = (
         spark.readStream.schema(_listing_schema(columns))
-        .options(**_csv_options(False))
+        .options(**_csv_options(False, same_header=True))
         .option("pathGlobFilter", CSV_GLOB)
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", str(files_per_batch))

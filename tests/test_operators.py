@@ -13,7 +13,7 @@ from listwright.functions.text import split_emails
 from listwright.operators import cache, dedupe, exclusion, files, masking, schema, stats
 from listwright.operators.attempts import attempt_state, completed_rows, pending_rows
 from listwright.operators.contacts import attach_contacts
-from listwright.operators.skew import hot_keys, skew_join
+from listwright.operators.skew import skew_join
 from tests.conftest import rows
 
 WORDS = st.lists(st.text("ab.+c-é", min_size=0, max_size=4), max_size=8)
@@ -62,14 +62,17 @@ def test_exclusion_forms_agree(spark):
     columns = ["row_id", "email", "given_count", "kept_count"]
     assert rows(exclusion.exclude_emails(cells, TOKENS).select(columns)) == want
     words = spark.createDataFrame([(t,) for t in TOKENS], "token string")
-    for limit in (0, 100):
-        out = exclusion.exclude_emails_by_table(cells, words, "row_id", max_pattern_tokens=limit)
+    odd = spark.createDataFrame([(f" {t.upper()} ",) for t in TOKENS] + [(None,), ("  ",), ("",)], "token string")
+    for table in (words, odd):
+        out = exclusion.exclude_emails_by_table(cells, table, "row_id")
         assert rows(out.select(columns)) == want
+    assert rows(exclusion.exclude_emails(cells, [r["token"] for r in odd.collect()]).select(columns)) == want
+    nothing = exclusion.exclude_emails_by_table(cells, words.limit(0), "row_id")
+    assert nothing.where("given_count <> kept_count").count() == 0
     distinct = cells.select(F.explode(split_emails(F.col("email"))).alias("a")).distinct()
     hits = [r["a"] for r in distinct.collect() if any(t in r["a"].lower() for t in TOKENS)]
-    for max_heads in (0, 100):
-        got = exclusion.addresses_with_token(distinct, "a", words, [3, 6, 9], max_heads)
-        assert sorted(r["a"] for r in got.collect()) == sorted(hits)
+    got = exclusion.addresses_with_token(distinct, "a", exclusion.usable_words(words))
+    assert sorted(r["a"] for r in got.collect()) == sorted(hits)
 
 
 def test_exclusion_is_idempotent_and_monotone(spark):
@@ -95,18 +98,30 @@ def test_skew_join_equals_a_plain_join(spark, how):
         F.col("id"), F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.col("id") % 50)).alias("k")
     )
     right = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 50, 2)], "k string, v int")
-    salted = skew_join(left, right, "k", ["id"], how, splits=8, top=2, min_rows=10)
+    odd = right.unionAll(spark.createDataFrame([(None, 7)], "k string, v int"))
     plain = left.join(right, "k", how)
-    assert rows(salted.select(plain.columns)) == rows(plain)
-
-
-def test_hot_rows_are_spread(spark):
-    left = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
-    hot = hot_keys(left, "k", top=4, min_rows=10)
-    assert rows(hot) == [("hot", True)]
-    plan = skew_join(left, spark.createDataFrame([("hot", 1)], "k string, v int"), "k", ["id"], "left", 8, 4, 10)
-    salts = plan._jdf.queryExecution().optimizedPlan().toString()
-    assert "xxhash64" in salts
+    assert rows(skew_join(left, odd, "k", how).select(plain.columns)) == rows(plain)
+
+
+def test_hot_rows_are_split(spark):
+    """Spark itself divides the partition of a key with a third of the rows."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        left = spark.range(60000).repartition(8).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("k"))
+        out = skew_join(left, spark.createDataFrame([("hot", 1), ("1", 2)], "k string, v int"), "k")
+        assert out.where("v = 1").count() == 20000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def test_keep_first_does_not_depend_on_partitions(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.config import COLUMN_ORDER, DROP_COLUMNS, RENAME_COLUMNS
+from listwright.operators import contacts as contact_ops
 from listwright.operators.attempts import attempt_state
 from listwright.operators.progress import throughput
 from listwright.plans import flows
@@ -76,6 +77,73 @@ def test_folder_with_different_headers(spark, tmp_path):
     assert readers.read_listing_folder(spark, str(folder), skip=first).count() == 3
 
 
+def test_headers_are_read_to_their_end(spark, tmp_path):
+    names = [f"a_rather_long_column_name_{k}" for k in range(6000)]
+    put(tmp_path / "in", "wide.csv", "Web," + ",".join(names) + ',"a ""quoted"",\nname",email\na.com' + "," * 6000 + ',x,e@a.com\n')
+    read = readers.read_listing_folder(spark, str(tmp_path / "in"))
+    assert len(read.columns) == 6003 + 2
+    assert rows(read.select("website", "email")) == [("a.com", "e@a.com")]
+    heads = readers.file_headers(spark, readers.file_inventory(spark, str(tmp_path / "in"), [".csv"]))
+    assert readers.header_names(heads.first()["header"])[-2:] == ['a "quoted",\nname', "email"]
+    put(tmp_path / "q", "q.csv", 'a,"b, website",c\n1,2,3\n')
+    put(tmp_path / "q", "r.csv", 'a,"web""site"\n1,2\n')
+    heads = readers.file_headers(spark, readers.file_inventory(spark, str(tmp_path / "q"), [".csv"]))
+    assert readers.validate_source(heads).count() == 0
+    assert readers.validate_source(heads, "b, website").count() == 1 == readers.validate_source(heads, 'web"site').count()
+
+
+def test_long_quoted_text_in_an_irregular_line(spark, tmp_path):
+    text = "x, y " * 200_000 + '""said"" '
+    put(tmp_path, "a.csv", f'website,email,phone\na.com,"{text}"\nb.com,"{text}",1,2\n')
+    df = readers.read_listings(spark, str(tmp_path / "a.csv"), ["website", "email", "phone"])
+    assert rows(df.select("website", F.length("email"))) == [("a.com", len(text) - 2)]
+
+
+def test_bad_lines(spark, tmp_path):
+    put(tmp_path, "a.csv", "website,email\na.com,x\nb.com,y,z\nc.com\n")
+    path, columns = str(tmp_path / "a.csv"), ["website", "email"]
+    assert rows(readers.read_listings(spark, path, columns).select("website")) == [("a.com",), ("c.com",)]
+    assert rows(readers.rejected_lines(spark, path, columns).select("line")) == [("b.com,y,z",)]
+    with pytest.raises(Exception, match="more than 2 fields"):
+        readers.read_listings(spark, path, columns, on_bad_lines="error").collect()
+    with pytest.raises(ValueError):
+        readers.read_listings(spark, path, columns, on_bad_lines="warn")
+    put(tmp_path / "d.csv", "b.csv", "email,website\nx,a.com\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_listings(spark, str(tmp_path / "d.csv"), columns, same_header=True).collect()
+
+
+def test_mask_file_fails_closed(spark, tmp_path):
+    put(tmp_path / "l.csv", "one.csv", "email,name\nann@x.org,Ann\n")
+    put(tmp_path / "l.csv", "two.csv", "name,email,note\nBob,bob@y.org,see me@z.org\n")
+    out = flows.mask_file(spark, str(tmp_path / "l.csv"))
+    text = "".join(r["value"] for r in spark.read.text(out).collect())
+    assert not any(x in text for x in ("ann@", "bob@", "me@")) and "Bob" in text
+    put(tmp_path / "bad.csv", "one.csv", "email,name\nann@x.org,Ann,more\n")
+    with pytest.raises(Exception, match="more than 2 fields"):
+        flows.mask_file(spark, str(tmp_path / "bad.csv"))
+
+
+def test_listing_stream_refuses_another_header(spark, tmp_path):
+    put(tmp_path / "in", "a.csv", "email,name\nann@x.org,Ann\n")
+    put(tmp_path / "in", "b.csv", "name,email\nBob,bob@y.org\n")
+    listing = streams.listing_stream(spark, str(tmp_path / "in"), ["email", "name"], [])
+    with pytest.raises(Exception, match="error while reading file .*b.csv"):
+        streams.write_stream(listing, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+
+
+def test_full_flow_goes_on_where_it_stopped(spark, tables, tmp_path):
+    put(tmp_path / "in", "a.csv", "web,email\na.com,\nb.com,\n")
+    pages = spark.createDataFrame([("https://a.com", "<p>x@a.com legal@a.com</p>")], "url string, html string")
+    words = spark.createDataFrame([(" LEGAL ",), (None,)], "token string")
+    out = str(tmp_path / "out")
+    first = rows(flows.full_flow(spark, str(tmp_path / "in"), pages, words, out)["data"].select("website", "email"))
+    assert [(w, e) for w, e in first] == [("https://a.com", "x@a.com"), ("https://b.com", None)]
+    nothing = spark.createDataFrame([], "url string, html string")
+    again = flows.full_flow(spark, str(tmp_path / "in"), nothing, words, out)
+    assert rows(again["data"].select("website", "email")) == first
+
+
 def test_same_site_in_two_files_stays_in_both(spark, tmp_path):
     for name in ("a.csv", "b.csv"):
         put(tmp_path / "in", name, "web\na.com\nA.com\n")
@@ -134,11 +202,15 @@ def test_report_round_trip(spark, tmp_path):
 
 def test_replace_in_place(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(10).write.parquet(path)
+    writers.replace_in_place(spark.range(10), path)
     for _ in range(2):
-        writers.replace_in_place(spark.read.parquet(path).selectExpr("id + 1 AS id"), path)
-    assert sorted(r[0] for r in spark.read.parquet(path).collect()) == list(range(2, 12))
-    assert os.listdir(tmp_path) == ["t"]
+        writers.replace_in_place(writers.read_current(spark, path).selectExpr("id + 1 AS id"), path)
+    assert sorted(r[0] for r in writers.read_current(spark, path).collect()) == list(range(2, 12))
+    # A version that was never finished is not seen, and is written anew.
+    spark.range(3).write.parquet(f"{path}/v4")
+    assert writers.read_current(spark, path).count() == 10
+    writers.replace_in_place(writers.read_current(spark, path).limit(4), path)
+    assert writers.read_current(spark, path).count() == 4
 
 
 def test_notice_table(spark):
@@ -222,8 +294,28 @@ def test_extract_job_resumes_and_prefers_the_last_fetch(spark):
         listings, pages, "row_id", notice="a\nb", attempts=attempts, page_order=F.col("n")
     )
     assert set(report) == {"data", "statistics", "sectors", "copyright"}
-    assert rows(report["data"].select("row_id", "email")) == [(1, "new@a.b"), (2, "c@c.d")]
-    assert rows(report["sectors"]) == [("s", 2)]
+    assert rows(report["data"].select("row_id", "email")) == [(1, "new@a.b"), (2, "c@c.d"), (3, None)]
+    assert rows(report["sectors"]) == [("s", 2), ("t", 1)]
+    stored = spark.createDataFrame([(3, "kept@a.b"), (3, "kept@a.b"), (9, "no@no.no")], "row_id int, email string")
+    again = flows.extract_job(listings, pages, "row_id", attempts=attempts, stored=stored, page_order=F.col("n"))["data"]
+    assert rows(again.select("row_id", "email")) == [(1, "new@a.b"), (2, "c@c.d"), (3, "kept@a.b")]
+
+
+def test_pages_that_nobody_asks_for_are_not_scanned(spark):
+    pages = spark.createDataFrame([("https://a.b", "x@a.b"), ("https://z.z", "z@z.z")], "url string, html string")
+    listings = spark.createDataFrame([(1, " https://a.b "), (2, None)], "row_id int, website string")
+    data = flows.extract_data(listings, pages, "row_id")
+    assert rows(data.select("row_id", "email")) == [(1, "x@a.b"), (2, None)]
+
+
+def test_a_site_fetched_twice_keeps_one_row(spark):
+    contacts = spark.createDataFrame(
+        [("https://a.b", ["x@a.b"], [], [], [], [])] * 2 + [("https://a.b", ["a@a.b"], [], [], [], [])],
+        "website string, email array<string>, facebook array<string>, instagram array<string>, linkedin array<string>, x array<string>",
+    )
+    listings = spark.createDataFrame([(1, "https://a.b")], "row_id int, website string")
+    out = contact_ops.attach_contacts(listings, contacts, "row_id")
+    assert rows(out.select("row_id", "email")) == [(1, "x@a.b")]
 
 
 def test_auto_flow_keeps_the_file_name(spark):
