@@ -11,6 +11,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,7 @@ from listwright.operators.dedupe import latest_per_key
 from listwright.operators.metrics import metric_alerts
 from listwright.operators.progress import progress_counters, with_speed
 from listwright.sources.readers import CSV_GLOB, PAGE_SCHEMA, _csv_options, _drop_long_lines, _listing_schema
+from listwright.sources.writers import read_current, replace_in_place
 
 EVERYTHING: dict[str, Any] = {"availableNow": True}
 
@@ -97,8 +99,24 @@ def write_updates(
     )
 
 
+def _updates(spark: SparkSession, path: str) -> DataFrame:
+    """The log since it was last compacted, and what was compacted; older batches are not read."""
+    batches = spark.read.parquet(path)
+    try:
+        held = read_current(spark, f"{path}.compact")
+    except AnalysisException:
+        return batches
+    upto = held.agg(F.max("batch_id")).first()[0]
+    return batches.where(F.col("batch_id") > (-1 if upto is None else upto)).unionByName(held)
+
+
 def read_updates(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), keys, F.col("batch_id")).drop("batch_id")
+    return latest_per_key(_updates(spark, path), keys, F.col("batch_id")).drop("batch_id")
+
+
+def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
+    """Store the current state beside the log; readers then leave the older batches alone."""
+    replace_in_place(latest_per_key(_updates(spark, path), keys, F.col("batch_id")), f"{path}.compact")
 
 
 def attempt_state_stream(attempts: DataFrame, path: str, checkpoint: str, **options: Any) -> StreamingQuery:

@@ -248,6 +248,11 @@ def test_progress_stream_equals_batch(spark, tables, tmp_path):
     streams.progress_stream(log, f"{base}/out", f"{base}/cp").awaitTermination()
     want = throughput(tables.attempts)
     assert rows(streams.read_progress(spark, f"{base}/out").select(want.columns)) == rows(want)
+    for _ in range(2):
+        streams.compact_updates(spark, f"{base}/out", ["job_name"])
+        assert rows(streams.read_progress(spark, f"{base}/out").select(want.columns)) == rows(want)
+    plan = streams.read_progress(spark, f"{base}/out")._jdf.queryExecution().executedPlan().toString()
+    assert "batch_id" in plan and "PartitionFilters: [isnotnull(batch_id" in plan
 
 
 def test_ttl_dedupe_drops_repeats(spark, tmp_path):
