@@ -8,6 +8,7 @@ from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from listwright.session import materialize, shared_dir
 
@@ -39,8 +40,19 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+BROADCAST_ROWS = 500_000
+
+
+def beside(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A stored table of short rows for a join with texts: broadcast while it has at most ``limit`` rows.
+
+    Beyond that the join is left to Spark, which shuffles the texts.
+    """
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-__all__ = ["QUERIES", "SQL", "materialize", "on_workers", "query", "shared_dir", "table"]
+__all__ = ["QUERIES", "SQL", "beside", "materialize", "on_workers", "query", "shared_dir", "table"]

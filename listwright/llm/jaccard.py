@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import SQL, materialize, query, table
+from listwright.llm.common import SQL, beside, materialize, query, table
 from listwright.llm.components import components
 
 N, PERCENT = 5, 80
@@ -335,7 +335,7 @@ def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, n: i
     totals = grouped.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("classes"), F.min("class").alias("hub")).where("classes > 1")
     parts = F.ceil(F.col("total") / PART_NGRAMS).cast("int")
     wanted = materialize(grouped.join(totals, "component").select("component", "class", "n", "known", "d", "h", "hub", parts.alias("parts")), "wanted")
-    texts = source(docs).join(wanted, ["known", "d", "h"]).select("component", "class", "n", "hub", "parts", "text")
+    texts = source(docs).join(beside(wanted), ["known", "d", "h"]).select("component", "class", "n", "hub", "parts", "text")
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     if wanted.where("parts > 1").isEmpty():
         return materialize(compare(texts.withColumn("label", F.col("class")), ["component"], n, percent), "links")
