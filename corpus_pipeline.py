@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, on_workers, table
+from listwright.llm.common import beside, materialize, on_workers, table
 from listwright.llm.decontamination import decontaminate
 from listwright.llm.jaccard import jaccard_components
 from listwright.llm.lines import dedup_lines
@@ -56,6 +56,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     some = materialize(found.where("n_shingles > 0"), "near-copies")
     stays = some.groupBy("component").agg(F.min(first).alias("first"))
     gone = some.join(stays, "component").where(first != F.col("first")).select(F.struct("doc_id", "h").alias("__lw_doc")).distinct()
+    gone = beside(materialize(gone, "gone"))
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     kept = docs.withColumn("__lw_doc", key)
     kept = kept.join(gone, kept["__lw_doc"].eqNullSafe(gone["__lw_doc"]), "left_anti")
