@@ -201,7 +201,7 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def candidate_links(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
     """``a, b``: classes (the first number of their sign) that follow one another at a prefix n-gram."""
-    bits = min(16, max(0, int(total // BUCKET_NGRAMS).bit_length()))
+    bits = min(28, int(total // BUCKET_NGRAMS).bit_length())
 
     def prefixes(group: pd.DataFrame) -> pd.DataFrame:
         own = group["payload"][group["bucket"] < 0].iloc[0]
