@@ -50,7 +50,7 @@ PART_WORDS = 96
 BLOCK_PARTS = 8
 UNDECIDING = 0.25
 FEWEST_WORDS = 8
-INDEX_CHARS = 50_000_000
+INDEX_CHARS = 4_000_000
 PIECE_CHARS = 1_000_000
 CELLS = 4_000_000  # passages times blocks looked at together
 
