@@ -122,6 +122,8 @@ def copied_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     intervals = materialize(intervals, "intervals")
     same = ["size", "r1", "r2"]
     first = intervals.groupBy(*same).agg(F.min(F.struct(*DOC, "a")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    # As a table of its own, so that Spark can split the intervals of a very common run in the join.
+    first = materialize(first, "firsts")
     copies = intervals.join(first, same).where(F.struct(*DOC, "a") != F.col("first"))
     reach = copies.groupBy(*DOC, F.col("a").alias("s")).agg(F.max("e").alias("e"))
     so_far = Window.partitionBy(*DOC).orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
