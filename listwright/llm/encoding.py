@@ -4,6 +4,8 @@ Common tokenizers cut a text into words before they merge, and no token spans
 such a cut. Words repeat, so a worker keeps the ids of the words it has met
 and asks the tokenizers library only for new ones. Which cuts are safe follows
 from the file's own rules; a file with other rules is applied to whole texts.
+The library takes the file's added tokens out of a text first, so a text is cut
+around these before anything else.
 """
 
 from __future__ import annotations
@@ -35,17 +37,24 @@ class Places(dict):
 
 
 class Encoder:
-    """``encode(texts)`` gives all ids, one after the other, and how many each text has."""
+    """``encode(texts)`` gives all ids, one after the other, and how many each text has.
 
-    def __init__(self, path: str, words: int = CACHED_WORDS):
+    ``special_as_text``: the names of special tokens in a text are ordinary text
+    (the library's ``encode_special_tokens``) and not these tokens.
+    """
+
+    def __init__(self, path: str, words: int = CACHED_WORDS, special_as_text: bool = True):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model, self.words = self.tokenizer.model, words
         self.tails = {x: [y.id for y in self.model.tokenize(x)] for x in (".", ",")}
-        self.cut = safe_cut(json.loads(self.tokenizer.to_str()))
+        rules = json.loads(self.tokenizer.to_str())
+        self.cut = safe_cut(rules)
+        added = [x["content"] for x in rules.get("added_tokens") or [] if not (special_as_text and x["special"])]
+        self.added = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.clear()
 
     def clear(self) -> None:
@@ -83,7 +92,11 @@ class Encoder:
             self.clear()
         units, bounds = [], [0]
         for text in texts:
-            units += self.cut(text)
+            if self.added and self.added.search(text):
+                for k, part in enumerate(self.added.split(text)):
+                    units += [part] if k % 2 else self.cut(part)
+            else:
+                units += self.cut(text)
             bounds.append(len(units))
         at = np.array(self._places(units), np.int64)
         lengths = self.counts[at]
@@ -144,9 +157,9 @@ ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's own encoder for a file; it outlives a task, so its words serve the next."""
+    """The worker's own encoder for a file, with the library's ids; it outlives a task, so its words serve the next."""
     if path not in ENCODERS:
-        ENCODERS[path] = Encoder(path)
+        ENCODERS[path] = Encoder(path, special_as_text=False)
     return ENCODERS[path]
 
 
@@ -163,6 +176,10 @@ def safe_cut(rules: dict):
     before, change = rules.get("pre_tokenizer") or {}, rules.get("normalizer")
     if rules.get("post_processor") or rules.get("truncation") or rules.get("padding"):
         return None
+    # Added tokens that depend on what stands beside them, or on the normalized text, need the whole text.
+    for x in rules.get("added_tokens") or []:
+        if x["normalized"] or x["single_word"] or x["lstrip"] or x["rstrip"] or not x["content"] or any(c.isspace() for c in x["content"]):
+            return None
     if before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space") and not change:
         return cut_keeping_spaces
     steps = [x.get("type") for x in (change or {}).get("normalizers", [])]

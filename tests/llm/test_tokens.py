@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from listwright.llm import packed, packing
+from listwright.llm import encoding, packed, packing
 from listwright.llm.common import shared_dir
 from listwright.llm.encoding import Encoder
 from tests.conftest import SF
@@ -180,3 +180,38 @@ def test_patterns_fill_a_sequence():
     found = packing.patterns(9)
     assert len(found) == len(set(found)) and all(sum(x) == 9 and list(x) == sorted(x, reverse=True) for x in found)
     assert (4, 3, 2) in found and (9,) in found and (5, 4) in found
+
+
+SPECIAL = [
+    "foo <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|>\n\n<|startoftext|> y. ", "<|ENDOFTEXT|> <|endoftext|",
+    "don<|endoftext|>'t  x", "é<|startoftext|>́ É", "two  <|endoftext|>  blanks", "<|end<|endoftext|>oftext|>", "plain text.", "\0<|endoftext|>\0", "", None,
+]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_special_tokens_are_the_librarys(path):
+    enc, plain = encoding.encoder(path), Tokenizer.from_file(path)
+    assert enc.cut is not None
+    assert plain.token_to_id("<|endoftext|>") in enc.encode(["foo <|endoftext|> x"])[0]
+    assert_same((enc, plain), SPECIAL)
+    assert_same((enc, plain), [*ODD, *(f"{x}<|endoftext|>{y}" for x in ODD for y in ODD)])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "|>", " ", "  ", "\n", "a", "B", "'s", "é", "\u0301", "Σ", ".", "1"]), max_size=9).map("".join), max_size=5))
+def test_special_tokens_anywhere(texts):
+    for path in (BYTES, WORDS):
+        assert_same((encoding.encoder(path), Tokenizer.from_file(path)), texts)
+
+
+def test_special_tokens_in_files_and_sequences(spark):
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(SPECIAL * 3)], "doc_id long, text string").repartition(3)
+    path = shared_dir(spark, "test-packed-special")
+    packed.write_packed(docs, path, BYTES, end_id=2)
+    plain, at = Tokenizer.from_file(BYTES), 0
+    for r in sorted(packed.read_packed(spark, path).collect(), key=lambda r: r["doc_id"]):
+        ids = [*plain.encode((SPECIAL * 3)[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+        assert (r["start"], r["n_tokens"], r["ids"], r["ids_crc32"]) == (at, len(ids), ids, zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    rows = packing.pack_documents(docs, WORDS, 0, 16).collect()
+    check_packing(rows, [tuple(r) for r in docs.collect()], 16, Tokenizer.from_file(WORDS), 0)
