@@ -5,8 +5,8 @@ takes effect:
 
 1. ``quality_classifier`` drops documents that score below the threshold.
 2. ``line_dedup`` deletes later copies of repeated runs of lines.
-3. ``ngram_jaccard_join`` keeps one document of each group of near copies, the
-   one with the smallest doc_id (one without a doc_id only if none has one).
+3. ``ngram_jaccard_join`` keeps one row of each group of near copies, one with
+   the smallest doc_id (one without a doc_id only if none has one).
 4. ``benchmark_decontamination`` drops documents that hold a test item.
 5. ``best_fit_packing`` gives every token a place in a sequence.
 
@@ -14,7 +14,8 @@ takes effect:
 so a lost executor never brings back an earlier stage.
 
 Defined cases are those of the operators; ``n_chars`` follows the text where the
-documents have it; rows equal in doc_id and text share their fate; documents without words are kept, as nothing is a copy of nothing.
+documents have it; rows equal in doc_id and text share their fate until stage 3 keeps one of them, the first by the other
+columns; documents without words are kept, as nothing is a copy of nothing.
 """
 
 from __future__ import annotations
@@ -47,8 +48,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
+def first_rows(rows: DataFrame, key: str) -> DataFrame:
+    """One row of those equal in ``key`` and text, the first by the other columns; combined before the shuffle, so a key may hold any share of the rows."""
+    others = [x for x in rows.columns if x not in (key, "text")]
+    ordered = [F.col(f"`{x}`") for x in others if "map<" not in rows.schema[x].dataType.simpleString()]
+    row = F.struct(*(F.col(f"`{x}`") for x in others))
+    return rows.groupBy(key, "text").agg(F.min_by(row, F.struct(*ordered)).alias("__lw_row")).select("text", *(F.col(f"__lw_row.`{x}`") for x in others))
+
+
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at a similarity of 0.8 or more."""
+    """One row of each group that five-word shingles link at a similarity of 0.8 or more."""
     on_workers(spark)
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")
     found = jaccard_components(docs, n=5, percent=80)
@@ -57,10 +66,19 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stays = some.groupBy("component").agg(F.min(first).alias("first"))
     gone = some.join(stays, "component").where(first != F.col("first")).select(F.struct("doc_id", "h").alias("__lw_doc")).distinct()
     gone = beside(materialize(gone, "gone"))
+    # Rows equal in doc_id and text all equal the first; the anti-join keeps every one.
+    again = some.groupBy("doc_id", "h").count().where("count > 1").select(F.struct("doc_id", "h").alias("__lw_doc"))
+    again = materialize(again, "again")
     key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     kept = docs.withColumn("__lw_doc", key)
     kept = kept.join(gone, kept["__lw_doc"].eqNullSafe(gone["__lw_doc"]), "left_anti")
-    return kept.select(*(F.col(f"`{x}`") for x in docs.columns))
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    if again.isEmpty():
+        return kept.select(*columns)
+    again = beside(again)
+    same = kept["__lw_doc"].eqNullSafe(again["__lw_doc"])
+    once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi")
+    return once.select(*columns).unionByName(first_rows(more, "__lw_doc").select(*columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

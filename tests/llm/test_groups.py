@@ -3,6 +3,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from listwright.llm import jaccard, lines
@@ -222,3 +223,27 @@ def test_stages_on_awkward_tables(spark, awkward, nothing):
             if name != "best_fit_packing":
                 assert docs.columns == before.columns
         assert docs.isEmpty() == before.isEmpty()
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice([f"w{k}" for k in range(400)], 30)) for _ in range(6)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(1, texts[0], k % 7) for k in range(60)] + [(8, texts[0], 0), (9, near, 0), (9, near, 1)]
+    rows += [(None, texts[1], k) for k in (3, 2, None)] + [(None, texts[2], 1), (2, texts[2], 6), (2, texts[2], 5)]
+    rows += [(3, texts[3], 1), (3, texts[4], 1), (4, texts[5], None), (4, texts[5], None)]
+    blank = [(None, None, 1), (None, None, 1), (5, "", 1), (5, "", 1), (5, " \n", 2)]
+    docs = spark.createDataFrame(rows + blank, "doc_id long, text string, n long").repartition(5)
+    docs = docs.withColumn("tags", F.create_map(F.lit("n"), "n")).select("tags", "doc_id", "n", "text")
+    got = corpus_pipeline.ngram_jaccard_join(spark, docs, SF)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    want = [(1, texts[0], 0), (None, texts[1], None), (2, texts[2], 5), (3, texts[3], 1), (3, texts[4], 1), (4, texts[5], None), *blank]
+    assert Counter((r["doc_id"], r["text"], r["n"]) for r in got.collect()) == Counter(want)
+    assert all(r["tags"] == {"n": r["n"]} for r in got.collect())
+
+
+def test_a_table_loaded_twice_gives_the_same_rows(spark, stages):
+    single = stages[3]
+    got = corpus_pipeline.ngram_jaccard_join(spark, stages[2].unionByName(stages[2]), SF)
+    wordless = Counter(tuple(r) for r in single.collect() if not (r["text"] or "").encode().split())
+    assert Counter(tuple(r) for r in got.collect()) == Counter(tuple(r) for r in single.collect()) + wordless
