@@ -12,12 +12,13 @@ the whole character for each token; these cuts are refined by the decoded bytes
 of the tokens.
 
 Neither tokenizer has a token across the beginning of a word (a blank or line
-feed after a visible character), so texts are aligned word by word, and a worker
-keeps the alignment of the words it has met. Two passes over the texts: the first
-counts the linked pairs of ids, the second sums these counts for each document.
-The counts are a table of at most the pairs of both vocabularies; workers look
-them up while there are at most ``LOOKED_UP`` of them, beyond that the documents'
-pairs are joined with them.
+feed after a visible character), so texts are aligned word by word, new words by
+the thousand at a time, and a worker keeps the alignment of the words it has met.
+One pass over the texts writes blocks of documents: their numbers, their words by
+number, and the linked pairs of the block's own words. Counts of pairs and sums of
+counts then come from the blocks. The counts are a table of at most the pairs of
+both vocabularies; tasks look them up while there are at most ``LOOKED_UP`` of
+them, beyond that each block is joined with the counts of its own pairs.
 
 Defined cases: texts that are null, empty, or that tokens of A or B do not spell
 (sentencepiece reads U+2581 as a blank) have no tokens, and all their numbers are
@@ -38,14 +39,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from listwright.llm.common import materialize, query, table
+from listwright.llm.common import materialize, query, shared_dir, table
 from listwright.llm.encoding import BYTES, OTHER_SPACES, Places, roomy
 
-LOOKED_UP = 2_000_000  # counted pairs that every worker holds (34 MB)
-CACHED_WORDS = 300_000
-LONG_WORD = 300  # characters of a word that is not kept
+LOOKED_UP = 2_000_000  # counted pairs that every task holds (34 MB)
+CACHED_WORDS = 500_000
+CACHED_CHARS = 20_000_000
+BLOCK_WORDS = 1_000_000
+BLOCK_CHARS = 16_000_000  # of groups as text
 SLICE_CHARS = 1_000_000
-ROWS_OUT = 1_000
 
 BEFORE_WORD = re.compile(r"(?<=[!-~\w])(?=[ \n])|(?<=[!-~\w]\n)(?=[!-~\w])")
 LETTERS = {letter: byte for byte, letter in BYTES.items()}
@@ -80,9 +82,9 @@ def slices(text: str, size: int) -> Iterator[str]:
 class Aligner:
     """The alignments of words by two tokenizers, each word aligned once.
 
-    ``place`` numbers words; the arrays hold, by number, tokens of A and B,
-    groups, links, whether both spell the word, and (``value``) what a lookup of
-    pair counts gives for it: links that are best for their B id, and the sum.
+    ``place`` numbers words; by number there are tokens of A and B, groups and
+    links (``counts``), whether both tokenizers spell the word (``ok``), its
+    groups as text, and in ``pool`` its linked pairs (``a << 32 | b``).
     """
 
     def __init__(self, byte_path: str, piece_path: str, words: int = CACHED_WORDS):
@@ -99,107 +101,180 @@ class Aligner:
         self.b_bytes = [bytes([int(x[3:-1], 16)]) if k in self.b_byte else x.replace("▁", " ").encode() for k, x in pieces]
         across = re.compile("[^▁]▁|.\n|\n.")
         self.cuts = not any(across.search(x) for k, x in pieces if k not in self.b_byte)
+        self.lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)), np.int64)
+        for k, x in self.a_bytes.items():
+            self.lengths[0][k] = len(x)
+        self.tails = {x: self.a.model.tokenize(x)[0].id for x in ".,;:!?"}
+        self.names = list(map(str, range(max(len(pieces), max(self.a_bytes) + 1))))
         self.words = words
         self.clear()
 
     def clear(self) -> None:
         self.place = Places()
+        self.chars = 0
         self.counts = np.zeros((1 << 12, 4), np.int64)
         self.ok = np.zeros(1 << 12, bool)
-        self.value = np.zeros((1 << 12, 2), np.int64)
+        self.starts = np.zeros(1 << 12, np.int64)
+        self.pool = np.zeros(1 << 14, np.uint64)
+        self.used = 0
         self.groups: list[bytes] = []
-        self.pairs: list[np.ndarray] = []
 
-    def a_spans(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids and byte ends of A's tokens: character offsets, refined by decoded bytes inside a character."""
-        out = []
-        for word, x in zip(words, self.a.encode_batch(words, add_special_tokens=False), strict=True):
-            ids, spans = x.ids, x.offsets
+    def a_spans(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """Ids, byte ends and number of A's tokens, word by word: offsets, refined by decoded bytes inside a character.
+
+        A word of letters is one piece of A's rules, a sign behind it another, and
+        goes to its merges at once; their offsets count letters that stand for bytes.
+        """
+        tokenize, tails = self.a.model.tokenize, self.tails
+        cores = [w[:-1] if w[-1:] in tails and w.isascii() else w for w in words]
+        plain = [w.isascii() and (w[1:].isalpha() if w[:1] == " " else w.isalpha()) for w in cores]
+        rest = iter(self.a.encode_batch([w for w, x in zip(words, plain, strict=True) if not x], add_special_tokens=False))
+        ids: list[int] = []
+        ends: list[int] = []
+        sizes: list[int] = []
+        for word, core, is_plain in zip(words, cores, plain, strict=True):
+            if is_plain:
+                lead = core[0] == " "  # the letter for a blank takes two bytes
+                found = tokenize(BYTES[32] + core[1:] if lead else core)
+                ids += [x.id for x in found]
+                ends += [x.offsets[1] - lead for x in found]
+                if len(core) < len(word):
+                    ids.append(tails[word[-1]])
+                    ends.append(len(word))
+                sizes.append(len(found) + (len(core) < len(word)))
+                continue
+            x = next(rest)
+            own, spans = x.ids, x.offsets
+            ids += own
+            sizes.append(len(own))
             if word.isascii():
-                out.append((ids, [end for _, end in spans]))
+                ends += [end for _, end in spans]
                 continue
-            at, bytes_before = 0, [0]
+            at, before = 0, [0]
             for c in word:
-                at += len(c.encode())
-                bytes_before.append(at)
-            ends, at = [], 0
+                at += len(c.encode("utf-8", "surrogatepass"))
+                before.append(at)
+            at = 0
             for k, (_, end) in enumerate(spans):
                 inside = k + 1 < len(spans) and spans[k + 1][0] < end
-                at = at + len(self.a_bytes[ids[k]]) if inside else bytes_before[end]
+                at = at + len(self.a_bytes[own[k]]) if inside else before[end]
                 ends.append(at)
-            out.append((ids, ends))
-        return out
+        return ids, ends, sizes
 
-    def b_spans(self, word: str) -> tuple[list[int], list[int]]:
-        """Ids and byte ends of B's tokens: the proto's spans, refined byte by byte for byte tokens.
+    def b_spans(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+        """Ids, byte ends and number of B's tokens, word by word: the proto's spans, refined byte by byte for byte tokens.
 
         The model adds a blank before what it is given; a line feed, which merges
         with nothing, parts it off again.
         """
-        found = self.b.encode("\n" + word, return_type="proto").pieces[2:]
-        ids, ends, at = [], [], 0
-        for x in found:
-            at = at + 1 if x.id in self.b_byte else x.end - 1
-            ids.append(x.id)
-            ends.append(at)
-        return ids, ends
-
-    def align(self, words: list[str]) -> Iterator[tuple[tuple, bytes, np.ndarray]]:
-        """Counts, groups and linked pairs (``a << 32 | b``) of each word; no counts where a tokenizer does not spell it."""
-        for word, (a, a_ends) in zip(words, self.a_spans(words), strict=True):
-            raw = word.encode("utf-8", "surrogatepass")
-            b, b_ends = self.b_spans(word)
-            spelt = b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            if not spelt or not a or not b or a_ends[-1] != len(raw) or b_ends[-1] != len(raw):
-                yield None, b"", np.zeros(0, np.uint64)
-                continue
-            i = j = first_a = first_b = 0
-            pairs, groups = [], []
-            while i < len(a):
-                pairs.append(a[i] << 32 | b[j])
-                x, y = a_ends[i], b_ends[j]
-                i += x <= y
-                j += y <= x
-                if x == y:
-                    groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-                    first_a, first_b = i, j
-            yield (len(a), len(b), len(groups), len(pairs)), ";".join(groups).encode(), np.array(pairs, np.uint64)
-
-    def numbers(self, words: list[str], value=None) -> np.ndarray:
-        """The words' numbers; new words are aligned. ``value(pairs)`` gives what a lookup has for a word's pairs."""
+        ids: list[int] = []
+        ends: list[int] = []
+        sizes: list[int] = []
+        raw = self.b_byte
+        for proto in self.b.encode(["\n" + w for w in words], return_type="proto", num_threads=1):
+            found = proto.pieces[2:]
+            own = [x.id for x in found]
+            to = [x.end - 1 for x in found]
+            if not raw.isdisjoint(own):
+                at = 0
+                for k, x in enumerate(own):
+                    at = at + 1 if x in raw else to[k]
+                    to[k] = at
+            ids += own
+            ends += to
+            sizes.append(len(own))
+        return ids, ends, sizes
+
+    def align(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Whether both tokenizers spell each word, counts, groups as text, and the linked pairs of all words in order."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        spans = self.a_spans(words), self.b_spans(words)
+        n, lengths = len(words), np.array(list(map(len, raw)), np.int64)
+        base = np.cumsum(lengths) - lengths
+        ok = lengths > 0
+        ids, ends, owners = [], [], []
+        whole = b"".join(raw)
+        for (own, to, sizes), spell, size_of in zip(spans, (self.a_bytes.__getitem__, self.b_bytes.__getitem__), self.lengths, strict=True):
+            ids.append(np.array(own, np.int64))
+            owners.append(np.repeat(np.arange(n), sizes))
+            last = np.zeros(n, np.int64)
+            last[owners[-1]] = to
+            ok &= (last == lengths) & (np.bincount(owners[-1], size_of[ids[-1]], n) == lengths)
+            if b"".join(map(spell, own)) != whole:
+                at = 0
+                for k, size in enumerate(sizes):
+                    ok[k] &= b"".join(map(spell, own[at : at + size])) == raw[k]
+                    at += size
+            ends.append(np.array(to, np.int64) + base[owners[-1]])
+        # Words that are not spelt have no tokens; of all others the ends are places in one long text.
+        for k in (0, 1):
+            some = ok[owners[k]]
+            ids[k], ends[k], owners[k] = ids[k][some], ends[k][some], owners[k][some]
+        cuts = np.intersect1d(ends[0], ends[1], assume_unique=True)
+        every = np.union1d(ends[0], ends[1])
+        left, right = np.searchsorted(ends[0], every), np.searchsorted(ends[1], every)
+        pairs = (ids[0][left] << 32 | ids[1][right]).astype(np.uint64)
+        counts = np.zeros((n, 4), np.int64)
+        counts[:, 0], counts[:, 1] = np.bincount(owners[0], minlength=n), np.bincount(owners[1], minlength=n)
+        counts[:, 2] = np.bincount(owners[0][np.searchsorted(ends[0], cuts)], minlength=n)
+        counts[:, 3] = np.bincount(owners[0][left], minlength=n)
+        # Groups as text: the ids between cuts.
+        names = self.names
+        shown = [[names[x] for x in i.tolist()] for i in ids]
+        to_a, to_b = (np.searchsorted(x, cuts, "right").tolist() for x in ends)
+        parts, a, b = [], 0, 0
+        for x, y in zip(to_a, to_b, strict=True):
+            parts.append((shown[0][a] if x == a + 1 else ",".join(shown[0][a:x])) + "|" + (shown[1][b] if y == b + 1 else ",".join(shown[1][b:y])))
+            a, b = x, y
+        groups, at = [], 0
+        for k in counts[:, 2].tolist():
+            groups.append(";".join(parts[at : at + k]).encode() if k != 1 else parts[at].encode())
+            at += k
+        return ok, counts, groups, pairs
+
+    def numbers(self, words: list[str]) -> np.ndarray:
+        """The words' numbers; new words are aligned."""
         new = self.place.new
         at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
         if new:
             first, size = len(self.place) - len(new), len(self.place)
+            ok, counts, groups, pairs = self.align(new)
             if size > len(self.ok):
-                rows = 2 * size
-                self.counts, self.value = (np.concatenate([x, np.zeros((rows - len(x), x.shape[1]), np.int64)]) for x in (self.counts, self.value))
-                self.ok = roomy(self.ok, rows)
-            for k, (counts, groups, pairs) in enumerate(self.align(new), first):
-                self.ok[k] = counts is not None
-                self.counts[k] = counts or 0
-                self.groups.append(groups)
-                self.pairs.append(pairs)
-                if value and counts:
-                    self.value[k] = value(pairs)
+                more = np.zeros((2 * size, 4), np.int64)
+                more[:first] = self.counts[:first]
+                self.counts = more
+            self.ok, self.starts = roomy(self.ok, len(self.counts)), roomy(self.starts, len(self.counts))
+            self.pool = roomy(self.pool, self.used + len(pairs))
+            self.ok[first:size], self.counts[first:size] = ok, counts
+            self.starts[first:size] = self.used + np.cumsum(counts[:, 3]) - counts[:, 3]
+            self.pool[self.used : self.used + len(pairs)] = pairs
+            self.used += len(pairs)
+            self.groups += groups
+            self.chars += sum(map(len, new))
             new.clear()
         return at
 
-    def read(self, text: str | None, value=None) -> Iterator[np.ndarray | None]:
-        """The numbers of a text's words, a slice at a time; None where a tokenizer does not spell it.
+    def full(self) -> bool:
+        return len(self.place) > self.words or self.chars > CACHED_CHARS
+
+    def read(self, texts: list[str | None]) -> list[list[np.ndarray]]:
+        """The numbers of each text's words, a slice of the text each; nothing where a tokenizer does not spell it."""
+        parts = [[] if not t else [words_of(x) for x in slices(" " + t, SLICE_CHARS)] if self.cuts else [[" " + t]] for t in texts]
+        at = self.numbers([w for own in parts for part in own for w in part])
+        out, done = [], 0
+        for own in parts:
+            found = []
+            for part in own:
+                found.append(at[done : done + len(part)])
+                done += len(part)
+            out.append(found if found and all(self.ok[x].all() for x in found) else [])
+        return out
 
-        Numbers hold until the next slice is asked for.
-        """
-        if not text:
-            yield None
-            return
-        for part in slices(" " + text, SLICE_CHARS) if self.cuts else [" " + text]:
-            if len(self.place) > self.words:
-                self.clear()
-            at = self.numbers(words_of(part) if self.cuts else [part], value)
-            yield at if self.ok[at].all() else None
-            if len(part) > LONG_WORD and len(at) * LONG_WORD < len(part):
-                self.clear()  # words of such a length are not worth their memory
+    def pairs_of(self, at: np.ndarray) -> np.ndarray:
+        """The linked pairs of words, one after the other."""
+        sizes = self.counts[at, 3]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
 ALIGNERS: dict[tuple[str, str], Aligner] = {}
@@ -212,119 +287,134 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return ALIGNERS[byte_path, piece_path]
 
 
+NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
+BLOCK = "block long, doc_id array<long>, numbers binary, groups array<string>, sizes binary, words binary, pair_sizes binary, pairs binary"
+
+
+def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> DataFrame:
+    """Blocks of aligned documents.
+
+    ``numbers`` are four counts a document, ``groups`` its groups as text or their
+    digest, ``sizes`` its number of words, ``words`` the words of all documents as
+    places in the block's list of different words, ``pair_sizes`` and ``pairs``
+    the linked pairs of these.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        own = aligner(byte_path, piece_path)
+        number = TaskContext.get().partitionId() << 33
+        held: list[tuple] = []
+        words = chars = 0
+
+        def close() -> pd.DataFrame:
+            nonlocal held, words, chars, number
+            flat = np.concatenate([np.zeros(0, np.int64), *(x for h in held for x in h[3])])
+            some, place = np.unique(flat, return_inverse=True)
+            row = (
+                number, [h[0] for h in held], np.concatenate([h[1] for h in held]).tobytes(), [h[2] for h in held],
+                np.array([sum(map(len, h[3])) for h in held], "<u4").tobytes(), place.astype("<u4").tobytes(),
+                own.counts[some, 3].astype("<u4").tobytes(), own.pairs_of(some).tobytes(),
+            )
+            held, words, chars, number = [], 0, 0, number + 1
+            return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCK.split(", ")])
+
+        def some_texts(batch: pd.DataFrame) -> Iterator[tuple[list, list]]:
+            ids, texts, size = [], [], 0
+            for known, doc_id, text in zip(batch["known"], batch["doc_id"], batch["text"], strict=True):
+                ids.append(int(doc_id) if known else None)
+                texts.append(text)
+                size += len(text or "")
+                if size >= SLICE_CHARS:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+            if ids:
+                yield ids, texts
+
+        for batch in batches:
+            for ids, texts in some_texts(batch):
+                if own.full():
+                    if held:
+                        yield close()
+                    own.clear()
+                for doc_id, found in zip(ids, own.read(texts), strict=True):
+                    numbers, digest, shown = np.zeros(4, np.int64), sha256(), []
+                    for k, at in enumerate(found):
+                        numbers += own.counts[at].sum(axis=0)
+                        text = (b";" if k else b"") + b";".join(map(own.groups.__getitem__, at.tolist()))
+                        if groups:
+                            shown.append(text)
+                        else:
+                            digest.update(text)
+                    told = "" if not found else b"".join(shown).decode() if groups else digest.hexdigest()
+                    held.append((doc_id, numbers, told, found))
+                    words += int(sum(map(len, found)))
+                    chars += len(told)
+                    if words > BLOCK_WORDS or chars > BLOCK_CHARS:
+                        yield close()
+        if held:
+            yield close()
+
+    known = F.col("doc_id").cast("long").isNotNull().alias("known")
+    columns = [known, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return docs.select(*columns).mapInPandas(read, BLOCK)
+
+
 def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs and how often they were met."""
-    if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    flat, n = np.concatenate(keys), np.concatenate(times)
+    flat, n = np.concatenate([np.zeros(0, np.uint64), *keys]), np.concatenate([np.zeros(0, np.int64), *times])
     found, place = np.unique(flat, return_inverse=True)
     return found, np.bincount(place, n, len(found)).astype(np.int64)
 
 
-def links_of(own: Aligner, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Different pairs of words by number (with repeats), and how often they are linked."""
-    at, times = np.unique(np.concatenate(parts), return_counts=True)
-    pairs = [own.pairs[k] for k in at.tolist()]
-    return summed(pairs, [np.repeat(times, [len(x) for x in pairs])])
+def block_pairs(row) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block's words and how often each word stands in its documents, a number a pair."""
+    sizes = np.frombuffer(row.pair_sizes, "<u4").astype(np.int64)
+    times = np.bincount(np.frombuffer(row.words, "<u4"), minlength=len(sizes))
+    return np.frombuffer(row.pairs, np.uint64), np.repeat(times, sizes)
 
 
-def pair_counts(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
-    """``a, b, links``: how often two ids are linked in all documents. Every task adds up its own first."""
+def pair_counts(found: DataFrame) -> DataFrame:
+    """``a, b, links``: how often two ids are linked in all blocks. Every task adds up its own first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = aligner(byte_path, piece_path)
-        keys: list[np.ndarray] = []
-        times: list[np.ndarray] = []
-        held = 0
+        keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                # A text counts as a whole or not at all, so its links are taken when it ends.
-                found, some = [], []
-                for at in own.read(text):
-                    if at is None:
-                        found = []
-                        break
-                    some.append(at)
-                    found.append(links_of(own, some))
-                    some = []
-                for k, n in found:
-                    keys.append(k)
-                    times.append(n)
-                    held += len(k)
-            if held > 4_000_000:
-                k, n = summed(keys, times)
-                keys, times, held = [k], [n], len(k)
-                if held > 2_000_000:
-                    yield rows(k, n)
-                    keys, times, held = [], [], 0
-        yield rows(*summed(keys, times))
+            for row in batch.itertuples(index=False):
+                more, n = summed(*([x] for x in block_pairs(row)))
+                keys, times = summed([keys, more], [times, n])
+                if len(keys) > 4_000_000:
+                    yield rows(keys, times)
+                    keys, times = keys[:0], times[:0]
+        yield rows(keys, times)
 
     def rows(keys: np.ndarray, times: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({"a": (keys >> np.uint64(32)).astype(np.int64), "b": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "links": times})
 
-    text = F.col("text").cast("string").alias("text")
-    return docs.select(text).mapInPandas(count, "a long, b long, links long").groupBy("a", "b").agg(F.sum("links").alias("links"))
-
-
-NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
-
+    counted = found.select("words", "pair_sizes", "pairs").mapInPandas(count, "a long, b long, links long")
+    return counted.groupBy("a", "b").agg(F.sum("links").alias("links"))
 
-def described(docs: DataFrame, byte_path: str, piece_path: str, lookup=None, groups: bool = False, pairs: bool = False) -> DataFrame:
-    """A row for each document: its numbers, its groups as text or their digest, with its pairs or with what a lookup has for them.
 
-    ``lookup`` is a broadcast of pairs in order, their counts, and which are best for their B id.
-    """
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
 
-        own = aligner(byte_path, piece_path)
-        value = None
-        if lookup is not None:
-            known, links, best = lookup.value
-            own.clear()  # what it holds may be of another lookup
-
-            def value(found: np.ndarray) -> tuple[int, int]:
-                at = np.searchsorted(known, found)
-                return int(best[at].sum()), int(links[at].sum())
-
-        row = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for at in range(0, len(batch), ROWS_OUT):
-                some = batch.iloc[at : at + ROWS_OUT]
-                out = [one(own, text, value) for text in some["text"]]
-                yield pd.DataFrame({
-                    "row": np.arange(row, row + len(some)), "doc_id": some["doc_id"].array,
-                    **{name: [x[0][k] for x in out] for k, name in enumerate([*NUMBERS, "n_best", "count_sum"])},
-                    "groups": [x[1] for x in out], "pairs": [x[2] for x in out],
-                })
-                row += len(some)
-
-    def one(own: Aligner, text: str | None, value) -> tuple[list[int], str, list | None]:
-        numbers, digest, spelt, between = np.zeros(6, np.int64), sha256(), [], b""
-        met: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in own.read(text, value):
-            if at is None:
-                return [0] * 6, "", [] if pairs else None
-            numbers[:4] += own.counts[at].sum(axis=0)
-            numbers[4:] += own.value[at].sum(axis=0)
-            shown = between + b";".join(map(own.groups.__getitem__, at.tolist()))
-            if groups:
-                spelt.append(shown)
-            else:
-                digest.update(shown)
-            between = b";"
-            if pairs:
-                met.append(links_of(own, [at]))
-        linked = None
-        if pairs:
-            k, n = summed([x for x, _ in met], [x for _, x in met])
-            linked = [{"a": int(x) >> 32, "b": int(x) & 0xFFFFFFFF, "n": int(y)} for x, y in zip(k, n, strict=True)]
-        return numbers.tolist(), b"".join(spelt).decode() if groups else digest.hexdigest(), linked
-
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    schema = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string, pairs array<struct<a:long,b:long,n:long>>"
-    return docs.select(*columns).mapInPandas(describe, schema)
+def counted_rows(row, known: np.ndarray, links: np.ndarray, best: np.ndarray) -> pd.DataFrame:
+    """The documents of a block, with the sums over their links by a lookup (pairs in order, their counts, which are best)."""
+    pairs, sizes = np.frombuffer(row.pairs, np.uint64), np.frombuffer(row.pair_sizes, "<u4").astype(np.int64)
+    at = np.searchsorted(known, pairs)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    value = np.zeros((len(sizes) + 1, 2), np.int64)
+    np.add.at(value[:, 0], word, best[at])
+    np.add.at(value[:, 1], word, links[at])
+    words = np.frombuffer(row.words, "<u4").astype(np.int64)
+    ends = np.cumsum(np.frombuffer(row.sizes, "<u4").astype(np.int64))
+    sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(value[words], axis=0)])
+    own = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+    out = pd.DataFrame(np.frombuffer(row.numbers, np.int64).reshape(-1, 4), columns=NUMBERS)
+    out.insert(0, "doc_id", pd.array([None if x is None or x != x else int(x) for x in row.doc_id], "Int64"))
+    out["n_best"], out["count_sum"], out["groups"] = own[:, 0], own[:, 1], list(row.groups)
+    return out
 
 
 def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bool = True, looked_up: int = LOOKED_UP) -> DataFrame:
@@ -332,27 +422,46 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bo
 
     ``groups`` are the ids of A and B that spell the same bytes, as text
     (``a1,a2|b1;a3|b2,b3``), or with ``groups=False`` the sha256 of that text
-    ('' without tokens). ``n_best`` counts links whose ids are linked more often
-    than the B id with any other, ``count_sum`` adds up how often each link's ids
-    are linked in all documents.
+    ('' without tokens). ``n_best`` counts links whose ids are linked as often as
+    the B id is with any, ``count_sum`` adds up how often each link's ids are
+    linked in all documents.
     """
     spark = docs.sparkSession
-    counted = materialize(pair_counts(docs, byte_path, piece_path), "pairs")
-    columns = ["doc_id", *NUMBERS, "n_best", "count_sum", "groups"]
+    path = shared_dir(spark, "aligned")
+    blocks(docs, byte_path, piece_path, groups).write.option("compression", "zstd").parquet(path)
+    found = spark.read.schema(BLOCK).parquet(path)
+    counted = materialize(pair_counts(found), "pairs")
     if counted.count() <= looked_up:
         held = counted.toPandas()
         key = held["a"].to_numpy(np.uint64) << np.uint64(32) | held["b"].to_numpy(np.uint64)
         best = held["links"] == held.groupby("b")["links"].transform("max")
         order = np.argsort(key)
-        lookup = spark.sparkContext.broadcast((key[order], held["links"].to_numpy(np.int64)[order], best.to_numpy(bool)[order]))
-        return described(docs, byte_path, piece_path, lookup, groups).select(*columns)
+        lookup = spark.sparkContext.broadcast((key[order], held["links"].to_numpy(np.int64)[order], best.to_numpy(np.int64)[order]))
+
+        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    yield counted_rows(row, *lookup.value)
+
+        return found.mapInPandas(look_up, ALIGNED)
     most = counted.groupBy("b").agg(F.max("links").alias("most"))
-    counted = materialize(counted.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).alias("best")), "best-pairs")
-    rows = materialize(described(docs, byte_path, piece_path, None, groups, pairs=True), "aligned")
-    own = rows.select("row", F.explode("pairs").alias("x")).select("row", "x.*").join(counted, ["a", "b"])
-    sums = own.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("links")).alias("count_sum"))
-    joined = rows.drop("n_best", "count_sum", "pairs").join(sums, "row", "left")
-    return joined.withColumns({x: F.coalesce(x, F.lit(0)) for x in ("n_best", "count_sum")}).select(*columns)
+    counted = counted.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).cast("long").alias("best"))
+
+    def different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                keys = np.unique(np.frombuffer(row.pairs, np.uint64))
+                yield pd.DataFrame({"block": row.block, "a": (keys >> np.uint64(32)).astype(np.int64), "b": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)})
+
+    own = found.select("block", "pairs").mapInPandas(different, "block long, a long, b long").join(counted, ["a", "b"])
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        key = right["a"].to_numpy(np.uint64) << np.uint64(32) | right["b"].to_numpy(np.uint64)
+        order = np.argsort(key)
+        lookup = key[order], right["links"].to_numpy(np.int64)[order], right["best"].to_numpy(np.int64)[order]
+        return pd.concat([counted_rows(row, *lookup) for row in left.itertuples(index=False)])
+
+    return found.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(meet, ALIGNED)
 
 
 @query
