@@ -58,6 +58,7 @@ CONTACT_COLUMNS = ["email"] + SOCIAL_NETWORKS
 DATA_SHEET = "data"
 STATS_SHEET = "statistics"
 SECTORS_SHEET = "sectors"
+ERRORS_SHEET = "errors"
 NOTICE_SHEET = "copyright"
 
 # Limits.

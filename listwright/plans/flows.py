@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from listwright.config import (
     CONTACT_COLUMNS,
     DATA_SHEET,
+    ERRORS_SHEET,
     NA_VALUES,
     NOTICE_SHEET,
     SECTORS_SHEET,
@@ -33,7 +34,7 @@ from listwright.operators.stats import (
     top_sectors,
 )
 from listwright.session import materialize
-from listwright.sources.readers import read_as_written, read_listing_folder
+from listwright.sources.readers import read_as_written, read_listing_folder, read_listing_folder_isolated
 from listwright.sources.writers import (
     copy_other_sheets,
     notice_table,
@@ -240,7 +241,8 @@ def _with_sheets(report: Report, path: str) -> Report:
 
 
 def auto_flow(
-    data: DataFrame, tokens: Iterable[str] | DataFrame, source: str = "source_file", row_key: str | None = None, **options: bool
+    data: DataFrame, tokens: Iterable[str] | DataFrame, source: str = "source_file", row_key: str | None = None,
+    keep: Iterable[str] = (), **options: bool
 ) -> Report:
     """Exclude and mask every file of a folder at once; statistics come per file.
 
@@ -248,6 +250,23 @@ def auto_flow(
     """
     excluded = exclude_data(data, tokens, row_key)
     return {
-        DATA_SHEET: mask_sweep(excluded, keep=[source], **options),
+        DATA_SHEET: mask_sweep(excluded, keep=[source, *keep], **options),
         STATS_SHEET: contact_stats_by(excluded, source),
     }
+
+
+def auto_flow_folder(
+    spark: SparkSession, folder: str, tokens: Iterable[str] | DataFrame, na_values: list[str] = NA_VALUES,
+    skip: DataFrame | list[str] | None = None, **options: bool,
+) -> Report:
+    """:func:`auto_flow` of all listing files of a folder; one that fails is left out and the others go on.
+
+    Sheet ``errors`` has ``source_file, stage, error`` of the files left out:
+    ``open`` (not readable at all), ``header`` (none, or no known column), ``read``
+    (bytes that are no text, a quote that is never closed).
+    """
+    rows, errors = read_listing_folder_isolated(spark, folder, na_values, skip)
+    place = F.concat_ws("\n", "source_file", F.col("ordinal.block").cast("string"), F.col("ordinal.line").cast("string"))
+    keyed = rows.withColumn("listing_id", F.sha2(place, 256)).drop("ordinal")
+    report = auto_flow(keyed, tokens, row_key="listing_id", keep=["listing_id"], **options)
+    return {**report, ERRORS_SHEET: errors}

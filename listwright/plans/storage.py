@@ -95,6 +95,31 @@ def raw_folder(t: Tables) -> str:
     return folder
 
 
+def raw_lines(lines: DataFrame, folder: str) -> None:
+    """A column of text as CSV files, line by line as it is."""
+    lines.coalesce(1).write.options(
+        header="false", sep="\u0001", quote="\u0002", escapeQuotes="false", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false"
+    ).csv(folder)
+
+
+def mixed_files(t: Tables, folder: str, contacts: DataFrame, broken: bool = True) -> str:
+    """Contacts as CSV files under two headers, a sub-folder per country; beside them a truncated, a binary and a header-less file."""
+    options = dict(header="true", escape='"', emptyValue="", ignoreLeadingWhiteSpace="false", ignoreTrailingWhiteSpace="false")
+    spanish = contacts.where("row_id % 3 = 0").select("country", "row_id", *[F.col(c).alias(h) for c, h in zip(FIELDS, HEADERS)])
+    english = contacts.where("row_id % 3 <> 0").select(
+        "country", F.col("phone").alias("Phone"), F.col("website").alias("Web"), "reviews", F.col("email").alias("Mail"), "row_id", "name", F.col("address").alias("Dir."),
+    )
+    for name, rows in (("es", spanish), ("en", english)):
+        rows.hint("rebalance", "country").write.partitionBy("country").options(**options).csv(f"{folder}/{name}")
+    if broken:
+        names = t.table("supplier").select(F.concat_ws(",", "s_name", "s_suppkey").alias("line"))
+        head = t.spark.createDataFrame([("name,website",)], "line string")
+        raw_lines(names, f"{folder}/headless")
+        raw_lines(head.unionAll(names).unionAll(t.spark.createDataFrame([('cut,"in the mid',)], "line string")), f"{folder}/truncated")
+        raw_lines(head.unionAll(names).unionAll(t.spark.createDataFrame([("a\0b,\0\0",)], "line string")), f"{folder}/binary")
+    return folder
+
+
 def country_of(path: str) -> Column:
     return F.regexp_extract(path, "country=([^/]+)/", 1).alias("country")
 
@@ -246,15 +271,17 @@ def stream_of(t: Tables, df: DataFrame, name: str, files: int | None = None) ->
     return streams.parquet_stream(t.spark, folder, ddl(df), 2 if files else None), out, checkpoint
 
 
-@query(f"WITH {READ} SELECT name, website, email, country FROM listings", "contacts")
+@query(f"WITH {READ} SELECT name, website, email, phone, reviews, country FROM listings", "contacts")
 def listing_stream(t: Tables) -> DataFrame:
-    folder, base = raw_folder(t), shared_dir(t.spark, "listing-stream")
-    rows = streams.listing_stream(t.spark, folder, HEADERS, NA_VALUES).select(
-        *[F.col(h).alias(c) for c, h in list(zip(FIELDS, HEADERS))[:3]], "_metadata.file_path"
-    )
-    streams.write_stream(rows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    out = t.spark.read.parquet(f"{base}/out")
-    return out.select("name", "website", "email", country_of("file_path"))
+    """Files of two headers, the second half after a restart, among files that are broken."""
+    folder, base = shared_dir(t.spark, "mixed-stream"), shared_dir(t.spark, "listing-stream")
+    columns = ["name", "website", "email", "phone", "reviews"]
+    for half, broken in ((0, True), (1, False)):
+        mixed_files(t, f"{folder}/half{half}", t.contacts.where(F.col("row_id") % 2 == half), broken)
+        rows = streams.listing_stream(t.spark, folder, columns, NA_VALUES, files_per_batch=200)
+        streams.write_stream(rows, f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    out, _ = streams.read_listing_stream(t.spark, f"{base}/out")
+    return out.select(*columns, country_of("source_file"))
 
 
 @query(f"WITH {q.PAGE_CONTACTS} SELECT website, {page_queries.CELLS} FROM page_contacts", "linked_pages")
@@ -479,6 +506,36 @@ def auto_flow_statistics(t: Tables) -> DataFrame:
     return flows.auto_flow(t.contacts, q.TOKENS, "country")["statistics"]
 
 
+def auto_folder(t: Tables) -> dict[str, DataFrame]:
+    return flows.auto_flow_folder(t.spark, mixed_files(t, shared_dir(t.spark, "auto-folder"), t.contacts), q.TOKENS)
+
+
+AUTO_COLUMNS = ["name", "website", "email", "phone", "address"]
+
+
+@query(
+    f"""WITH {q.EXCLUDED}, masked AS (SELECT * FROM excluded), {contact_queries.SWEPT_SOURCE.replace('{source}', 'masked')}
+SELECT row_id, {", ".join(f"{contact_queries.swept(c, c == 'email', c == 'phone')} AS {c}" for c in AUTO_COLUMNS)}, nullif(reviews, 'n/a') AS reviews FROM by_role""",
+    "contacts",
+)
+def auto_flow_folder(t: Tables) -> DataFrame:
+    """Every file of a folder with mixed headers; three broken files cost nothing but themselves."""
+    return auto_folder(t)["data"].select(F.col("row_id").cast("bigint").alias("row_id"), *AUTO_COLUMNS, "reviews")
+
+
+@query("SELECT kind, stage FROM (VALUES ('headless', 'header'), ('truncated', 'read'), ('binary', 'read')) AS t(kind, stage) WHERE (SELECT count(*) FROM supplier) > 0")
+def auto_flow_errors(t: Tables) -> DataFrame:
+    """What went wrong with which file of that folder."""
+    return auto_folder(t)["errors"].select(F.regexp_extract("source_file", "/(headless|truncated|binary)/", 1).alias("kind"), "stage")
+
+
+@query(f"WITH {READ} SELECT name, website, email, phone, address, reviews, country FROM listings", "contacts")
+def read_mixed_folder(t: Tables) -> DataFrame:
+    """Files of two headers in one scan."""
+    rows = readers.read_listing_folder(t.spark, mixed_files(t, shared_dir(t.spark, "mixed"), t.contacts, broken=False))
+    return rows.select("name", "website", "email", "phone", "address", "reviews", country_of("source_file"))
+
+
 @query(
     """SELECT main_category AS sector, count(*) AS number_of_companies FROM contacts GROUP BY 1""",
     "contacts",

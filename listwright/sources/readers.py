@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,13 +12,20 @@ from pyspark.sql import types as T
 
 from listwright.config import NA_VALUES
 from listwright.functions.text import file_extension, strip
-from listwright.operators.schema import canonicalize_columns, normalize_headers, quoted
+from listwright.operators.schema import canonicalize_columns, ensure_column, normalize_headers, quoted
+from listwright.sources.listing_files import (
+    HEADER_LIMIT,
+    arrow_uri,
+    column_names,
+    first_record,
+    listing_files,
+    numbered_names,
+    range_tasks,
+    scan,
+    split_errors,
+)
 
 CSV_GLOB = "*.[cC][sS][vV]"
-# Bytes read at a time while looking for the end of a header, and where a file
-# is given up as one whose quotes never close.
-HEADER_STEP = 65_536
-HEADER_LIMIT = 1 << 26
 _IRREGULAR = "_irregular"
 
 PAGE_SCHEMA = "page_id bigint, url string, html string"
@@ -158,34 +164,6 @@ def file_inventory(
     return files.select(*columns)
 
 
-def _arrow_uri(path: str) -> str:
-    """A path as Spark lists it, in the spelling Arrow file systems take."""
-    scheme, rest = path.split(":", 1)
-    scheme = {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme)
-    return f"{scheme}:{rest if rest.startswith('//') else '//' + rest}"
-
-
-def _first_record(read, step: int = HEADER_STEP) -> bytes:
-    """A file up to the first line break outside quotes; ``read(n)`` gives its next bytes."""
-    data, at, quoted_now = b"", 0, False
-    while True:
-        more = read(step)
-        data += more
-        for m in _ENDS.finditer(data, at):
-            if m.group() == b'"':
-                quoted_now = not quoted_now
-            elif not quoted_now:
-                return data[: m.start()]
-        at = len(data)
-        if not more:
-            return data
-        if at > HEADER_LIMIT:
-            raise ValueError(f"no end of the header within {HEADER_LIMIT} bytes")
-
-
-_ENDS = re.compile(rb'["\r\n]')
-
-
 def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
     """First record of every file of an inventory, read on the executors."""
 
@@ -195,9 +173,9 @@ def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:
         for batch in batches:
             heads = []
             for path in batch["path"]:
-                filesystem, local = fs.FileSystem.from_uri(_arrow_uri(path))
+                filesystem, local = fs.FileSystem.from_uri(arrow_uri(path))
                 with filesystem.open_input_stream(local) as stream:
-                    heads.append(_first_record(stream.read).decode("utf-8-sig", errors="replace"))
+                    heads.append(first_record(stream.read)[0].decode("utf-8-sig", errors="replace"))
             yield pd.DataFrame({"path": batch["path"], "header": heads})
 
     return files.select("path").mapInPandas(first_records, "path string, header string")
@@ -220,53 +198,47 @@ def validate_source(files: DataFrame, required: str = "website") -> DataFrame:
     return files.where((F.col("header") != "") & F.array_contains(named, required))
 
 
-def header_groups(spark: SparkSession, folder: str, processed: DataFrame | list[str] | None = None) -> dict[str, list[str]]:
-    """Paths by header: the folder itself where all files share one, else the files.
+# Columns from which on a plan with an expression for each costs more than reading in Python.
+WIDE_HEADER = 500
 
-    Spark lists every file it reads on the driver anyway; only where headers
-    differ, their names are needed here as well. ``processed`` (``source_file``)
-    are files of earlier runs, left out by a join.
-    """
+
+def _uniform_header(spark: SparkSession, folder: str) -> str | None:
+    """The header that all files of a folder share, if they do and it is one line of not too many columns."""
     inventory = file_inventory(spark, folder, glob=CSV_GLOB).where(F.col("length") > 0)
-    if processed is not None:
-        done = processed if isinstance(processed, DataFrame) else spark.createDataFrame([(x,) for x in processed], "source_file string")
-        done = done.select(F.col("source_file").alias("path")).distinct()
-        inventory = inventory.join(done, "path", "left_anti")
-    heads = file_headers(spark, inventory)
-    if processed is None:
-        found = heads.select("header").distinct().limit(2).collect()
-        if len(found) == 1:
-            return {found[0]["header"]: [folder]}
-    groups: dict[str, list[str]] = {}
-    for row in heads.collect():
-        groups.setdefault(row["header"], []).append(row["path"])
-    return groups
+    found = file_headers(spark, inventory).select("header").distinct().limit(2).collect()
+    if len(found) != 1:
+        return None
+    header = found[0]["header"]
+    plain = "\n" not in header and "\r" not in header and len(header_names(header)) <= WIDE_HEADER
+    return header if plain else None
 
 
 def _of_one_header(
-    spark: SparkSession, header: str, paths: list[str], na_values: list[str], multi_line: bool, on_bad_lines: str
+    spark: SparkSession, header: str, folder: str, na_values: list[str], multi_line: bool, on_bad_lines: str
 ) -> tuple[DataFrame, list[str]]:
     """Rows of files with one header, columns ``_h0`` and on, and the names they have there."""
     raw_names = header_names(header)
     names = [f"_h{i}" for i in range(len(raw_names))]
-    # A header over several lines, like any record over several lines, can't be read line by line.
-    over_lines = multi_line or "\n" in header or "\r" in header
     raw = (
         spark.read.schema(_listing_schema(names))
-        .options(**_csv_options(over_lines))
+        .options(**_csv_options(multi_line))
         .option("maxColumns", str(max(20_480, 2 * len(names))))
         .option("pathGlobFilter", CSV_GLOB)
         .option("recursiveFileLookup", "true")
-        .csv(sorted(paths))
+        .csv(folder)
     )
     return _drop_long_lines(raw.select("*", *_position()), names, na_values, on_bad_lines), raw_names
 
 
-def _union(batches: list[DataFrame]) -> DataFrame:
-    merged = batches[0]
-    for batch in batches[1:]:
-        merged = merged.unionByName(batch, allowMissingColumns=True)
-    return merged
+def _of_any_header(
+    spark: SparkSession, folder: str, naming: str, na_values: list[str], multi_line: bool, on_bad_lines: str,
+    skip: DataFrame | list[str] | None = None,
+) -> DataFrame:
+    """Rows of all files, each under its own header, in one scan."""
+    files = listing_files(spark, folder, CSV_GLOB, skip).where("length > 0")
+    tasks = range_tasks(files)
+    columns = column_names(files, naming, tasks)
+    return scan(files, columns, naming, na_values, multi_line, on_bad_lines, tasks=tasks).drop("error")
 
 
 def read_listing_folder(
@@ -279,18 +251,33 @@ def read_listing_folder(
 ) -> DataFrame:
     """All CSV files of a folder with canonical columns, ``source_file`` and ``ordinal``.
 
-    Files that share a header are read together. ``skip`` names files that were
-    processed before, best as a table (``source_file``).
+    Where all files share a header Spark's own reader takes the folder; else each
+    file is read under its own header, all in one scan. ``skip`` names files that
+    were processed before, best as a table (``source_file``).
+    """
+    header = None if skip is not None else _uniform_header(spark, folder)
+    if header is None:
+        rows = _of_any_header(spark, folder, "canonical", na_values, multi_line, on_bad_lines, skip)
+        return ensure_column(rows, "website")
+    batch, raw_names = _of_one_header(spark, header, folder, na_values, multi_line, on_bad_lines)
+    names = [c for c in batch.columns if c not in ("source_file", "ordinal")]
+    fields = normalize_headers(batch.select(*names).toDF(*raw_names))
+    return canonicalize_columns(batch.toDF(*fields.columns, "source_file", "ordinal"))
+
+
+def read_listing_folder_isolated(
+    spark: SparkSession, folder: str, na_values: list[str] = NA_VALUES, skip: DataFrame | list[str] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that can be read, and ``source_file, stage, error`` of the others.
+
+    A file without a header, without any known column, with bytes that are no
+    text or with a quote that is never closed is left out as a whole.
     """
-    batches = []
-    for header, paths in sorted(header_groups(spark, folder, skip).items()):
-        batch, raw_names = _of_one_header(spark, header, paths, na_values, multi_line, on_bad_lines)
-        names = [c for c in batch.columns if c not in ("source_file", "ordinal")]
-        fields = normalize_headers(batch.select(*names).toDF(*raw_names))
-        batches.append(canonicalize_columns(batch.toDF(*fields.columns, "source_file", "ordinal")))
-    if not batches:
-        return spark.createDataFrame([], "website string, source_file string, ordinal struct<block:bigint,line:bigint>")
-    return _union(batches)
+    files = listing_files(spark, folder, CSV_GLOB, skip)
+    tasks = range_tasks(files)
+    columns = column_names(files, "canonical", tasks, isolate=True)
+    rows, errors = split_errors(scan(files, columns, "canonical", na_values, isolate=True, tasks=tasks))
+    return ensure_column(ensure_column(rows, "website"), "email"), errors
 
 
 def read_as_written(spark: SparkSession, path: str, on_bad_lines: str = "error") -> DataFrame:
@@ -298,17 +285,14 @@ def read_as_written(spark: SparkSession, path: str, on_bad_lines: str = "error")
 
     A name that a header has more than once gets a number, so no column is lost.
     """
-    batches = []
-    for header, paths in sorted(header_groups(spark, path).items()):
-        batch, raw_names = _of_one_header(spark, header, paths, NA_VALUES, False, on_bad_lines)
-        names: list[str] = []
-        for name in raw_names:
-            again = sum(1 for x in raw_names[: len(names)] if x == name)
-            names.append(f"{name}.{again}" if again else name)
-        batches.append(batch.drop("source_file", "ordinal").toDF(*names))
-    if not batches:
+    header = _uniform_header(spark, path)
+    if header is not None:
+        batch, raw_names = _of_one_header(spark, header, path, NA_VALUES, False, on_bad_lines)
+        return batch.drop("source_file", "ordinal").toDF(*numbered_names(raw_names))
+    rows = _of_any_header(spark, path, "written", NA_VALUES, False, on_bad_lines).drop("source_file", "ordinal")
+    if not rows.columns:
         raise ValueError(f"no listing file in {path}")
-    return _union(batches)
+    return rows
 
 
 def read_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:

@@ -23,6 +23,7 @@ from listwright.operators.contacts import contact_cells, extract_contacts
 from listwright.operators.dedupe import latest_per_key
 from listwright.operators.metrics import metric_alerts
 from listwright.operators.progress import progress_counters, with_speed
+from listwright.sources.listing_files import file_stream, scan, without_broken
 from listwright.sources.readers import CSV_GLOB, PAGE_SCHEMA, _csv_options, _drop_long_lines, _listing_schema
 from listwright.sources.writers import read_current, replace_in_place
 
@@ -42,9 +43,18 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
 
 
 def listing_stream(
-    spark: SparkSession, folder: str, columns: list[str], na_values: list[str], files_per_batch: int = 1000
+    spark: SparkSession, folder: str, columns: list[str], na_values: list[str], files_per_batch: int = 1000,
+    same_header: bool = False,
 ) -> DataFrame:
-    """New CSV files of a folder, each read once. A file with another header ends the stream."""
+    """New CSV files of a folder, each read once and under its own header.
+
+    ``columns`` are the canonical names wanted, with ``source_file``, ``ordinal``
+    and ``error``: a file that cannot be read is one row with ``error``, the
+    stream goes on. A column that a file lacks is NULL. With ``same_header`` the
+    files have just ``columns``, by place, and one with another header ends the stream.
+    """
+    if not same_header:
+        return scan(file_stream(spark, folder, CSV_GLOB, files_per_batch), columns, na_values=na_values, isolate=True)
     raw = (
         spark.readStream.schema(_listing_schema(columns))
         .options(**_csv_options(False, same_header=True))
@@ -56,6 +66,11 @@ def listing_stream(
     return _drop_long_lines(raw, columns, na_values)
 
 
+def read_listing_stream(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the files that a written listing stream read to their end, and the errors of the others."""
+    return without_broken(spark.read.parquet(path))
+
+
 def progress_log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 

@@ -127,7 +127,7 @@ def test_mask_file_fails_closed(spark, tmp_path):
 def test_listing_stream_refuses_another_header(spark, tmp_path):
     put(tmp_path / "in", "a.csv", "email,name\nann@x.org,Ann\n")
     put(tmp_path / "in", "b.csv", "name,email\nBob,bob@y.org\n")
-    listing = streams.listing_stream(spark, str(tmp_path / "in"), ["email", "name"], [])
+    listing = streams.listing_stream(spark, str(tmp_path / "in"), ["email", "name"], [], same_header=True)
     with pytest.raises(Exception, match="error while reading file .*b.csv"):
         streams.write_stream(listing, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
 
