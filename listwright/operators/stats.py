@@ -24,9 +24,35 @@ def contact_stats(df: DataFrame) -> DataFrame:
 def contact_stats_by(df: DataFrame, *groups: str) -> DataFrame:
     """Statistics after exclusion, one row per group, in one pass over the table.
 
-    Rows are widened to one per address; whatever counts once per listing is
-    taken from its first address, so no second scan has to be joined in.
+    Each listing becomes a row of measures and one for its site, its host and
+    each of its addresses. Equal values meet once, combined before the shuffle;
+    what is left are a group's different values, which are counted in a second,
+    small step, so no value of any frequency and no group needs a task of its own.
     """
+    values = _counted_values(df, *groups)
+    once = values.groupBy(*groups, "_kind", "_value").agg(*[F.sum(c).alias(c) for c in MEASURES])
+    found = once.groupBy(*groups).agg(
+        _total("_listings", "companies"),
+        F.count_if((F.col("_kind") == ADDRESS)).alias("unique_emails"),
+        _total("_phone", "phones"),
+        _total("_phone", "mobile_phones"),
+        F.count_if(F.col("_kind") == SITE).alias("domains"),
+        F.count_if(F.col("_kind") == HOST).alias("distinct_hosts"),
+        _total("_social", "social_networks"),
+    )
+    return found
+
+
+MEASURES = ["_listings", "_phone", "_social"]
+LISTING, ADDRESS, SITE, HOST = 0, 1, 2, 3
+
+
+def _total(measure: str, name: str) -> Column:
+    return F.coalesce(F.sum(measure), F.lit(0)).alias(name)
+
+
+def _counted_values(df: DataFrame, *groups: str) -> DataFrame:
+    """Rows ``_kind, _value`` of all that is counted once per value, and a listing's measures in a row of their own."""
     has = set(df.columns)
     phone = F.col("phone").isNotNull() if "phone" in has else F.lit(False)
     website = F.col("website") if "website" in has else F.lit(None).cast("string")
@@ -35,27 +61,43 @@ def contact_stats_by(df: DataFrame, *groups: str) -> DataFrame:
         if has.issuperset(SOCIAL_NETWORKS)
         else F.lit(0)
     )
-    wide = df.select(
-        *groups,
-        _flag(phone).alias("_phone"),
-        website.alias("_website"),
-        url_host(website).alias("_host"),
-        social.alias("_social"),
-        F.posexplode_outer(split_emails(F.col("email"), ",")).alias("_pos", "_address"),
+    nothing = F.lit(None).cast("string")
+
+    def one(kind: int, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("_kind"), value.alias("_value"), *[F.lit(0).alias(m) for m in MEASURES])
+
+    listing = F.struct(
+        F.lit(LISTING).alias("_kind"), nothing.alias("_value"), F.lit(1).alias("_listings"), _flag(phone).alias("_phone"), social.alias("_social")
+    )
+    addresses = F.transform(split_emails(F.col("email"), ","), lambda e: one(ADDRESS, e))
+    own = F.array(listing, one(SITE, website), one(HOST, F.nullif(url_host(website), F.lit(""))))
+    rows = df.select(*groups, F.explode(F.concat(own, addresses)).alias("_one")).select(*groups, "_one.*")
+    return rows.where((F.col("_kind") == LISTING) | F.col("_value").isNotNull())
+
+
+def contact_sketches(df: DataFrame, *groups: str, lg_config_k: int = 14) -> DataFrame:
+    """What statistics need, in a form that merges: sums, and sketches of the different addresses, sites and hosts.
+
+    One row per group, of some 30 kilobytes at most whatever the group's size. Store them
+    per file or day; :func:`merged_contact_stats` gives the statistics of any
+    union without the listings.
+    """
+    kinds = {"emails": ADDRESS, "sites": SITE, "hosts": HOST}
+    return _counted_values(df, *groups).groupBy(*groups).agg(
+        F.sum("_listings").alias("listings"), F.sum("_phone").alias("phones"), F.sum("_social").alias("social"),
+        *[F.hll_sketch_agg(F.when(F.col("_kind") == k, F.col("_value")), lg_config_k).alias(n) for n, k in kinds.items()],
     )
-    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
-
-    def per_listing(value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(first, value)), F.lit(0))
-
-    return wide.groupBy(*groups).agg(
-        F.count_if(first).alias("companies"),
-        F.count_distinct("_address").alias("unique_emails"),
-        per_listing(F.col("_phone")).alias("phones"),
-        per_listing(F.col("_phone")).alias("mobile_phones"),
-        F.count_distinct("_website").alias("domains"),
-        F.count_distinct(F.nullif(F.col("_host"), F.lit(""))).alias("distinct_hosts"),
-        per_listing(F.col("_social")).alias("social_networks"),
+
+
+def merged_contact_stats(sketches: DataFrame, *groups: str) -> DataFrame:
+    """:func:`contact_stats_by` of everything that went into the sketches; distinct counts within about two per cent."""
+
+    def distinct(sketch: str, name: str) -> Column:
+        return F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(sketch)), F.lit(0)).alias(name)
+
+    return sketches.groupBy(*groups).agg(
+        _total("listings", "companies"), distinct("emails", "unique_emails"), _total("phones", "phones"), _total("phones", "mobile_phones"),
+        distinct("sites", "domains"), distinct("hosts", "distinct_hosts"), _total("social", "social_networks"),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from listwright.functions import masks, text, verification
 from listwright.operators import contacts as contact_ops
 from listwright.operators import dedupe, exclusion, masking, schema, stats
+from listwright.operators.ranks import with_place
 from listwright.operators.verify import verify_emails
 from listwright.plans import sqltext as q
 from listwright.plans.fixtures import Tables
@@ -183,8 +184,9 @@ def placed(df: DataFrame) -> DataFrame:
     "contacts",
 )
 def sort_by_reviews(t: Tables) -> DataFrame:
-    ordered = stats.sort_by_reviews(t.contacts, ["row_id"])
-    return placed(ordered.select("row_id", "name", "reviews", text.to_numeric(F.col("reviews")).alias("reviews_number")))
+    rows = t.contacts.select("row_id", "name", "reviews", text.to_numeric(F.col("reviews")).alias("reviews_number"))
+    ordered = with_place(rows, [stats.review_order(), F.col("row_id")])
+    return ordered.withColumn("place", F.col("place").cast("int"))
 
 
 @query(

@@ -23,7 +23,7 @@ from listwright.operators.contacts import attach_contacts, extract_contacts, has
 from listwright.operators.dedupe import keep_first, latest_per_key
 from listwright.operators.exclusion import exclude_emails, exclude_emails_by_table
 from listwright.operators.masking import mask_report, mask_sweep, mask_table, sweep_addresses
-from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns
+from listwright.operators.schema import clean_frame, ensure_column, pick_sector_columns, quoted
 from listwright.operators.stats import (
     contact_stats,
     contact_stats_by,
@@ -141,7 +141,7 @@ def exclude_data(data: DataFrame, tokens: Iterable[str] | DataFrame, row_key: st
         excluded = exclude_emails_by_table(data, tokens, row_key)
     else:
         excluded = exclude_emails(data, tokens)
-    return excluded.select(*data.columns)
+    return excluded.select(*[quoted(c) for c in data.columns])
 
 
 def exclusion_report(data: DataFrame, original: Report) -> Report:

@@ -13,6 +13,7 @@ from listwright.plans import sqltext as q
 from listwright.plans.fixtures import Tables
 from listwright.plans.registry import query
 from listwright.session import materialize, shared_dir
+from listwright.sources.file_digests import copies
 from listwright.sources import readers, writers
 
 AT = "2024-02-01 00:00:00"
@@ -278,6 +279,25 @@ def file_inventory(t: Tables) -> DataFrame:
     return found.select(F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "length", "content_md5")
 
 
+@query(
+    """WITH f AS (SELECT c_nationkey AS folder, CAST(sum(length(c_name) + 1) AS BIGINT) AS length,
+ md5(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS content_md5 FROM customer GROUP BY 1)
+SELECT copy, folder, length, content_md5 FROM f, (VALUES ('one'), ('two')) AS t(copy) WHERE folder % 3 = 0"""
+)
+def duplicate_files(t: Tables) -> DataFrame:
+    """Files with a copy in another folder, by size, beginning and content; the other files have a line more or another line."""
+    folder = shared_dir(t.spark, "copies")
+    names = t.table("customer").select(F.col("c_nationkey").cast("bigint").alias("folder"), "c_custkey", F.col("c_name").alias("value"))
+    edited = F.when(F.col("folder") % 3 == 0, F.col("value")).when(F.col("folder") % 3 == 1, F.reverse("value")).otherwise(F.concat("value", F.lit("+")))
+    for copy, value in (("one", F.col("value")), ("two", edited)):
+        ordered = names.withColumn("value", value).repartition("folder").sortWithinPartitions("folder", "c_custkey")
+        ordered.select("folder", "value").write.partitionBy("folder").text(f"{folder}/{copy}")
+    found = copies(readers.file_inventory(t.spark, folder, [".txt"]))
+    return found.select(
+        F.regexp_extract("path", "/(one|two)/", 1).alias("copy"), F.regexp_extract("path", "folder=([0-9]+)/", 1).cast("bigint").alias("folder"), "length", "content_md5",
+    )
+
+
 @query(
     """SELECT doc_id, CAST(unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS INTEGER) AS line_no,
  unnest(string_split(text, chr(10))) AS line FROM documents"""

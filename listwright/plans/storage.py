@@ -254,6 +254,9 @@ def append_progress(t: Tables) -> DataFrame:
 # -- streams ----------------------------------------------------------------
 
 
+SLICE_ROWS, FILE_ROWS = 20_000_000, 1_000_000
+
+
 def staged(t: Tables, df: DataFrame, name: str) -> tuple[str, str, str]:
     """Input folder filled with a table, output folder and checkpoint of a stream."""
     base = shared_dir(t.spark, name)
@@ -332,17 +335,23 @@ SELECT m.key, min(value) AS value, {q.time_text('m.created_at')} AS created_at
 FROM misses m JOIN entries e ON e.key = m.key AND e.created_at = m.created_at GROUP BY m.key, m.created_at"""
 )
 def ttl_misses(t: Tables) -> DataFrame:
-    """Entries that start a new lifetime, from files that arrive one per micro-batch in the order of time."""
+    """Entries that start a new lifetime. Slices of time arrive one after the other, each as files that all tasks wrote, one slice a micro-batch."""
     entries = t.view("cache").select("key", "value", F.col("created_at").cast("timestamp").alias("created_at"))
     base = shared_dir(t.spark, "ttl-misses")
     at = F.unix_micros("created_at")
-    cuts = entries.select(at.alias("at")).approxQuantile("at", [0.3, 0.6], 0.01)
+    rows, first, last = entries.agg(F.count("*"), F.min(at), F.max(at)).first()
+    slices = max(3, -(-rows // SLICE_ROWS))
+    cuts = entries.select(at.alias("at")).approxQuantile("at", [k / slices for k in range(1, slices)], 0.01 / slices)
+    files = max(2, -(-rows // (slices * FILE_ROWS)))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = entries if low is None else entries.where(at >= low)
         part = part if high is None else part.where(at < high)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
-    log = streams.parquet_stream(t.spark, f"{base}/in", ddl(entries), files_per_batch=1)
-    found = streams.ttl_misses(log, "key", "value", "created_at", 24 * 3600)
+        part.repartition(files).write.mode("append").parquet(f"{base}/in")
+    log = streams.parquet_stream(t.spark, f"{base}/in", ddl(entries), files_per_batch=files)
+    # Events of a slice come in any order, so the watermark stays behind by the longest.
+    ends = [first or 0, *cuts, last or 0]
+    longest = int(max(b - a for a, b in zip(ends, ends[1:]))) // 1_000_000 + 1
+    found = streams.ttl_misses(log, "key", "value", "created_at", 24 * 3600, f"{longest} seconds")
     streams.write_stream(found, f"{base}/out", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/out").select("key", "value", jobs.time_text("created_at"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from listwright.config import NA_VALUES
 from listwright.functions.text import file_extension, strip
 from listwright.operators.schema import canonicalize_columns, ensure_column, normalize_headers, quoted
+from listwright.sources.file_digests import digest_tasks, with_digest
 from listwright.sources.listing_files import (
     HEADER_LIMIT,
     arrow_uri,
@@ -147,7 +148,7 @@ def _position() -> list[Column]:
 def file_inventory(
     spark: SparkSession, path: str, extensions: list[str] | None = None, hashed: bool = False, glob: str = "*"
 ) -> DataFrame:
-    """Files below a folder with size and time. Contents are read only for ``hashed``."""
+    """Files below a folder with size and time. Contents are read only for ``hashed``, a piece at a time."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -157,11 +158,11 @@ def file_inventory(
     if extensions:
         files = files.where(file_extension(F.col("path")).isin([e.lower() for e in extensions]))
     columns = ["path", "length", F.col("modificationTime").alias("mtime")]
-    if hashed:
-        # Empty files are never copies of each other; the filter reaches the scan.
-        files = files.where(F.col("length") > 0)
-        columns.append(F.md5("content").alias("content_md5"))
-    return files.select(*columns)
+    if not hashed:
+        return files.select(*columns)
+    # Empty files are never copies of each other; the filter reaches the scan.
+    found = files.where(F.col("length") > 0).select(*columns)
+    return with_digest(found, tasks=digest_tasks(found))
 
 
 def file_headers(spark: SparkSession, files: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from listwright.operators.attempts import ROW, _state_columns, with_marks
 from listwright.operators.contacts import contact_cells, extract_contacts
@@ -134,14 +134,39 @@ def compact_updates(spark: SparkSession, path: str, keys: list[str]) -> None:
     replace_in_place(latest_per_key(_updates(spark, path), keys, F.col("batch_id")), f"{path}.compact")
 
 
-def attempt_state_stream(attempts: DataFrame, path: str, checkpoint: str, **options: Any) -> StreamingQuery:
-    """Running state per row of a job; the state per row is a few aggregates."""
-    state = attempts.groupBy(*ROW).agg(*_state_columns())
-    return write_updates(state, path, checkpoint, **options)
+def attempt_state_stream(
+    attempts: DataFrame, path: str, checkpoint: str, trigger: dict[str, Any] = EVERYTHING
+) -> StreamingQuery:
+    """What each micro-batch adds to the state of its rows.
+
+    First successes and last failures of batches merge into those of all, so the
+    stream itself keeps no state at all, however many rows the log ever had: a row
+    that is completed costs nothing any more until it is tried again.
+    :func:`read_attempt_state` merges, :func:`compact_attempt_state` stores what was merged.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(*ROW).agg(*_state_columns()).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return attempts.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def _merged_attempts(spark: SparkSession, path: str) -> DataFrame:
+    return _updates(spark, path).groupBy(*ROW).agg(
+        F.min("first_success").alias("first_success"),
+        F.max("last_failure").alias("last_failure"),
+        F.max_by("failure", "last_failure").alias("failure"),
+        F.max("batch_id").alias("batch_id"),
+    )
 
 
 def read_attempt_state(spark: SparkSession, path: str) -> DataFrame:
-    return with_marks(read_updates(spark, path, ROW))
+    return with_marks(_merged_attempts(spark, path).drop("batch_id"))
+
+
+def compact_attempt_state(spark: SparkSession, path: str) -> None:
+    """Store the merged state beside the log; readers then leave the older batches alone."""
+    replace_in_place(_merged_attempts(spark, path), f"{path}.compact")
 
 
 def progress_stream(items: DataFrame, path: str, checkpoint: str, **options: Any) -> StreamingQuery:
@@ -167,47 +192,73 @@ def ttl_dedupe(events: DataFrame, key: str, ts: str, ttl: str) -> DataFrame:
     return events.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
+class TtlMisses(StatefulProcessor):
+    """Per key the end of its current lifetime; a timer drops it when the watermark has passed it.
+
+    Events come in chunks. Those within the lifetime that the state knows are
+    dropped at once, of the others only time, identity and place are kept until
+    the chunks are read, for the order of a batch's events is not the order of time.
+    """
+
+    def __init__(self, key: str, ident: str, ts: str, ttl: int):
+        self.key, self.ident, self.ts, self.ttl = key, ident, ts, ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.alive = handle.getValueState("alive", "until bigint")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.alive.get() if self.alive.exists() else None
+        until = held[0] if held else None
+        times, idents = [], []
+        for chunk in rows:
+            at = chunk[self.ts].to_numpy("datetime64[us]").astype("int64")
+            open_ = np.flatnonzero(at >= until) if until is not None else np.arange(len(at))
+            if len(open_):
+                times.append(at[open_])
+                idents.append(chunk[self.ident].to_numpy()[open_])
+        if not times:
+            return
+        at, ident = np.concatenate(times), np.concatenate(idents)
+        order = np.lexsort((ident, at))
+        at, ident = at[order], ident[order]
+        chosen, k = [], 0
+        while k < len(at):
+            chosen.append(k)
+            until = int(at[k]) + self.ttl
+            k = int(np.searchsorted(at, until))
+        if held:
+            self.handle.deleteTimer((held[0] + 999) // 1000)
+        # A timer in the past would never fire; a lifetime that the watermark has passed needs no state.
+        if until // 1000 > timerValues.getCurrentWatermarkInMs():
+            self.alive.update((until,))
+            self.handle.registerTimer((until + 999) // 1000)
+        elif held:
+            self.alive.clear()
+        yield pd.DataFrame({self.key: key[0], self.ident: ident[chosen], self.ts: at[chosen].astype("datetime64[us]")})
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alive.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def ttl_misses(
     events: DataFrame, key: str, ident: str, ts: str, ttl_seconds: int, delay: str = "1 hour"
 ) -> DataFrame:
     """Events that find no live result and so start a new lifetime, exactly.
 
-    Unlike :func:`ttl_dedupe` a key lives for ``ttl_seconds`` and not longer. Per
-    key only the end of its current lifetime is kept, until the watermark has
-    passed it. The events of a key within one micro-batch are put in order in one
-    task, so the stream needs a limit per batch (``files_per_batch``); that limit
-    bounds what a task holds.
+    Unlike :func:`ttl_dedupe` a key lives for ``ttl_seconds`` and not longer. Events
+    may come in any order within ``delay``; micro-batches come in the order of
+    time. Of a hot key a task holds 16 bytes for each event beyond the lifetime it
+    knew before the batch, so a limit per batch (``files_per_batch``) bounds it.
     """
-    ttl = ttl_seconds * 1_000_000
-
-    def misses(
-        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values([ts, ident], kind="stable")
-        times = rows[ts].to_numpy("datetime64[us]").astype("int64")
-        alive_until = state.get[0] if state.exists else times[0]
-        chosen = []
-        at = np.searchsorted(times, alive_until)
-        while at < len(times):
-            chosen.append(at)
-            alive_until = times[at] + ttl
-            at = np.searchsorted(times, alive_until)
-        if alive_until // 1000 > state.getCurrentWatermarkMs():
-            state.update((int(alive_until),))
-            state.setTimeoutTimestamp(int(alive_until // 1000))
-        elif state.exists:
-            state.remove()
-        yield rows.iloc[chosen][[key, ident, ts]]
-
     schema = T.StructType([events.schema[c] for c in (key, ident, ts)])
     return (
         events.select(key, ident, ts)
         .withWatermark(ts, delay)
         .groupBy(key)
-        .applyInPandasWithState(
-            misses, schema, "alive_until bigint", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(TtlMisses(key, ident, ts, ttl_seconds * 1_000_000), schema, "append", "EventTime")
     )
