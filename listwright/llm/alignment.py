@@ -43,8 +43,9 @@ from listwright.llm.common import materialize, query, shared_dir, table
 from listwright.llm.encoding import BYTES, OTHER_SPACES, Places, roomy
 
 LOOKED_UP = 2_000_000  # counted pairs that every task holds (34 MB)
-CACHED_WORDS = 500_000
-CACHED_CHARS = 20_000_000
+CACHED_WORDS = 300_000
+CACHED_CHARS = 12_000_000
+JOINED_WORDS = 2_000  # new words that the piece model gets at a time
 BLOCK_WORDS = 1_000_000
 BLOCK_CHARS = 16_000_000  # of groups as text
 SLICE_CHARS = 1_000_000
@@ -104,6 +105,8 @@ class Aligner:
         self.lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)), np.int64)
         for k, x in self.a_bytes.items():
             self.lengths[0][k] = len(x)
+        self.raw = np.array([k in self.b_byte for k, _ in pieces])
+        self.feed = next((k for k, x in pieces if x == "<0x0A>"), -1)
         self.tails = {x: self.a.model.tokenize(x)[0].id for x in ".,;:!?"}
         self.names = list(map(str, range(max(len(pieces), max(self.a_bytes) + 1))))
         self.words = words
@@ -161,29 +164,33 @@ class Aligner:
                 ends.append(at)
         return ids, ends, sizes
 
-    def b_spans(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
+    def b_spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, byte ends and number of B's tokens, word by word: the proto's spans, refined byte by byte for byte tokens.
 
         The model adds a blank before what it is given; a line feed, which merges
-        with nothing, parts it off again.
+        with nothing, parts it off again, and words without one from each other.
         """
-        ids: list[int] = []
-        ends: list[int] = []
-        sizes: list[int] = []
-        raw = self.b_byte
-        for proto in self.b.encode(["\n" + w for w in words], return_type="proto", num_threads=1):
-            found = proto.pieces[2:]
-            own = [x.id for x in found]
-            to = [x.end - 1 for x in found]
-            if not raw.isdisjoint(own):
-                at = 0
-                for k, x in enumerate(own):
-                    at = at + 1 if x in raw else to[k]
-                    to[k] = at
-            ids += own
-            ends += to
-            sizes.append(len(own))
-        return ids, ends, sizes
+        ids, ends, owners = ([np.zeros(0, np.int64)] for _ in range(3))
+        odd = [[k] for k, w in enumerate(words) if "\n" in w]
+        plain = [k for k, w in enumerate(words) if "\n" not in w]
+        for some in [*odd, *(plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS))]:
+            found = self.b.encode("\n" + "\n".join([words[k] for k in some]), return_type="proto", num_threads=1).pieces
+            own = np.array([x.id for x in found], np.int64)[1:]
+            to = np.array([x.end for x in found], np.int64)[1:]
+            # Byte tokens end a byte each behind the last piece of whole characters.
+            at = np.arange(len(own))
+            last = np.maximum.accumulate(np.where(self.raw[own], -1, at))
+            to = np.where(self.raw[own], np.where(last < 0, 0, to[last]) + at - last, to)
+            feed = own == self.feed
+            if len(some) == 1:
+                feed[1:] = False
+            word = np.cumsum(feed)[~feed] - 1
+            ids.append(own[~feed])
+            ends.append(to[~feed] - to[feed][word])
+            owners.append(np.array(some)[word])
+        owner = np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate(ids)[order], np.concatenate(ends)[order], np.bincount(owner, minlength=len(words))
 
     def align(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Whether both tokenizers spell each word, counts, groups as text, and the linked pairs of all words in order."""
@@ -200,11 +207,12 @@ class Aligner:
             last = np.zeros(n, np.int64)
             last[owners[-1]] = to
             ok &= (last == lengths) & (np.bincount(owners[-1], size_of[ids[-1]], n) == lengths)
+            own = ids[-1].tolist()
             if b"".join(map(spell, own)) != whole:
                 at = 0
                 for k, size in enumerate(sizes):
                     ok[k] &= b"".join(map(spell, own[at : at + size])) == raw[k]
-                    at += size
+                    at += int(size)
             ends.append(np.array(to, np.int64) + base[owners[-1]])
         # Words that are not spelt have no tokens; of all others the ends are places in one long text.
         for k in (0, 1):
