@@ -23,10 +23,12 @@ from listwright.operators.contacts import contact_cells, extract_contacts
 from listwright.operators.dedupe import latest_per_key
 from listwright.operators.metrics import metric_alerts
 from listwright.operators.progress import progress_counters, with_speed
+from listwright.session import DEFAULTS
 from listwright.sources.listing_files import file_stream, scan, without_broken
 from listwright.sources.readers import CSV_GLOB, PAGE_SCHEMA, _csv_options, _drop_long_lines, _listing_schema
 from listwright.sources.writers import read_current, replace_in_place
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 EVERYTHING: dict[str, Any] = {"availableNow": True}
 
 
@@ -256,6 +258,8 @@ def ttl_misses(
     knew before the batch, so a limit per batch (``files_per_batch``) bounds it.
     """
     schema = T.StructType([events.schema[c] for c in (key, ident, ts)])
+    # Timers and values are families of their own, which only this store has.
+    events.sparkSession.conf.set(STATE_STORE, DEFAULTS[STATE_STORE])
     return (
         events.select(key, ident, ts)
         .withWatermark(ts, delay)

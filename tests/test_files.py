@@ -82,7 +82,7 @@ def test_many_headers_are_one_scan(spark, tmp_path):
 
 BROKEN = {
     "cut.csv": ("read", "website,email\na.com,x\nb.com,\"never clo"), "binary.csv": ("read", b"website,email\na.com,\x00\x01\n"),
-    "latin.csv": ("read", "website,email\nañb.com,x\n".encode("latin-1")), "headless.csv": ("header", "a.com,first\nb.com,y\n"), "empty.csv": ("header", b""),
+    "latin.csv": ("read", "website,email\nañb.com,x\n".encode("latin-1")), "headless.csv": ("header", "a.com,first\nb.com,y\n"), "blank.csv": ("header", b"\n\n"),
     "noise.csv": ("header", bytes(range(128, 256)) * 10),
 }
 
