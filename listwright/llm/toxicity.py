@@ -1,7 +1,8 @@
 """Toxicity by a weighted lexicon (operator 8).
 
-Texts are folded: lower case, look-alike letters of other scripts and digits or
-signs that stand for letters become the Latin letters, everything else a blank.
+Texts are folded: lower case, look-alike letters of other scripts become the Latin
+letters, and so do digits and signs that stand for letters, where a letter follows
+them in the word; everything else becomes a blank.
 One Aho-Corasick automaton then finds all terms of the lexicon in one pass over
 the whole text. A term is a word, or the beginning of words; a word counts once,
 by its heaviest term, and not at all inside an exception phrase. The sum of
@@ -9,7 +10,8 @@ weights, alone and by length, goes through a logistic curve.
 
 Terms and weights are learned: the seeds below and every beginning of a word
 are counted in at most ``TRAIN_ROWS`` training documents of either label, and
-those that mark toxic documents beyond chance are kept, ``TERMS`` at most.
+those that mark toxic documents beyond chance are kept, ``TERMS`` at most. A seed
+always stays: what few documents say of it is mixed with a prior weight.
 Phrases around a term that occur in clean training documents only become
 exceptions, beside the given ones.
 
@@ -21,9 +23,11 @@ that share a doc_id are scored one by one; an empty table gives an empty one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 from zlib import crc32
 
 import numpy as np
@@ -38,7 +42,8 @@ TRAIN_ROWS = 4000  # labelled rows of either label that the lexicon is learned f
 TERMS = 5000  # size of the lexicon, at most
 THRESHOLD = 0.5
 BEGINNINGS = range(4, 9)
-SURE, SURE_SEED = 5.5, 1.0  # standard errors between the rates of toxic and clean documents
+SURE = 5.5  # standard errors between the rates of toxic and clean documents
+PRIOR, PRIOR_DOCS, LEAST_SEED = 2.0, 3, 0.2  # weight of a seed without documents, how many it stands for, and what a seed has at least
 PRECISION = 0.7
 FEWEST = 3
 
@@ -53,15 +58,19 @@ EXCEPTIONS = (
 )
 
 LOOKALIKES = {
-    "a": "аαàáâãäåāą@4", "b": "вЬ", "c": "сçćč", "d": "ԁ", "e": "еєεèéêëēę3", "g": "ɡ", "h": "һ", "i": "іιìíîïīı1!",
-    "j": "ј", "k": "кκ", "l": "ӏł", "m": "м", "n": "пñń", "o": "оοòóôõöøō0", "p": "рρ", "s": "ѕśš5$", "t": "тτ7",
+    "a": "аαàáâãäåāą", "b": "вЬ", "c": "сçćč", "d": "ԁ", "e": "еєεèéêëēę", "g": "ɡ", "h": "һ", "i": "іιìíîïīı",
+    "j": "ј", "k": "кκ", "l": "ӏł", "m": "м", "n": "пñń", "o": "оοòóôõöøō", "p": "рρ", "s": "ѕśš", "t": "тτ",
     "u": "υùúûüū", "v": "ν", "w": "ԝω", "x": "хχ", "y": "уγýÿ", "z": "żźž",
 }
 
 
+# Digits and signs that stand for letters inside words.
+SIGNS = {"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "5": "s", "$": "s", "7": "t"}
+
+
 def fold_table() -> dict[int, str]:
-    """Every sign that is no letter becomes a blank; look-alikes and digits become letters."""
-    out = {k: " " for k in range(0x250) if not chr(k).isalpha()}
+    """Every sign that is no letter and stands for none becomes a blank; look-alikes become letters."""
+    out = {k: " " for k in range(0x250) if not chr(k).isalpha() and chr(k) not in SIGNS}
     out |= {k: " " for k in [*range(0x2000, 0x2070), 0x3000]}
     out |= {k: chr(k + 32) for k in range(65, 91)}
     for letter, signs in LOOKALIKES.items():
@@ -70,10 +79,16 @@ def fold_table() -> dict[int, str]:
 
 
 FOLD = fold_table()
+IN_WORD = re.compile("[{0}]+(?=[^ {0}])".format(re.escape("".join(SIGNS))))
+AS_LETTERS = {ord(x): y for x, y in SIGNS.items()}
+AS_BLANKS = {ord(x): " " for x in SIGNS}
 
 
 def fold(text: str) -> str:
-    return f" {text.translate(FOLD)} "
+    """The text in Latin small letters and blanks. A sign stands for a letter where one follows, so "sh!t" has one and "shut up!" none."""
+    plain = text.translate(FOLD)
+    plain = IN_WORD.sub(lambda m: m.group().translate(AS_LETTERS), plain)
+    return f" {plain.translate(AS_BLANKS)} "
 
 
 @dataclass
@@ -112,7 +127,11 @@ class ToxicityModel:
             if weight and weight > best.get(start, (0.0, 0))[0]:
                 best[start] = (weight, end)
         if spared:
-            best = {s: (w, e) for s, (w, e) in best.items() if not any(a <= s and e <= b + 1 for a, b in spared)}
+            # For each start the farthest end of the exceptions that begin there or before.
+            spared.sort()
+            starts = [a for a, _ in spared]
+            ends = list(accumulate((b for _, b in spared), max))
+            best = {s: (w, e) for s, (w, e) in best.items() if not (k := bisect_right(starts, s)) or e > ends[k - 1] + 1}
         return best
 
     def features(self, texts: list[str]) -> np.ndarray:
@@ -197,14 +216,19 @@ def fit_toxicity(
     both = (F.col("a") + F.col("b")) / (toxic + clean)
     error = F.sqrt(both * (1 - both) * (1 / toxic + 1 / clean) + F.lit(1e-12))
     counts = counts.withColumn("sure", (rate_a - rate_b) / error).withColumn("precise", rate_a / (rate_a + rate_b))
-    is_seed = F.col("term").isin(*seed_terms)
-    kept = counts.where(
-        (F.col("a") >= FEWEST) & (F.col("precise") >= PRECISION)
-        & ((F.col("sure") >= SURE) | is_seed & (F.col("sure") >= SURE_SEED))
-    )
+    counts = materialize(counts, "toxic-terms")
+    kept = counts.where((F.col("a") >= FEWEST) & (F.col("precise") >= PRECISION) & (F.col("sure") >= SURE) & ~F.col("term").isin(*seed_terms))
     kept = kept.orderBy(F.desc("sure"), "term").limit(TERMS).collect()
-    weights = {r["term"]: float(np.log((r["a"] + 0.5) / (toxic + 1) / ((r["b"] + 0.5) / (clean + 1)))) for r in kept}
-    seen = {x: r for x in seed_terms if (r := weights.get(x))}
+
+    def weight(a: int, b: int) -> float:
+        return float(np.log((a + 0.5) / (toxic + 1) / ((b + 0.5) / (clean + 1))))
+
+    weights = {r["term"]: weight(r["a"], r["b"]) for r in kept}
+    of_seeds = {r["term"]: (r["a"], r["b"]) for r in counts.where(F.col("term").isin(*seed_terms)).collect()}
+    for x in sorted(seed_terms):
+        a, b = of_seeds.get(x, (0, 0))
+        weights[x] = max(LEAST_SEED, (weight(a, b) * (a + b) + PRIOR * PRIOR_DOCS) / (a + b + PRIOR_DOCS))
+    seen = seed_terms
     # A beginning stands for all longer terms that say no more than it does.
     weights = {
         x: w for x, w in weights.items()

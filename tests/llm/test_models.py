@@ -1,3 +1,4 @@
+import time
 from zlib import crc32
 
 import numpy as np
@@ -70,12 +71,12 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    sf = SF.replace("sf0.001", "sf0.01")
+    sf = SF.replace("sf0.001", "sf0.1")
     truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = toxicity.op8_toxicity(spark, sf).collect()
-    assert len(rows) == 1000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
+    assert len(rows) == 10_000 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
     test = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
-    assert auc([r["score"] for r in test], [truth[r["doc_id"]] for r in test]) >= 0.75
+    assert auc([r["score"] for r in test], [truth[r["doc_id"]] for r in test]) >= 0.95
     clean = [r for r in test if not truth[r["doc_id"]]]
     assert np.mean([r["predicted"] for r in clean]) <= 0.03
 
@@ -85,6 +86,26 @@ def test_folding():
     assert "stupid" in fold("ѕtuріd.") and "moron" in fold("M0r0n") and "idiot" in fold("ÍDÏÒT")
 
 
+def test_signs_are_letters_only_inside_words():
+    assert fold("Shut up!") == fold("Shut up.") and fold("trash can! 100 4").split() == ["trash", "can"]
+    assert fold("sh!t $hut @sshole f00l").split() == ["shit", "shut", "asshole", "fool"]
+
+
+def test_every_seed_counts(docs, labels):
+    model = fit_toxicity(docs, labels)
+    texts = ["", *toxicity.SEEDS, "kill yourself you bastard", "Shut up!", "Shut up."]
+    score = model.score(texts)
+    assert (score[1:] > score[0]).all() and score[-1] == score[-2]
+    assert model.score(["the trash can is full"])[0] == score[0]
+
+
+def test_many_hits_in_a_long_text():
+    model = ToxicityModel({" trash": 2.0, " idiot": 3.0}, frozenset({" trash can "}))
+    start = time.perf_counter()
+    assert len(model.found(fold("trash can " * 1_000_000 + "idiot trash"))) == 2
+    assert time.perf_counter() - start < 20
+
+
 def test_lexicon_equals_brute_force(docs):
     model = ToxicityModel({" idio": 2.0, " idiot": 3.0, " the ": 1.0, " hate you ": 4.0}, frozenset({" idiot proof "}))
     assert {w for w, _ in model.found(fold("An idiot. Idiotic!")).values()} == {3.0}
