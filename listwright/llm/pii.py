@@ -1,17 +1,22 @@
 """Personal data replaced by surrogates (operator 9).
 
-Found are e-mail addresses, IPv4 addresses, payment-card and account numbers,
-social-security numbers, phone numbers, and names (a known given name or a title
-before capitalised words). Every entity gets a surrogate that a secret key
+Found are e-mail addresses, IPv4 addresses, account numbers (IBAN with right check
+digits), payment-card numbers, social-security numbers, phone numbers, and names: a
+given name of the list below or a title before capitalised words of any script, and
+wherever else in the text a surname found so stands alone. Other names are not
+found. Every entity gets a surrogate that a secret key
 determines, of the same type, format and script: digits stay digits at the same
 places, country codes stay, octets stay octets, a card keeps its check-digit
-state, a name keeps its gender, script, length class and capitals. Parts of
+state, an account its country and right check digits, a name its gender, script,
+length class and capitals. Parts of
 names are entities of their own, so "Anna Berg" and "Ms Berg" stay connected,
 and one entity has one surrogate in the whole corpus however it is written.
 
 Distinctness is checked over all documents: where two entities of a type share
 a surrogate, or a surrogate is itself an entity of the corpus, all but the
-smallest entity try the next surrogate, until no two meet. Those that needed
+smallest entity try the next surrogate, until no two meet. Names grow by a syllable
+every few tries and numbers give up the digits they keep, so there is room for any
+number of entities that a format can tell apart. Those that needed
 more than the first try go to a table, which is joined to the documents that
 hold them; all others are computed where they stand. Nothing is collected.
 
@@ -34,8 +39,8 @@ from pyspark.sql import types as T
 
 from listwright.llm.common import materialize, query, table
 
-KEY = b"change me: the key belongs to the one who runs the job"
 ROUNDS = 100
+GROW = 3  # tries after which a surrogate gets more room
 
 # Given names by gender, in Latin, Cyrillic and Greek script.
 FEMALE = (
@@ -60,12 +65,22 @@ PHONE = re.compile(
     r"(?<![\w+(.-])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-][0-9]{3,4}"
     r"|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[0-9]{2,4}[ /-][0-9]{3,8})(?![\w-])"
 )
-CAPITAL = r"[^\W\d_a-zà-öø-ÿ][^\W\d_]+(?:-[^\W\d_]+)?"
+IBAN = re.compile(r"(?<![\w-])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\w-])")
+CAPITAL = rf"[{''.join(chr(k) for k in range(0x10000) if chr(k).isupper())}][^\W\d_]+(?:-[^\W\d_]+)?"
 NAME = re.compile(
     rf"\b(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? (?P<titled>{CAPITAL}(?: {CAPITAL})?)"
     rf"|(?P<given>{'|'.join(sorted(GENDER, key=len, reverse=True))}) (?P<last>{CAPITAL}))(?!\w)"
 )
-NUMBERS = (("email", EMAIL), ("ip", IP), ("ssn", SSN), ("card", CARD), ("phone", PHONE))
+CAPITAL_WORD = re.compile(rf"\b{CAPITAL}(?!\w)")
+# Capitalised words that are no surname behind a given name.
+STOPS = frozenset(
+    "The This That These Those There Then And Or But For Not With From Had Has Have Was Were Will Would Could Should Can May Must Did Does Said Says "
+    "Is Are Who What When Where Why How His Her He She It They We You If As At In On Of To By So No Yes "
+    "Der Die Das Und Oder Aber Hat Hatte War Ist Sind Nicht Mit Von Wer Was Wann Wie Er Sie Es Wir Ihr "
+    "El La Los Las Y Pero Con Por Para Que Era Fue Es Son Le Les Et Ou Mais Avec Pour Dans Qui Est Il Elle Nous Vous "
+    "Он Она Они Мы Вы Это Что Как Где Когда И Но Не".split()
+)
+NUMBERS = (("email", EMAIL), ("ip", IP), ("ssn", SSN), ("iban", IBAN), ("card", CARD), ("phone", PHONE))
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve vo".split(),
     "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве".split(),
@@ -74,45 +89,74 @@ SYLLABLES = {
 ENDINGS = {"latin": {"f": "na", "m": "ro", "n": "li"}, "cyrillic": {"f": "на", "m": "ров", "n": "ли"}, "greek": {"f": "να", "m": "ρος", "n": "λι"}}
 
 
-def find(text: str | None) -> list[tuple[int, int, str, str]]:
+Span = tuple[int, int, str, str]
+
+
+def merged(taken: list[Span], new: list[Span]) -> list[Span]:
+    """Both in order; what of ``new`` overlaps ``taken`` is left out. Both are in order and free of overlaps, so one walk does."""
+    out, k = [], 0
+    for x in new:
+        while k < len(taken) and taken[k][1] <= x[0]:
+            out.append(taken[k])
+            k += 1
+        if k == len(taken) or taken[k][0] >= x[1]:
+            out.append(x)
+    return out + taken[k:]
+
+
+def right_iban(value: str) -> bool:
+    return int("".join(str(int(x, 36)) for x in value[4:] + value[:4])) % 97 == 1
+
+
+def names(text: str) -> Iterator[Span]:
+    """Given names and surnames in order."""
+    at = 0
+    while m := NAME.search(text, at):
+        at = m.end()
+        words = (m["titled"] or m["last"]).split(" ")
+        if words[-1] in STOPS:
+            words.pop()
+        if m["given"]:
+            if not words:
+                at = m.end("given")
+                continue
+            yield m.start("given"), m.end("given"), f"given_{GENDER[m['given']]}", m["given"].lower()
+        start = m.start("titled") if m["titled"] else m.start("last")
+        for k, word in enumerate(words):
+            given = bool(m["titled"]) and k == 0 and len(words) == 2
+            yield start, start + len(word), f"given_{GENDER.get(word) or TITLES[m['title']]}" if given else "surname", word.lower()
+            start += len(word) + 1
+
+
+def find(text: str | None) -> list[Span]:
     """``(start, end, type, canonical entity)`` in order, without overlaps; the first type of the list wins."""
     if not text:
         return []
-    out: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
-
-    def add(start: int, end: int, kind: str, entity: str) -> None:
-        out.append((start, end, kind, entity))
-        taken.append((start, end))
-
+    out: list[Span] = []
     if "@" in text or re.search("[0-9]", text):
         for kind, rule in NUMBERS:
             if kind == "email" and "@" not in text:
                 continue
+            new = []
             for m in rule.finditer(text):
-                if any(m.start() < e and s < m.end() for s, e in taken):
-                    continue
                 value = m.group()
                 if kind in ("card", "ssn", "phone"):
-                    digits = re.sub("[^0-9]", "", value)
-                    if kind == "phone" and not 7 <= len(digits) <= 15:
+                    value = re.sub("[^0-9]", "", value)
+                    if kind == "phone" and not 7 <= len(value) <= 15:
                         continue
-                    value = digits
-                add(m.start(), m.end(), kind, value.lower())
-    for m in NAME.finditer(text):
-        words = (m["titled"] or m["last"]).split(" ")
-        parts = []
-        if m["given"]:
-            parts.append((m.start("given"), m["given"], f"given_{GENDER[m['given']]}"))
-        at = m.start("titled") if m["titled"] else m.start("last")
-        for k, word in enumerate(words):
-            given = bool(m["titled"]) and k == 0 and len(words) == 2
-            parts.append((at, word, f"given_{GENDER.get(word) or TITLES[m['title']]}" if given else "surname"))
-            at += len(word) + 1
-        for start, word, kind in parts:
-            if not any(start < e and s < start + len(word) for s, e in taken):
-                add(start, start + len(word), kind, word.lower())
-    return sorted(out)
+                if kind == "iban":
+                    value = value.replace(" ", "")
+                    if not right_iban(value):
+                        continue
+                new.append((m.start(), m.end(), kind, value.lower()))
+            out = merged(out, new)
+    people = list(names(text))
+    out = merged(out, people)
+    surnames = {x[3] for x in people if x[2] == "surname"}
+    if surnames:
+        again = [(m.start(), m.end(), "surname", m.group().lower()) for m in CAPITAL_WORD.finditer(text) if m.group().lower() in surnames]
+        out = merged(out, again)
+    return out
 
 
 class Stream:
@@ -153,13 +197,16 @@ def surrogate(kind: str, entity: str, key: bytes, attempt: int = 0) -> str:
     if kind == "ip":
         return ".".join(str(draw(223) + 1) if k == 0 else str(draw(256)) for k in range(4))
     if kind in ("card", "ssn", "phone"):
-        keep = 1 if kind != "phone" else max(0, min(len(entity) - 7, 3))
+        keep = max(0, (1 if kind != "phone" else min(len(entity) - 7, 3)) - attempt // GROW)
         digits = entity[:keep] + "".join(str(draw(10)) for _ in entity[keep:])
         if kind == "card":
             digits = next(d for x in range(10) if (luhn(d := digits[:-1] + str(x)) == 0) == (luhn(entity) == 0))
         return digits
+    if kind == "iban":
+        body = "".join(chr(97 + draw(26)) if x.isalpha() else str(draw(10)) for x in entity[4:])
+        return entity[:2] + next(c for x in range(2, 99) if right_iban(entity[:2] + (c := f"{x:02d}") + body)) + body
     script, gender = script_of(entity), kind[-1] if kind.startswith("given") else "n"
-    return "".join(SYLLABLES[script][draw(len(SYLLABLES[script]))] for _ in range(max(3, min(6, len(entity) // 2)))) + ENDINGS[script][gender]
+    return "".join(SYLLABLES[script][draw(len(SYLLABLES[script]))] for _ in range(max(3, min(6, len(entity) // 2)) + attempt // GROW)) + ENDINGS[script][gender]
 
 
 def in_format(kind: str, written: str, new: str) -> str:
@@ -167,6 +214,9 @@ def in_format(kind: str, written: str, new: str) -> str:
     if kind in ("card", "ssn", "phone"):
         digits = iter(new)
         return re.sub("[0-9]", lambda _: next(digits), written)
+    if kind == "iban":
+        letters = iter(new.upper())
+        return re.sub("[A-Z0-9]", lambda _: next(letters), written)
     if kind.startswith("given") or kind == "surname":
         return new.upper() if written.isupper() else new.capitalize()
     return new.upper() if written.isupper() else new
@@ -208,8 +258,10 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     raise RuntimeError(f"surrogates still meet after {ROUNDS} rounds")
 
 
-def replace_pii(docs: DataFrame, key: bytes = KEY, spans: str = "pii_spans", count: str = "n_entities") -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, spans: str = "pii_spans", count: str = "n_entities") -> DataFrame:
     """The documents with surrogates in ``text``, where they stand in the old text, and how many."""
+    if not key:
+        raise ValueError("surrogates need a secret key")
     given = assign(entities(docs), key)
     special = given.where("attempt > 0").select("kind", "entity", "surrogate")
     source = docs.withColumn("__lw_text", F.col("text").cast("string"))
@@ -260,8 +312,11 @@ def replace_pii(docs: DataFrame, key: bytes = KEY, spans: str = "pii_spans", cou
     return out.select(*plain, F.col("__lw_new.spans").alias(spans), F.col("__lw_new.n").alias(count))
 
 
+QUERY_KEY = b"the key of the query; a job brings its own"
+
+
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for personal data."""
-    changed = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    changed = replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     return changed.select("doc_id", "n_entities", F.array_join("pii_spans", ",").alias("spans"), "text")

@@ -1,9 +1,11 @@
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from listwright.llm import decontamination, pii, secrets
 from listwright.llm.decontamination import build_index, contaminated, decontaminate, words_of
@@ -158,6 +160,69 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     assert len(set(texts)) == 40
 
 
+# Texts of known parts: what is an entity is known by construction, not from the code under test.
+PARTS = [
+    ("email", "ann.berg@mail.example.org"), ("email", "X_1@a-b.co"), ("ip", "10.200.3.40"), ("ssn", "123-45-6789"), ("iban", "DE89370400440532013000"),
+    ("iban", "GB29 NWBK 6016 1331 9268 19"), ("card", "4111 1111 1111 1111"), ("phone", "+34 600 123456"), ("given_f", "Anna"), ("given_m", "Иван"),
+]
+FILLER = ["went home", "and", "said: no", "(see above)", "12 items", "version 1.2.3", "пошла домой", "The End", "DE00370400440532013000", "x@y", "999.1.1.1", "μικρό"]
+
+
+def test_found_are_just_the_planted(spark):
+    rng = np.random.default_rng(11)
+    for _ in range(400):
+        text, want, surnames = "", [], set()
+        for _ in range(rng.integers(1, 12)):
+            text += str(rng.choice(FILLER)) + str(rng.choice([" ", ", ", " - ", "\n"]))
+            if rng.random() < 0.6:
+                kind, value = PARTS[rng.integers(len(PARTS))]
+                want.append((len(text), len(text) + len(value), kind))
+                text += value
+                if kind.startswith("given"):
+                    last = str(rng.choice(["Berg", "Øster", "Петрова", "Lindqvist"]))
+                    want.append((len(text) + 1, len(text) + 1 + len(last), "surname"))
+                    text += " " + last
+                    surnames.add(last)
+                text += ". "
+        for last in sorted(surnames):
+            want.append((len(text), len(text) + len(last), "surname"))
+            text += f"{last} again; "
+        assert [x[:3] for x in pii.find(text)] == want, text
+
+
+def test_names_in_all_scripts_and_stop_words():
+    assert [x[3] for x in pii.find("Анна пошла домой и Мария сказала")] == []
+    assert pii.find("Mark The date. Mary Had a lamb.") == []
+    assert [x[3] for x in pii.find("Анна Петрова пошла. Петрова сказала. Mr Berg, then Berg and berg")] == ["анна", "петрова", "петрова", "berg", "berg"]
+
+
+def test_accounts_keep_country_and_check_digits():
+    for entity in ("de89370400440532013000", "gb29nwbk60161331926819"):
+        for attempt in range(5):
+            new = pii.surrogate("iban", entity, b"k", attempt)
+            assert new[:2] == entity[:2] and pii.right_iban(new) and len(new) == len(entity) and new != entity
+            assert [x.isalpha() for x in new] == [x.isalpha() for x in entity]
+    assert pii.in_format("iban", "GB29 NWBK 6016 1331 9268 19", "gb11abcd12345678901234") == "GB11 ABCD 1234 5678 9012 34"
+
+
+def test_more_short_surnames_than_three_syllables_tell_apart(spark):
+    found = spark.range(70_000).select(F.lit("surname").alias("kind"), F.concat(F.lit("x"), F.conv(F.col("id").cast("string"), 10, 36)).alias("entity"))
+    given = pii.assign(found, b"k")
+    assert given.count() == 70_000 == given.select("surrogate").distinct().count()
+
+
+def test_many_entities_in_one_text():
+    text = " ".join(f"user{k}@mail{k % 7}.example.org from 10.0.{k % 256}.{k % 200}" for k in range(50_000))
+    start = time.perf_counter()
+    assert len(pii.find(text)) == 100_000
+    assert time.perf_counter() - start < 20
+
+
+def test_a_key_is_needed(spark, docs):
+    with pytest.raises(ValueError, match="key"):
+        pii.replace_pii(docs, b"")
+
+
 def test_pii_query(spark, docs):
     old = {r["doc_id"]: r["text"] for r in docs.collect()}
     total = 0
@@ -173,10 +238,10 @@ def test_pii_query(spark, docs):
 
 
 def test_awkward_pii(spark, awkward, nothing):
-    out = pii.replace_pii(awkward)
+    out = pii.replace_pii(awkward, b"k")
     assert out.count() == awkward.count() and {"spans", "n", "score", "part", "pii_spans", "n_entities"} <= set(out.columns)
     assert Counter(r["text"] for r in out.collect()) == Counter(r["text"] for r in awkward.collect())
-    assert pii.replace_pii(nothing).count() == 0
+    assert pii.replace_pii(nothing, b"k").count() == 0
 
 
 def brute(docs, items):
