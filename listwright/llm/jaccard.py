@@ -8,7 +8,8 @@ classes:
    which of its n-grams occur elsewhere, and how often. Frequency and hash order
    the n-grams; sets that reach the similarity share one among the first
    ``n - ceil(t n) + 1`` of either. N-grams that nobody else has come first and
-   join with nothing, so most documents have no prefix left to join on.
+   join with nothing, so most documents have no prefix left to join on. An n-gram
+   that many documents of a batch hold is sent once, with its count.
 2. Classes are joined on the prefix n-grams. Members of one n-gram are linked in
    a chain, not in pairs, and a task links its own before the shuffle. The parts
    that hang together are the candidate groups; no pair outside one can link.
@@ -17,9 +18,11 @@ classes:
    and pass the length, positional and suffix filters; a pair is compared in full
    once, unless its classes are connected already.
 4. A group too large for a task is split into parts, each with the same first
-   class. Classes outside the largest component that this yields are then
-   compared, in blocks, with all parts. So no pair is left out, and a group of
-   near copies takes time in proportion to its size.
+   class, which joins near copies to a few components in time that grows with the
+   group. Classes outside the largest of them are then joined with the others on
+   their prefix n-grams: first one class of each component with the first class of
+   the n-gram, then all that are still apart. Pairs pass the length and positional
+   filters within the join, and each is verified once, in blocks of bounded size.
 
 Defined cases: null, empty and blank texts have an empty set and are linked with
 nothing; texts of fewer words than ``n`` have one n-gram, all their words;
@@ -130,14 +133,15 @@ def signed(docs: DataFrame, n: int) -> DataFrame:
     return source(docs).mapInPandas(read, "known boolean, d long, h long, n long, a long, b long")
 
 
-DEALT = "bucket long, batch long, payload binary"
+DEALT = "bucket long, batch long, payload binary, many binary"
 
 
 def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """The n-grams by bucket (their first ``bits`` bits): the next 32 bits of each, and the document's number in its batch.
 
-    Of equal sets in a batch one is enough. A row with a negative bucket tells
-    the batch's classes and the sizes of their sets.
+    Of equal sets in a batch one is enough. ``many`` has the n-grams that several
+    sets of the batch hold, each once with their number. A row with a negative
+    bucket tells the batch's classes, the sizes of their sets, and who holds those.
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,14 +156,23 @@ def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
             grams = np.concatenate(list(some.values()))
             owner = np.repeat(np.arange(len(sizes)), sizes).astype("<u2")
             order = np.argsort(grams, kind="stable")
-            grams, owner = grams[order], owner[order]
-            bucket = (grams >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(grams), np.int64)
-            rest = ((grams >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            grams, owner = (grams[order] >> np.uint64(32 - bits)).astype(np.int64), owner[order]
+            starts = np.flatnonzero(np.diff(grams, prepend=-1))
+            counts = np.diff(np.append(starts, len(grams)))
+            different, alone = grams[starts], counts == 1
+            bucket, rest = different >> 32, (different & 0xFFFFFFFF).astype("<u4")
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            last = np.append(first[1:], len(bucket))
-            rows = [(int(bucket[x]), batch_id, rest[x:y].tobytes() + owner[x:y].tobytes()) for x, y in zip(first, last, strict=True)]
+            rows = []
+            for x, y in zip(first, np.append(first[1:], len(bucket)), strict=True):
+                single, several = np.flatnonzero(alone[x:y]) + x, np.flatnonzero(~alone[x:y]) + x
+                rows.append((
+                    int(bucket[x]), batch_id, rest[single].tobytes() + owner[starts[single]].tobytes(),
+                    rest[several].tobytes() + counts[several].astype("<u4").tobytes(),
+                ))
             own = np.fromiter(some, np.int64, len(some)).tobytes() + sizes.tobytes()
-            return pd.DataFrame([*rows, (-1 - batch_id % 1009, batch_id, own)], columns=["bucket", "batch", "payload"])
+            holders = different[~alone].tobytes() + counts[~alone].tobytes() + owner[np.repeat(~alone, counts)].tobytes()
+            rows.append((-1 - batch_id % 1009, batch_id, own, np.int64((~alone).sum()).tobytes() + holders))
+            return pd.DataFrame(rows, columns=["bucket", "batch", "payload", "many"])
 
         for batch in batches:
             for ngrams in ngram_sets(batch["text"].tolist(), n):
@@ -183,63 +196,88 @@ def shared(rows: DataFrame) -> DataFrame:
     def count(group: pd.DataFrame) -> pd.DataFrame:
         if group["bucket"].iloc[0] < 0:
             return group
-        sizes = [len(x) // 6 for x in group["payload"]]
-        rest = np.concatenate([np.frombuffer(x, "<u4", k) for x, k in zip(group["payload"], sizes, strict=True)])
-        owner = np.concatenate([np.frombuffer(x, "<u2", k, 4 * k) for x, k in zip(group["payload"], sizes, strict=True)])
-        _, place, counts = np.unique(rest, return_inverse=True, return_counts=True)
-        often = np.minimum(counts[place], 65535).astype("<u2")
-        out, at = [], 0
-        for batch, k in zip(group["batch"], sizes, strict=True):
+        ones = [len(x) // 6 for x in group["payload"]]
+        several = [len(x) // 8 for x in group["many"]]
+        rest = np.concatenate([
+            *(np.frombuffer(x, "<u4", k) for x, k in zip(group["payload"], ones, strict=True)),
+            *(np.frombuffer(x, "<u4", k) for x, k in zip(group["many"], several, strict=True)),
+        ])
+        owner = np.concatenate([np.frombuffer(x, "<u2", k, 4 * k) for x, k in zip(group["payload"], ones, strict=True)])
+        weight = np.concatenate([np.ones(sum(ones)), *(np.frombuffer(x, "<u4", k, 4 * k) for x, k in zip(group["many"], several, strict=True))])
+        _, place = np.unique(rest, return_inverse=True)
+        often = np.minimum(np.bincount(place, weight)[place], 65535).astype("<u2")
+        out, at, behind = [], 0, sum(ones)
+        for batch, k, m in zip(group["batch"], ones, several, strict=True):
             some = np.flatnonzero(often[at : at + k] > 1) + at
-            if len(some):
-                out.append((group["bucket"].iloc[0], batch, rest[some].tobytes() + owner[some].tobytes() + often[some].tobytes()))
-            at += k
-        return pd.DataFrame(out, columns=["bucket", "batch", "payload"])
+            if len(some) or m:
+                found = rest[some].tobytes() + owner[some].tobytes() + often[some].tobytes()
+                out.append((group["bucket"].iloc[0], batch, found, rest[behind : behind + m].tobytes() + often[behind : behind + m].tobytes()))
+            at, behind = at + k, behind + m
+        return pd.DataFrame(out, columns=["bucket", "batch", "payload", "many"])
 
     return rows.groupBy("bucket").applyInPandas(count, DEALT)
 
 
-def candidate_links(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
-    """``a, b``: classes (the first number of their sign) that follow one another at a prefix n-gram."""
+def prefixes(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
+    """Prefix n-grams of classes (``node``, the first number of their sign), and links, written to the shared folder.
+
+    ``gram, node, pos, size, head``: a class holds the n-gram at this place of its
+    order; ``head`` marks one class for each n-gram of a batch. Where ``link`` is
+    set, ``node`` and ``other`` follow one another at an n-gram within a batch.
+    """
     bits = min(28, int(total // BUCKET_NGRAMS).bit_length())
 
-    def prefixes(group: pd.DataFrame) -> pd.DataFrame:
-        own = group["payload"][group["bucket"] < 0].iloc[0]
-        nodes, sizes = np.frombuffer(own, np.int64).reshape(2, -1)
+    def read(group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group["bucket"] < 0].iloc[0]
+        nodes, sizes = np.frombuffer(own["payload"], np.int64).reshape(2, -1)
+        k = int(np.frombuffer(own["many"], np.int64, 1)[0])
+        many, held = np.frombuffer(own["many"], np.int64, 2 * k, 8).reshape(2, -1)
         some = group[group["bucket"] >= 0]
         counts = [len(x) // 8 for x in some["payload"]]
         parts = list(zip(some["payload"], counts, strict=True))
-        empty = [np.zeros(0, np.int64)]
-        gram = np.concatenate([*empty, *(np.frombuffer(x, "<u4", k).astype(np.int64) + (b << 32) for (x, k), b in zip(parts, some["bucket"], strict=True))])
-        owner = np.concatenate([*empty, *(np.frombuffer(x, "<u2", k, 4 * k).astype(np.int64) for x, k in parts)])
-        often = np.concatenate([*empty, *(np.frombuffer(x, "<u2", k, 6 * k).astype(np.int64) for x, k in parts)])
+        times = np.zeros(k, np.int64)
+        for x, b in zip(some["many"], some["bucket"], strict=True):
+            m = len(x) // 6
+            times[np.searchsorted(many, np.frombuffer(x, "<u4", m).astype(np.int64) + (b << 32))] = np.frombuffer(x, "<u2", m, 4 * m)
+        gram = np.concatenate([
+            np.repeat(many, held), *(np.frombuffer(x, "<u4", k).astype(np.int64) + (b << 32) for (x, k), b in zip(parts, some["bucket"], strict=True)),
+        ])
+        owner = np.concatenate([
+            np.frombuffer(own["many"], "<u2", offset=8 + 16 * k).astype(np.int64), *(np.frombuffer(x, "<u2", k, 4 * k).astype(np.int64) for x, k in parts),
+        ])
+        often = np.concatenate([np.repeat(times, held), *(np.frombuffer(x, "<u2", k, 6 * k).astype(np.int64) for x, k in parts)])
         # A set's own n-grams fill its prefix first; what is left of it goes to the rarest of the others.
         order = np.lexsort((gram, often, owner))
         gram, owner = gram[order], owner[order]
         has = np.bincount(owner, minlength=len(nodes))
-        room = sizes - needed(sizes, percent) + 1 - (sizes - has)
-        keep = np.arange(len(owner)) - np.repeat(np.cumsum(has) - has, has) < room[owner]
-        gram, node = gram[keep], nodes[owner[keep]]
+        pos = np.arange(len(owner)) - np.repeat(np.cumsum(has) - has, has) + (sizes - has)[owner]
+        keep = pos < (sizes - needed(sizes, percent) + 1)[owner]
+        gram, pos, node, size = gram[keep], pos[keep], nodes[owner[keep]], sizes[owner[keep]]
         order = np.lexsort((node, gram))
-        gram, node = gram[order], node[order]
+        gram, pos, node, size = gram[order], pos[order], node[order], size[order]
         follows = np.zeros(len(gram), bool)
         follows[1:] = gram[1:] == gram[:-1]
         at = np.flatnonzero(follows)
         at = at[node[at] != node[at - 1]]
         pairs = np.unique(np.stack([node[at - 1], node[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-        # The first of each n-gram stands for all in this batch; the links themselves are spread by their own value.
-        alone = int((~follows).sum())
+        none = np.zeros(len(pairs), np.int64)
         return pd.DataFrame({
-            "gram": np.concatenate([gram[~follows], pairs[:, 0] ^ pairs[:, 1]]),
-            "node": np.concatenate([node[~follows], pairs[:, 0]]),
-            "other": np.concatenate([np.zeros(alone, np.int64), pairs[:, 1]]),
-            "link": np.concatenate([np.zeros(alone, bool), np.ones(len(pairs), bool)]),
+            "link": np.repeat([False, True], [len(gram), len(pairs)]), "gram": np.concatenate([gram, none]),
+            "node": np.concatenate([node, pairs[:, 0]]), "other": np.concatenate([np.zeros(len(gram), np.int64), pairs[:, 1]]),
+            "pos": np.concatenate([pos, none]), "size": np.concatenate([size, none]), "head": np.concatenate([~follows, none > 0]),
         })
 
-    rows = shared(dealt(docs, n, bits)).groupBy("batch").applyInPandas(prefixes, "gram long, node long, other long, link boolean")
-    before = F.lag("node").over(Window.partitionBy("gram", "link").orderBy("node"))
-    chained = rows.select("node", "link", "other", before.alias("before"))
-    return chained.select(F.col("node").alias("a"), F.when(F.col("link"), F.col("other")).otherwise(F.col("before")).alias("b")).where("b IS NOT NULL AND a != b")
+    found = shared(dealt(docs, n, bits)).groupBy("batch").applyInPandas(
+        read, "link boolean, gram long, node long, other long, pos long, size long, head boolean",
+    )
+    return materialize(found, "prefixes")
+
+
+def candidate_links(entries: DataFrame) -> DataFrame:
+    """``a, b``: classes that follow one another at a prefix n-gram."""
+    before = F.lag("node").over(Window.partitionBy("gram").orderBy("node"))
+    chained = entries.where("head AND NOT link").select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND a != b")
+    return chained.unionAll(entries.where("link").select(F.col("node").alias("a"), F.col("other").alias("b")))
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
@@ -329,13 +367,15 @@ def compare(groups: DataFrame, by: list[str], n: int, percent: int) -> DataFrame
     return groups.select(*by, "class", "label", "text").groupBy(*by).applyInPandas(links, "a long, b long")
 
 
-def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, n: int, percent: int) -> DataFrame:
-    """All links that connect classes (``class, a, n, d, h, known``) within their candidate groups."""
-    grouped = classes.join(candidates.withColumnRenamed("node", "a"), "a").select("component", "class", "n", "known", "d", "h")
+def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, entries: DataFrame, n: int, percent: int, repeated: bool) -> DataFrame:
+    """All links that connect classes (``class, a, n, d, h, known``) within their candidate groups. ``repeated``: some rows are equal in doc_id and text."""
+    grouped = classes.join(candidates.withColumnRenamed("node", "a"), "a").select("component", "class", "a", "n", "known", "d", "h")
     totals = grouped.groupBy("component").agg(F.sum("n").alias("total"), F.count("*").alias("classes"), F.min("class").alias("hub")).where("classes > 1")
     parts = F.ceil(F.col("total") / PART_NGRAMS).cast("int")
-    wanted = materialize(grouped.join(totals, "component").select("component", "class", "n", "known", "d", "h", "hub", parts.alias("parts")), "wanted")
+    wanted = materialize(grouped.join(totals, "component").select("component", "class", "a", "n", "known", "d", "h", "hub", parts.alias("parts")), "wanted")
     texts = source(docs).join(beside(wanted), ["known", "d", "h"]).select("component", "class", "n", "hub", "parts", "text")
+    if repeated:
+        texts = texts.dropDuplicates(["class"])
     own = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     if wanted.where("parts > 1").isEmpty():
         return materialize(compare(texts.withColumn("label", F.col("class")), ["component"], n, percent), "links")
@@ -343,22 +383,93 @@ def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, n: i
     every = F.when(F.col("class") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
     dealt = texts.withColumn("part", F.explode(every)).withColumn("label", F.col("class"))
     links = materialize(compare(dealt, ["component", "part"], n, percent), "links")
-    # What the parts did not join to the largest component of its group meets all parts, in blocks.
-    large = wanted.where("parts > 1").select("component", "class", "n", "parts")
-    labels = large.join(components(links, "first-links").select(F.col("node").alias("class"), F.col("component").alias("label")), "class", "left")
-    labels = materialize(labels.withColumn("label", F.coalesce("label", "class")), "labels")
+    large = wanted.where("parts > 1").select("component", "class", F.col("a").alias("node"))
+    held = large.join(entries.where("NOT link").select("gram", "node", "pos", "size"), "node")
+    held = materialize(held.drop("node").dropDuplicates(["gram", "class"]), "held")
+    texts = texts.select("class", "text")
+    # Components of one and the same group of copies meet at the first class of an n-gram.
+    marked = labelled(large, links, "first-links")
+    some = held.join(marked, "class").groupBy("gram", "label").agg(F.min(F.struct("class", "size")).alias("x"))
+    hubs = some.groupBy("gram").agg(F.min("x").alias("y"))
+    met = some.join(hubs, "gram").where("x.class != y.class").select(
+        F.col("x.class").alias("x"), F.col("y.class").alias("y"), F.col("x.size").alias("nx"), F.col("y.size").alias("ny"),
+    )
+    links = links.unionAll(verify(met.where(alike(percent)).distinct(), texts, n, percent, "hub-links"))
+    marked = labelled(large, links, "second-links")
+    if marked.where("left").isEmpty():
+        return links
+    return links.unionAll(verify(apart(held.join(marked, "class"), percent), texts, n, percent, "more-links"))
+
+
+def labelled(large: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``class, label, left``: the component that the links yield, and whether it is other than its group's largest."""
+    known = components(links, name).select(F.col("node").alias("class"), F.col("component").alias("label"))
+    labels = large.join(known, "class", "left").select("component", "class", F.coalesce("label", "class").alias("label"))
     sizes = labels.groupBy("component", "label").agg(F.count("*").alias("k"))
-    largest = sizes.groupBy("component").agg(F.max(F.struct("k", "label")).alias("x")).select("component", F.col("x.label").alias("largest"))
-    marked = labels.join(largest, "component").withColumn("left", F.col("label") != F.col("largest"))
-    rest = marked.where("left").groupBy("component").agg(F.ceil(F.sum("n") / PART_NGRAMS).cast("int").alias("blocks"))
-    marked = materialize(marked.join(rest, "component").select("component", "class", "label", "left", "blocks"), "marked")
-    again = texts.join(marked, ["component", "class"])
-    block = F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks")).cast("int")
-    as_part = again.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    as_rest = again.where("left").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    kept = ["component", "part", "block", "class", "label", "text"]
-    more = compare(as_part.select(*kept).unionAll(as_rest.select(*kept)), ["component", "part", "block"], n, percent)
-    return links.unionAll(materialize(more, "more-links"))
+    largest = sizes.groupBy("component").agg(F.max_by("label", F.struct("k", "label")).alias("largest"))
+    marked = labels.join(largest, "component").select("class", "label", (F.col("label") != F.col("largest")).alias("left"))
+    return materialize(marked, f"{name}-labels")
+
+
+def alike(percent: int):
+    """Length filter on ``nx`` and ``ny``."""
+    return 100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")
+
+
+def apart(held: DataFrame, percent: int) -> DataFrame:
+    """``x, y, nx, ny``: pairs of different labels that share prefix n-grams and pass the length and positional filters."""
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        return rows.select("gram", *(F.col(c).alias(f"{d}{s}") for c, d in (("class", ""), ("size", "n"), ("pos", "p"), ("label", "l"), ("left", "o"))))
+
+    both = side(held.where("left"), "x").join(side(held, "y"), "gram").where("lx != ly AND (NOT oy OR x < y)").where(alike(percent))
+    pairs = both.groupBy("x", "y").agg(
+        F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.count("*").alias("shared"), F.max("px").alias("px"), F.max("py").alias("py"),
+    )
+    most = F.col("shared") + F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py")) - 1
+    return pairs.where((100 + percent) * most >= percent * (F.col("nx") + F.col("ny"))).select("x", "y", "nx", "ny")
+
+
+def verify(pairs: DataFrame, texts: DataFrame, n: int, percent: int, name: str) -> DataFrame:
+    """``a, b``: the pairs that link, or are connected by others of their block.
+
+    Blocks hold about ``PART_NGRAMS``: the partners of many classes, or a part of those of one.
+    """
+    pairs = materialize(pairs, f"{name}-pairs")
+    weight = pairs.groupBy("x").agg((F.sum("ny") + F.first("nx")).alias("w"))
+    blocks = max(1, -(-(weight.agg(F.sum("w")).first()[0] or 0) // PART_NGRAMS))
+    slots = F.ceil(F.col("w") / PART_NGRAMS)
+    block = [F.pmod(F.xxhash64("x"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("y"), slots).alias("slot")]
+    there = pairs.join(weight, "x").select(*block, "x", "y")
+    asked = there.groupBy("block", "slot", F.col("y").alias("class")).agg(F.collect_list("x").alias("partners"))
+    own = there.select("block", "slot", F.col("x").alias("class"), F.expr("cast(array() as array<bigint>)").alias("partners")).distinct()
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("class", kind="stable", ignore_index=True)
+        first = group.drop_duplicates("class")
+        sets = dict(zip(first["class"].tolist(), ngram_sets(first["text"].tolist(), n), strict=True))
+        root = {x: x for x in sets}
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        found = []
+        for y, partners in zip(group["class"].tolist(), group["partners"], strict=True):
+            for x in sorted(int(p) for p in partners):
+                if top(x) == top(y):
+                    continue
+                one, other = sets[x], sets[y]
+                least = -(-percent * (len(one) + len(other)) // (100 + percent))
+                most = len(one) + len(other) - 2 * least
+                if suffix_bound(one, other, most) <= most and len(np.intersect1d(one, other, assume_unique=True)) >= least:
+                    root[top(x)] = top(y)
+                    found.append((x, y))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    rows = asked.unionAll(own).join(texts, "class")
+    return materialize(rows.groupBy("block", "slot").applyInPandas(check, "a long, b long"), name)
 
 
 def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -373,8 +484,10 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         "a", "b", "n", (~F.col("first.unknown")).alias("known"), F.col("first.d").alias("d"), F.col("first.h").alias("h"),
     )
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    candidates = components(candidate_links(docs, total, n, percent), "candidates")
-    links = class_links(docs, classes, candidates, n, percent)
+    entries = prefixes(docs, total, n, percent)
+    candidates = components(candidate_links(entries), "candidates")
+    repeated = not rows.groupBy("known", "d", "h").count().where("count > 1").isEmpty()
+    links = class_links(docs, classes, candidates, entries, n, percent, repeated)
     joined = components(links, "components").select(F.col("node").alias("class"), "component")
     named = classes.join(joined, "class", "left").withColumn("component", F.coalesce("component", "class"))
     smallest = named.groupBy("component").agg(F.min(F.when(F.col("known"), F.col("d"))).alias("component_id"))

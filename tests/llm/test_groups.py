@@ -116,6 +116,55 @@ def test_components_equal_brute_force(spark, monkeypatch, part, percent, n):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, n, percent)
 
 
+def mosaic(docs, seed=3):
+    """Texts put together from paragraphs that others hold as well, none like another; the paragraphs grow with the texts."""
+    rng = np.random.default_rng(seed)
+    pool = [" ".join(f"p{k}w{j}" for j in range(30)) for k in range(docs)]
+    return [(k, " ".join(pool[j] for j in rng.choice(docs, 5, replace=False))) for k in range(docs)]
+
+
+def test_shared_paragraphs_are_compared_in_proportion(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_NGRAMS", 3_000)
+    seen = []
+
+    def spy(pairs, *rest):
+        seen[-1] += pairs.count()
+        return verify(pairs, *rest)
+
+    verify = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", spy)
+    for size in (150, 300):
+        seen.append(0)
+        rows = mosaic(size)
+        rows += [(size + k, t.rsplit(" ", 3)[0]) for k, t in rows[:20]]
+        got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
+        assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 5, 80)
+    assert 0 < seen[0] and seen[1] < 3 * seen[0]
+
+
+def test_several_large_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "PART_NGRAMS", 2_000)
+    rng = np.random.default_rng(9)
+    start = [f"s{k}" for k in range(40)]
+    rows = []
+    for g in range(3):
+        own = start + [f"g{g}w{k}" for k in range(40)]
+        for _ in range(60):
+            text = list(own)
+            text[rng.integers(80)] = f"x{rng.integers(10**9)}"
+            rows.append((len(rows), " ".join(text)))
+    rows += rows[:30] * 2
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4, 80)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got.collect()) == brute_components(rows, 4, 80)
+
+
+def test_a_common_shingle_is_sent_once_a_batch(spark):
+    rows = [(k, f"the same five words here and then own{k} more{k} text{k}") for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    largest = max(len(r["payload"]) + len(r["many"]) for r in jaccard.dealt(df, 5, 8).where("bucket >= 0").collect())
+    assert largest < 400
+
+
 def test_links_connect_what_all_pairs_connect():
     rng = np.random.default_rng(6)
     for percent in (50, 80, 100):
