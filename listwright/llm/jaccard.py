@@ -4,7 +4,7 @@ A document is the set of its word n-grams, as 64-bit hashes. Documents with the
 same set are one class, so exact copies cost nothing further. The join runs on
 classes:
 
-1. All n-grams are dealt by their hash and counted, so every document learns
+1. Texts are read once. All n-grams are dealt by their hash and counted, so every document learns
    which of its n-grams occur elsewhere, and how often. Frequency and hash order
    the n-grams; sets that reach the similarity share one among the first
    ``n - ceil(t n) + 1`` of either. N-grams that nobody else has come first and
@@ -120,20 +120,7 @@ def source(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.isNotNull().alias("known"), F.coalesce(doc_id, F.lit(0)).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
-def signed(docs: DataFrame, n: int) -> DataFrame:
-    """``known, d, h, n, a, b`` of each document."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(len(ngrams), *sign(ngrams)) for ngrams in ngram_sets(batch["text"].tolist(), n)]
-            out = batch[["known", "d", "h"]].copy()
-            out[["n", "a", "b"]] = np.array(rows, np.int64).reshape(-1, 3)
-            yield out
-
-    return source(docs).mapInPandas(read, "known boolean, d long, h long, n long, a long, b long")
-
-
-DEALT = "bucket long, batch long, payload binary, many binary"
+DEALT = "bucket long, batch long, payload binary, many binary, docs binary"
 
 
 def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
@@ -141,7 +128,8 @@ def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
     Of equal sets in a batch one is enough. ``many`` has the n-grams that several
     sets of the batch hold, each once with their number. A row with a negative
-    bucket tells the batch's classes, the sizes of their sets, and who holds those.
+    bucket tells the batch's classes, the sizes of their sets, who holds those, and
+    ``known, d, h, n, a, b`` of all its documents.
     """
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,11 +137,12 @@ def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
         batch_id = TaskContext.get().partitionId() << 32
         some: dict[int, np.ndarray] = {}
+        read: list[tuple] = []
         held = 0
 
         def close() -> pd.DataFrame:
             sizes = np.array([len(x) for x in some.values()], np.int64)
-            grams = np.concatenate(list(some.values()))
+            grams = np.concatenate([np.zeros(0, np.uint64), *some.values()])
             owner = np.repeat(np.arange(len(sizes)), sizes).astype("<u2")
             order = np.argsort(grams, kind="stable")
             grams, owner = (grams[order] >> np.uint64(32 - bits)).astype(np.int64), owner[order]
@@ -163,31 +152,34 @@ def dealt(docs: DataFrame, n: int, bits: int) -> DataFrame:
             bucket, rest = different >> 32, (different & 0xFFFFFFFF).astype("<u4")
             first = np.flatnonzero(np.diff(bucket, prepend=-1))
             rows = []
-            for x, y in zip(first, np.append(first[1:], len(bucket)), strict=True):
+            for x, y in zip(first, np.append(first, len(bucket))[1:], strict=True):
                 single, several = np.flatnonzero(alone[x:y]) + x, np.flatnonzero(~alone[x:y]) + x
                 rows.append((
                     int(bucket[x]), batch_id, rest[single].tobytes() + owner[starts[single]].tobytes(),
-                    rest[several].tobytes() + counts[several].astype("<u4").tobytes(),
+                    rest[several].tobytes() + counts[several].astype("<u4").tobytes(), None,
                 ))
             own = np.fromiter(some, np.int64, len(some)).tobytes() + sizes.tobytes()
             holders = different[~alone].tobytes() + counts[~alone].tobytes() + owner[np.repeat(~alone, counts)].tobytes()
-            rows.append((-1 - batch_id % 1009, batch_id, own, np.int64((~alone).sum()).tobytes() + holders))
-            return pd.DataFrame(rows, columns=["bucket", "batch", "payload", "many"])
+            rows.append((-1 - batch_id % 1009, batch_id, own, np.int64((~alone).sum()).tobytes() + holders, np.array(read, np.int64).tobytes()))
+            return pd.DataFrame(rows, columns=["bucket", "batch", "payload", "many", "docs"])
 
         for batch in batches:
-            for ngrams in ngram_sets(batch["text"].tolist(), n):
-                if not len(ngrams) or (name := sign(ngrams)[0]) in some:
-                    continue
-                some[name] = ngrams
-                held += len(ngrams)
-                if held >= BATCH_NGRAMS or len(some) >= BATCH_DOCS:
+            known, d, h = (batch[x].tolist() for x in ("known", "d", "h"))
+            for k, ngrams in enumerate(ngram_sets(batch["text"].tolist(), n)):
+                name, other = sign(ngrams)
+                read.append((known[k], d[k], h[k], len(ngrams), name, other))
+                if len(ngrams) and name not in some:
+                    some[name] = ngrams
+                    held += len(ngrams)
+                if held >= BATCH_NGRAMS or len(some) >= BATCH_DOCS or len(read) >= 4 * BATCH_DOCS:
                     yield close()
                     batch_id, held = batch_id + 1, 0
                     some.clear()
-        if some:
+                    read.clear()
+        if read:
             yield close()
 
-    return source(docs).select("text").mapInPandas(deal, DEALT)
+    return source(docs).mapInPandas(deal, DEALT)
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -211,20 +203,22 @@ def shared(rows: DataFrame) -> DataFrame:
             some = np.flatnonzero(often[at : at + k] > 1) + at
             if len(some) or m:
                 found = rest[some].tobytes() + owner[some].tobytes() + often[some].tobytes()
-                out.append((group["bucket"].iloc[0], batch, found, rest[behind : behind + m].tobytes() + often[behind : behind + m].tobytes()))
+                out.append((group["bucket"].iloc[0], batch, found, rest[behind : behind + m].tobytes() + often[behind : behind + m].tobytes(), None))
             at, behind = at + k, behind + m
-        return pd.DataFrame(out, columns=["bucket", "batch", "payload", "many"])
+        return pd.DataFrame(out, columns=["bucket", "batch", "payload", "many", "docs"])
 
     return rows.groupBy("bucket").applyInPandas(count, DEALT)
 
 
-def prefixes(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
-    """Prefix n-grams of classes (``node``, the first number of their sign), and links, written to the shared folder.
+def prefixes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """What one pass over the texts yields, written to the shared folder.
 
-    ``gram, node, pos, size, head``: a class holds the n-gram at this place of its
-    order; ``head`` marks one class for each n-gram of a batch. Where ``link`` is
-    set, ``node`` and ``other`` follow one another at an n-gram within a batch.
+    ``kind`` 0: ``gram, node, pos, size, head``; a class (``node``, the first
+    number of its sign) holds the n-gram at this place of its order, and ``head``
+    marks one class for each n-gram of a batch. 1: ``node`` and ``other`` follow
+    one another at an n-gram within a batch. 2: ``known, d, h, n, a, b`` of a document.
     """
+    total = (source(docs).agg(F.sum(F.length("text"))).first()[0] or 0) // 6
     bits = min(28, int(total // BUCKET_NGRAMS).bit_length())
 
     def read(group: pd.DataFrame) -> pd.DataFrame:
@@ -260,24 +254,30 @@ def prefixes(docs: DataFrame, total: int, n: int, percent: int) -> DataFrame:
         at = np.flatnonzero(follows)
         at = at[node[at] != node[at - 1]]
         pairs = np.unique(np.stack([node[at - 1], node[at]], axis=1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-        none = np.zeros(len(pairs), np.int64)
-        return pd.DataFrame({
-            "link": np.repeat([False, True], [len(gram), len(pairs)]), "gram": np.concatenate([gram, none]),
-            "node": np.concatenate([node, pairs[:, 0]]), "other": np.concatenate([np.zeros(len(gram), np.int64), pairs[:, 1]]),
-            "pos": np.concatenate([pos, none]), "size": np.concatenate([size, none]), "head": np.concatenate([~follows, none > 0]),
-        })
-
-    found = shared(dealt(docs, n, bits)).groupBy("batch").applyInPandas(
-        read, "link boolean, gram long, node long, other long, pos long, size long, head boolean",
-    )
+        read = np.frombuffer(own["docs"], np.int64).reshape(-1, 6)
+        count = [len(gram), len(pairs), len(read)]
+        columns = {
+            "gram": (0, gram), "node": (0, node), "pos": (0, pos), "size": (0, size), "head": (0, ~follows), "one": (1, pairs[:, 0]), "other": (1, pairs[:, 1]),
+            **{name: (2, read[:, k]) for k, name in enumerate(("known", "d", "h", "n", "a", "b"))},
+        }
+        out = {"kind": np.repeat([0, 1, 2], count)}
+        for name, (kind, values) in columns.items():
+            out[name] = np.zeros(sum(count), np.int64)
+            out[name][out["kind"] == kind] = values
+        return pd.DataFrame(out)
+
+    names = ["gram", "node", "pos", "size", "head", "one", "other", "known", "d", "h", "n", "a", "b"]
+    schema = ", ".join(["kind int", *(f"{x} long" for x in names)])
+    found = shared(dealt(docs, n, bits)).groupBy("batch").applyInPandas(read, schema)
+    found = found.withColumns({x: F.col(x).cast("boolean") for x in ("head", "known")})
     return materialize(found, "prefixes")
 
 
 def candidate_links(entries: DataFrame) -> DataFrame:
     """``a, b``: classes that follow one another at a prefix n-gram."""
     before = F.lag("node").over(Window.partitionBy("gram").orderBy("node"))
-    chained = entries.where("head AND NOT link").select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND a != b")
-    return chained.unionAll(entries.where("link").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    chained = entries.where("kind = 0 AND head").select(F.col("node").alias("a"), before.alias("b")).where("b IS NOT NULL AND a != b")
+    return chained.unionAll(entries.where("kind = 1").select(F.col("one").alias("a"), F.col("other").alias("b")))
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
@@ -384,7 +384,7 @@ def class_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, entr
     dealt = texts.withColumn("part", F.explode(every)).withColumn("label", F.col("class"))
     links = materialize(compare(dealt, ["component", "part"], n, percent), "links")
     large = wanted.where("parts > 1").select("component", "class", F.col("a").alias("node"))
-    held = large.join(entries.where("NOT link").select("gram", "node", "pos", "size"), "node")
+    held = large.join(entries.where("kind = 0").select("gram", "node", "pos", "size"), "node")
     held = materialize(held.drop("node").dropDuplicates(["gram", "class"]), "held")
     texts = texts.select("class", "text")
     # Components of one and the same group of copies meet at the first class of an n-gram.
@@ -477,14 +477,13 @@ def jaccard_components(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
 
     ``h`` is xxhash64 of the text, ``component`` a number of the component's own (null for an empty set).
     """
-    rows = materialize(signed(docs, n), "signed")
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    entries = prefixes(docs, n, percent)
+    rows = entries.where("kind = 2").select("known", "d", "h", "n", "a", "b")
     first = F.min(F.struct((~F.col("known")).alias("unknown"), "d", "h")).alias("first")
     classes = rows.where("n > 0").groupBy("a", "b", "n").agg(first).select(
         "a", "b", "n", (~F.col("first.unknown")).alias("known"), F.col("first.d").alias("d"), F.col("first.h").alias("h"),
     )
     classes = materialize(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
-    entries = prefixes(docs, total, n, percent)
     candidates = components(candidate_links(entries), "candidates")
     repeated = not rows.groupBy("known", "d", "h").count().where("count > 1").isEmpty()
     links = class_links(docs, classes, candidates, entries, n, percent, repeated)
