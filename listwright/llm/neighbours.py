@@ -2,20 +2,27 @@
 
 Equal vectors are one node that knows its smallest vec_ids, so a vector that a
 third of the rows share costs no more than any other. Nodes are dealt into
-shards of about ``SHARD_ROWS``. In each shard a task builds a directed graph:
+shards of about ``SHARD_ROWS``. A task cuts its shard into bands of similar
+length, because among vectors of very different lengths the short ones crowd the
+graph, and builds a directed graph in each:
 nodes are inserted in batches, a greedy beam search proposes neighbours, and
 relaxed pruning keeps a proposal only if no kept neighbour is clearly nearer to
 it (``ALPHA``), which leaves near ones and a few long edges; edges back are added
 and pruned alike. For inner products, nodes get one more coordinate that makes
-them equally long, after which nearest and largest product are the same.
+them equally long, after which nearest and largest product are the same. The beam
+of a band starts at ``BEAM`` and is doubled until ``PROBES`` nodes of the shard
+find ``PROBE_RECALL`` of their true neighbours in it.
 
-Queries go in blocks to every shard; a beam of ``BEAM`` nodes walks the graph
-for a whole block at once. What the beams found is scored again in double
-precision on the original vectors and merged over shards.
+Queries go in blocks to every shard; a beam walks each graph, longest band first,
+for a whole block at once. A band is left out for queries whose length times the
+band's largest is below what they have found already: nothing there can be nearer.
+What the beams found is scored again in double precision on the original vectors
+and merged over shards.
 
 Defined cases: vectors that are null, zero, or hold a null or non-finite number
 take no part, nor do rows without a vec_id; vectors are compared with those of
-their own dimension; a whole repeated row counts once; a row is never its own neighbour; ties
+their own dimension; a whole repeated row counts once; a row is never its own neighbour; rows with one vec_id
+and different vectors ask together and answer together, each vec_id once with its largest product; ties
 go to the smaller vec_id; an empty table gives an empty one; other columns are
 not read.
 """
@@ -32,7 +39,11 @@ from pyspark.sql import functions as F
 from listwright.llm.common import materialize, query, table
 
 SHARD_ROWS = 8192
-QUERY_BLOCK = 20_000
+QUERY_BLOCK = 60_000
+BAND = 1.25  # the longest vector of a band to the shortest
+PROBES = 64
+PROBE_RECALL = 0.95
+ENTRIES = 16  # nodes where a search starts, the longest ones
 DEGREE = 32
 BUILD_BEAM = 64
 BEAM = 128
@@ -42,14 +53,15 @@ BATCH = 512
 SALTS = 16
 
 
-def walk(x: np.ndarray, edges: np.ndarray, entry: int, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes (-1: none) and products of a beam search for each row of ``q``, largest product first."""
+def walk(x: np.ndarray, edges: np.ndarray, entry: int | np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (-1: none) and products of a beam search from ``entry`` (one node or several) for each row of ``q``, largest product first."""
     n, b = len(x), len(q)
     beam = min(beam, n)
+    entry = np.atleast_1d(entry)[:beam]
     nodes = np.full((b, beam), -1)
     near = np.full((b, beam), -np.inf, np.float32)
     opened = np.zeros((b, beam), bool)
-    nodes[:, 0], near[:, 0] = entry, q @ x[entry]
+    nodes[:, : len(entry)], near[:, : len(entry)] = entry, q @ x[entry].T
     seen = np.zeros((b, n), bool)
     seen[:, entry] = True
     active = np.arange(b)
@@ -172,8 +184,51 @@ def nodes_of(vectors: DataFrame, keep: int) -> DataFrame:
     return few.groupBy("key", "other").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
-def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """``dim, shard, place, entry, v, ids, edges``, written to the shared folder."""
+def bands_of(vectors: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors, longest first, cut where one is shorter than the band's first by ``BAND``."""
+    length = np.linalg.norm(vectors, axis=1)
+    order = np.argsort(-length, kind="stable")
+    bands, a = [], 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(-length[order], -length[order[a]] / BAND, "right")))
+        bands.append(order[a:b])
+        a = b
+    return bands
+
+
+def true_nearest(x: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    return np.argsort(-(q @ x.T), axis=1, kind="stable")[:, :k]
+
+
+def fitting_beam(x: np.ndarray, edges: np.ndarray, entry: np.ndarray, probes: np.ndarray, k: int, beam: int) -> int:
+    """The least doubling of ``beam`` that finds ``PROBE_RECALL`` of the ``k`` nearest of ``probes``."""
+    want = true_nearest(x, probes, k)
+    while beam < len(x):
+        found, _ = walk(x, edges, entry, probes, beam)
+        if np.mean([np.isin(w, f).mean() for w, f in zip(want, found, strict=True)]) >= PROBE_RECALL:
+            break
+        beam *= 2
+    return beam
+
+
+def build_bands(vectors: np.ndarray, k: int, beam: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Of each band its places, edges and entries (places within the band), and beam."""
+    probes = np.random.default_rng(4).permutation(len(vectors))[:PROBES]
+    out = []
+    for band in bands_of(vectors):
+        x = vectors[band]
+        if len(band) <= 2 * beam:
+            out.append((band, np.full((len(band), DEGREE), -1), np.zeros(1, np.int64), len(band)))
+            continue
+        edges, entry = build_graph(x)
+        entries = np.unique(np.append(np.arange(ENTRIES), entry))
+        x32 = x.astype(np.float32)
+        out.append((band, edges, entries, fitting_beam(x32, edges, entries, vectors[probes].astype(np.float32), k, beam)))
+    return out
+
+
+def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
+    """``dim, shard, band, place, entry, beam, v, ids, edges``, written to the shared folder."""
     nodes = materialize(nodes_of(vectors, keep).withColumn("dim", F.size("v")), "vectors")
     shards = {r["dim"]: -(-r["n"] // shard_rows) for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     count = F.coalesce(*(F.when(F.col("dim") == d, F.lit(n)) for d, n in shards.items()), F.lit(1)) if shards else F.lit(1)
@@ -181,19 +236,46 @@ def build_index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) ->
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("key", kind="stable", ignore_index=True)
-        edges, entry = build_graph(np.stack(group["v"].to_numpy()).astype(np.float64))
-        return pd.DataFrame({
-            "dim": group["dim"], "shard": group["shard"], "place": np.arange(len(group)), "entry": entry,
-            "v": group["v"], "ids": group["ids"], "edges": list(edges),
-        })
+        out = []
+        for number, (band, edges, entries, width) in enumerate(build_bands(np.stack(group["v"].to_numpy()).astype(np.float64), keep, beam)):
+            some = group.iloc[band]
+            out.append(pd.DataFrame({
+                "dim": some["dim"].to_numpy(), "shard": some["shard"].to_numpy(), "band": number, "place": np.arange(len(band)),
+                "entry": np.isin(np.arange(len(band)), entries), "beam": width, "v": some["v"].to_numpy(), "ids": some["ids"].to_numpy(), "edges": list(edges),
+            }))
+        return pd.concat(out, ignore_index=True)
 
     graph = dealt.groupBy("dim", "shard").applyInPandas(
-        build, "dim int, shard long, place int, entry int, v array<double>, ids array<long>, edges array<int>",
+        build, "dim int, shard long, band int, place int, entry boolean, beam int, v array<double>, ids array<long>, edges array<int>",
     )
     return materialize(graph, "graph")
 
 
-def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
+def search_bands(bands: list[tuple], q: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Nodes found for each row of ``q`` and their products; ``bands``: first node, vectors, edges, entries, beam, whether the bound holds."""
+    held: list[list[tuple]] = [[] for _ in q]
+    worst = np.full(len(q), -np.inf)
+    length = np.linalg.norm(q, axis=1)
+    for first, exact, edges, entries, beam, bounded in bands:
+        longest = np.linalg.norm(exact[:BATCH], axis=1).max()
+        # A little room for rounding: a tie must not be left out.
+        asked = np.flatnonzero(length * longest * (1 + 1e-9) >= worst) if bounded else np.arange(len(q))
+        if not len(asked):
+            continue
+        if beam >= len(exact):
+            found = np.tile(np.arange(len(exact)), (len(asked), 1))
+        else:
+            found, _ = walk(exact.astype(np.float32), edges, entries, q[asked].astype(np.float32), beam)
+        for row, nodes in zip(asked.tolist(), found, strict=True):
+            nodes = nodes[nodes >= 0]
+            held[row].append((nodes + first, (exact[nodes] * q[row]).sum(axis=1)))
+            scores = np.concatenate([s for _, s in held[row]])
+            if len(scores) > k:
+                worst[row] = np.partition(scores, -k - 1)[-k - 1]  # one of them may be the query itself
+    return [(np.concatenate([a for a, _ in x]), np.concatenate([s for _, s in x])) for x in held]
+
+
+def search_index(index: DataFrame, queries: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best of all shards for each of ``queries`` (``query_id, v``)."""
     shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard")).distinct()
     blocks = max(1, -(-queries.count() // block))
@@ -205,34 +287,38 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, beam: int = BEAM,
         names = ["query_id", "vec_id", "score"]
         if not len(graph) or not len(block):
             return pd.DataFrame({x: [] for x in names}).astype({"query_id": "int64", "vec_id": "int64"})
-        graph = graph.sort_values("place", kind="stable", ignore_index=True)
-        exact = np.stack(graph["v"].to_numpy()).astype(np.float64)
-        x, edges, ids = exact.astype(np.float32), np.stack(graph["edges"].to_numpy()).astype(np.int64), graph["ids"].to_numpy()
+        graph = graph.sort_values(["band", "place"], kind="stable", ignore_index=True)
+        ids = graph["ids"].to_numpy()
         sizes = np.array([len(i) for i in ids])
         starts, flat = np.cumsum(sizes) - sizes, np.concatenate(ids)
+        # The bound counts nodes as different answers, which they are unless vectors share a vec_id.
+        bounded = len(np.unique(flat)) == len(flat)
+        bands = [
+            (
+                part.index[0], np.stack(part["v"].to_numpy()).astype(np.float64), np.stack(part["edges"].to_numpy()).astype(np.int64),
+                np.flatnonzero(part["entry"]), int(part["beam"].iloc[0]), bounded,
+            )
+            for _, part in graph.groupby("band")
+        ]
         out = []
         for a in range(0, len(block), BATCH):
             part = block.iloc[a : a + BATCH]
             q = np.stack(part["v"].to_numpy()).astype(np.float64)
-            if len(x) <= 2 * beam:
-                found = np.tile(np.arange(len(x)), (len(part), 1))
-            else:
-                found, _ = walk(x, edges, int(graph["entry"][0]), q.astype(np.float32), beam)
-            for query_id, v, nodes in zip(part["query_id"], q, found, strict=True):
-                nodes = nodes[nodes >= 0]
-                score = (exact[nodes] * v).sum(axis=1)
+            for query_id, (nodes, score) in zip(part["query_id"], search_bands(bands, q, k), strict=True):
                 n = sizes[nodes]
                 ends = np.cumsum(n)
                 vec = flat[np.repeat(starts[nodes] - (ends - n), n) + np.arange(ends[-1])]
                 score = np.repeat(score, n)
                 other = vec != query_id
-                best = np.lexsort((vec[other], -score[other]))[:k]
+                best = np.lexsort((vec[other], -score[other]))
+                best = best[np.sort(np.unique(vec[other][best], return_index=True)[1])][:k]
                 out.append(pd.DataFrame({"query_id": query_id, "vec_id": vec[other][best], "score": score[other][best]}))
         return pd.concat(out, ignore_index=True)
 
     found = there.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(
         search, "query_id long, vec_id long, score double",
     )
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -246,8 +332,8 @@ def clean_vectors(vectors: DataFrame, id_column: str = "vec_id", vector: str = "
 def nearest(vectors: DataFrame, is_query: Column, k: int, shard_rows: int = SHARD_ROWS, beam: int = BEAM) -> DataFrame:
     """Index all vectors and search for those that ``is_query`` (of ``vec_id``) marks."""
     clean = clean_vectors(vectors)
-    index = build_index(clean, k + 1, shard_rows)
-    return search_index(index, clean.where(is_query).select(F.col("vec_id").alias("query_id"), "v"), k, beam)
+    index = build_index(clean, k + 1, shard_rows, beam)
+    return search_index(index, clean.where(is_query).select(F.col("vec_id").alias("query_id"), "v"), k)
 
 
 @query

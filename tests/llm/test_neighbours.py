@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.llm import neighbours
-from listwright.llm.neighbours import build_graph, nearest, op1_neighbours, walk
+from listwright.llm.neighbours import bands_of, build_bands, build_graph, nearest, op1_neighbours, search_bands, walk
 from tests.conftest import SF
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, rank int"
@@ -74,6 +74,64 @@ def test_graph_is_sparse_and_searchable():
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(found, best.tolist(), strict=True)]) >= 0.9
 
 
+def spread(kind, n=6000):
+    """Vectors of lengths that differ much, or without any clusters."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, 64))
+    if kind == "lengths":
+        return x * np.exp(rng.normal(size=(n, 1)))
+    return x if kind == "gaussian" else x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["lengths", "gaussian", "unit"])
+def test_recall_of_one_shard_by_kind_of_vectors(kind):
+    x = spread(kind)
+    first, bands = 0, []
+    places = []
+    for band, edges, entries, beam in build_bands(x, 21, neighbours.BEAM):
+        bands.append((first, x[band], edges, entries, beam, True))
+        places.append(band)
+        first += len(band)
+    places = np.concatenate(places)
+    asked = np.arange(0, len(x), 20)
+    exact = x[asked] @ x.T
+    exact[np.arange(len(asked)), asked] = -np.inf
+    hits = []
+    for row, (nodes, score) in enumerate(search_bands(bands, x[asked], 20)):
+        found = places[nodes][np.argsort(-score)]
+        found = [k for k in found.tolist() if k != asked[row]][:20]
+        hits.append(len(set(found) & set(np.argsort(-exact[row])[:20].tolist())) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_recall_of_several_shards_of_uneven_lengths(spark):
+    rows = [(k, v.tolist(), 0, "", 0) for k, v in enumerate(spread("lengths", 5000))]
+    found = got(nearest(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 20, shard_rows=2500))
+    want = brute(rows, lambda i: i % 20 == 0, 20)
+    assert found.keys() == want.keys()
+    assert np.mean([len({i for i, _ in found[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_bands_hold_all_and_are_narrow():
+    x = np.random.default_rng(8).normal(size=(500, 3)) * np.array([[1.0], [100.0]] * 250)
+    bands = bands_of(x)
+    assert sorted(np.concatenate(bands).tolist()) == list(range(500))
+    length = [np.linalg.norm(x[b], axis=1) for b in bands]
+    assert all(a.max() <= neighbours.BAND * a.min() * (1 + 1e-12) for a in length)
+    assert all(a.min() >= b.max() for a, b in zip(length, length[1:], strict=False))
+
+
+def test_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.5]), (2, [0.5, 3.0]), (3, [1.0, 1.0]), (4, [-1.0, 0.0])]
+    best = {}
+    for a, v in rows:
+        for b, w in rows:
+            if a != b:
+                best[a, b] = max(best.get((a, b), -np.inf), float(np.dot(v, w)))
+    want = {a: sorted(((b, s) for (x, b), s in best.items() if x == a), key=lambda x: (-x[1], x[0]))[:2] for a, _ in rows}
+    assert got(nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") > 0, 2)) == want
+
+
 def test_query_recall(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     found, want = got(op1_neighbours(spark, SF)), brute(rows, lambda i: i % 20 == 0, 20)
