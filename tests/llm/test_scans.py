@@ -72,6 +72,48 @@ def test_network_learns_by_its_slopes():
     assert scores[y == 1].min() > 0.5 > scores[y == 0].max() and scores[y == 1].min() >= net.threshold
 
 
+def test_candidates_of_the_network():
+    text = "sk_AbCdEfGhIj Hunter2xyz9 A1b2C3d4E5f xkqzvbnmtr international Wordpress well-known UPPERCASE short1 éAbcdefgh"
+    assert [text[s:e] for s, e in secrets.scan([text])[0][1]] == ["sk_AbCdEfGhIj", "Hunter2xyz9", "A1b2C3d4E5f", "xkqzvbnmtr"]
+
+
+def test_network_on_planted_keys(spark):
+    """Keys of other alphabets, without any word of the rules near them, in texts of the tables."""
+    rng = np.random.default_rng(21)
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for k in range(200):
+        text, key = rows[k % len(rows)][1][:400].rpartition(" ")[0], secrets.random_key(rng)
+        planted[10**6 + k] = (text + " ", key)
+    docs = rows + secret_rows() + [(k, f"{a}{key} and so on") for k, (a, key) in planted.items()]
+    found = {r["doc_id"]: r for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    hit, extra = 0, 0
+    for k, r in found.items():
+        spans = [(s, e) for s, e, x in zip(r["all_starts"], r["all_ends"], r["all_kinds"], strict=True) if x == "network"]
+        if k in planted:
+            at = len(planted[k][0])
+            hit += any(s < at + len(planted[k][1]) and e > at for s, e in [*spans, *zip(r["starts"], r["ends"], strict=True)])
+            spans = [x for x in spans if x[1] <= at or x[0] >= at + len(planted[k][1])]
+        extra += len(spans)
+    print("planted", hit, "of", len(planted), "others", extra)
+    assert hit >= 0.95 * len(planted) and extra <= 0.1 * len(planted)
+
+
+def test_recall_on_findings_kept_back():
+    rng = np.random.default_rng(22)
+    words = ["internationally", "2024-11-30", "Schchachach", "555-0742123", "snake_case_name"]
+    windows = [secrets.window("the key is ", secrets.random_key(rng), " for us") for _ in range(600)]
+    windows += [secrets.window("the key is ", words[k % 5] + str(k), " for us") for k in range(600)]
+    y = np.repeat([1.0, 0.0], 600)
+    use = np.arange(1200) % 4
+    net = secrets.train([w for w, u in zip(windows, use, strict=True) if u < 2], y[use < 2])
+    secrets.calibrate(net, [w for w, u in zip(windows, use, strict=True) if u == 2], y[use == 2], secrets.RECALL)
+    scores, truth = net.score([w for w, u in zip(windows, use, strict=True) if u == 3]), y[use == 3]
+    back = net.score([w for w, u in zip(windows, use, strict=True) if u == 2])
+    assert (back[y[use == 2] == 1] >= net.threshold).mean() >= 0.98
+    assert (scores[truth == 1] >= net.threshold).mean() >= 0.95 and (scores[truth == 0] >= net.threshold).mean() <= 0.05
+
+
 def test_secrets_query(spark, docs):
     texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
     rows = secrets.op10_secrets(spark, SF).collect()
