@@ -46,7 +46,7 @@ from listwright.llm.components import components
 
 N, PERCENT = 5, 80
 BUCKET_NGRAMS = 250_000  # n-grams that are counted together
-BATCH_NGRAMS = 2_000_000  # n-grams that a task deals out at a time
+BATCH_NGRAMS = 1_000_000  # n-grams that a task deals out at a time
 BATCH_DOCS = 60_000
 PART_NGRAMS = 400_000  # n-grams of the classes that one task compares
 PIECE_CHARS = 1_000_000
