@@ -1,6 +1,8 @@
 import hashlib
+import math
 import re
 import time
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.llm import decontamination, pii, secrets
-from listwright.llm.decontamination import build_index, contaminated, decontaminate, words_of
+from listwright.llm.decontamination import contaminated, decontaminate, words_of
 from tests.conftest import SF
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -286,24 +288,68 @@ def test_awkward_pii(spark, awkward, nothing):
     assert pii.replace_pii(nothing, b"k").count() == 0
 
 
+def plain_words(text):
+    """Words by a character at a time."""
+    out, word, run = [], "", ""
+    for c in [*(text or "").lower(), " "]:
+        kind = unicodedata.category(c)
+        if kind == "Cf":
+            continue
+        unspaced = any(a <= c <= b for a, b in ("\u0e00\u0eff", "\u1000\u109f", "\u1780\u17ff", "\u3005\u3005", "\u3040\u30ff", "\u31f0\u31ff", "\u3400\u4dbf", "\u4e00\u9fff", "\uf900\ufaff", "\uff66\uff9f", "\U00020000\U000323af"))
+        letter = c.isalnum() if ord(c) < 128 else kind[0] in "LMN"
+        if run and not (letter and unspaced):
+            out += [run[k : k + 2] for k in range(len(run) - 1)] or [run]
+            run = ""
+        if word and (unspaced or not letter):
+            out.append(word)
+            word = ""
+        if letter and unspaced:
+            run += c
+        elif letter:
+            word += c
+    return [x.encode() for x in out]
+
+
+def runs(words, n=3):
+    return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))}
+
+
 def brute(docs, items):
-    """Every passage against every item, without bounds."""
-    index = build_index(items)
+    """Every passage against every part of every item, by formulas of its own."""
+    size = 96
+    parts = []
+    for item_id, text in sorted({x for x in items if x[1] is not None}, key=str):
+        words = plain_words(text)
+        parts += [(item_id, text, words, words[a : a + size]) for a in range(0, len(words), size) if not a or len(words) - a >= 8]
+    held_by = Counter(t for *_, part in parts for t in set(part))
+    mean = sum(len(part) for *_, part in parts) / max(1, len(parts))
+    texts = []
+    for doc, whole in docs:
+        there = plain_words(whole)
+        texts.append((doc, there, [(a, set(there[a : a + 2 * size])) for a in range(0, max(1, len(there)), size)]))
     out = set()
-    weights = {}
-    for term, block in ((t, b) for t in range(len(index.terms)) for b in range(index.block_start[t], index.block_start[t + 1])):
-        for p in range(index.posting_start[block], index.posting_start[block + 1]):
-            weights.setdefault(int(index.posting[p]), {})[term] = float(index.weight[p])
-    for doc, text in docs:
-        words = words_of(text)
-        for a in range(0, max(1, len(words)), decontamination.PART_WORDS):
-            held = {index.terms[w] for w in words[a : a + 2 * decontamination.PART_WORDS] if w in index.terms}
-            for part, mine in weights.items():
-                if sum(w for t, w in mine.items() if t in held) >= decontamination.THRESHOLD:
-                    item_id, (q, an), size = index.items[index.owner[part]]
-                    there = decontamination.grams(words[max(0, a - size) : a + 2 * decontamination.PART_WORDS + size])
-                    if len(q & there) >= 0.5 * len(q) and len(an & there) >= 0.5 * len(an):
-                        out.add((doc, item_id))
+    for item_id, text, words, part in parts:
+        weight = {}
+        for t, n in Counter(part).items():
+            idf = math.log(1 + (len(parts) - held_by[t] + 0.5) / (held_by[t] + 0.5))
+            weight[t] = idf * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(part) / mean))
+        sentences = [x for x in map(plain_words, re.split("(?<=[.!?])\\s+|(?<=[\u3002\uff01\uff1f])", text)) if x]
+        least = max(3, len(words) // 4)
+        cut = len(words) - len(sentences[-1]) if len(sentences) > 1 else 2 * len(words) // 3
+        cut = min(max(cut, least), len(words) - least)
+        for doc, there, passages in texts:
+            for a, passage in passages:
+                if sum(w for t, w in weight.items() if t in passage) < 0.45 * sum(weight.values()):
+                    continue
+                around = there[max(0, a - len(words)) : a + 2 * size + len(words)]
+                if len(words) < 3:
+                    hit = there == words
+                elif len(words) < 8:
+                    hit = tuple(words) in runs(around, len(words))
+                else:
+                    hit = all(2 * len(runs(x) & runs(around)) >= len(runs(x)) for x in (words[:cut], words[cut:]))
+                if hit:
+                    out.add((doc, item_id))
     return out
 
 
@@ -323,12 +369,55 @@ def test_decontamination_equals_brute_force(spark, docs, benchmark):
     assert kept == {k for k, _ in source} - {k for k, _ in found}
 
 
-def test_several_indexes_give_the_same(spark, docs, benchmark, monkeypatch):
-    exact = {(r["doc_id"], r["item_id"]) for r in contaminated(docs, benchmark).collect()}
-    whole = decontamination.indexes
-    monkeypatch.setattr(decontamination, "indexes", lambda b: whole(b, 2000))
-    assert len(whole(benchmark, 2000)) > 2
-    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, benchmark).collect()} == exact
+def test_words_of_all_scripts():
+    texts = ["It\u2019s \u201cquoted\u201d, na\u00efve\u2014yes_no 3.5", "\u6771\u4eac\u306f\u65e5\u672c\u306e\u9996\u90fd\u3002 Tokyo\u90fd", "\u0e20\u0e32\u0e29\u0e32\u0e44\u0e17\u0e22", "\u0939\u093f\u0928\u094d\u0926\u0940 \u0434\u043e\u043c", "soft\u00adhyphen", "\u5b57", ""]
+    for text in texts:
+        assert words_of(text) == plain_words(text)
+    assert words_of("\u6771\u4eac\u90fd a") == ["\u6771\u4eac".encode(), "\u4eac\u90fd".encode(), b"a"]
+    assert words_of("\u201cquoted\u201d") == [b"quoted"]
+
+
+def odd_items():
+    """Short items, items of unspaced scripts, and texts that hold them whole, in part or not at all."""
+    question = "\u6700\u3082\u9ad8\u3044\u5c71\u306e\u540d\u524d\u306f\u4f55\u3067\u3059\u304b\u3002\u7b54\u3048\u306f\u5bcc\u58eb\u5c71\u3067\u3059\u3002"
+    items = [(1, question), (2, "Who wrote the famous Emma?"), (3, "yes"), (4, "\u5c71"), (5, "..."), (6, None), (7, question[:5]), (None, "an item without any number at all here"), (2, "Who wrote the famous Emma?")]
+    docs = [
+        (1, f"before {question} after"), (2, question[: len(question) // 2]), (3, "They asked: who wrote the famous Emma, and left."),
+        (4, "Who wrote the very famous Emma?"), (5, "yes"), (6, "YES!"), (7, "yes and no"), (8, "\u5c71"), (9, f"\u306e{question[:5]}\u3044"),
+        (10, None), (11, ""), (12, "There is an item without any number at all here."), (13, "the famous Emma who wrote"),
+    ]
+    return items, docs
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    items, docs = odd_items()
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    rows = [(r["doc_id"], r["item_id"]) for r in contaminated(df, bench).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == brute(docs, items)
+    assert {(1, 1), (3, 2), (5, 3), (6, 3), (8, 4), (1, 7), (12, None)} <= set(rows)
+    assert not {2, 4, 7, 10, 11, 13} & ({k for k, x in rows} - {k for k, x in rows if x == 7})
+    assert {r["doc_id"] for r in decontaminate(df, bench).collect()} == {k for k, _ in docs} - {k for k, _ in rows}
+
+
+def test_any_number_of_indexes_gives_the_same(spark, docs, benchmark, monkeypatch):
+    items = [(r["item_id"], r["text"]) for r in benchmark.orderBy("item_id").collect()]
+    rng = np.random.default_rng(4)
+    source = [(r["doc_id"], r["text"]) for r in docs.limit(100).collect()]
+    for k in range(200):  # copies with so many words changed that scores lie about the threshold
+        words = [x if rng.random() > 0.15 + 0.002 * k else "other" for x in items[k % len(items)][1].split(" ")]
+        source.append((20_000 + k, " ".join(words)))
+    more, odd = odd_items()
+    bench = spark.createDataFrame(items + more, "item_id long, text string")
+    df = spark.createDataFrame(source + odd, "doc_id long, text string")
+    found = {tuple(r) for r in contaminated(df, bench).collect()}
+    kept = {r["doc_id"] for r in decontaminate(df, bench).collect()}
+    whole = decontamination.stored_indexes
+    for limit in (1500, 4000):
+        monkeypatch.setattr(decontamination, "stored_indexes", lambda b, limit=limit: whole(b, limit))
+        assert whole(bench, limit)[1] > 2
+        assert {tuple(r) for r in contaminated(df, bench).collect()} == found
+        assert {r["doc_id"] for r in decontaminate(df, bench).collect()} == kept
+    assert {(k, x) for k, x, *_ in found} == brute(source + odd, items + more)
 
 
 def test_planted_items_of_the_tables(spark, docs, benchmark):
