@@ -30,12 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from listwright.llm.common import query, shared_dir, table
+from listwright.llm.common import beside, query, shared_dir, table
 
 MAGIC, VERSION = b"LWBP", 1
 HEADER = struct.Struct("<4sHHIQQ")
 BLOCK_IDS = 4096
 SEGMENT_IDS = 1 << 20  # a segment closes when it holds this many ids
+START_CHARS = 128
 
 
 def bits_for(vocabulary: int) -> int:
@@ -110,8 +111,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
     """Encode whole texts and write them as segments in ascending doc_id order.
 
     Columns of the table: ``part`` and ``seg`` (together the order), ``n_docs``,
-    ``n_ids``, ``image``. Texts are dealt out by ranges of doc_id; a task holds
-    one segment at a time.
+    ``n_ids``, ``image``. Texts are dealt out by ranges of doc_id and, within one
+    doc_id, of their first ``START_CHARS`` characters; rows equal in doc_id and a text no longer
+    than that go by their place in the input. So only rows that share a doc_id and
+    the beginning of longer texts stay in one task, which holds one segment at a time.
     """
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,7 +150,10 @@ def write_packed(docs: DataFrame, path: str, tokenizer: str, end_id: int, segmen
     rows = docs.select(
         F.col("doc_id").cast("long").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # A text that ends within its beginning comes before the longer ones, so these keys follow the order by text.
+    more = F.length("text") > START_CHARS
+    rows = rows.select("*", F.substring("text", 1, START_CHARS).alias("begin"), more.alias("more"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.repartitionByRange("key", "begin", "more", F.when(~F.col("more"), F.col("row"))).sortWithinPartitions("key", "text")
     rows = rows.select(F.col("key").isNotNull().alias("known"), F.coalesce("key", F.lit(0)).alias("doc_id"), "text")
     rows.mapInPandas(encode, "part long, seg long, n_docs long, n_ids long, image binary").write.mode("overwrite").parquet(path)
 
@@ -196,15 +202,32 @@ def read_packed(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     )
 
 
+def segments_between(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """The segments that hold ids from place ``start`` to before ``end``.
+
+    They follow one another, so their first and last ``(part, seg)`` say which they
+    are. Both stand as constants in the scan's filter: Parquet leaves out the row groups and pages
+    of all other images.
+    """
+    segments = spark.read.parquet(path)
+    known = segments.select("part", "seg", "n_ids").join(segment_starts(spark, path), ["part", "seg"])
+    hit = known.where((F.col("before") < end) & (F.col("before") + F.col("n_ids") > start))
+    at = F.struct("part", "seg")
+    ends = hit.agg(F.min(at).alias("first"), F.max(at).alias("last")).first()
+    if ends["first"] is None:
+        return segments.where("false")
+    (p, a), (q, b) = ends["first"], ends["last"]
+    part, seg = F.col("part"), F.col("seg")
+    inside = part.between(p, q) & ((part > p) | (seg >= a)) & ((part < q) | (seg <= b))
+    return segments.where(inside & seg.between(a, b) if p == q else inside)
+
+
 def read_ids(spark: SparkSession, path: str, start: int, count: int) -> DataFrame:
-    """``place, id`` of ``count`` ids from place ``start`` on: only blocks in that range are unpacked."""
+    """``place, id`` of ``count`` ids from place ``start`` on: only segments in that range are read, and only its blocks unpacked."""
     end = start + count
-    hit = (
-        spark.read.parquet(path)
-        .join(segment_starts(spark, path), ["part", "seg"])
-        .where((F.col("before") < end) & (F.col("before") + F.col("n_ids") > start))
-        .select("before", "n_ids", "image")
-    )
+    hit = segments_between(spark, path, start, end)
+    hit = hit.join(beside(segment_starts(spark, path).join(hit.select("part", "seg"), ["part", "seg"])), ["part", "seg"])
+    hit = hit.select("before", "n_ids", "image")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

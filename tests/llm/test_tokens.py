@@ -95,6 +95,47 @@ def test_packed_files(spark, awkward, nothing):
     assert packed.read_packed(spark, path).count() == 0
 
 
+def test_no_doc_id_is_bound_to_one_task(spark):
+    rows = [(None, f"text {k % 50}" + " long" * (k % 60)) for k in range(300)] + [(7, "the same text")] * 300 + [(k, f"other {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    path = shared_dir(spark, "test-packed")
+    dealt = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        packed.write_packed(docs, path, BYTES, end_id=2, segment_ids=100)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", dealt)
+    written = spark.read.parquet(path).collect()
+    tasks = {}
+    for r in written:
+        image = packed.Segment(r["image"])
+        for known, doc_id in zip(image.known.tolist(), image.doc_ids.tolist(), strict=True):
+            tasks.setdefault(doc_id if known else None, Counter())[r["part"]] += 1
+    parts = {r["part"] for r in written}
+    assert len(tasks[None]) > 1 and len(tasks[7]) > 1
+    assert max(sum(x[p] for x in tasks.values()) for p in parts) < 1.3 * len(rows) / len(parts)
+    got = sorted(packed.read_packed(spark, path).collect(), key=lambda r: r["start"])
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [r["doc_id"] for r in got] == [k for k, _ in order]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1]]
+    plain = Tokenizer.from_file(BYTES)
+    assert [r["ids"] for r in got] == [[*plain.encode(x, add_special_tokens=False).ids, 2] for _, x in order]
+
+
+def test_a_range_takes_only_its_segments(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} of many") for k in range(500)], "doc_id long, text string")
+    path = shared_dir(spark, "test-packed")
+    packed.write_packed(docs, path, BYTES, end_id=2, segment_ids=64)
+    flat = [x for r in sorted(packed.read_packed(spark, path).collect(), key=lambda r: r["start"]) for x in r["ids"]]
+    for start, count in ((0, 1), (1000, 10), (500, 900), (len(flat) - 3, 50), (len(flat), 5), (10, 0)):
+        few = packed.segments_between(spark, path, start, start + count)
+        assert few.count() <= count // 64 + 2
+        found = packed.read_ids(spark, path, start, count)
+        assert [(r["place"], r["id"]) for r in sorted(found.collect())] == list(enumerate(flat))[start : start + count]
+    plan = packed.segments_between(spark, path, 1000, 1010)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(seg" in plan and "LessThanOrEqual(part" in plan
+
+
 def test_packed_query(spark, docs):
     rows = {r["doc_id"]: r for r in packed.op2_packed_ids(spark, SF).collect()}
     plain, at = Tokenizer.from_file(BYTES), 0
