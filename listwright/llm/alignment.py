@@ -295,6 +295,11 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return ALIGNERS[byte_path, piece_path]
 
 
+def forget() -> None:
+    """Give back the memory of the worker's aligners: the steps on blocks need them no more, and workers are used again."""
+    ALIGNERS.clear()
+
+
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
 BLOCK = "block long, doc_id array<long>, numbers binary, groups array<string>, sizes binary, words binary, pair_sizes binary, pairs binary"
 
@@ -387,6 +392,7 @@ def pair_counts(found: DataFrame) -> DataFrame:
     """``a, b, links``: how often two ids are linked in all blocks. Every task adds up its own first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for row in batch.itertuples(index=False):
@@ -447,6 +453,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bo
         lookup = spark.sparkContext.broadcast((key[order], held["links"].to_numpy(np.int64)[order], best.to_numpy(np.int64)[order]))
 
         def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forget()
             for batch in batches:
                 for row in batch.itertuples(index=False):
                     yield counted_rows(row, *lookup.value)
@@ -456,6 +463,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bo
     counted = counted.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).cast("long").alias("best"))
 
     def different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
             for row in batch.itertuples(index=False):
                 keys = np.unique(np.frombuffer(row.pairs, np.uint64))

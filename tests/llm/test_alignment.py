@@ -113,3 +113,10 @@ def test_awkward(spark, awkward, nothing):
     assert Counter((r["doc_id"], r["n_a"]) for r in got.where("doc_id IS NULL OR doc_id != 5").collect()) == Counter((k, x[0]) for (k, _), x in zip(short, brute([t for _, t in short]), strict=True))
     assert align_documents(nothing, A, B).count() == 0
     assert got.select(F.sum("n_links")).first()[0] > 60_000
+
+
+def test_workers_give_aligners_back():
+    alignment.aligner(A, B)
+    assert alignment.ALIGNERS
+    alignment.forget()
+    assert not alignment.ALIGNERS
