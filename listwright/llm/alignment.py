@@ -5,11 +5,10 @@ sentencepiece model (B); both see a space and the text. Where a token of either
 ends at the same byte, the text is cut into groups, the smallest pieces that both
 can exchange. Two tokens are linked where their bytes overlap.
 
-Spans come from the libraries: character offsets from tokenizers, byte spans from
-sentencepiece's proto. They are taken as coarse cuts. Inside a character of
-several bytes that A cuts, and in a run of B's byte tokens, both libraries name
-the whole character for each token; these cuts are refined by the decoded bytes
-of the tokens.
+Spans are the decoded bytes of the tokens, added up. Where these spell the text,
+and only there a text has tokens, they are the spans that the libraries name, and
+exact also where these name the whole character: inside a character of several
+bytes that A cuts, and in a run of B's byte tokens.
 
 Neither tokenizer has a token across the beginning of a word (a blank or line
 feed after a visible character), so texts are aligned word by word, new words by
@@ -45,7 +44,7 @@ from listwright.llm.encoding import BYTES, OTHER_SPACES, Places, roomy
 LOOKED_UP = 2_000_000  # counted pairs that every task holds (34 MB)
 CACHED_WORDS = 300_000
 CACHED_CHARS = 12_000_000
-JOINED_WORDS = 2_000  # new words that the piece model gets at a time
+JOINED_WORDS = 2_000  # new words that a tokenizer gets at a time
 BLOCK_WORDS = 1_000_000
 BLOCK_CHARS = 16_000_000  # of groups as text
 SLICE_CHARS = 1_000_000
@@ -105,10 +104,10 @@ class Aligner:
         self.lengths = np.zeros(max(self.a_bytes) + 1, np.int64), np.array(list(map(len, self.b_bytes)), np.int64)
         for k, x in self.a_bytes.items():
             self.lengths[0][k] = len(x)
-        self.raw = np.array([k in self.b_byte for k, _ in pieces])
         self.feed = next((k for k, x in pieces if x == "<0x0A>"), -1)
         self.tails = {x: self.a.model.tokenize(x)[0].id for x in ".,;:!?"}
-        self.names = list(map(str, range(max(len(pieces), max(self.a_bytes) + 1))))
+        names = np.array(list(map(str, range(max(len(pieces), max(self.a_bytes) + 1)))), "S")
+        self.names = names.view(np.uint8).reshape(len(names), -1)  # decimal, filled up with zero bytes
         self.words = words
         self.clear()
 
@@ -122,123 +121,141 @@ class Aligner:
         self.used = 0
         self.groups: list[bytes] = []
 
-    def a_spans(self, words: list[str]) -> tuple[list[int], list[int], list[int]]:
-        """Ids, byte ends and number of A's tokens, word by word: offsets, refined by decoded bytes inside a character.
+    def a_spans(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Ids, byte ends and number of A's tokens, word by word.
 
         A word of letters is one piece of A's rules, a sign behind it another, and
-        goes to its merges at once; their offsets count letters that stand for bytes.
+        goes to its merges at once. Of the others those that begin with a blank and
+        have a visible end go to the library in one text. Where a token of it spans
+        the end of a word, or its tokens do not spell it, each word goes alone.
         """
-        tokenize, tails = self.a.model.tokenize, self.tails
-        cores = [w[:-1] if w[-1:] in tails and w.isascii() else w for w in words]
-        plain = [w.isascii() and (w[1:].isalpha() if w[:1] == " " else w.isalpha()) for w in cores]
-        rest = iter(self.a.encode_batch([w for w, x in zip(words, plain, strict=True) if not x], add_special_tokens=False))
+        tokenize, tails, space = self.a.model.tokenize, self.tails, BYTES[32]
         ids: list[int] = []
-        ends: list[int] = []
-        sizes: list[int] = []
-        for word, core, is_plain in zip(words, cores, plain, strict=True):
-            if is_plain:
-                lead = core[0] == " "  # the letter for a blank takes two bytes
-                found = tokenize(BYTES[32] + core[1:] if lead else core)
-                ids += [x.id for x in found]
-                ends += [x.offsets[1] - lead for x in found]
-                if len(core) < len(word):
-                    ids.append(tails[word[-1]])
-                    ends.append(len(word))
-                sizes.append(len(found) + (len(core) < len(word)))
-                continue
-            x = next(rest)
-            own, spans = x.ids, x.offsets
-            ids += own
-            sizes.append(len(own))
-            if word.isascii():
-                ends += [end for _, end in spans]
-                continue
-            at, before = 0, [0]
-            for c in word:
-                at += len(c.encode("utf-8", "surrogatepass"))
-                before.append(at)
-            at = 0
-            for k, (_, end) in enumerate(spans):
-                inside = k + 1 < len(spans) and spans[k + 1][0] < end
-                at = at + len(self.a_bytes[own[k]]) if inside else before[end]
-                ends.append(at)
-        return ids, ends, sizes
+        owners, sizes, together, alone = [], [], [], []
+        for k, word in enumerate(words):
+            if word.isascii() and word[:1] == " ":
+                if word[1:].isalpha():
+                    found = [x.id for x in tokenize(space + word[1:])]
+                elif word[-1] in tails and word[1:-1].isalpha():
+                    found = [x.id for x in tokenize(space + word[1:-1])]
+                    found.append(tails[word[-1]])
+                else:
+                    (together if "!" <= word[-1] <= "~" else alone).append(k)
+                    continue
+                ids += found
+                owners.append(k)
+                sizes.append(len(found))
+            else:
+                visible = word[:1] == " " and (word[-1].isalnum() or "!" <= word[-1] <= "~")
+                (together if visible else alone).append(k)
+        parts = [np.array(ids, np.int64)]
+        owner = [np.repeat(np.array(owners, np.int64), sizes)]
+        for at in range(0, len(together), JOINED_WORDS):
+            some = together[at : at + JOINED_WORDS]
+            text = [words[k] for k in some]
+            own = np.array(self.a.encode("".join(text), add_special_tokens=False).ids, np.int64)
+            to = np.cumsum(self.lengths[0][own])
+            last = np.cumsum([len(x) if x.isascii() else len(x.encode("utf-8", "surrogatepass")) for x in text])
+            n = np.searchsorted(to, last, "right")
+            if n[0] and n[-1] == len(own) and (to[n - 1] == last).all():
+                parts.append(own)
+                owner.append(np.repeat(some, np.diff(n, prepend=0)))
+            else:
+                alone += some
+        for k, x in zip(alone, self.a.encode_batch([words[k] for k in alone], add_special_tokens=False), strict=True):
+            parts.append(np.array(x.ids, np.int64))
+            owner.append(np.full(len(x.ids), k))
+        own, of = np.concatenate(parts), np.concatenate(owner)
+        order = np.argsort(of, kind="stable")
+        own, of = own[order], of[order]
+        return own.tolist(), *self.ends(self.lengths[0][own], of, len(words))
 
     def b_spans(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, byte ends and number of B's tokens, word by word: the proto's spans, refined byte by byte for byte tokens.
+        """Ids, byte ends and number of B's tokens, word by word.
 
         The model adds a blank before what it is given; a line feed, which merges
         with nothing, parts it off again, and words without one from each other.
         """
-        ids, ends, owners = ([np.zeros(0, np.int64)] for _ in range(3))
+        ids, owners = ([np.zeros(0, np.int64)] for _ in range(2))
         odd = [[k] for k, w in enumerate(words) if "\n" in w]
         plain = [k for k, w in enumerate(words) if "\n" not in w]
         for some in [*odd, *(plain[at : at + JOINED_WORDS] for at in range(0, len(plain), JOINED_WORDS))]:
-            found = self.b.encode("\n" + "\n".join([words[k] for k in some]), return_type="proto", num_threads=1).pieces
-            own = np.array([x.id for x in found], np.int64)[1:]
-            to = np.array([x.end for x in found], np.int64)[1:]
-            # Byte tokens end a byte each behind the last piece of whole characters.
-            at = np.arange(len(own))
-            last = np.maximum.accumulate(np.where(self.raw[own], -1, at))
-            to = np.where(self.raw[own], np.where(last < 0, 0, to[last]) + at - last, to)
+            own = np.array(self.b.encode("\n" + "\n".join([words[k] for k in some]), out_type=int, num_threads=1), np.int64)[1:]
             feed = own == self.feed
             if len(some) == 1:
                 feed[1:] = False
-            word = np.cumsum(feed)[~feed] - 1
             ids.append(own[~feed])
-            ends.append(to[~feed] - to[feed][word])
-            owners.append(np.array(some)[word])
-        owner = np.concatenate(owners)
-        order = np.argsort(owner, kind="stable")
-        return np.concatenate(ids)[order], np.concatenate(ends)[order], np.bincount(owner, minlength=len(words))
+            owners.append(np.array(some)[np.cumsum(feed)[~feed] - 1])
+        own, owner = np.concatenate(ids), np.concatenate(owners)
+        if odd:
+            order = np.argsort(owner, kind="stable")
+            own, owner = own[order], owner[order]
+        return own, *self.ends(self.lengths[1][own], owner, len(words))
+
+    @staticmethod
+    def ends(lengths: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where in its word each token ends by the bytes of the tokens, and the number of tokens of each word."""
+        sizes = np.bincount(owner, minlength=n)
+        sums = np.concatenate([[0], np.cumsum(lengths)])
+        return sums[1:] - sums[(np.cumsum(sizes) - sizes)[owner]], sizes
 
     def align(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """Whether both tokenizers spell each word, counts, groups as text, and the linked pairs of all words in order."""
-        raw = [w.encode("utf-8", "surrogatepass") for w in words]
-        spans = self.a_spans(words), self.b_spans(words)
-        n, lengths = len(words), np.array(list(map(len, raw)), np.int64)
+        whole = np.frombuffer("".join(words).encode("utf-8", "surrogatepass"), np.uint8)
+        n, lengths = len(words), np.array(list(map(len, words)), np.int64)
+        if lengths.sum() < len(whole):
+            lengths = np.array([len(w) if w.isascii() else len(w.encode("utf-8", "surrogatepass")) for w in words], np.int64)
         base = np.cumsum(lengths) - lengths
         ok = lengths > 0
         ids, ends, owners = [], [], []
-        whole = b"".join(raw)
-        for (own, to, sizes), spell, size_of in zip(spans, (self.a_bytes.__getitem__, self.b_bytes.__getitem__), self.lengths, strict=True):
-            ids.append(np.array(own, np.int64))
-            owners.append(np.repeat(np.arange(n), sizes))
+        for (own, to, sizes), spell in zip((self.a_spans(words), self.b_spans(words)), (self.a_bytes, self.b_bytes), strict=True):
+            own, owner = np.array(own, np.int64), np.repeat(np.arange(n), sizes)
             last = np.zeros(n, np.int64)
-            last[owners[-1]] = to
-            ok &= (last == lengths) & (np.bincount(owners[-1], size_of[ids[-1]], n) == lengths)
-            own = ids[-1].tolist()
-            if b"".join(map(spell, own)) != whole:
-                at = 0
-                for k, size in enumerate(sizes):
-                    ok[k] &= b"".join(map(spell, own[at : at + size])) == raw[k]
-                    at += int(size)
-            ends.append(np.array(to, np.int64) + base[owners[-1]])
+            last[owner] = to
+            fits = last == lengths
+            ok &= fits
+            # Of the words whose tokens have as many bytes, those with another byte anywhere are not spelt either.
+            told = np.frombuffer(b"".join(map(spell.__getitem__, own[fits[owner]].tolist())), np.uint8)
+            same = told == (whole if fits.all() else whole[np.repeat(fits, lengths)])
+            if not same.all():
+                ok[np.repeat(np.arange(n)[fits], lengths[fits])[~same]] = False
+            ids.append(own)
+            owners.append(owner)
+            ends.append(to + base[owner])
         # Words that are not spelt have no tokens; of all others the ends are places in one long text.
-        for k in (0, 1):
-            some = ok[owners[k]]
-            ids[k], ends[k], owners[k] = ids[k][some], ends[k][some], owners[k][some]
-        cuts = np.intersect1d(ends[0], ends[1], assume_unique=True)
-        every = np.union1d(ends[0], ends[1])
-        left, right = np.searchsorted(ends[0], every), np.searchsorted(ends[1], every)
+        if not ok.all():
+            for k in (0, 1):
+                some = ok[owners[k]]
+                ids[k], ends[k], owners[k] = ids[k][some], ends[k][some], owners[k][some]
+        at = np.zeros((2, len(whole) + 1), bool)
+        at[0, ends[0]] = at[1, ends[1]] = True
+        cuts, every = np.flatnonzero(at[0] & at[1]), np.flatnonzero(at[0] | at[1])
+        # Tokens that end before each end: the next ones are those that overlap there.
+        left, right = (np.cumsum(x, dtype=np.int32)[every] - x[every] for x in at)
         pairs = (ids[0][left] << 32 | ids[1][right]).astype(np.uint64)
         counts = np.zeros((n, 4), np.int64)
         counts[:, 0], counts[:, 1] = np.bincount(owners[0], minlength=n), np.bincount(owners[1], minlength=n)
-        counts[:, 2] = np.bincount(owners[0][np.searchsorted(ends[0], cuts)], minlength=n)
+        to_a, to_b = (np.searchsorted(x, cuts, "right") for x in ends)
+        counts[:, 2] = np.bincount(owners[0][to_a - 1], minlength=n)
         counts[:, 3] = np.bincount(owners[0][left], minlength=n)
-        # Groups as text: the ids between cuts.
-        names = self.names
-        shown = [[names[x] for x in i.tolist()] for i in ids]
-        to_a, to_b = (np.searchsorted(x, cuts, "right").tolist() for x in ends)
-        parts, a, b = [], 0, 0
-        for x, y in zip(to_a, to_b, strict=True):
-            parts.append((shown[0][a] if x == a + 1 else ",".join(shown[0][a:x])) + "|" + (shown[1][b] if y == b + 1 else ",".join(shown[1][b:y])))
-            a, b = x, y
-        groups, at = [], 0
-        for k in counts[:, 2].tolist():
-            groups.append(";".join(parts[at : at + k]).encode() if k != 1 else parts[at].encode())
-            at += k
-        return ok, counts, groups, pairs
+        return ok, counts, self.groups_of(ids, to_a, to_b, counts[:, 2]), pairs
+
+    def groups_of(self, ids: list[np.ndarray], to_a: np.ndarray, to_b: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The groups of each word as text: all ids in order, each with the sign that follows it."""
+        n_a, n_b = np.diff(to_a, prepend=0), np.diff(to_b, prepend=0)
+        # A's ids stand behind B's of earlier groups, B's behind A's of their own too.
+        place_a = np.arange(len(ids[0])) + np.repeat(to_b - n_b, n_a)
+        place_b = np.arange(len(ids[1])) + np.repeat(to_a, n_b)
+        text = np.empty((len(ids[0]) + len(ids[1]), self.names.shape[1] + 1), np.uint8)
+        text[place_a, :-1], text[place_b, :-1] = self.names[ids[0]], self.names[ids[1]]
+        text[:, -1] = ord(",")
+        text[place_a[to_a - 1], -1] = ord("|")
+        last = place_b[to_b - 1]
+        text[last, -1] = ord(";")
+        some = sizes > 0
+        text[last[np.cumsum(sizes)[some] - 1], -1] = ord("\n")
+        shown = iter(text[text > 0].tobytes().split(b"\n"))
+        return [next(shown) if x else b"" for x in some.tolist()]
 
     def numbers(self, words: list[str]) -> np.ndarray:
         """The words' numbers; new words are aligned."""

@@ -120,3 +120,46 @@ def test_workers_give_aligners_back():
     assert alignment.ALIGNERS
     alignment.forget()
     assert not alignment.ALIGNERS
+
+
+class Asked:
+    """A tokenizer that notes what its library is asked for."""
+
+    def __init__(self, library):
+        self.library, self.texts, self.protos = library, 0, 0
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode(self, text, **how):
+        self.texts += 1
+        self.protos += how.get("return_type") == "proto"
+        return self.library.encode(text, **how)
+
+    def encode_batch(self, texts, **how):
+        self.texts += len(texts)
+        return self.library.encode_batch(texts, **how)
+
+
+def test_new_words_go_to_both_libraries_together():
+    own = Aligner(A, B)
+    words = [f" x{k}y" for k in range(3000)] + [f" é{k}." for k in range(3000)] + ["\n", " ", " tail\t"]
+    alone = [own.align([w]) for w in words]
+    own.a, own.b = Asked(own.a), Asked(own.b)
+    ok, counts, groups, pairs = own.align(words)
+    assert own.a.texts <= 10 and own.b.texts <= 10 and not own.b.protos
+    assert ok.all() and groups == [x[2][0] for x in alone] and counts.tolist() == [x[1][0].tolist() for x in alone]
+    assert pairs.tolist() == [p for x in alone for p in x[3].tolist()]
+
+
+def test_words_that_a_library_joins_go_alone():
+    class Joins(Asked):
+        def encode(self, text, **how):
+            return super().encode(text.replace(" b", "b"), **how)
+
+    words = [" a1", " b1", " c1"]
+    own = Aligner(A, B)
+    want = own.a_spans(words)
+    own.a = Joins(own.a)
+    got = own.a_spans(words)
+    assert got[0] == want[0] and got[1].tolist() == want[1].tolist() and got[2].tolist() == want[2].tolist()
