@@ -6,16 +6,20 @@ word: it has a digit, a capital behind a small letter, one of ``+/_=``, or
 ``CONSONANTS`` consonants in a row. The network reads the whole candidate and
 ``AROUND`` characters on either side: a
 convolution over characters (inside and outside the candidate are told apart),
-the largest answer of each filter, a logistic output. It is trained in numpy on
-labelled findings, at most ``TRAIN_ROWS`` of each label: candidates that overlap
-a base finding are secrets, those in which kinds of characters change places at
+the largest answer of each filter, a logistic output. It is trained on all
+labelled findings, each different one once: candidates that overlap a base
+finding are secrets, those in which kinds of characters change places at
 most ``PLAIN_CHANGES`` times (numbers, dates, words of any kind, names of code) are
 not, and the rest has no label and is only judged. So that the key itself counts
 and not the rules' words, half of the secrets are learned with the words around
 taken from other places, and as many random keys of other alphabets
 (``ALPHABETS``) are learned in such places. Scores are calibrated on findings that
 were kept back, and the threshold is the highest that still finds ``RECALL`` of
-the secrets among them. Candidates above it that no base finding touches are added
+the secrets among them. Findings are dealt into shares of about ``SHARE_ROWS`` by
+their hash. One share is learned in one task; more are learned by up to ``TASKS``
+tasks, each share by share from the same network, whose results are averaged after
+each of ``PASSES`` passes. Curve and threshold come from sums and ranks over all
+findings kept back. Candidates above it that no base finding touches are added
 as kind ``network``; base findings always stay.
 
 Texts are read once. What is found goes to the shared folder, one row for each
@@ -32,11 +36,12 @@ import hashlib
 import re
 import string
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +59,9 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 SHORTEST = 8
 CONSONANTS = 5
 AROUND = 24
-TRAIN_ROWS = 2000  # findings of either label that the network learns from, at most
+SHARE_ROWS = 8192  # labelled findings that a task learns at a time
+TASKS = 32  # networks that are averaged, at most
+PASSES, ROUNDS = 4, 2  # over all shares, and over each share in a pass
 PLAIN_CHANGES = 2
 RECALL = 0.98
 FILTERS, WIDTH = 24, 5
@@ -197,6 +204,16 @@ class SecretNetwork:
     shift: float
     curve: tuple[float, float] = (0.0, 1.0)
     threshold: float = 1.0
+    learned: int = 0  # findings, random keys included
+    kept: int = 0
+
+    def vector(self) -> np.ndarray:
+        return np.concatenate([self.filters.ravel(), self.bias, self.out, [self.shift]])
+
+    @staticmethod
+    def of(vector: np.ndarray) -> SecretNetwork:
+        filters, bias, out, shift = np.split(vector.copy(), np.cumsum([WIDTH * 2 * CHARS * FILTERS, FILTERS, FILTERS]))
+        return SecretNetwork(filters.reshape(WIDTH, 2 * CHARS, FILTERS), bias, out, float(shift[0]))
 
     def hidden(self, windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The largest answer of each filter in each window, where it is, and all classes in one row."""
@@ -225,12 +242,20 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(windows: list[np.ndarray], y: np.ndarray, rounds: int = 20, batch: int = 64, rate: float = 0.01) -> SecretNetwork:
-    """Adam on the logistic loss, either label weighing half."""
-    rng = np.random.default_rng(11)
-    net = SecretNetwork(rng.normal(0, 0.1, (WIDTH, 2 * CHARS, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, FILTERS), 0.0)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
-    values = [net.filters, net.bias, net.out, np.zeros(1)]
+def fresh(rng: np.random.Generator) -> SecretNetwork:
+    return SecretNetwork(rng.normal(0, 0.1, (WIDTH, 2 * CHARS, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.1, FILTERS), 0.0)
+
+
+def train(
+    windows: list[np.ndarray], y: np.ndarray, rounds: int = 20, batch: int = 64, rate: float = 0.01,
+    net: SecretNetwork | None = None, secrets: float | None = None, seed: tuple[int, ...] = (),
+) -> SecretNetwork:
+    """Adam on the logistic loss from ``net`` on, either label weighing half; ``secrets`` is their part of all findings if these are but a share."""
+    rng = np.random.default_rng([11, *seed] if seed else 11)
+    net = fresh(rng) if net is None else SecretNetwork.of(net.vector())
+    part = y.mean() if secrets is None else secrets
+    weight = np.where(y == 1, 0.5 / max(part, 1 / len(y)), 0.5 / max(1 - part, 1 / len(y)))
+    values = [net.filters, net.bias, net.out, np.array([net.shift])]
     first, second, t = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values], 0
     for _ in range(rounds):
         order = rng.permutation(len(y))
@@ -252,49 +277,156 @@ def train(windows: list[np.ndarray], y: np.ndarray, rounds: int = 20, batch: int
     return net
 
 
+def fit_curve(sums: Callable[[float, float], tuple], steps: int = 12) -> tuple[float, float]:
+    """Newton steps on the logistic loss; ``sums(a, b)`` gives slopes (2) and curvatures (3) over all findings kept back."""
+    a = b = 0.0
+    for _ in range(steps):
+        da, db, aa, ab, bb = (float(x) for x in sums(a, b))
+        aa, bb = aa + 1e-9, bb + 1e-9
+        det = aa * bb - ab * ab
+        if not det > 0:
+            break
+        step = np.clip([(bb * da - ab * db) / det, (aa * db - ab * da) / det], -5, 5)
+        a, b = a - step[0], b - step[1]
+        if abs(step).max() < 1e-9:
+            break
+    return float(a), max(float(b), 0.05)
+
+
+def aims(n: float, secrets: float) -> tuple[float, float]:
+    """What the curve is to give for the two labels: short of 0 and 1, or findings that are told apart without error have no curve."""
+    return 1 / (n - secrets + 2), (secrets + 1) / (secrets + 2)
+
+
 def calibrate(net: SecretNetwork, windows: list[np.ndarray], y: np.ndarray, recall: float) -> None:
     """Fit the curve on findings kept back, and take the highest threshold with enough recall."""
     raw = net.raw(windows)
-    a, b = 0.0, 1.0
-    for _ in range(300):
+    aim = np.where(y == 1, *aims(len(y), y.sum())[::-1])
+
+    def sums(a: float, b: float) -> tuple:
         p = sigmoid(a + b * raw)
-        a -= 0.5 * float((p - y).mean())
-        b -= 0.1 * float(((p - y) * raw).mean() / max(1.0, float((raw**2).mean()) ** 0.5))
-    net.curve = (a, max(b, 0.05))
+        w = p * (1 - p)
+        return (p - aim).sum(), ((p - aim) * raw).sum(), w.sum(), (w * raw).sum(), (w * raw * raw).sum()
+
+    net.curve = fit_curve(sums)
     scores = np.sort(net.score([w for w, k in zip(windows, y, strict=True) if k]))
     net.threshold = float(scores[int((1 - recall) * len(scores))]) if len(scores) else 1.0
 
 
-def fit_network(found: DataFrame, rows: int = TRAIN_ROWS, recall: float = RECALL) -> SecretNetwork | None:
-    """Learn from at most ``rows`` findings of either label, those with the smallest hashes."""
-    each = found.select(F.explode(F.arrays_zip("before", "inside", "after", "labels")).alias("x")).select("x.*")
-    each = each.where("labels >= 0").groupBy("inside", "labels").agg(F.min(F.struct("before", "after")).alias("b"))  # a key counts once, however often it is copied
-    each = each.select("b.before", "inside", "b.after", "labels")
-    first = [F.xxhash64("inside"), "inside"]
-    sample = each.where("labels = 1").orderBy(*first).limit(rows).collect() + each.where("labels = 0").orderBy(*first).limit(rows).collect()
-    y = np.array([r["labels"] for r in sample], float)
-    if y.sum() < 5 or (1 - y).sum() < 5:
-        return None
-    rng = np.random.default_rng(5)
-    others = [r["before"] for r in sample if not r["labels"]]
-    behind = [r["after"] for r in sample if not r["labels"]]
+def calibrate_all(net: SecretNetwork, judged: DataFrame, recall: float) -> None:
+    """:func:`calibrate` on a stored table (``secret, raw``)."""
+    n, secrets = judged.agg(F.count("*"), F.sum("secret")).first()
+    low, high = aims(n, secrets)
+    raw, aim = F.col("raw"), F.when(F.col("secret") == 1, high).otherwise(low)
+
+    def sums(a: float, b: float) -> tuple:
+        p = 1 / (1 + F.exp(-F.greatest(F.least(a + b * raw, F.lit(30.0)), F.lit(-30.0))))
+        w = p * (1 - p)
+        return judged.agg(F.sum(p - aim), F.sum((p - aim) * raw), F.sum(w), F.sum(w * raw), F.sum(w * raw * raw)).first()
+
+    net.curve = fit_curve(sums)
+    k = int((1 - recall) * secrets)
+    ranked = judged.where("secret = 1").select("raw").orderBy("raw").rdd.zipWithIndex()
+    at = ranked.filter(lambda x: x[1] == k).map(lambda x: float(x[0][0])).collect()
+    net.threshold = float(sigmoid(net.curve[0] + net.curve[1] * np.array(at))[0])
+
+
+def shares_of(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The shares of a task, one after the other."""
+    held: list[pd.DataFrame] = []
+    at = None
+    for batch in batches:
+        share = batch["share"].to_numpy()
+        for part in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(share)) + 1):
+            if not len(part):
+                continue
+            if held and share[part[0]] != at:
+                yield at, pd.concat(held, ignore_index=True)
+                held = []
+            at = int(share[part[0]])
+            held.append(batch.iloc[part])
+    if held:
+        yield at, pd.concat(held, ignore_index=True)
+
+
+def windows_of(rows: pd.DataFrame, share: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Windows of a share's findings, secrets first, and of as many random keys as it has secrets; labels, and which are kept back.
+
+    Places for bare secrets and random keys are those of the share's findings that are no secrets, or of all where it has none.
+    """
+    rng = np.random.default_rng(5 + share)
+    y = rows["labels"].to_numpy(float)
+    places = rows[y == 0] if (y == 0).any() else rows
+    others, behind = places["before"].tolist(), places["after"].tolist()
     windows, names = [], []
-    for r in sample:
+    for before, inside, after, label in zip(*(rows[x].tolist() for x in ("before", "inside", "after", "labels")), strict=True):
         a, b = rng.integers(len(others), size=2)
-        bare = r["labels"] and rng.random() < 0.5
-        windows.append(window(others[a] if bare else r["before"], r["inside"], behind[b] if bare else r["after"]))
-        names.append(r["inside"])
+        bare = label and rng.random() < 0.5
+        windows.append(window(others[a] if bare else before, inside, behind[b] if bare else after))
+        names.append(inside)
     for _ in range(int(y.sum())):
         a, b = rng.integers(len(others), size=2)
         names.append(random_key(rng))
         windows.append(window(others[a], names[-1], behind[b]))
     y = np.concatenate([y, np.ones(int(y.sum()))])
-    kept = np.array([int(hashlib.md5(x.encode()).hexdigest(), 16) % 4 == 0 for x in names])
-    learn, back = np.flatnonzero(~kept), np.flatnonzero(kept)
-    if not len(learn) or len(set(y[learn])) < 2 or len(set(y[back])) < 2:
+    return windows, y, np.array([int(hashlib.md5(x.encode()).hexdigest(), 16) % 4 == 0 for x in names])
+
+
+def learn(dealt: DataFrame, net: SecretNetwork | None, secrets: float | None, number: int) -> tuple[SecretNetwork | None, np.ndarray]:
+    """One pass over all shares: the mean of the tasks' networks, and how many findings were learned and kept back, by label."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, of, n = net, 0, np.zeros(4, np.int64)
+        for share, rows in shares_of(batches):
+            windows, y, kept = windows_of(rows, share)
+            n += [((y == label) & (kept == back)).sum() for back in (False, True) for label in (0, 1)]
+            use = np.flatnonzero(~kept)
+            if len(use):
+                how = {} if secrets is None else {"rounds": ROUNDS, "net": own, "secrets": secrets, "seed": (number, share)}
+                own = train([windows[k] for k in use], y[use], **how)
+            of = share
+        if n.any():
+            yield pd.DataFrame([(of, *n.tolist(), b"" if own is None else own.vector().tobytes())], columns=["share", "l0", "l1", "k0", "k1", "net"])
+
+    told = sorted(dealt.mapInPandas(run, "share long, l0 long, l1 long, k0 long, k1 long, net binary").collect())
+    counts = np.array([r[1:5] for r in told], np.int64)
+    nets = [(r["l0"] + r["l1"], np.frombuffer(r["net"])) for r in told if r["l0"] + r["l1"]]
+    mean = SecretNetwork.of(np.average([v for _, v in nets], axis=0, weights=[w for w, _ in nets])) if nets else None
+    return mean, counts.sum(axis=0)
+
+
+def fit_network(found: DataFrame, recall: float = RECALL) -> SecretNetwork | None:
+    """Learn from all labelled findings, those of a share in the order of their hashes."""
+    each = found.select(F.explode(F.arrays_zip("before", "inside", "after", "labels")).alias("x")).select("x.*")
+    each = each.where("labels >= 0").groupBy("inside", "labels").agg(F.min(F.struct("before", "after")).alias("b"))  # a key counts once, however often it is copied
+    each = materialize(each.select("b.before", "inside", "b.after", "labels"), "labelled")
+    sizes = {r["labels"]: r["n"] for r in each.groupBy("labels").agg(F.count("*").alias("n")).collect()}
+    plain_ones, secrets = sizes.get(0, 0), sizes.get(1, 0)
+    if min(plain_ones, secrets) < 5:
         return None
-    net = train([windows[k] for k in learn], y[learn])
-    calibrate(net, [windows[k] for k in back], y[back], recall)
+    shares = -(-(plain_ones + secrets) // SHARE_ROWS)
+    tasks = min(shares, TASKS)
+    share = F.pmod(F.xxhash64("inside"), F.lit(shares))
+    dealt = each.withColumn("share", share).repartitionById(tasks, F.pmod(share, F.lit(tasks)).cast("int"))
+    dealt = dealt.sortWithinPartitions("share", F.desc("labels"), F.xxhash64("inside"), "inside").persist(StorageLevel.DISK_ONLY)
+    part = 2 * secrets / (plain_ones + 2 * secrets) if shares > 1 else None
+    net = fresh(np.random.default_rng(11)) if shares > 1 else None
+    counts = np.zeros(4, np.int64)
+    for number in range(PASSES if shares > 1 else 1):
+        net, counts = learn(dealt, net, part, number)
+        if not counts.all():
+            dealt.unpersist()
+            return None
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own, rows in shares_of(batches):
+            windows, y, kept = windows_of(rows, own)
+            back = np.flatnonzero(kept)
+            yield pd.DataFrame({"secret": y[back].astype(np.int64), "raw": net.raw([windows[k] for k in back])})
+
+    calibrate_all(net, materialize(dealt.mapInPandas(judge, "secret long, raw double"), "judged"), recall)
+    dealt.unpersist()
+    net.learned, net.kept = int(counts[:2].sum()), int(counts[2:].sum())
     return net
 
 

@@ -437,3 +437,32 @@ def test_awkward_benchmark(spark, awkward, nothing, benchmark, text):
     assert {(r["doc_id"], r["item_id"]) for r in contaminated(awkward, odd).collect()} == {(5, 2)}
     assert decontaminate(awkward, odd).count() == awkward.count() - 1 and decontaminate(awkward, odd).columns == awkward.columns
     assert contaminated(awkward, odd.limit(0)).count() == 0
+
+
+def test_network_learns_every_labelled_finding(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    keys = ["".join(rng.choice(list("abcdef0123456789"), 40)) for _ in range(2600)]
+    rows = [(k, f'words token = "{key}" and {10**12 + k} of a card') for k, key in enumerate(keys)] + [(k, f'token = "{keys[k]}" again') for k in range(300)]
+    found = secrets.find_candidates(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    for size in (10**6, 700):
+        monkeypatch.setattr(secrets, "SHARE_ROWS", size)
+        net, again = secrets.fit_network(found), secrets.fit_network(found.repartition(5))
+        assert net.learned + net.kept == 3 * len(keys)  # keys, as many random ones, and numbers
+        assert abs(net.kept / (3 * len(keys)) - 0.25) < 0.03
+        assert np.allclose(net.vector(), again.vector(), rtol=1e-9, atol=1e-12) and np.isclose(net.threshold, again.threshold)
+        keyed = net.score([secrets.window("left in ", secrets.random_key(rng), " by us") for _ in range(200)])
+        plain = net.score([secrets.window("left in ", str(10**12 + 7919 * k), " by us") for k in range(200)])
+        assert (keyed >= net.threshold).mean() >= 0.95 and (plain >= net.threshold).mean() <= 0.05
+    found.unpersist()
+
+
+def test_curve_and_threshold_of_a_table_equal_those_of_a_list(spark):
+    rng = np.random.default_rng(32)
+    windows = [secrets.window("", secrets.random_key(rng) if k % 3 == 0 else f"{rng.integers(10**12)}ab", "") for k in range(900)]
+    y = (np.arange(900) % 3 == 0).astype(float)
+    net = secrets.train(windows[:300], y[:300], rounds=1)
+    secrets.calibrate(net, windows, y, 0.9)
+    want = net.curve, net.threshold
+    judged = spark.createDataFrame([(int(k), float(x)) for k, x in zip(y, net.raw(windows), strict=True)], "secret long, raw double")
+    secrets.calibrate_all(net, judged, 0.9)
+    assert np.allclose(net.curve, want[0], rtol=1e-6) and np.isclose(net.threshold, want[1], rtol=1e-6)
