@@ -28,6 +28,7 @@ from listwright.session import materialize
 RANGE_BYTES = 1 << 26
 READ_BYTES = 1 << 22
 ROWS_OUT = 10_000
+FIELDS_OUT = 2_000_000  # of a batch of wide rows
 # A header is looked for this far, and a line that is longer is no line.
 HEADER_LIMIT = 1 << 26
 
@@ -194,6 +195,11 @@ def header_of(stream, strict: bool = False) -> tuple[list[str], int]:
     return next(csv.reader(text.splitlines(keepends=True)), []), begin
 
 
+def batch_rows(width: int) -> int:
+    """Rows that a task holds at a time: fewer of a wide header, as each field takes a place."""
+    return max(1, min(ROWS_OUT, FIELDS_OUT // max(1, width)))
+
+
 KNOWN = frozenset([*HEADER_SYNONYMS.values(), *COLUMN_ORDER])
 
 
@@ -252,6 +258,7 @@ def scan(
             for k, c in enumerate(named):
                 sources.setdefault(c, []).append(k)
             some = long_records(stream, begin) if multi_line else records_of(stream, max(start, begin), end, isolate)
+            most = batch_rows(len(names))
             rows: list[list[str]] = []
             places: list[int] = []
             for place, fields in some:
@@ -261,7 +268,7 @@ def scan(
                     continue
                 rows.append(fields)
                 places.append(place)
-                if len(rows) == ROWS_OUT:
+                if len(rows) == most:
                     yield batch_of(rows, places, sources, len(names), path, start)
                     rows, places = [], []
             yield batch_of(rows, places, sources, len(names), path, start)

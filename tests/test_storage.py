@@ -13,7 +13,7 @@ from listwright.operators.attempts import attempt_state
 from listwright.operators.progress import throughput
 from listwright.plans import flows
 from listwright.session import shared_dir
-from listwright.sources import readers, writers
+from listwright.sources import listing_files, readers, writers
 from listwright.streaming import streams
 from tests.conftest import rows
 
@@ -92,6 +92,17 @@ def test_headers_are_read_to_their_end(spark, tmp_path):
     assert readers.validate_source(heads, "b, website").count() == 1 == readers.validate_source(heads, 'web"site').count()
 
 
+def test_wide_rows_leave_a_task_in_small_batches(spark, tmp_path):
+    assert listing_files.batch_rows(6003) * 6003 <= listing_files.FIELDS_OUT and listing_files.batch_rows(7) == listing_files.ROWS_OUT
+    assert listing_files.batch_rows(10**9) == 1
+    names = [f"column_{k}" for k in range(3000)]
+    n = 2 * listing_files.batch_rows(3002) + 5
+    put(tmp_path / "in", "wide.csv", "Web," + ",".join(names) + ",email\n" + "".join(f"{k}.com" + "," * 3001 + f"e{k}\n" for k in range(n)))
+    read = readers.read_listing_folder(spark, str(tmp_path / "in"))
+    assert rows(read.select("website", "email")) == sorted([(f"{k}.com", f"e{k}") for k in range(n)], key=str)
+    assert read.select("ordinal").distinct().count() == n
+
+
 def test_long_quoted_text_in_an_irregular_line(spark, tmp_path):
     text = "x, y " * 200_000 + '""said"" '
     put(tmp_path, "a.csv", f'website,email,phone\na.com,"{text}"\nb.com,"{text}",1,2\n')
