@@ -14,10 +14,16 @@ Neither tokenizer has a token across the beginning of a word (a blank or line
 feed after a visible character), so texts are aligned word by word, new words by
 the thousand at a time, and a worker keeps the alignment of the words it has met.
 One pass over the texts writes blocks of documents: their numbers, their words by
-number, and the linked pairs of the block's own words. Counts of pairs and sums of
-counts then come from the blocks. The counts are a table of at most the pairs of
-both vocabularies; tasks look them up while there are at most ``LOOKED_UP`` of
-them, beyond that each block is joined with the counts of its own pairs.
+number, and the linked pairs of the block's own words with the counts in the block.
+Counts of pairs and sums of counts then come from the blocks. The counts are a
+table of at most the pairs of both vocabularies; tasks look them up while there
+are at most ``LOOKED_UP`` of them, beyond that each block is joined with the counts
+of its own pairs.
+
+Memory: workers work on one text slice or block at a time, straight from Arrow's
+buffers, and return what they have freed to the system; else a worker that aligned
+keeps all of it beside the JVM's heap. Each block is a row group of its own, so
+Spark holds no more than one while it writes.
 
 Defined cases: texts that are null, empty, or that tokens of A or B do not spell
 (sentencepiece reads U+2581 as a blank) have no tokens, and all their numbers are
@@ -28,13 +34,14 @@ table gives an empty one. A text of any length is read a slice at a time.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +51,7 @@ from listwright.llm.encoding import BYTES, OTHER_SPACES, Places, roomy
 LOOKED_UP = 2_000_000  # counted pairs that every task holds (34 MB)
 CACHED_WORDS = 300_000
 CACHED_CHARS = 12_000_000
+CACHED_LINKS = 4_000_000  # of the words held (32 MB, and about 50 MB of groups)
 JOINED_WORDS = 2_000  # new words that a tokenizer gets at a time
 BLOCK_WORDS = 1_000_000
 BLOCK_CHARS = 16_000_000  # of groups as text
@@ -114,7 +122,7 @@ class Aligner:
     def clear(self) -> None:
         self.place = Places()
         self.chars = 0
-        self.counts = np.zeros((1 << 12, 4), np.int64)
+        self.counts = np.zeros((1 << 12, 4), np.uint32)
         self.ok = np.zeros(1 << 12, bool)
         self.starts = np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, np.uint64)
@@ -265,7 +273,7 @@ class Aligner:
             first, size = len(self.place) - len(new), len(self.place)
             ok, counts, groups, pairs = self.align(new)
             if size > len(self.ok):
-                more = np.zeros((2 * size, 4), np.int64)
+                more = np.zeros((2 * size, 4), np.uint32)
                 more[:first] = self.counts[:first]
                 self.counts = more
             self.ok, self.starts = roomy(self.ok, len(self.counts)), roomy(self.starts, len(self.counts))
@@ -280,7 +288,7 @@ class Aligner:
         return at
 
     def full(self) -> bool:
-        return len(self.place) > self.words or self.chars > CACHED_CHARS
+        return len(self.place) > self.words or self.chars > CACHED_CHARS or self.used > CACHED_LINKS
 
     def read(self, texts: list[str | None]) -> list[list[np.ndarray]]:
         """The numbers of each text's words, a slice of the text each; nothing where a tokenizer does not spell it."""
@@ -297,7 +305,7 @@ class Aligner:
 
     def pairs_of(self, at: np.ndarray) -> np.ndarray:
         """The linked pairs of words, one after the other."""
-        sizes = self.counts[at, 3]
+        sizes = self.counts[at, 3].astype(np.int64)
         ends = np.cumsum(sizes)
         return self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
@@ -312,13 +320,26 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
     return ALIGNERS[byte_path, piece_path]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; Arrow and C's allocator (where it can be told to, as in glibc) keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if os.name == "posix" else None
+    if trim:
+        trim(0)
+
+
 def forget() -> None:
     """Give back the memory of the worker's aligners: the steps on blocks need them no more, and workers are used again."""
     ALIGNERS.clear()
+    give_back()
 
 
 NUMBERS = ["n_a", "n_b", "n_groups", "n_links"]
-BLOCK = "block long, doc_id array<long>, numbers binary, groups array<string>, sizes binary, words binary, pair_sizes binary, pairs binary"
+BLOCK = "block long, doc_id array<long>, numbers binary, groups array<string>, sizes binary, words binary, pair_sizes binary, places binary, pairs binary, links binary"
+BLOCK_TYPES = {"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string()), "binary": pa.binary()}
+BLOCK_SCHEMA = pa.schema([(name, BLOCK_TYPES[kind]) for name, kind in (x.split() for x in BLOCK.split(", "))])
+# A row group for each block, pages of one value each; dictionaries would hold the blocks once more.
+BLOCK_FILES = {"compression": "zstd", "parquet.block.size": "1048576", "parquet.page.size.row.check.min": "1", "parquet.enable.dictionary": "false"}
 
 
 def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> DataFrame:
@@ -326,11 +347,12 @@ def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> Da
 
     ``numbers`` are four counts a document, ``groups`` its groups as text or their
     digest, ``sizes`` its number of words, ``words`` the words of all documents as
-    places in the block's list of different words, ``pair_sizes`` and ``pairs``
-    the linked pairs of these.
+    places in the block's list of different words, ``pair_sizes`` and ``places``
+    the linked pairs of these as places in the block's ``pairs``, and ``links`` how
+    often each pair is linked in the block's documents.
     """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         own = aligner(byte_path, piece_path)
@@ -338,24 +360,31 @@ def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> Da
         held: list[tuple] = []
         words = chars = 0
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             nonlocal held, words, chars, number
-            flat = np.concatenate([np.zeros(0, np.int64), *(x for h in held for x in h[3])])
-            some, place = np.unique(flat, return_inverse=True)
+            flat = np.concatenate([np.zeros(0, np.uint32), *(x for h in held for x in h[3])])
+            met = np.zeros(len(own.place), bool)
+            met[flat] = True
+            some = np.flatnonzero(met)
+            flat = (np.cumsum(met, dtype=np.uint32) - np.uint32(1))[flat]
+            sizes, linked = own.counts[some, 3], own.pairs_of(some)
+            pairs = np.unique(linked)
+            places = np.searchsorted(pairs, linked).astype("<u4")
+            links = np.bincount(places, np.repeat(np.bincount(flat, minlength=len(some)), sizes), len(pairs)).astype(np.int64)
             row = (
                 number, [h[0] for h in held], np.concatenate([h[1] for h in held]).tobytes(), [h[2] for h in held],
-                np.array([sum(map(len, h[3])) for h in held], "<u4").tobytes(), place.astype("<u4").tobytes(),
-                own.counts[some, 3].astype("<u4").tobytes(), own.pairs_of(some).tobytes(),
+                np.array([sum(map(len, h[3])) for h in held], "<u4").tobytes(), flat.astype("<u4", copy=False).tobytes(),
+                sizes.astype("<u4", copy=False).tobytes(), places.tobytes(), pairs.tobytes(), links.tobytes(),
             )
             held, words, chars, number = [], 0, 0, number + 1
-            return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCK.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], field.type) for x, field in zip(row, BLOCK_SCHEMA, strict=True)], schema=BLOCK_SCHEMA)
 
-        def some_texts(batch: pd.DataFrame) -> Iterator[tuple[list, list]]:
+        def some_texts(batch: pa.RecordBatch) -> Iterator[tuple[list, list]]:
             ids, texts, size = [], [], 0
-            for known, doc_id, text in zip(batch["known"], batch["doc_id"], batch["text"], strict=True):
-                ids.append(int(doc_id) if known else None)
-                texts.append(text)
-                size += len(text or "")
+            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids.append(doc_id.as_py())
+                texts.append(text.as_py())
+                size += len(texts[-1] or "")
                 if size >= SLICE_CHARS:
                     yield ids, texts
                     ids, texts, size = [], [], 0
@@ -368,17 +397,18 @@ def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> Da
                     if held:
                         yield close()
                     own.clear()
+                    give_back()
                 for doc_id, found in zip(ids, own.read(texts), strict=True):
                     numbers, digest, shown = np.zeros(4, np.int64), sha256(), []
                     for k, at in enumerate(found):
-                        numbers += own.counts[at].sum(axis=0)
+                        numbers += own.counts[at].sum(axis=0, dtype=np.int64)
                         text = (b";" if k else b"") + b";".join(map(own.groups.__getitem__, at.tolist()))
                         if groups:
                             shown.append(text)
                         else:
                             digest.update(text)
                     told = "" if not found else b"".join(shown).decode() if groups else digest.hexdigest()
-                    held.append((doc_id, numbers, told, found))
+                    held.append((doc_id, numbers, told, [x.astype(np.uint32) for x in found]))
                     words += int(sum(map(len, found)))
                     chars += len(told)
                     if words > BLOCK_WORDS or chars > BLOCK_CHARS:
@@ -386,9 +416,18 @@ def blocks(docs: DataFrame, byte_path: str, piece_path: str, groups: bool) -> Da
         if held:
             yield close()
 
-    known = F.col("doc_id").cast("long").isNotNull().alias("known")
-    columns = [known, F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.col("text").cast("string").alias("text")]
-    return docs.select(*columns).mapInPandas(read, BLOCK)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(read, BLOCK)
+
+
+def numbers_in(value: pa.BinaryScalar, kind: str | type) -> np.ndarray:
+    """The numbers in a binary value, where they lie."""
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {name: batch.column(at)[k] for at, name in enumerate(batch.schema.names)}
 
 
 def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -398,54 +437,49 @@ def summed(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray,
     return found, np.bincount(place, n, len(found)).astype(np.int64)
 
 
-def block_pairs(row) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a block's words and how often each word stands in its documents, a number a pair."""
-    sizes = np.frombuffer(row.pair_sizes, "<u4").astype(np.int64)
-    times = np.bincount(np.frombuffer(row.words, "<u4"), minlength=len(sizes))
-    return np.frombuffer(row.pairs, np.uint64), np.repeat(times, sizes)
+def pair_columns(keys: np.ndarray) -> list[np.ndarray]:
+    return [(keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)]
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
     """``a, b, links``: how often two ids are linked in all blocks. Every task adds up its own first."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         keys, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                more, n = summed(*([x] for x in block_pairs(row)))
-                keys, times = summed([keys, more], [times, n])
-                if len(keys) > 4_000_000:
-                    yield rows(keys, times)
-                    keys, times = keys[:0], times[:0]
+        for row in rows_of(batches):
+            keys, times = summed([keys, numbers_in(row["pairs"], np.uint64)], [times, numbers_in(row["links"], np.int64)])
+            if len(keys) > 4_000_000:
+                yield rows(keys, times)
+                keys, times = keys[:0], times[:0]
         yield rows(keys, times)
 
-    def rows(keys: np.ndarray, times: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": (keys >> np.uint64(32)).astype(np.int64), "b": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), "links": times})
+    def rows(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*pair_columns(keys), times)], ["a", "b", "links"])
 
-    counted = found.select("words", "pair_sizes", "pairs").mapInPandas(count, "a long, b long, links long")
+    counted = found.select("pairs", "links").mapInArrow(count, "a long, b long, links long")
     return counted.groupBy("a", "b").agg(F.sum("links").alias("links"))
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-def counted_rows(row, known: np.ndarray, links: np.ndarray, best: np.ndarray) -> pd.DataFrame:
+def summed_up(value: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sums of ``value[at]`` over runs of so many entries."""
+    sums = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(value[at], out=sums[1:])
+    ends = np.cumsum(sizes, dtype=np.int64)
+    return sums[ends] - sums[ends - sizes]
+
+
+def counted_rows(row: dict[str, pa.Scalar], known: np.ndarray, links: np.ndarray, best: np.ndarray) -> pa.RecordBatch:
     """The documents of a block, with the sums over their links by a lookup (pairs in order, their counts, which are best)."""
-    pairs, sizes = np.frombuffer(row.pairs, np.uint64), np.frombuffer(row.pair_sizes, "<u4").astype(np.int64)
-    at = np.searchsorted(known, pairs)
-    word = np.repeat(np.arange(len(sizes)), sizes)
-    value = np.zeros((len(sizes) + 1, 2), np.int64)
-    np.add.at(value[:, 0], word, best[at])
-    np.add.at(value[:, 1], word, links[at])
-    words = np.frombuffer(row.words, "<u4").astype(np.int64)
-    ends = np.cumsum(np.frombuffer(row.sizes, "<u4").astype(np.int64))
-    sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(value[words], axis=0)])
-    own = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
-    out = pd.DataFrame(np.frombuffer(row.numbers, np.int64).reshape(-1, 4), columns=NUMBERS)
-    out.insert(0, "doc_id", pd.array([None if x is None or x != x else int(x) for x in row.doc_id], "Int64"))
-    out["n_best"], out["count_sum"], out["groups"] = own[:, 0], own[:, 1], list(row.groups)
-    return out
+    at = np.searchsorted(known, numbers_in(row["pairs"], np.uint64))
+    words, sizes, places, pair_sizes = (numbers_in(row[x], "<u4") for x in ("words", "sizes", "places", "pair_sizes"))
+    numbers = numbers_in(row["numbers"], np.int64).reshape(-1, 4)
+    sums = [summed_up(summed_up(x[at], places, pair_sizes), words, sizes) for x in (best, links)]
+    columns = [row["doc_id"].values, *(pa.array(x) for x in (*np.ascontiguousarray(numbers.T), *sums)), row["groups"].values]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ALIGNED.split(", ")])
 
 
 def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bool = True, looked_up: int = LOOKED_UP) -> DataFrame:
@@ -459,7 +493,7 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bo
     """
     spark = docs.sparkSession
     path = shared_dir(spark, "aligned")
-    blocks(docs, byte_path, piece_path, groups).write.option("compression", "zstd").parquet(path)
+    blocks(docs, byte_path, piece_path, groups).write.options(**BLOCK_FILES).parquet(path)
     found = spark.read.schema(BLOCK).parquet(path)
     counted = materialize(pair_counts(found), "pairs")
     if counted.count() <= looked_up:
@@ -469,32 +503,31 @@ def align_documents(docs: DataFrame, byte_path: str, piece_path: str, groups: bo
         order = np.argsort(key)
         lookup = spark.sparkContext.broadcast((key[order], held["links"].to_numpy(np.int64)[order], best.to_numpy(np.int64)[order]))
 
-        def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             forget()
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    yield counted_rows(row, *lookup.value)
+            for row in rows_of(batches):
+                yield counted_rows(row, *lookup.value)
 
-        return found.mapInPandas(look_up, ALIGNED)
+        return found.drop("block", "links").mapInArrow(look_up, ALIGNED)
     most = counted.groupBy("b").agg(F.max("links").alias("most"))
     counted = counted.join(most, "b").select("a", "b", "links", (F.col("links") == F.col("most")).cast("long").alias("best"))
 
-    def different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def different(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                keys = np.unique(np.frombuffer(row.pairs, np.uint64))
-                yield pd.DataFrame({"block": row.block, "a": (keys >> np.uint64(32)).astype(np.int64), "b": (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)})
+        for row in rows_of(batches):
+            keys = numbers_in(row["pairs"], np.uint64)
+            block = np.full(len(keys), row["block"].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block, *pair_columns(keys))], ["block", "a", "b"])
 
-    own = found.select("block", "pairs").mapInPandas(different, "block long, a long, b long").join(counted, ["a", "b"])
+    own = found.select("block", "pairs").mapInArrow(different, "block long, a long, b long").join(counted, ["a", "b"])
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        key = right["a"].to_numpy(np.uint64) << np.uint64(32) | right["b"].to_numpy(np.uint64)
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, links, best = (right.column(x).to_numpy() for x in ("a", "b", "links", "best"))
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
         order = np.argsort(key)
-        lookup = key[order], right["links"].to_numpy(np.int64)[order], right["best"].to_numpy(np.int64)[order]
-        return pd.concat([counted_rows(row, *lookup) for row in left.itertuples(index=False)])
+        return pa.Table.from_batches([counted_rows(row, key[order], links[order], best[order]) for row in rows_of(left.to_batches())])
 
-    return found.groupBy("block").cogroup(own.groupBy("block")).applyInPandas(meet, ALIGNED)
+    return found.drop("links").groupBy("block").cogroup(own.groupBy("block")).applyInArrow(meet, ALIGNED)
 
 
 @query

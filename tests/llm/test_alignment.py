@@ -1,9 +1,16 @@
+import os
+import subprocess
+import sys
+import tracemalloc
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from hashlib import sha256
 from itertools import accumulate
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +129,94 @@ def test_workers_give_aligners_back():
     assert not alignment.ALIGNERS
 
 
+WORKER = """
+import re, sys
+from pathlib import Path
+from listwright.llm import alignment
+
+def held():
+    return sum(map(int, re.findall(r"Pss_(?:Anon|Shmem):\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+own = alignment.Aligner(*sys.argv[1:3])
+before, pieces = held(), []
+alignment.ALIGNERS["a", "b"] = own
+for k in range(0, 300_000, 20_000):
+    pieces += [bytearray(b"x") * 20_000 for _ in range(200)]
+    own.read(["".join(f" w{x}x{x * 7919 % 1000003}" for x in range(k, k + 20_000))])
+most = held()
+del own
+pieces = pieces[::50]  # what is freed lies between what is kept
+alignment.forget()
+print(before, most, held())
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_forgotten_memory_goes_back_to_the_system():
+    here = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    told = subprocess.run([sys.executable, "-c", WORKER, A, B], cwd=here, env=os.environ | {"PYTHONPATH": here}, capture_output=True, text=True, timeout=300, check=True).stdout
+    before, most, after = map(float, told.split())
+    assert most > before + 120 and after < before + 30
+
+
+def test_steps_on_blocks_hold_little_beside_the_block():
+    """A block of a million words; what is made for it, apart from the block itself."""
+    words, pairs = 200_000, 10_000
+    row = {
+        "doc_id": pa.scalar([7, None], pa.list_(pa.int64())), "groups": pa.scalar(["x", "y"], pa.list_(pa.string())),
+        "numbers": pa.scalar(np.arange(8).tobytes()), "sizes": pa.scalar(np.array([999_999, 1], "<u4").tobytes()),
+        "words": pa.scalar((np.arange(1_000_000) % words).astype("<u4").tobytes()), "pair_sizes": pa.scalar(np.full(words, 4, "<u4").tobytes()),
+        "places": pa.scalar((np.arange(4 * words) % pairs).astype("<u4").tobytes()), "pairs": pa.scalar(np.arange(pairs, dtype=np.uint64).tobytes()),
+    }
+    tracemalloc.start()
+    got = alignment.counted_rows(row, np.arange(pairs, dtype=np.uint64), np.arange(pairs), np.arange(pairs) % 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    value = np.arange(4 * words) % pairs
+    sums = [np.tile(x.reshape(-1, 4).sum(axis=1), 5) for x in (value % 2, value)]
+    want = [[7, 0, 1, 2, 3, *(int(x[:-1].sum()) for x in sums), "x"], [None, 4, 5, 6, 7, *(int(x[-1]) for x in sums), "y"]]
+    assert [list(x.values()) for x in got.to_pylist()] == want
+    assert most < 30e6
+
+
+def test_blocks_are_stored_one_by_one(spark, monkeypatch, tmp_path):
+    """Each block is a row group with its pairs once, so that neither writer nor reader gathers blocks."""
+    monkeypatch.setattr(alignment, "BLOCK_WORDS", 150_000)
+    monkeypatch.setattr(alignment, "shared_dir", lambda *_: str(tmp_path / "blocks"))
+    monkeypatch.setattr(alignment, "pair_counts", lambda found: spark.createDataFrame([], "a long, b long, links long"))
+    rows = [(k, " ".join(f"w{x % 30_011}" for x in range(k * 1013, k * 1013 + 40_000))) for k in range(16)]
+    align_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), A, B)
+    files = [pq.ParquetFile(x) for x in (tmp_path / "blocks").glob("*.parquet")]
+    groups = [f.metadata.row_group(k).num_rows for f in files for k in range(f.num_row_groups)]
+    assert groups == [1] * 4
+    for f in files:
+        for row in f.read(["pairs", "links", "places"]).to_pylist():
+            pairs, links = np.frombuffer(row["pairs"], np.uint64), np.frombuffer(row["links"], np.int64)
+            assert len(pairs) == len(links) == len(set(pairs.tolist())) and links.min() > 0
+            assert len(row["places"]) > 8 * len(pairs)
+
+
+@pytest.mark.parametrize("looked_up", [10**6, 0])
+def test_blocks_without_words(spark, monkeypatch, looked_up):
+    monkeypatch.setattr(alignment, "BLOCK_WORDS", 0)
+    texts = [None, "", "▁", "two words", None]
+    docs = spark.createDataFrame([(None if k == 3 else k, t) for k, t in enumerate(texts)], "doc_id int, text string").repartition(5, "text")
+    got = align_documents(docs, A, B, looked_up=looked_up)
+    want = Counter((None if k == 3 else k, *x) for k, x in enumerate(brute(texts)))
+    assert Counter((r["doc_id"], *(r[c] for c in COLUMNS)) for r in got.collect()) == want
+
+
+def test_full_by_links():
+    """Words of signs that both tokenizers cut finely fill an aligner before its words or characters do."""
+    own = Aligner(A, B)
+    own.read([" ".join(f"{k}日本語の文章です中文" * 30 for k in range(50))])
+    assert own.used > 5_000 and not own.full()
+    own.used = alignment.CACHED_LINKS + 1
+    assert own.full()
+    own.clear()
+    assert not own.full()
+
+
 class Asked:
     """A tokenizer that notes what its library is asked for."""
 
