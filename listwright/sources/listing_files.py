@@ -215,7 +215,7 @@ def scan(
     ``isolate`` a file that cannot be read ends the job.
     """
     if on_bad_lines not in ("skip", "error"):
-        raise ValueError("on_bad_lines must be 'skip' or 'error'")
+        raise ValueError("on_bad_lines must be 'skip' or 'error', for lines with too many fields")
     missing, name_all = frozenset(na_values), NAMING[naming]
     schema = T.StructType([
         *[T.StructField(c, T.StringType()) for c in columns],
